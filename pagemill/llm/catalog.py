@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pagemill.llm import exactdedup, tokenfiles
+from pagemill.llm import balance, exactdedup, mixing, simhash, tokenfiles, warc
 
-MODULES = (exactdedup, tokenfiles)
+MODULES = (warc, exactdedup, mixing, balance, simhash, tokenfiles)
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
 for module in MODULES:
