@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pagemill.llm import balance, bpe, exactdedup, mixing, simhash, tokenfiles, warc
+from pagemill.llm import balance, bpe, exactdedup, licenses, mixing, simhash, tokenfiles, toxicity, warc
 
-MODULES = (warc, bpe, exactdedup, mixing, balance, simhash, tokenfiles)
+MODULES = (warc, bpe, exactdedup, mixing, balance, toxicity, licenses, simhash, tokenfiles)
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
 for module in MODULES:
