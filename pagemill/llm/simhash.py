@@ -176,11 +176,143 @@ def near_duplicates(docs: DataFrame, width: int = 3, radius: int = 2) -> DataFra
     doc_id are searched like any other but never name a component that has another row.
     """
     rows = common.saved(with_fingerprints(docs, width), "fingerprints")
+    return named(rows, components(links(rows.select("fp").distinct(), radius))).select("doc_id", "fp", "component_id")
+
+
+def named(rows: DataFrame, roots: DataFrame) -> DataFrame:
+    """`rows` (doc_id, fp, and others) with component_id, from the links' `roots` (node, root) among the fps."""
     nodes = common.saved(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
-    roots = components(links(nodes.select("fp"), radius))
     classes = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    named = classes.groupBy("root").agg(F.min("least").alias("component_id"))
-    return common.join_facts(rows, common.saved(classes.join(named, "root").select("fp", "component_id"), "classes"), "fp").select("doc_id", "fp", "component_id")
+    ids = classes.groupBy("root").agg(F.min("least").alias("component_id"))
+    return common.join_facts(rows, common.saved(classes.join(ids, "root").select("fp", "component_id"), "classes"), "fp")
+
+
+# ------------------------------------------------- wide fingerprints, by similarity
+
+#: Bits of a piece that a wide shard's fingerprints share.
+PIECE = 20
+_STEPS = np.random.default_rng(9).integers(1 << 62, (1 << 63) - 1, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def wide_fingerprint(text: str | None, width: int, n: int) -> bytes:
+    """SimHash of 64 * n bits: each shingle's XXH64 is mixed n times. Without words, zeros."""
+    words = (text or "").encode().lower().split()
+    if not words:
+        return bytes(8 * n)
+    shingles = [b" ".join(words)] if len(words) < width else map(b" ".join, zip(*(words[i:] for i in range(width))))
+    hashes = np.fromiter((xxhash.xxh64_intdigest(s, 42) for s in shingles), dtype="<u8")
+    ones = np.zeros((n, 64), np.int64)
+    for i in range(0, len(hashes), 16_384):
+        part = hashes[i : i + 16_384]
+        for j in range(n):
+            mixed = (part ^ (part >> np.uint64(31))) * _STEPS[j]
+            mixed = (mixed ^ (mixed >> np.uint64(29))) * _STEPS[63 - j]
+            ones[j] += np.unpackbits(mixed.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return np.packbits(2 * ones.ravel() > len(hashes), bitorder="little").tobytes()
+
+
+def radius_of(similarity: float, bits: int) -> int:
+    """The Hamming distance at which two sets of equal size with that Jaccard similarity lie in the mean: their angle's share of pi."""
+    return round(bits * np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+
+
+def tree_links(fps: np.ndarray, radius: int) -> list[tuple[int, int]]:
+    """Links (numbers of rows of `fps`, n x words of uint64) that connect what lies within the radius, by a BK-tree that all rows search at once.
+
+    A node is the first row of its subtree; the others go to its children by their distance to it. Searches go down
+    together: at a node, each still searching row meets the node, and goes on to the children within the radius of its
+    distance. Each row is linked to the first row of its class, so there are never all pairs.
+    """
+    parent = list(range(len(fps)))
+
+    def top(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    todo = [(np.arange(len(fps)), np.arange(len(fps)))]  # a subtree's rows, the rows that search it
+    while todo:
+        own, seekers = todo.pop()
+        node = own[0]
+        far = np.bitwise_count(fps[seekers] ^ fps[node]).sum(axis=1, dtype=np.int64)
+        for x in seekers[far <= radius].tolist():
+            a, b = top(x), top(int(node))
+            if a != b:
+                parent[max(a, b)] = min(a, b)
+        rest = own[1:]
+        if len(rest):
+            edge = np.bitwise_count(fps[rest] ^ fps[node]).sum(axis=1, dtype=np.int64)
+            for k in np.unique(edge):
+                near = seekers[np.abs(far - k) <= radius]
+                if len(near):
+                    todo.append((rest[edge == k], near))
+    return [(top(i), i) for i in range(len(fps)) if top(i) != i]
+
+
+def similar(docs: DataFrame, width: int = 5, similarity: float = 0.8, n: int = 8) -> DataFrame:
+    """doc_id, fp, text_hash and component_id for every row of `docs` (doc_id, text): components of texts whose word shingles have about that Jaccard similarity or more.
+
+    Fingerprints of 64 * n bits link within the radius that the similarity has in the mean. They are searched in the
+    BK-trees of shards that share PIECE bits; with 512 bits a pair at similarity 0.9 meets in some shard in 98 of 100
+    cases, at 0.8 in 80. Nulls, empty texts and ties are as in near_duplicates(); fp is the XXH64 of the fingerprint.
+    """
+    bits = 64 * n
+    radius = radius_of(similarity, bits)
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            fps = [wide_fingerprint(t, width, n) for t in b.column("text").to_pylist()]
+            ids = np.array([xxhash.xxh64_intdigest(x, 1) for x in fps], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text_hash"), pa.array(ids), pa.array(fps, pa.binary())], names=["doc_id", "text_hash", "fp", "wide"])
+
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
+    rows = common.saved(texts.mapInArrow(add, "doc_id long, text_hash long, fp long, wide binary"), "fingerprints")
+    distinct = common.saved(rows.groupBy("fp").agg(F.first("wide").alias("wide")), "wide")
+
+    def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weights = (1 << np.arange(PIECE)).astype(np.int64)
+        for b in batches:
+            raw = np.frombuffer(b"".join(b.column("wide").to_pylist()), np.uint8).reshape(b.num_rows, 8 * n)
+            ones = np.unpackbits(raw, axis=1, bitorder="little")
+            for i in range(bits // PIECE):
+                shard = (ones[:, i * PIECE : (i + 1) * PIECE] * weights).sum(axis=1) + (i << PIECE)
+                yield pa.RecordBatch.from_arrays([pa.array(shard), b.column("fp")], names=["shard", "fp"])
+
+    # a shard with one fingerprint has no links; leave those before the fingerprints themselves are moved
+    placed = distinct.mapInArrow(shards, "shard long, fp long")
+    shared = common.saved(placed.groupBy("shard").count().where("count > 1").select("shard"), "shards")
+    members = placed.join(shared, "shard").join(distinct, "fp").select("shard", "fp", "wide").repartition("shard").sortWithinPartitions("shard", "fp")
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def found(fps: list[int], wides: list[bytes]) -> list[tuple[int, int]]:
+            if len(fps) == 2:
+                return [(fps[0], fps[1])] if (int.from_bytes(wides[0]) ^ int.from_bytes(wides[1])).bit_count() <= radius else []
+            return [(fps[a], fps[b]) for a, b in tree_links(np.frombuffer(b"".join(wides), np.uint64).reshape(-1, n), radius)]
+
+        now, fps, wides, out = None, [], [], []
+        for b in batches:
+            for shard, fp, wide in zip(b.column("shard").to_pylist(), b.column("fp").to_pylist(), b.column("wide").to_pylist()):
+                if shard != now:
+                    out += found(fps, wides) if len(fps) > 1 else []
+                    now, fps, wides = shard, [], []
+                fps.append(fp)
+                wides.append(wide)
+            yield _pairs(out)
+            out = []
+        yield _pairs(found(fps, wides) if len(fps) > 1 else [])
+
+    return named(rows.drop("wide"), components(members.mapInArrow(search, "a long, b long").distinct()))
+
+
+def _pairs(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.int64()), pa.array([p[1] for p in pairs], pa.int64())], names=["a", "b"])
+
+
+def keep_one(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
+    """The rows of `docs` whose doc_id is the least of their component, with all their columns. Components without any doc_id stay whole."""
+    dropped = similar(docs, width, similarity).where("NOT doc_id <=> component_id").select(F.col("doc_id").alias("_dropped"), F.col("text_hash").alias("_hash")).distinct()
+    return docs.join(dropped, docs["doc_id"].eqNullSafe(F.col("_dropped")) & (F.xxhash64(docs["text"]) == F.col("_hash")), "left_anti")
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
