@@ -103,8 +103,8 @@ def range_bounds(df: DataFrame, key: str, weight: Column, target: int, cells: in
     return bounds
 
 
-def in_shards(df: DataFrame, key: str, bounds: list[int], order: list[str]) -> DataFrame:
-    """Rows with the column `shard`, one shard a partition, sorted by `order` in it. Rows with a null key get as many shards again after the others, by a hash of their other columns."""
+def in_shards(df: DataFrame, key: str, bounds: list[int], order: list[str], spread: list[str] | None = None) -> DataFrame:
+    """Rows with the column `shard`, one shard a partition, sorted by `order` in it. Rows with a null key get as many shards again after the others, by a hash of the columns `spread` (else of all others)."""
     starts = np.array(bounds, dtype=np.int64)
 
     @F.pandas_udf(IntegerType())
@@ -112,7 +112,7 @@ def in_shards(df: DataFrame, key: str, bounds: list[int], order: list[str]) -> D
         return pd.Series(np.maximum(np.searchsorted(starts, keys.to_numpy(np.int64), side="right") - 1, 0).astype(np.int32))
 
     n = len(bounds)
-    others = [c for c in df.columns if c != key]
+    others = spread or [c for c in df.columns if c != key]
     shard = F.when(F.col(key).isNull(), F.lit(n) + F.pmod(F.xxhash64(*others), F.lit(n)).cast("int")).otherwise(shard_of(F.coalesce(F.col(key).cast("long"), F.lit(0))))
     return df.withColumn("shard", shard).repartitionById(2 * n, F.col("shard")).sortWithinPartitions("shard", *order)
 

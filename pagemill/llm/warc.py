@@ -27,17 +27,19 @@ READ = "page_id long, payload_bytes long, payload_digest string, record_type str
 
 
 def roles(pages: DataFrame) -> DataFrame:
-    """page_id, url, html (null: empty), digest, refers_to: of equal payloads of LEAST_REVISIT bytes or more the smallest page_id stays, the others refer to it.
+    """page_id, url, html (null: empty), digest, refers_to, is_page: a row for each page, and for each page that repeats another one without url and html that says which one it refers to.
 
-    Null page_ids refer to the smallest one there is; rows that repeat the smallest page_id are responses too.
+    Of equal payloads of LEAST_REVISIT bytes or more the smallest page_id stays and the others refer to it. Null page_ids
+    refer to the smallest one there is; rows that repeat the smallest page_id are responses too. The payloads don't move
+    for this: both kinds of rows meet in the sort by page_id.
     """
     html = F.coalesce("html", F.lit(""))
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", html.alias("html"), F.sha2(html.cast("binary"), 256).alias("digest"))
-    slim = pages.select(F.col("page_id").cast("long").alias("page_id"), F.sha2(html.cast("binary"), 256).alias("digest"), F.octet_length(html).alias("bytes"))
-    first = slim.where(F.col("bytes") >= LEAST_REVISIT).groupBy("digest").agg(F.min("page_id").alias("keep"), F.count(F.lit(1)).alias("n")).where("n > 1").select("digest", "keep")
-    first = common.saved(first, "repeated")
-    repeats = slim.join(first.hint("merge"), "digest").where("NOT page_id <=> keep").select("page_id", F.col("digest").alias("d"), F.col("keep").alias("refers_to")).distinct()
-    return rows.join(repeats.hint("merge"), rows["page_id"].eqNullSafe(repeats["page_id"]) & (F.col("digest") == F.col("d")), "left").select(rows["page_id"], "url", "html", "digest", "refers_to")
+    page_id, digest = F.col("page_id").cast("long").alias("page_id"), F.sha2(html.cast("binary"), 256).alias("digest")
+    slim = common.saved(pages.where(F.octet_length(html) >= LEAST_REVISIT).select(page_id, digest), "digests")
+    first = slim.groupBy("digest").agg(F.min("page_id").alias("refers_to"))
+    repeats = common.join_facts(slim, first, "digest").where("NOT page_id <=> refers_to").distinct()
+    rows = pages.select(page_id, "url", html.alias("html"), digest, F.lit(None).cast("long").alias("refers_to"), F.lit(True).alias("is_page"))
+    return rows.unionByName(repeats.select("page_id", F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("html"), "digest", "refers_to", F.lit(False).alias("is_page")))
 
 
 def record_id(page_id: int | None, digest: str) -> str:
@@ -85,17 +87,22 @@ def write(pages: DataFrame, folder: str, shard_bytes: int = 16 << 20, roll_bytes
     """
     rows = roles(pages)
     bounds = common.range_bounds(pages.select("page_id", "html"), "page_id", F.octet_length(F.coalesce("html", F.lit(""))) + 400, shard_bytes)
-    rows = common.in_shards(rows, "page_id", bounds, ["page_id", "digest", "url"])
+    rows = common.in_shards(rows, "page_id", bounds, ["page_id", "digest", "is_page", "url"], spread=["digest"])
 
     def put(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shard, seq, out, temp, name, size, n, found = None, 0, None, "", "", 0, 0, []
+        repeat: tuple = ()
 
         def close() -> None:
             out.close()
             found.append((shard, seq, temp, name, size, n, ""))
 
         for pdf in batches:
-            for page_id, url, html, digest, refers_to, s in pdf[["page_id", "url", "html", "digest", "refers_to", "shard"]].itertuples(index=False, name=None):
+            for page_id, url, html, digest, refers_to, is_page, s in pdf[["page_id", "url", "html", "digest", "refers_to", "is_page", "shard"]].itertuples(index=False, name=None):
+                page_id = _int(page_id)
+                if not is_page:
+                    repeat = (page_id, digest, _int(refers_to))
+                    continue
                 if out and (s != shard or size >= roll_bytes):
                     close()
                     out, seq = None, seq + 1
@@ -107,7 +114,8 @@ def write(pages: DataFrame, folder: str, shard_bytes: int = 16 << 20, roll_bytes
                     fs, path = common.filesystem(temp)
                     out, n = fs.open_output_stream(path), 0
                     size = out.write(first := _gzip(_info(name), level)) or len(first)
-                data = _gzip(record(_int(page_id), url, html.encode(), digest, _int(refers_to)), level)
+                refers_to = repeat[2] if repeat[:2] == (page_id, digest) else None
+                data = _gzip(record(page_id, url, html.encode(), digest, refers_to), level)
                 out.write(data)
                 size, n = size + len(data), n + 1
         if out:
