@@ -2,6 +2,292 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from pagemill.functions import policy, urls
+from pagemill.operators import adapt, extract, layout, report, spans
+from pagemill.plans import fixtures as fx
+from pagemill.plans import oracle as o
+
+FLAGSHIP = "classify_resources"
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
-FLAGSHIP = "classify_resources"
+
+
+def query(sql: str | None = None):
+    """Registers a function of (spark, sf_dir) under its name."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/pages.parquet")
+
+
+def marked_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pages with one of the fixture's snippets behind each, by page_id. The fixture has seven rows."""
+    snippets = F.broadcast(fx.SNIPPETS.df(spark))
+    return pages(spark, sf_dir).join(snippets, F.col("page_id") % 7 == F.col("slot")).select("page_id", "url", F.concat("html", "markup").alias("html"))
+
+
+@query(f"SELECT page_id, kind, url, action, reason, host FROM ({o.VERDICTS.format(rows=o.RESOURCES)})")
+def classify_resources(spark, sf_dir):
+    return extract.classified(marked_pages(spark, sf_dir))
+
+
+@query(f"SELECT page_id, count(*) AS n_anchors, CAST(count_if(starts_with(href, '/')) AS BIGINT) AS n_root, CAST(count_if(starts_with(href, '#')) AS BIGINT) AS n_fragment, CAST(count_if(regexp_matches(href, '(?i)^(https?:)?//')) AS BIGINT) AS n_absolute FROM ({o.ANCHORS}) GROUP BY page_id")
+def anchor_inventory(spark, sf_dir):
+    href = F.col("href")
+    return extract.anchors(marked_pages(spark, sf_dir)).groupBy("page_id").agg(F.count(F.lit(1)).alias("n_anchors"), F.count_if(href.startswith("/")).alias("n_root"), F.count_if(href.startswith("#")).alias("n_fragment"), F.count_if(urls.is_absolute(href)).alias("n_absolute"))
+
+
+@query(rf"SELECT page_id, count(*) AS n_links, CAST(count_if(trim(href) <> '' AND NOT regexp_matches(trim(href), '(?i)^(#|mailto:|tel:)') AND NOT regexp_matches(trim(href), '^\{{[a-zA-Z0-9_:.\-]+\}}$')) AS BIGINT) AS n_offer FROM ({o.ANCHORS}) GROUP BY page_id")
+def offer_links(spark, sf_dir):
+    return extract.anchors(marked_pages(spark, sf_dir)).groupBy("page_id").agg(F.count(F.lit(1)).alias("n_links"), F.count_if(extract.becomes_offer(F.col("href"))).alias("n_offer"))
+
+
+@query(f"SELECT page_id, {o.scheme('url')} AS scheme, {o.host('url')} AS host, {o.path('url')} AS path, {o.basename('url')} AS basename, regexp_extract(url, '\\?([^#]*)', 1) AS query_text FROM pages")
+def url_components(spark, sf_dir):
+    u = F.col("url")
+    return pages(spark, sf_dir).select("page_id", urls.scheme(u).alias("scheme"), urls.host(u).alias("host"), urls.path(u).alias("path"), urls.basename(u).alias("basename"), F.regexp_extract(u, r"\?([^#]*)", 1).alias("query_text"))
+
+
+@query(f"SELECT {o.host('url')} AS host, count(*) AS n_pages, CAST(sum(length(html)) AS BIGINT) AS n_chars, CAST(max(length(html)) AS BIGINT) AS longest FROM pages GROUP BY 1")
+def page_host_stats(spark, sf_dir):
+    return pages(spark, sf_dir).groupBy(urls.host(F.col("url")).alias("host")).agg(F.count(F.lit(1)).alias("n_pages"), F.sum(F.length("html").cast("long")).alias("n_chars"), F.max(F.length("html").cast("long")).alias("longest"))
+
+
+@query(f"SELECT page_id, count(*) AS n_scripts, CAST(sum(length(body)) AS BIGINT) AS n_chars FROM ({o.INLINE}) GROUP BY page_id")
+def inline_script_stats(spark, sf_dir):
+    return extract.inline_scripts(marked_pages(spark, sf_dir)).groupBy("page_id").agg(F.count(F.lit(1)).alias("n_scripts"), F.sum(F.length("body").cast("long")).alias("n_chars"))
+
+
+@query(f"SELECT page_id, length(body) AS n_chars, array_to_string(found, ' ') AS found FROM (SELECT page_id, body, list_filter({o.array(policy.INLINE_KEYWORDS)}, lambda k: contains(body, k)) AS found FROM ({o.INLINE})) WHERE len(found) > 0")
+def keyword_hits(spark, sf_dir):
+    found = extract.inline_scripts(marked_pages(spark, sf_dir)).withColumn("k", extract.keywords_in(F.col("body"))).where(F.size("k") > 0)
+    return found.select("page_id", F.length("body").cast("long").alias("n_chars"), F.array_join("k", " ").alias("found"))
+
+
+@query(f"SELECT page_id, token, token IN {o.values(policy.OWN_MACROS)} AS own, count(*) AS n FROM (SELECT page_id, unnest(regexp_extract_all(regexp_replace(html, '(?is)<(script|style)\\b[^>]*>.*?</(script|style)>', '', 'g'), '\\{{[a-zA-Z0-9_:.\\-]+\\}}')) AS token FROM {o.MARKED}) GROUP BY page_id, token")
+def macro_tokens(spark, sf_dir):
+    return extract.macros(marked_pages(spark, sf_dir))
+
+
+CSS_BLOCKS = {"n_styles": r"(?is)<style[^>]*>.*?</style>", "n_urls": r"(?i)url\(\s*['\"]?([^'\")]+)['\"]?\s*\)", "n_imports": r"(?i)@import\s+['\"]([^'\"]+)['\"]"}
+
+
+@query(f"SELECT page_id, {', '.join(f'len(regexp_extract_all(html, {o.text(p)}))::BIGINT AS {n}' for n, p in CSS_BLOCKS.items())} FROM {o.MARKED}")
+def css_blocks(spark, sf_dir):
+    return marked_pages(spark, sf_dir).select("page_id", *[F.size(extract.all_of(F.col("html"), p, 0)).cast("long").alias(n) for n, p in CSS_BLOCKS.items()])
+
+
+@query(f"SELECT entity, count(*) AS n FROM (SELECT unnest(regexp_extract_all(html, '&(#?[a-zA-Z0-9]+);', 1)) AS entity FROM pages) GROUP BY entity")
+def entity_counts(spark, sf_dir):
+    return pages(spark, sf_dir).select(F.explode(extract.all_of(F.col("html"), r"&(#?[a-zA-Z0-9]+);")).alias("entity")).groupBy("entity").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"SELECT host, count(*) AS n FROM (SELECT DISTINCT r.page_id, r.url, {o.host('r.url')} AS host FROM ({o.RESOURCES}) r) WHERE len(list_filter({o.array(o.TRACKERS)}, lambda t: host = t OR ends_with(host, '.' || t))) > 0 GROUP BY host")
+def tracker_suffix_join(spark, sf_dir):
+    """Suffix match as an equality: the domains above each host against the list, which is fixed."""
+    names = F.broadcast(spark.createDataFrame([(t,) for t in policy.TRACKER_HOSTS if "/" not in t], "domain string"))
+    hosts = extract.resources(marked_pages(spark, sf_dir)).withColumn("host", urls.host(F.col("url"))).where("host IS NOT NULL").select("page_id", "url", "host").distinct()
+    hit = hosts.withColumn("domain", F.explode(urls.domains(F.col("host")))).join(names, "domain", "left_semi").select("page_id", "url", "host").distinct()
+    return hit.groupBy("host").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _hosts(spark, sf_dir, how):
+    trusted = F.broadcast(spark.createDataFrame([(t,) for t in policy.TRUSTED_LIB_HOSTS], "host string"))
+    found = extract.resources(marked_pages(spark, sf_dir)).withColumn("host", urls.host(F.col("url"))).where("host IS NOT NULL")
+    return found.join(trusted, "host", how).groupBy("kind", "host").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"SELECT kind, host, count(*) AS n FROM (SELECT *, {o.host('url')} AS host FROM ({o.RESOURCES})) WHERE host IN {o.values(policy.TRUSTED_LIB_HOSTS)} GROUP BY kind, host")
+def trusted_semi(spark, sf_dir):
+    return _hosts(spark, sf_dir, "left_semi")
+
+
+@query(f"SELECT kind, host, count(*) AS n FROM (SELECT *, {o.host('url')} AS host FROM ({o.RESOURCES})) WHERE host NOT IN {o.values(policy.TRUSTED_LIB_HOSTS)} GROUP BY kind, host")
+def untrusted_anti(spark, sf_dir):
+    return _hosts(spark, sf_dir, "left_anti")
+
+
+@query(f"SELECT case_id, rel, kind, CASE WHEN kind IS NOT NULL THEN action END AS action FROM ({o.VERDICTS.format(rows='(SELECT case_id, rel, ' + o.LINK_KIND + ' AS kind, href AS url FROM ' + fx.LINKS.sql() + ')')})")
+def link_rel_kind(spark, sf_dir):
+    kind = extract.link_kind(F.col("rel"), F.col("as_attr"))
+    return fx.LINKS.df(spark).withColumn("kind", kind).select("case_id", "rel", "kind", F.when(F.col("kind").isNotNull(), urls.verdict(F.col("href"), F.col("kind"))["action"]).alias("action"))
+
+
+@query(f"SELECT site_id, rel_path, score FROM (SELECT *, row_number() OVER (PARTITION BY site_id ORDER BY score DESC, rel_path) AS place FROM ({o.main_score(fx.FILES.sql())})) WHERE place = 1")
+def main_file_top1(spark, sf_dir):
+    return layout.main_files(fx.FILES.df(spark))
+
+
+@query(f"SELECT host, rel_path, score FROM (SELECT *, row_number() OVER (PARTITION BY host ORDER BY score DESC, rel_path) AS place FROM ({o.main_score(o.PAGE_FILES)})) WHERE place = 1")
+def main_page_top1(spark, sf_dir):
+    """The page of each host that looks most like its main page."""
+    name = F.regexp_replace(F.regexp_replace(urls.path(F.col("url")), "^/", ""), r"/\z", "")
+    files = pages(spark, sf_dir).select(urls.host(F.col("url")).alias("host"), F.concat(F.when(name == "", F.lit("index")).otherwise(name), F.lit(".html")).alias("rel_path"), F.col("html").alias("content"), F.length("html").cast("long").alias("size"))
+    return layout.main_files(files, "host")
+
+
+@query(f"SELECT site_id, rel_path, CASE WHEN n > 0 THEN dir || '/' || regexp_extract(name, '^(.*?)(\\.[^.]*)?$', 1) || '_' || n || regexp_extract(name, '(\\.[^.]*)$', 1) ELSE dir || '/' || name END AS target FROM (SELECT *, row_number() OVER (PARTITION BY site_id, dir, name ORDER BY rel_path) - 1 AS n FROM (SELECT site_id, rel_path, {o.directory('rel_path')} AS dir, regexp_extract(rel_path, '([^/]*)$', 1) AS name FROM {fx.FILES.sql()}))")
+def dup_basename_suffix(spark, sf_dir):
+    return layout.placed(fx.FILES.df(spark))
+
+
+WANTED = fx.Fixture("site_id int, from_path string, url string", [(1, "index.html", "https://old.test/x/logo.png"), (1, "about/index.html", "missing.png"), (1, "img/logo.png", "LOGO.png"), (2, "page.htm", "a.woff2?v=1")])
+
+
+@query(f"SELECT site_id, from_path, url, rel_path FROM (SELECT w.*, f.rel_path, row_number() OVER (PARTITION BY w.site_id, from_path, url ORDER BY starts_with(f.rel_path, '_external/'), length(f.rel_path), f.rel_path) AS place FROM {WANTED.sql()} w JOIN {fx.FILES.sql()} f ON w.site_id = f.site_id AND {o.basename('w.url')} = {o.basename('f.rel_path')} WHERE f.rel_path <> from_path) WHERE place = 1")
+def candidate_pick(spark, sf_dir):
+    return layout.candidates(fx.FILES.df(spark), WANTED.df(spark))
+
+
+@query(f"SELECT file, min(start_pos) AS start_pos, max(end_pos) AS end_pos FROM ({o.ISLANDS.format(rows=fx.SPANS.sql())}) GROUP BY file, island")
+def interval_islands(spark, sf_dir):
+    return spans.merged(fx.SPANS.df(spark))
+
+
+@query(f"SELECT f.file, CAST(coalesce(sum(e - s), 0) AS BIGINT) AS covered FROM (SELECT DISTINCT file FROM {fx.SPANS.sql()}) f LEFT JOIN (SELECT file, min(start_pos) AS s, max(end_pos) AS e FROM ({o.ISLANDS.format(rows='(SELECT * FROM ' + fx.SPANS.sql() + ' WHERE hits > 0)')}) GROUP BY file, island) m ON f.file = m.file GROUP BY f.file")
+def covered_characters(spark, sf_dir):
+    return spans.covered(fx.SPANS.df(spark))
+
+
+@query(f"SELECT file, start_pos, end_pos, hits FROM (SELECT *, max(end_pos) OVER (PARTITION BY file ORDER BY start_pos, end_pos DESC, hits ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM {fx.SPANS.sql()}) WHERE reach IS NULL OR start_pos >= reach")
+def outermost_spans(spark, sf_dir):
+    return spans.outermost(fx.SPANS.df(spark))
+
+
+@query(f"SELECT page_id, name, value FROM (SELECT page_id, lower(regexp_extract(a, '^\\s(on[a-zA-Z]+)', 1)) AS name, regexp_extract(a, '\"([^\"]*)\"', 1) AS value FROM (SELECT page_id, unnest(regexp_extract_all(html, '(?i)\\son[a-z]+\\s*=\\s*\"[^\"]*\"')) AS a FROM {o.MARKED}))")
+def event_attributes(spark, sf_dir):
+    found = marked_pages(spark, sf_dir).select("page_id", F.explode(extract.all_of(F.col("html"), r'(?i)\son[a-z]+\s*=\s*"[^"]*"', 0)).alias("a"))
+    return found.select("page_id", F.lower(F.regexp_extract("a", r"^\s(on[a-zA-Z]+)", 1)).alias("name"), F.regexp_extract("a", r'"([^"]*)"', 1).alias("value"))
+
+
+@query(" UNION ALL ".join(f"SELECT case_id, '{label}' AS label, len(regexp_extract_all(code, {o.text(p)}))::BIGINT AS n FROM {fx.SOURCES.sql()} WHERE regexp_matches(code, {o.text(p)})" for label, p in policy.PHP_BACKDOORS))
+def php_patterns(spark, sf_dir):
+    return fx.SOURCES.df(spark).select("case_id", F.inline(extract.labelled(F.col("code"), policy.PHP_BACKDOORS)))
+
+
+@query(" UNION ALL ".join(f"SELECT page_id, {o.text(label)} AS label, len(regexp_extract_all(body, {o.text(p)}))::BIGINT AS n FROM ({o.INLINE}) WHERE regexp_matches(body, {o.text(p)})" for label, p in policy.JS_WARNINGS))
+def js_warnings(spark, sf_dir):
+    return extract.inline_scripts(marked_pages(spark, sf_dir)).select("page_id", F.inline(extract.labelled(F.col("body"), policy.JS_WARNINGS)))
+
+
+@query(f"SELECT case_id, ids, hex_ids, hex_ids * 100 > ids * 15 OR contains(code, 'eval(function(p,a,c,k,e') OR regexp_matches(code, 'String\\[[''\"]fromCharCode[''\"]\\]') AS obfuscated FROM (SELECT *, len(regexp_extract_all(code, '[A-Za-z_$][\\w$]*'))::BIGINT AS ids, len(regexp_extract_all(code, '_0x[0-9a-fA-F]+'))::BIGINT AS hex_ids FROM {fx.SOURCES.sql()})")
+def obfuscation_ratio(spark, sf_dir):
+    return fx.SOURCES.df(spark).select("case_id", extract.obfuscation(F.col("code")).alias("o")).select("case_id", "o.ids", "o.hex_ids", "o.obfuscated")
+
+
+@query(f"SELECT case_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(code, '(?is)<\\?(?:php|=).*?\\?>', '', 'g'), '(?is)<\\?(?:[^xp=]|x[^m]|p[^h]).*?\\?>', '', 'g'), '(?is)<%.*?%>', '', 'g'), '(?is)<\\?(?:php|=).*', '', 'g') AS stripped FROM {fx.SOURCES.sql()}")
+def server_tags(spark, sf_dir):
+    return fx.SOURCES.df(spark).select("case_id", extract.strip_server_code(F.col("code")).alias("stripped"))
+
+
+@query()
+def css_clean(spark, sf_dir):
+    return fx.SOURCES.df(spark).where("case_id = 11").select("case_id", extract.clean_css(F.col("code")).alias("cleaned"))
+
+
+@query(f"SELECT case_id, lib, version, replace(target, '{{v}}', version) AS cdn_url FROM ({o.LIBRARIES.format(rows=fx.LIB_URLS.sql())})")
+def library_by_url(spark, sf_dir):
+    return fx.LIB_URLS.df(spark).select("case_id", extract.library(F.col("url")).alias("l")).where("l IS NOT NULL").select("case_id", "l.lib", "l.version", "l.cdn_url")
+
+
+@query(f"SELECT page_id, url, main_host, {o.IS_OFFER} AS offer FROM (SELECT r.page_id, r.url, {o.host('p.url')} AS main_host FROM ({o.RESOURCES}) r JOIN pages p ON p.page_id = r.page_id WHERE r.kind = 'anchor')")
+def offer_urls(spark, sf_dir):
+    main = marked_pages(spark, sf_dir).select("page_id", urls.host(F.col("url")).alias("main_host"), "html")
+    rows = main.select("page_id", "main_host", F.explode(extract.all_of(F.col("html"), extract.attribute("(?:a|area)", "href"))).alias("url"))
+    return rows.select("page_id", "url", "main_host", F.coalesce(extract.is_offer(F.col("url"), F.col("main_host")), F.lit(False)).alias("offer"))
+
+
+@query(f"SELECT kind, action, count(*) AS n, count(DISTINCT page_id) AS n_pages, count(DISTINCT host) AS n_hosts FROM ({o.VERDICTS.format(rows=o.RESOURCES)}) GROUP BY kind, action")
+def stats_by_kind(spark, sf_dir):
+    return report.by_kind(extract.classified(marked_pages(spark, sf_dir)))
+
+
+@query(f"SELECT kind, action, count(*) AS n FROM ({o.VERDICTS.format(rows=o.RESOURCES)}) GROUP BY ROLLUP (kind, action)")
+def stats_rollup(spark, sf_dir):
+    return report.rolled_up(extract.classified(marked_pages(spark, sf_dir)))
+
+
+@query(f"SELECT page_id, kind, url, reason, number, lpad(CAST(number AS VARCHAR), 3, '0') || '-' || kind || '.txt' AS file FROM (SELECT *, CAST(row_number() OVER (PARTITION BY page_id ORDER BY kind, url, reason) AS BIGINT) AS number FROM ({o.VERDICTS.format(rows=o.RESOURCES)}) WHERE action = 'quarantine')")
+def quarantine_index(spark, sf_dir):
+    return report.quarantine(extract.classified(marked_pages(spark, sf_dir)))
+
+
+@query(f"SELECT reason, page_id, url, place FROM (SELECT *, CAST(row_number() OVER (PARTITION BY reason ORDER BY page_id, kind, url) AS BIGINT) AS place FROM ({o.VERDICTS.format(rows=o.RESOURCES)}) WHERE action <> 'keep') WHERE place <= 100")
+def changelog_first_100(spark, sf_dir):
+    """The report's first hundred changes of each reason."""
+    return report.first_changes(extract.classified(marked_pages(spark, sf_dir)))
+
+
+@query(f"SELECT count(*) AS n_runs, count(*) > 0 AND bool_and(NOT is_error) AS ok, count(DISTINCT page) AS n_pages, CAST(count_if(h IS NOT NULL AND NOT h IN {o.values(policy.TRUSTED_LIB_HOSTS)}) AS BIGINT) AS n_foreign, array_to_string(list_sort(list_distinct(list(h) FILTER (h IS NOT NULL AND NOT h IN {o.values(policy.TRUSTED_LIB_HOSTS)}))), ' ') AS foreign_hosts FROM (SELECT *, {o.host('url')} AS h FROM {fx.REQUESTS.sql()})")
+def verify_fold(spark, sf_dir):
+    return report.verified(fx.REQUESTS.df(spark))
+
+
+@query(f"SELECT arg_max(default_vertical, layer) FILTER (default_vertical IS NOT NULL) AS default_vertical, arg_max(name_macro, layer) FILTER (name_macro IS NOT NULL) AS name_macro FROM {fx.CONFIG.sql()}")
+def config_layering(spark, sf_dir):
+    return adapt.layered(fx.CONFIG.df(spark))
+
+
+@query(f"SELECT case_id, CASE WHEN image_mode = 'skip' THEN NULL WHEN image_mode = 'file' THEN image_file ELSE CASE trim(coalesce(vertical, 'Adult')) " + " ".join(f"WHEN {o.text(k)} THEN {o.text(v)}" for k, v in adapt.IMAGE_BASES.items()) + f" END END AS target FROM {fx.BRIEF.sql()}")
+def image_target(spark, sf_dir):
+    return fx.BRIEF.df(spark).select("case_id", adapt.image_target(F.col("vertical"), F.col("image_mode"), F.col("image_file")).alias("target"))
+
+
+NAMES = ["the and", "of"]
+
+
+@query(r"SELECT page_id, CAST(len(regexp_extract_all(regexp_replace(html, '[^\x00-\x7F]', ' ', 'g'), '(?i)\bthe\s+and\b|\bof\b')) AS BIGINT) AS n FROM pages")
+def product_name_hits(spark, sf_dir):
+    """Where product names stand as whole words, what is beyond ASCII taken as space: the oracle's word boundary knows only ASCII."""
+    plain = F.regexp_replace("html", r"[^\x00-\x7F]", " ")
+    return pages(spark, sf_dir).select("page_id", F.regexp_count(plain, F.lit(adapt.names_pattern(NAMES))).cast("long").alias("n"))
+
+
+@query()
+def product_name_replace(spark, sf_dir):
+    return pages(spark, sf_dir).select("page_id", adapt.renamed(F.col("html"), NAMES).alias("html"))
+
+
+@query("SELECT page_id, sha256(html) AS sha256 FROM pages")
+def content_hash(spark, sf_dir):
+    return pages(spark, sf_dir).select("page_id", F.sha2("html", 256).alias("sha256"))
+
+
+@query()
+def sri_hash(spark, sf_dir):
+    return pages(spark, sf_dir).select("page_id", F.concat(F.lit("sha384-"), F.base64(F.unhex(F.sha2("html", 384)))).alias("integrity"))
+
+
+@query(f"SELECT page_id, url, {o.LOCAL_PATH} AS local_path FROM pages")
+def url_to_local_path(spark, sf_dir):
+    return pages(spark, sf_dir).select("page_id", "url", layout.local_path(F.col("url")).alias("local_path"))
+
+
+@query(f"SELECT extension, {o.directory('basename')} AS dir, count(*) AS n FROM (SELECT regexp_extract(basename, '\\.([a-z0-9]+)$', 1) AS extension, basename FROM (SELECT {o.basename('url')} AS basename FROM ({o.RESOURCES}))) GROUP BY 1, 2")
+def extension_directories(spark, sf_dir):
+    rows = extract.resources(marked_pages(spark, sf_dir)).select(urls.basename(F.col("url")).alias("basename"))
+    return rows.groupBy(urls.extension(F.col("basename")).alias("extension"), layout.directory(F.col("basename")).alias("dir")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"SELECT name, count(*) AS n FROM (SELECT unnest(regexp_extract_all(html, '(?i)<meta\\s(?:[^>]*?\\s)?name\\s*=\\s*\"([^\"]*)\"', 1)) AS name FROM {o.MARKED}) WHERE lower(name) IN {o.values([m.lower() for m in policy.VERIFICATION_METAS])} GROUP BY name")
+def verification_metas(spark, sf_dir):
+    names = F.broadcast(spark.createDataFrame([(m.lower(),) for m in policy.VERIFICATION_METAS], "meta string"))
+    found = marked_pages(spark, sf_dir).select(F.explode(extract.all_of(F.col("html"), extract.attribute("meta", "name"))).alias("name"))
+    return found.join(names, F.lower("name") == F.col("meta"), "left_semi").groupBy("name").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT page_id, CAST(length(html) AS BIGINT) AS chars_before, CAST(length(a) AS BIGINT) AS chars_after, round(100.0e0 * (length(html) - length(a)) / length(html), 2) AS percent FROM (SELECT page_id, html, regexp_replace(html, '(?is)<(script|style)\\b[^>]*>.*?</(script|style)>', '', 'g') AS a FROM pages)")
+def size_delta(spark, sf_dir):
+    rows = pages(spark, sf_dir).select("page_id", F.length("html").cast("long").alias("chars_before"), F.length(extract.text_only(F.col("html"))).cast("long").alias("chars_after"))
+    return rows.withColumn("percent", F.round(100.0 * (F.col("chars_before") - F.col("chars_after")) / F.col("chars_before"), 2))
