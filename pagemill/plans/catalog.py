@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagemill.functions import policy, urls
-from pagemill.operators import adapt, extract, layout, report, spans
+from pagemill.operators import adapt, extract, html, layout, report, scripts, spans
 from pagemill.plans import fixtures as fx
 from pagemill.plans import oracle as o
 
@@ -291,3 +291,21 @@ def verification_metas(spark, sf_dir):
 def size_delta(spark, sf_dir):
     rows = pages(spark, sf_dir).select("page_id", F.length("html").cast("long").alias("chars_before"), F.length(extract.text_only(F.col("html"))).cast("long").alias("chars_after"))
     return rows.withColumn("percent", F.round(100.0 * (F.col("chars_before") - F.col("chars_after")) / F.col("chars_before"), 2))
+
+
+@query()
+def clean_pages(spark, sf_dir):
+    """Cleaned markup of every page, by edit planning."""
+    return html.cleaned(marked_pages(spark, sf_dir))
+
+
+@query()
+def edit_plan(spark, sf_dir):
+    return html.planned(html.elements(marked_pages(spark, sf_dir))).groupBy("pass_no", "action", "reason").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query()
+def script_threats(spark, sf_dir):
+    marked = marked_pages(spark, sf_dir)
+    main = marked.select("page_id", urls.host(F.col("url")).alias("main_host"))
+    return scripts.threats(extract.inline_scripts(marked).join(main, "page_id"))
