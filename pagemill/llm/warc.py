@@ -112,7 +112,7 @@ def write(pages: DataFrame, folder: str, shard_bytes: int = 16 << 20, roll_bytes
                     name = f"pages-{shard:06d}-{seq:05d}.warc.gz"
                     temp = common.temp_name(folder, name)
                     fs, path = common.filesystem(temp)
-                    out, n = fs.open_output_stream(path), 0
+                    out, n = fs.open_output_stream(path, compression=None), 0
                     size = out.write(first := _gzip(_info(name), level)) or len(first)
                 refers_to = repeat[2] if repeat[:2] == (page_id, digest) else None
                 data = _gzip(record(page_id, url, html.encode(), digest, refers_to), level)
@@ -133,7 +133,7 @@ def _int(x: object) -> int | None:
 def members(uri: str, chunk: int = 1 << 20) -> Iterator[tuple[int, bytes]]:
     """Offset and content of each gzip member of a file, one in memory at a time."""
     fs, path = common.filesystem(uri)
-    with fs.open_input_stream(path) as f:
+    with fs.open_input_stream(path, compression=None) as f:
         data, start, at = b"", 0, 0
         while data := data or f.read(chunk):
             z, parts = zlib.decompressobj(31), []

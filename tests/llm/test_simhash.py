@@ -83,3 +83,51 @@ def test_long_chain_and_empty_table(spark):
     edges = spark.createDataFrame([(a, b) for a, b in zip(fps, fps[1:])], "a long, b long")
     assert {r.root for r in simhash.components(edges).collect()} == {0}
     assert simhash.near_duplicates(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_similar_texts_meet(spark):
+    rng = random.Random(5)
+    vocabulary = [f"w{i}" for i in range(4000)]
+    rows, want = [], {}
+    for g in range(60):
+        base = [rng.choice(vocabulary) for _ in range(300)]
+        for c in range(3):
+            text = list(base)
+            for _ in range(c):  # a changed word leaves 290 of 302 five-word shingles
+                text[rng.randrange(300)] = "other"
+            rows.append((3 * g + c, " ".join(text)))
+            want[3 * g + c] = 3 * g
+    rows += [(500, None), (501, ""), (None, "w1"), (502, "w1")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in simhash.similar(df).collect()}
+    assert sum(got[i] == c for i, c in want.items()) >= 0.98 * len(want)
+    assert all(got[i] // 3 == i // 3 for i in want)
+    assert got[501] == 500 and got[502] == 502 and got[None] == 502
+    kept = simhash.keep_one(df)
+    assert kept.columns == df.columns
+    assert {r.doc_id for r in kept.collect()} == {i for i, c in got.items() if i == c}
+    assert simhash.keep_one(df.limit(0)).count() == 0
+
+
+def test_tree_links_make_the_classes_of_all_pairs():
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    base = rng.integers(0, 1 << 63, (12, 2), dtype=np.uint64)
+    rows = []
+    for b in base:
+        for _ in range(8):
+            x = b.copy()
+            for bit in rng.integers(0, 128, rng.integers(0, 14)):
+                x[bit // 64] ^= np.uint64(1 << int(bit % 64))
+            rows.append(x)
+    fps = np.array(rows)
+    whole = [int(a) | int(b) << 64 for a, b in fps]
+    root = classes(whole, 9)
+    parent = {i: i for i in range(len(fps))}
+    for a, b in simhash.tree_links(fps, 9):
+        parent[b] = a
+    assert len(simhash.tree_links(fps, 9)) < len(fps)
+    for i in parent:
+        for j in parent:
+            assert (parent[i] == parent[j]) == (root[whole[i]] == root[whole[j]])
