@@ -194,6 +194,13 @@ PIECE = 20
 _STEPS = np.random.default_rng(9).integers(1 << 62, (1 << 63) - 1, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
+def bit_counts(hashes: np.ndarray) -> np.ndarray:
+    """How many of the hashes have each of the 64 bits. Bits are bytes of 64-bit lanes, summed 255 rows at a time, which no byte overflows."""
+    lanes = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").view(np.uint64)
+    sums = np.add.reduceat(lanes, np.arange(0, len(lanes), 255), axis=0)
+    return sums.view(np.uint8).reshape(-1, 64).sum(axis=0, dtype=np.int64)
+
+
 def wide_fingerprint(text: str | None, width: int, n: int) -> bytes:
     """SimHash of 64 * n bits: each shingle's XXH64 is mixed n times. Without words, zeros."""
     words = (text or "").encode().lower().split()
@@ -207,7 +214,7 @@ def wide_fingerprint(text: str | None, width: int, n: int) -> bytes:
         for j in range(n):
             mixed = (part ^ (part >> np.uint64(31))) * _STEPS[j]
             mixed = (mixed ^ (mixed >> np.uint64(29))) * _STEPS[63 - j]
-            ones[j] += np.unpackbits(mixed.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+            ones[j] += bit_counts(mixed)
     return np.packbits(2 * ones.ravel() > len(hashes), bitorder="little").tobytes()
 
 
@@ -223,31 +230,24 @@ def tree_links(fps: np.ndarray, radius: int) -> list[tuple[int, int]]:
     together: at a node, each still searching row meets the node, and goes on to the children within the radius of its
     distance. Each row is linked to the first row of its class, so there are never all pairs.
     """
-    parent = list(range(len(fps)))
-
-    def top(x: int) -> int:
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
-
+    label = np.arange(len(fps))  # of each row's class, its first row
     todo = [(np.arange(len(fps)), np.arange(len(fps)))]  # a subtree's rows, the rows that search it
     while todo:
         own, seekers = todo.pop()
         node = own[0]
         far = np.bitwise_count(fps[seekers] ^ fps[node]).sum(axis=1, dtype=np.int64)
-        for x in seekers[far <= radius].tolist():
-            a, b = top(x), top(int(node))
-            if a != b:
-                parent[max(a, b)] = min(a, b)
+        near = label[seekers[far <= radius]]
+        if (near != label[node]).any():
+            joined = np.unique(np.append(near, label[node]))
+            label[np.isin(label, joined)] = joined[0]
         rest = own[1:]
         if len(rest):
             edge = np.bitwise_count(fps[rest] ^ fps[node]).sum(axis=1, dtype=np.int64)
             for k in np.unique(edge):
-                near = seekers[np.abs(far - k) <= radius]
-                if len(near):
-                    todo.append((rest[edge == k], near))
-    return [(top(i), i) for i in range(len(fps)) if top(i) != i]
+                on = seekers[np.abs(far - k) <= radius]
+                if len(on):
+                    todo.append((rest[edge == k], on))
+    return [(int(a), i) for i, a in enumerate(label) if a != i]
 
 
 def similar(docs: DataFrame, width: int = 5, similarity: float = 0.8, n: int = 8) -> DataFrame:
