@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pagemill.llm import common
 from pagemill.llm.wordcache import load
 
-HEAD, HEAD_CHARS = 1 << 19, 32
+HEAD, HEAD_CHARS = 3 << 18, 32
 TOKENIZER = "word_bpe_49k.json"
 
 #: White space of the tokenizer's pattern; str.split() also divides at 0x1C to 0x1F.
@@ -52,10 +52,11 @@ def words_of(text: str | None) -> list[str]:
 class Vocabulary:
     """What the driver knows of the frequent words, for the tasks: words, and their ids end to end."""
 
-    def __init__(self, words: list[str], ids: list[bytes]):
+    def __init__(self, words: list[str], ids: list[bytes], kind: type):
         self.words, self.name = words, uuid.uuid4().hex
-        self.flat = np.frombuffer(b"".join(ids), np.uint32)
-        self.lens = np.array([0] + [len(x) // 4 for x in ids], np.int64)  # code 0: none
+        self.kind, size = kind, np.dtype(kind).itemsize
+        self.flat = np.frombuffer(b"".join(ids), kind)
+        self.lens = np.array([0] + [len(x) // size for x in ids], np.int64)  # code 0: none
         self.starts = np.concatenate(([0], np.cumsum(self.lens)[:-1]))
 
 
@@ -70,20 +71,24 @@ def codes_of(head: Broadcast) -> dict[str, int]:
     return _codes[1]
 
 
-def encoder(tokenizer: str) -> Callable:
-    """A column function: word to its ids (unsigned 32-bit, little-endian)."""
+def id_kind(tokenizer: str) -> type:
+    return np.uint16 if load(tokenizer).get_vocab_size(with_added_tokens=True) <= 1 << 16 else np.uint32
+
+
+def encoder(tokenizer: str, kind: type) -> Callable:
+    """A column function: word to its ids as bytes."""
     state: list = []
 
     @F.pandas_udf("binary")
     def encode_words(words: pd.Series) -> pd.Series:
         tok = state[0] if state else (state.append(load(tokenizer)) or state[0])
-        return pd.Series([np.array(e.ids, np.uint32).tobytes() for e in tok.encode_batch_fast(list(words), add_special_tokens=False)], dtype=object)
+        return pd.Series([np.array(e.ids, kind).tobytes() for e in tok.encode_batch_fast(list(words), add_special_tokens=False)], dtype=object)
 
     return encode_words
 
 
-def frequent_words(docs: DataFrame, tokenizer: str, most: int) -> Vocabulary:
-    """The head of the word table. A task reports words with a millionth of its words, two at least; which words these are has no bearing on any result."""
+def frequent_words(docs: DataFrame, tokenizer: str, most: int, kind: type) -> Vocabulary:
+    """The head of the word table. A task reports words that are one in four million of its words, two at least; which words these are has no bearing on any result."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter = Counter()
@@ -92,14 +97,14 @@ def frequent_words(docs: DataFrame, tokenizer: str, most: int) -> Vocabulary:
                 seen.update(words_of(text))
             if len(seen) > 1_000_000:
                 seen = Counter({w: n for w, n in seen.items() if n > 1})
-        least = max(2, seen.total() // 1_000_000)
+        least = max(2, seen.total() // 4_000_000)
         kept = [(w, n) for w, n in seen.items() if n >= least and len(w) <= HEAD_CHARS]
         yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in kept], pa.string()), pa.array([n for _, n in kept], pa.int64())], names=["word", "n"])
 
     counted = docs.select("text").mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    top = counted.orderBy(F.desc("n"), "word").limit(most).select("word")
-    rows = top.repartition(max(1, most // 16_384)).select("word", encoder(tokenizer)("word").alias("ids")).toArrow()
-    return Vocabulary(rows.column("word").to_pylist(), rows.column("ids").to_pylist())
+    top = counted.orderBy(F.desc("n"), "word").limit(most)
+    rows = top.repartition(max(1, most // 16_384)).select("word", "n", encoder(tokenizer, kind)("word").alias("ids")).toArrow().sort_by([("n", "descending"), ("word", "ascending")])
+    return Vocabulary(rows.column("word").to_pylist(), rows.column("ids").to_pylist(), kind)
 
 
 def varints(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -131,7 +136,7 @@ def gather(flat: np.ndarray, starts: np.ndarray, lens: np.ndarray) -> np.ndarray
 
 
 def encoded(docs: DataFrame, finish: Callable, schema: str, tokenizer: str = TOKENIZER, head_words: int = HEAD) -> DataFrame:
-    """For each row of `docs` (doc_id, text; null: empty): doc_id and what `finish` makes of the ids of a few hundred documents (a list of arrays of uint32), as columns of `schema`.
+    """For each row of `docs` (doc_id, text; null: empty): doc_id and what `finish` makes of the ids of a few hundred documents (a list of arrays), as columns of `schema`.
 
     Rows that share doc_id and text are each encoded. A null doc_id stays null.
     """
@@ -139,7 +144,8 @@ def encoded(docs: DataFrame, finish: Callable, schema: str, tokenizer: str = TOK
     # k and h tell documents apart; neither is null
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     docs = docs.withColumns({"k": F.coalesce("doc_id", F.lit(-1)), "h": F.xxhash64(F.col("doc_id").isNull(), "doc_id", "text")})
-    head = spark.sparkContext.broadcast(frequent_words(docs, tokenizer, head_words))
+    kind = id_kind(tokenizer)
+    head = spark.sparkContext.broadcast(frequent_words(docs, tokenizer, head_words, kind))
 
     def rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = codes_of(head)
@@ -163,7 +169,7 @@ def encoded(docs: DataFrame, finish: Callable, schema: str, tokenizer: str = TOK
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("k"), b.column("h"), pa.array(out, pa.binary())], names=["doc_id", "k", "h", "codes"])
 
     tail = docs.select("k", "h", "text").mapInArrow(rare, "k long, h long, pos int, word string")
-    word_table = tail.select("word").distinct().withColumn("ids", encoder(tokenizer)("word"))
+    word_table = tail.select("word").distinct().withColumn("ids", encoder(tokenizer, kind)("word"))
     placed = tail.join(word_table.hint("merge"), "word").select("k", "h", "pos", "ids").repartition("k", "h")
     by_doc = placed.groupBy("k", "h").agg(F.collect_list(F.struct("pos", "ids")).alias("rare"))
     coded = docs.mapInArrow(codes, "doc_id long, k long, h long, codes binary").repartition("k", "h")
@@ -180,11 +186,11 @@ def encoded(docs: DataFrame, finish: Callable, schema: str, tokenizer: str = TOK
                 first = np.concatenate(([0], last[:-1]))
                 pos, ids = b.column("pos").to_pylist(), [x for own in b.column("ids").to_pylist() for x in own or ()]
                 at = np.array([first[j] + p for j, own in enumerate(pos) for p in own or ()], np.int64)
-                rare_lens = np.array([len(x) // 4 for x in ids], np.int64)
+                rare_lens = np.array([len(x) // v.flat.itemsize for x in ids], np.int64)
                 starts, lens = v.starts[code], v.lens[code]
                 lens[at] = rare_lens
                 starts[at] = len(v.flat) + np.cumsum(rare_lens) - rare_lens
-                flat = np.concatenate((v.flat, np.frombuffer(b"".join(ids), np.uint32))) if ids else v.flat
+                flat = np.concatenate((v.flat, np.frombuffer(b"".join(ids), v.kind))) if ids else v.flat
                 whole = gather(flat, starts, lens)
                 cuts = np.concatenate(([0], np.cumsum(lens)))[last]
                 yield pa.RecordBatch.from_arrays([b.column("doc_id"), *finish(np.split(whole, cuts[:-1]))], names=["doc_id", *(x.split()[0] for x in schema.split(", "))])

@@ -18,12 +18,11 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagemill.llm import common
-from pagemill.llm.wordcache import ByteBpe
+from pagemill.llm.wordcache import byte_bpe
 
 #: Values in a word by selector, fixed by the code's design; selector 0: one escaped value.
 COUNTS = np.array([1, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1], dtype=np.int64)
@@ -38,12 +37,14 @@ def pack(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     n = len(ids)
     if n == 0:
         return np.empty(0, np.uint64), np.empty(0, np.uint64)
+    padded = np.concatenate((ids, np.zeros(60, np.uint64)))  # beyond the block there are zeros
     selector = np.zeros(n, dtype=np.int64)
+    largest, k = padded, 1  # of the k ids from each place on
     for s in range(14, 0, -1):  # from one value in a word to sixty: the last that fits stays
-        k = int(COUNTS[s])
-        wide = np.concatenate(([0], np.cumsum(ids >= np.uint64(1 << int(BITS[s])))))
-        ends = np.minimum(np.arange(n) + k, n)  # beyond the block there are zeros
-        fits = wide[ends] == wide[:n]
+        more = int(COUNTS[s]) - k
+        if more:
+            largest, k = np.maximum(largest[: len(largest) - more], largest[more:]), k + more
+        fits = largest[:n] < np.uint64(1 << int(BITS[s]))
         if k > 1 and not fits.any():
             break
         selector[fits] = s
@@ -54,7 +55,6 @@ def pack(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     at = np.array(starts, dtype=np.int64)
     chosen = selector[at]
     words = chosen.astype(np.uint64) << np.uint64(60)
-    padded = np.concatenate((ids, np.zeros(60, np.uint64)))
     for s in np.unique(chosen[chosen > 0]):
         own = np.flatnonzero(chosen == s)
         for j in range(int(COUNTS[s])):
@@ -85,7 +85,7 @@ class Writer:
 
     def __init__(self, uri: str):
         fs, path = common.filesystem(uri)
-        self.out = fs.open_output_stream(path)
+        self.out = fs.open_output_stream(path, compression=None)
         self.out.write(MAGIC)
         self.at, self.blocks, self.docs, self.pending, self.n = len(MAGIC), [], [], [], 0
         self.waiting = 0
@@ -160,7 +160,7 @@ def write(docs: DataFrame, folder: str, tokenizer: str = "byte_bpe_50k.json", en
     rows = common.in_shards(docs, "doc_id", bounds, ["doc_id", "text"])
 
     def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe, out, shard, temp, found = None, None, None, "", []
+        out, shard, temp, found = None, None, "", []
         end = np.array([] if end_id is None else [end_id], np.uint32).tobytes()
 
         def close() -> None:
@@ -168,7 +168,7 @@ def write(docs: DataFrame, folder: str, tokenizer: str = "byte_bpe_50k.json", en
             found.append({"shard": shard, "seq": 0, "temp": temp, "name": f"tokens-{shard:06d}.s8b", "size": size, "n": out.n, "note": ""})
 
         for batch in batches:
-            bpe = bpe or ByteBpe(tokenizer)
+            bpe = byte_bpe(tokenizer)
             for doc_id, text, s in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), batch.column("shard").to_pylist()):
                 if s != shard:
                     if out:

@@ -48,7 +48,7 @@ def sample(labels: DataFrame, max_rows: int) -> DataFrame:
     return one_each.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
 
 
-def train(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, max_features: int = 10_000, min_docs: int = 5, smoothing: float = 1.0) -> Model:
+def train(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, max_features: int = 3_000, min_docs: int = 3, smoothing: float = 1.0) -> Model:
     """A model from the texts of a sample of at most `max_rows` labelled documents, which bounds what is broadcast and what the driver gets.
 
     n-grams in fewer than `min_docs` of them don't count; of the others the `max_features` with the surest log-count ratios
@@ -155,7 +155,7 @@ def scorer(spark: SparkSession, model: Model):
         weights = m.weights
         for text in texts:
             words = set(text.split()) if text else set()
-            if len(known) > 600_000:
+            if len(known) > 300_000:
                 known.clear()
             for w in words.difference(known):
                 known[w] = tuple(g for g in grams(w) if g in weights)
