@@ -74,6 +74,11 @@ def attribute(name: str) -> Column:
     return F.try_element_at(F.filter("attrs", lambda a: a["name"] == name), F.lit(1))["value"]
 
 
+def with_rule(rows: DataFrame, chosen: Column) -> DataFrame:
+    """`rows` for which a rule holds, with the column `rule`. Exploding keeps the filter above the columns that the rules use: pushed below them, it would hold a copy of their expressions for each use."""
+    return rows.select("*", F.explode(F.array(chosen)).alias("rule")).where("rule IS NOT NULL")
+
+
 def element_edits(found: DataFrame) -> DataFrame:
     """page_id, start, stop, new, pass_no, action, reason: elements that go, the first rule that holds for each."""
     tag, body = F.col("tag"), F.coalesce("body", F.lit(""))
@@ -100,7 +105,7 @@ def element_edits(found: DataFrame) -> DataFrame:
         .when(tag.isin("frame", "frameset", "noframes"), rule(14, remove, "frame"))
         .when((tag == "meta") & (F.col("equiv") == "content-security-policy"), rule(19, remove, "old policy"))
     )
-    return rows.withColumn("rule", chosen).where("rule IS NOT NULL").select("page_id", "start", "stop", F.lit("").alias("new"), "rule.*")
+    return with_rule(rows, chosen).select("page_id", "start", "stop", F.lit("").alias("new"), "rule.*")
 
 
 def attribute_edits(found: DataFrame) -> DataFrame:
@@ -115,7 +120,7 @@ def attribute_edits(found: DataFrame) -> DataFrame:
         .when(link & extract.becomes_offer(F.col("value")), rule(16, ' href="{offer}"', "rewrite", "offer link"))
         .when(handler, rule(18, "", "remove", "event handler"))
     )
-    return rows.withColumn("rule", chosen).where("rule IS NOT NULL").select("page_id", "start", "stop", "rule.*")
+    return with_rule(rows, chosen).select("page_id", "start", "stop", "rule.*")
 
 
 def planned(found: DataFrame) -> DataFrame:
