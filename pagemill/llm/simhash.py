@@ -189,9 +189,12 @@ def named(rows: DataFrame, roots: DataFrame) -> DataFrame:
 
 # ------------------------------------------------- wide fingerprints, by similarity
 
-#: Bits of a piece that a wide shard's fingerprints share.
-PIECE = 20
+#: A text is in BANDS shards, each named by ROWS minima: a pair of Jaccard similarity s meets with 1 - (1 - s**ROWS)**BANDS, 0.998 at 0.8.
+BANDS, ROWS = 16, 5
+#: Members of a shard that a task compares with one of the shard's other members.
+BLOCK = 1000
 _STEPS = np.random.default_rng(9).integers(1 << 62, (1 << 63) - 1, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_ORDERS = np.random.default_rng(10).integers(1 << 62, (1 << 63) - 1, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def bit_counts(hashes: np.ndarray) -> np.ndarray:
@@ -201,13 +204,17 @@ def bit_counts(hashes: np.ndarray) -> np.ndarray:
     return sums.view(np.uint8).reshape(-1, 64).sum(axis=0, dtype=np.int64)
 
 
-def wide_fingerprint(text: str | None, width: int, n: int) -> bytes:
-    """SimHash of 64 * n bits: each shingle's XXH64 is mixed n times. Without words, zeros."""
+def shingle_set(text: str | None, width: int) -> np.ndarray:
+    """XXH64 of the text's distinct word shingles, ascending; empty without words."""
     words = (text or "").encode().lower().split()
     if not words:
-        return bytes(8 * n)
+        return np.zeros(0, np.uint64)
     shingles = [b" ".join(words)] if len(words) < width else map(b" ".join, zip(*(words[i:] for i in range(width))))
-    hashes = np.fromiter((xxhash.xxh64_intdigest(s, 42) for s in shingles), dtype="<u8")
+    return np.unique(np.fromiter((xxhash.xxh64_intdigest(s, 42) for s in shingles), dtype="<u8"))
+
+
+def wide_fingerprint(hashes: np.ndarray, n: int) -> np.ndarray:
+    """SimHash of 64 * n bits, as n longs: each hash is mixed n times. Without hashes, zeros."""
     ones = np.zeros((n, 64), np.int64)
     for i in range(0, len(hashes), 16_384):
         part = hashes[i : i + 16_384]
@@ -215,12 +222,21 @@ def wide_fingerprint(text: str | None, width: int, n: int) -> bytes:
             mixed = (part ^ (part >> np.uint64(31))) * _STEPS[j]
             mixed = (mixed ^ (mixed >> np.uint64(29))) * _STEPS[63 - j]
             ones[j] += bit_counts(mixed)
-    return np.packbits(2 * ones.ravel() > len(hashes), bitorder="little").tobytes()
+    return np.packbits(2 * ones.ravel() > len(hashes), bitorder="little").view("<i8")
+
+
+def shards_of(hashes: np.ndarray) -> list[int]:
+    """The BANDS shards of a set of hashes: ROWS least hashes each, in orders of their own. None for an empty set."""
+    if not len(hashes):
+        return []
+    least = np.array([(hashes * a).min() for a in _ORDERS]).reshape(BANDS, ROWS)
+    return np.array([xxhash.xxh64_intdigest(x.tobytes(), i) for i, x in enumerate(least)], np.uint64).view(np.int64).tolist()
 
 
 def radius_of(similarity: float, bits: int) -> int:
-    """The Hamming distance at which two sets of equal size with that Jaccard similarity lie in the mean: their angle's share of pi."""
-    return round(bits * np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+    """A Hamming distance that sets with that Jaccard similarity stay within: the mean (their angle's share of pi; a quarter more, which sets of few shingles reach by ties) and four standard deviations."""
+    share = 1.25 * np.arccos(2 * similarity / (1 + similarity)) / np.pi
+    return round(bits * share + 4 * np.sqrt(bits * share * (1 - share)))
 
 
 def tree_links(fps: np.ndarray, radius: int) -> list[tuple[int, int]]:
@@ -250,63 +266,69 @@ def tree_links(fps: np.ndarray, radius: int) -> list[tuple[int, int]]:
     return [(int(a), i) for i, a in enumerate(label) if a != i]
 
 
-def similar(docs: DataFrame, width: int = 5, similarity: float = 0.8, n: int = 8) -> DataFrame:
-    """doc_id, fp, text_hash and component_id for every row of `docs` (doc_id, text): components of texts whose word shingles have about that Jaccard similarity or more.
+def verified(pairs: DataFrame, rows: DataFrame, width: int, similarity: float) -> DataFrame:
+    """Those of `pairs` (a, b) whose texts, from `rows` (fp, text), have that Jaccard similarity of word shingles or more."""
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
+    texts = common.saved(rows.select("fp", "text").join(ends, "fp", "left_semi").groupBy("fp").agg(F.first("text").alias("text")), "texts")
+    both = common.join_facts(pairs, texts.toDF("a", "text_a"), "a").join(texts.toDF("b", "text_b").hint("merge"), "b").select("a", "b", "text_a", "text_b")
 
-    Fingerprints of 64 * n bits link within the radius that the similarity has in the mean. They are searched in the
-    BK-trees of shards that share PIECE bits; with 512 bits a pair at similarity 0.9 meets in some shard in 98 of 100
-    cases, at 0.8 in 80. Nulls, empty texts and ties are as in near_duplicates(); fp is the XXH64 of the fingerprint.
-    """
-    bits = 64 * n
-    radius = radius_of(similarity, bits)
-
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            fps = [wide_fingerprint(t, width, n) for t in b.column("text").to_pylist()]
-            ids = np.array([xxhash.xxh64_intdigest(x, 1) for x in fps], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text_hash"), pa.array(ids), pa.array(fps, pa.binary())], names=["doc_id", "text_hash", "fp", "wide"])
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[int, np.ndarray] = {}
+        for batch in batches:
+            kept = []
+            for a, b, text_a, text_b in zip(*(c.to_pylist() for c in batch.columns)):
+                if a not in known:
+                    if sum(map(len, known.values())) > 500_000 or len(known) > 500:
+                        known.clear()
+                    known[a] = shingle_set(text_a, width)
+                one, other = known[a], shingle_set(text_b, width)
+                common_n = len(np.intersect1d(one, other, assume_unique=True))
+                kept.append(common_n / (len(one) + len(other) - common_n) >= similarity)
+            yield batch.select(["a", "b"]).filter(pa.array(kept, pa.bool_()))
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
-    rows = common.saved(texts.mapInArrow(add, "doc_id long, text_hash long, fp long, wide binary"), "fingerprints")
-    distinct = common.saved(rows.groupBy("fp").agg(F.first("wide").alias("wide")), "wide")
+    return common.saved(both.mapInArrow(check, "a long, b long"), "links")
 
-    def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights = (1 << np.arange(PIECE)).astype(np.int64)
-        for b in batches:
-            raw = np.frombuffer(b"".join(b.column("wide").to_pylist()), np.uint8).reshape(b.num_rows, 8 * n)
-            ones = np.unpackbits(raw, axis=1, bitorder="little")
-            for i in range(bits // PIECE):
-                shard = (ones[:, i * PIECE : (i + 1) * PIECE] * weights).sum(axis=1) + (i << PIECE)
-                yield pa.RecordBatch.from_arrays([pa.array(shard), b.column("fp")], names=["shard", "fp"])
 
-    # a shard with one fingerprint has no links; leave those before the fingerprints themselves are moved
-    placed = distinct.mapInArrow(shards, "shard long, fp long")
-    shared = common.saved(placed.groupBy("shard").count().where("count > 1").select("shard"), "shards")
-    members = placed.join(shared, "shard").join(distinct, "fp").select("shard", "fp", "wide").repartition("shard").sortWithinPartitions("shard", "fp")
+def similar(docs: DataFrame, width: int = 5, similarity: float = 0.8, n: int = 8) -> DataFrame:
+    """doc_id, fp, text_hash and component_id for every row of `docs` (doc_id, text): components of texts whose sets of word shingles have that Jaccard similarity or more.
 
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def found(fps: list[int], wides: list[bytes]) -> list[tuple[int, int]]:
-            if len(fps) == 2:
-                return [(fps[0], fps[1])] if (int.from_bytes(wides[0]) ^ int.from_bytes(wides[1])).bit_count() <= radius else []
-            return [(fps[a], fps[b]) for a, b in tree_links(np.frombuffer(b"".join(wides), np.uint64).reshape(-1, n), radius)]
+    Texts meet in the shards of shards_of(). In each, all are compared with the least, its pivot; then the texts that
+    aren't in their pivot's component with all texts of the shard in other components, in blocks, where their
+    SimHashes of 64 * n bits lie within radius_of(). Every link is checked by the texts themselves. Nulls, empty texts
+    and ties are as in near_duplicates(); fp is the XXH64 of the set of shingles.
+    """
+    radius = radius_of(similarity, 64 * n)
 
-        now, fps, wides, out = None, [], [], []
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for shard, fp, wide in zip(b.column("shard").to_pylist(), b.column("fp").to_pylist(), b.column("wide").to_pylist()):
-                if shard != now:
-                    out += found(fps, wides) if len(fps) > 1 else []
-                    now, fps, wides = shard, [], []
-                fps.append(fp)
-                wides.append(wide)
-            yield _pairs(out)
-            out = []
-        yield _pairs(found(fps, wides) if len(fps) > 1 else [])
-
-    return named(rows.drop("wide"), components(members.mapInArrow(search, "a long, b long").distinct()))
+            sets = [shingle_set(t, width) for t in b.column("text").to_pylist()]
+            ids = np.array([xxhash.xxh64_intdigest(x.tobytes(), 1) for x in sets], np.uint64).view(np.int64)
+            wide, shards = [wide_fingerprint(x, n).tolist() for x in sets], [shards_of(x) for x in sets]
+            longs = pa.list_(pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text_hash"), b.column("text"), pa.array(ids, pa.int64()), pa.array(wide, longs), pa.array(shards, longs)], names=["doc_id", "text_hash", "text", "fp", "wide", "shards"])
 
-
-def _pairs(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.int64()), pa.array([p[1] for p in pairs], pa.int64())], names=["a", "b"])
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
+    rows = common.saved(texts.mapInArrow(add, "doc_id long, text_hash long, text string, fp long, wide array<long>, shards array<long>"), "fingerprints")
+    distinct = common.saved(rows.where(F.size("shards") > 0).groupBy("fp").agg(F.first("wide").alias("wide"), F.first("shards").alias("shards")), "wide")
+
+    members = distinct.select("fp", F.explode("shards").alias("shard"))
+    groups = common.saved(members.groupBy("shard").agg(F.count(F.lit(1)).alias("size"), F.min("fp").alias("pivot")).where("size > 1"), "shards")
+    placed = common.saved(common.join_facts(members, groups, "shard"), "members")
+    links = verified(common.saved(placed.where("fp <> pivot").select(F.col("pivot").alias("a"), F.col("fp").alias("b")).distinct(), "pairs"), rows, width, similarity)
+
+    roots = common.saved(components(links), "roots")
+    heads = groups.join(roots, groups["pivot"] == roots["node"], "left").select("shard", F.coalesce("root", "pivot").alias("head"))
+    rooted = placed.join(roots, placed["fp"] == roots["node"], "left").select("shard", "fp", "size", F.coalesce("root", "fp").alias("root"))
+    classed = common.saved(common.join_facts(rooted, heads, "shard"), "classed")
+    apart = classed.where("root <> head").select("shard").distinct()
+    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
+    left_over = common.saved(classed.join(apart, "shard", "left_semi").join(distinct.select("fp", "wide"), "fp"), "left-over")
+    one = left_over.where("root <> head").select("shard", F.col("fp").alias("one"), F.col("root").alias("root_1"), F.col("wide").alias("wide_1"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"))
+    other = left_over.select("shard", F.col("fp").alias("other"), F.col("root").alias("root_2"), F.col("wide").alias("wide_2"), F.pmod(F.xxhash64("fp"), blocks).cast("int").alias("block"))
+    far = sum((F.bit_count(F.col("wide_1")[i].bitwiseXOR(F.col("wide_2")[i])) for i in range(n)), F.lit(0))
+    near = one.join(other, ["shard", "block"]).where((F.col("root_1") != F.col("root_2")) & (far <= radius))
+    more = verified(common.saved(near.select(F.least("one", "other").alias("a"), F.greatest("one", "other").alias("b")).distinct(), "pairs"), rows, width, similarity)
+    return named(rows.select("doc_id", "text_hash", "fp"), components(links.unionByName(more)))
 
 
 def keep_one(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:

@@ -131,3 +131,25 @@ def test_tree_links_make_the_classes_of_all_pairs():
     for i in parent:
         for j in parent:
             assert (parent[i] == parent[j]) == (root[whole[i]] == root[whole[j]])
+
+
+def test_similarity_is_the_exact_jaccard_of_planted_pairs(spark):
+    rng = random.Random(11)
+    rows, near, far = [], [], []
+    for size, limit in ((20, 0.8), (200, 0.8), (200, 0.85), (200, 0.75)):
+        for _ in range(150):
+            g = len(rows)
+            n_shared = -(-round(1000 * limit) * size // 1000)  # one text has the other's first shingles and no others
+            words = [f"w{rng.getrandbits(48)}" for _ in range(size + 4)]
+            rows += [(g, " ".join(words)), (g + 1, " ".join(words[: n_shared + 4]))]
+            (near if limit >= 0.8 else far).append(g)
+    got = {r.doc_id: r.component_id for r in simhash.similar(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert sum(got[g + 1] == g for g in near) >= 0.99 * len(near)
+    assert all(got[g + 1] == g + 1 for g in far)
+
+
+def test_chains_around_a_shards_pivot(spark):
+    words = [f"w{i}" for i in range(400)]
+    rows = [(i, " ".join(words[20 * i : 20 * i + 204])) for i in range(9)]  # neighbours have 180 of 220 shingles
+    got = simhash.similar(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.component_id for r in got} == {0}
