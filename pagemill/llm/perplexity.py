@@ -21,7 +21,7 @@ from pagemill.llm import common
 
 ORDER = 5
 START, STOP = "\x02", "\x03"
-#: Most entries (probabilities and back-off weights) of a model that is broadcast; beyond it the highest order is left out.
+#: Most entries (probabilities and back-off weights) of a model that is broadcast; a larger one of the same order is joined instead.
 MAX_ENTRIES = 12_000_000
 #: Most languages whose discounts are broadcast. A join by language would leave all n-grams of a language in one task for the windows behind it.
 MAX_LANGS = 10_000
@@ -58,12 +58,15 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return texts.mapInArrow(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
 
 
+def grams_of(word: str, order: int) -> Column:
+    """For each character of a word and its end, the n-gram that ends there: of `order` characters, or from the start mark on."""
+    w = F.concat(F.lit(START), word, F.lit(STOP))
+    return F.transform(F.sequence(F.lit(2), F.length(w)), lambda i: F.substring(w, F.greatest(i - (order - 1), F.lit(1)), F.least(i, F.lit(order))))
+
+
 def gram_counts(words: DataFrame, order: int) -> list[DataFrame]:
     """For n from 1 to `order`: lang, gram (n characters), c. The highest order counts occurrences; a lower one how many characters stand before the n-gram, or occurrences where only the start can."""
-    marked = words.select("lang", "n", F.concat(F.lit(START), "word", F.lit(STOP)).alias("w"))
-    ends = F.sequence(F.lit(2), F.length("w"))
-    grams = F.transform(ends, lambda i: F.substring(F.col("w"), F.greatest(i - (order - 1), F.lit(1)), F.least(i, F.lit(order))))
-    whole = common.saved(marked.select("lang", "n", F.explode(grams).alias("gram")).groupBy("lang", "gram").agg(F.sum("n").alias("c")), "grams")
+    whole = common.saved(words.select("lang", "n", F.explode(grams_of("word", order)).alias("gram")).groupBy("lang", "gram").agg(F.sum("n").alias("c")), "grams")
     found = [whole.where(F.length("gram") == order)]
     for n in range(order - 1, 0, -1):
         before = found[0].groupBy("lang", F.expr(f"substring(gram, 2, {n})").alias("gram")).agg(F.count(F.lit(1)).alias("c"))
@@ -175,14 +178,14 @@ def _look(table: tuple[np.ndarray, np.ndarray], keys: np.ndarray) -> tuple[np.nd
     return table[0][i] == keys, table[1][i]
 
 
-def train(docs: DataFrame, order: int = ORDER, max_entries: int = MAX_ENTRIES) -> Model:
-    """The model of all texts of `docs` (text, lang). Its size is checked before the driver gets it: were there more than `max_entries`, the model of the next lower order is taken."""
-    words = common.saved(word_counts(docs), "words")
-    while True:
-        tables = smoothed(gram_counts(words, order))
-        if order == 1 or sum(t.count() for t in tables) <= max_entries // 2:
-            break
-        order -= 1
+def train(docs: DataFrame, order: int = ORDER) -> Model:
+    """The model of all texts of `docs` (text, lang)."""
+    return gathered(smoothed(gram_counts(common.saved(word_counts(docs), "words"), order)))
+
+
+def gathered(tables: list[DataFrame]) -> Model:
+    """The model of the smoothed `tables`, whose size the caller has checked."""
+    order = len(tables)
     langs = sorted(r.lang for r in tables[0].select("lang").distinct().collect())
     model = Model(order, langs)
     for n, t in enumerate(tables, 1):
@@ -225,9 +228,10 @@ def repeat_words(words: list[bytes]) -> int:
 RULES = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, log_ppl double"
 
 
-def measured(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, lang and the columns of RULES for each row of `docs`; log_ppl is null without words."""
+def measured(docs: DataFrame, model: Model | None) -> DataFrame:
+    """doc_id, lang and the columns of RULES for each row of `docs`; log_ppl is null without words or a model."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    scored = model is not None
     known: dict[str, dict[bytes, float]] = {}
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -236,7 +240,7 @@ def measured(docs: DataFrame, model: Model) -> DataFrame:
             for lang, text in zip(b.column("lang").to_pylist(), b.column("text").to_pylist()):
                 words = text.encode().split()
                 own = known.setdefault(lang, {})
-                logs = list(map(own.get, words))
+                logs = list(map(own.get, words)) if scored else []
                 if None in logs:
                     if sum(map(len, known.values())) > 600_000:
                         for x in known.values():
@@ -245,7 +249,7 @@ def measured(docs: DataFrame, model: Model) -> DataFrame:
                     own.update(zip(new, shared.value.score(lang, [w.decode() for w in new]).tolist()))
                     logs = [own[w] for w in words]
                 chars = len(text) - sum(map(text.count, SPACES))
-                rows.append((len(words), chars, sum(map(text.count, SYMBOLS)), dup_lines(text), repeat_words(words), -sum(logs) / (chars + len(words)) if words else None))
+                rows.append((len(words), chars, sum(map(text.count, SYMBOLS)), dup_lines(text), repeat_words(words), -sum(logs) / (chars + len(words)) if words and scored else None))
             columns = [pa.array(x, kind) for x, kind in zip(zip(*rows) if rows else [()] * 6, [pa.int64()] * 5 + [pa.float64()])]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("lang"), *columns], names=["doc_id", "lang", *(x.split()[0] for x in RULES.split(", "))])
 
@@ -253,6 +257,41 @@ def measured(docs: DataFrame, model: Model) -> DataFrame:
     return texts.mapInArrow(measure, f"doc_id long, lang string, {RULES}")
 
 
+def measured_by_join(docs: DataFrame, words: DataFrame, tables: list[DataFrame]) -> DataFrame:
+    """As measured(), for the `docs` that the smoothed `tables` were counted from (`words`: their word_counts): nothing is gathered.
+
+    Every n-gram of these words is in the model, so none needs a lower order: a word's score sums its n-grams' log
+    probabilities, a document's its words'. Rows are numbered, as they may repeat.
+    """
+    order = len(tables)
+    key = lambda *names: F.xxhash64(*names)
+    used = [t.where(F.length("gram") == order) if n == order else t.where(F.col("gram").startswith(START)) for n, t in enumerate(tables, 1)]
+    facts = used[0].select("lang", "gram", "p")
+    for t in used[1:]:
+        facts = facts.unionByName(t.select("lang", "gram", "p"))
+    facts = facts.groupBy(key("lang", "gram").alias("key")).agg(F.max(F.log("p").cast("float")).cast("double").alias("log_p"))
+    grams = words.select(key("lang", "word").alias("word_key"), F.col("lang"), F.explode(grams_of("word", order)).alias("gram"))
+    by_gram = common.join_facts(common.saved(grams.select("word_key", key("lang", "gram").alias("key")), "word-grams"), common.saved(facts, "log-p"), "key")
+    scores = common.saved(by_gram.groupBy("word_key").agg(F.sum("log_p").alias("log_p")), "word-scores")
+
+    rows = common.saved(docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("lang", F.lit("")).alias("lang"), F.coalesce("text", F.lit("")).alias("text")), "rows")
+    rules = measured(rows.select(F.col("row").alias("doc_id"), "lang", "text"), None).withColumnRenamed("doc_id", "row").drop("log_ppl")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for row, lang, text in zip(b.column("row").to_pylist(), b.column("lang").to_pylist(), b.column("text").to_pylist()):
+                seen = Counter(text.encode().split())
+                if seen:
+                    yield pa.RecordBatch.from_arrays([pa.array([row] * len(seen)), pa.array([lang] * len(seen)), pa.array([w.decode() for w in seen]), pa.array(list(seen.values()), pa.int64())], names=["row", "lang", "word", "n"])
+
+    counted = rows.select("row", "lang", "text").mapInArrow(count, "row long, lang string, word string, n long")
+    counted = common.saved(counted.select("row", "n", key("lang", "word").alias("word_key")), "row-words")
+    logs = common.join_facts(counted, scores, "word_key").groupBy("row").agg(F.sum(F.col("n") * F.col("log_p")).alias("log_p"))
+    whole = rules.join(logs, "row", "left").join(rows.select("row", "doc_id"), "row")
+    ratio = -F.col("log_p") / (F.col("word_chars") + F.col("n_words"))
+    return whole.withColumn("log_ppl", F.when(F.col("n_words") > 0, ratio)).select("doc_id", "lang", *(x.split()[0] for x in RULES.split(", ")))
+
+
 def quantiles(rows: DataFrame, value: Column, width: float, **levels: float) -> DataFrame:
     """lang and a column for each of `levels`, from counts of bins: all rows count, and their order and partitions don't matter."""
     bins = rows.where("log_ppl IS NOT NULL").groupBy("lang", F.floor(value / width).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
@@ -274,9 +313,12 @@ def base_failed() -> Column:
     return (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
 
 
-def judged(docs: DataFrame) -> DataFrame:
+def judged(docs: DataFrame, max_entries: int = MAX_ENTRIES) -> DataFrame:
     """doc_id, the columns of RULES, base_failed, kept for each row of `docs` (doc_id, text, lang). Null texts have no words and fail the base rules; a null lang is a language of its own; repeated rows count each."""
-    rows = common.saved(measured(docs, train(docs)), "measured")
+    words = common.saved(word_counts(docs), "words")
+    tables = smoothed(gram_counts(words, ORDER))
+    small = sum(t.count() for t in tables) <= max_entries // 2
+    rows = common.saved(measured(docs, gathered(tables)) if small else measured_by_join(docs, words, tables), "measured")
     limited = rows.join(bands(rows), "lang", "left")
     deviation = (F.col("log_ppl") - F.col("middle")) * F.sqrt("n_words")
     inside = F.coalesce(deviation.between(-F.col("below"), F.col("above")), F.lit(False))

@@ -339,6 +339,17 @@ def test_quality_rules(spark, some, none):
     assert perplexity.judged(none).count() == 0
 
 
+def test_a_large_model_keeps_its_order(spark):
+    rng = np.random.default_rng(2)
+    texts = [" ".join("".join(rng.choice(list("abcdé"), int(rng.integers(1, 9)))) for _ in range(30)) for _ in range(12)] + ["", None]
+    rows = [(i, t, "en" if i % 2 else None) for i, t in enumerate(texts)]
+    df = spark.createDataFrame([*rows, rows[3], (None, texts[4], "en")], "doc_id long, text string, lang string")
+    order = lambda found: sorted(map(tuple, found.collect()), key=str)
+    small, large = order(perplexity.judged(df)), order(perplexity.judged(df, max_entries=10))
+    assert [r[:6] + r[7:] for r in small] == [r[:6] + r[7:] for r in large] and len(small) == 16
+    assert [r[6] or 0 for r in large] == pytest.approx([r[6] or 0 for r in small], abs=1e-9)
+
+
 def test_warc(spark, tmp_path):
     big = "<p>é</p>" * 50
     pages = [(1, "https://a.test/x y\r\nX: 1", big), (2, None, None), (3, "u", big), (4, "u", "short"), (5, "u", "short"), (None, "n", big), (6, "u", ""), (7, "u", "z" * 300_000), (3, "u", big), (1, "again", big)]
