@@ -74,6 +74,18 @@ def attribute(name: str) -> Column:
     return F.try_element_at(F.filter("attrs", lambda a: a["name"] == name), F.lit(1))["value"]
 
 
+def foreign_inside(body: Column) -> Column:
+    """Whether a script, iframe or img in the markup has an address that isn't kept, or a tracker's."""
+
+    def found(kind: str) -> Column:
+        tags = F.regexp_extract_all(body, F.lit(rf"""(?i)<{kind}\b(?:"[^"]*"|'[^']*'|[^'">])*>"""), F.lit(0))
+        value = r"""(?i)[\s/"']src\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
+        sources = F.transform(tags, lambda t: F.concat(*[F.regexp_extract(t, value, i) for i in (1, 2, 3)]))
+        return F.exists(sources, lambda u: (urls.verdict(u, F.lit(kind))["action"] != "keep") | urls.is_tracker(u))
+
+    return found("script") | found("iframe") | found("img")
+
+
 def with_rule(rows: DataFrame, chosen: Column) -> DataFrame:
     """`rows` for which a rule holds, with the column `rule`. Exploding keeps the filter above the columns that the rules use: pushed below them, it would hold a copy of their expressions for each use."""
     return rows.select("*", F.explode(F.array(chosen)).alias("rule")).where("rule IS NOT NULL")
@@ -95,7 +107,7 @@ def element_edits(found: DataFrame) -> DataFrame:
         .when((tag == "script") & foreign, rule(3, F.col("action"), "script"))
         .when(inline & ld_json & body.rlike("(?i)googletagmanager|google-analytics|(?s)WebSite.*SearchAction"), rule(4, remove, "tracker data"))
         .when(inline & ~ld_json & (F.size(extract.keywords_in(body)) > 0), rule(5, remove, "inline tracker"))
-        .when((tag == "noscript") & body.rlike(r"(?i)<(script|iframe|img)\b") & urls.is_tracker(body), rule(6, hold, "noscript"))
+        .when((tag == "noscript") & foreign_inside(body), rule(6, hold, "noscript"))
         .when((tag == "link") & foreign, rule(8, F.col("action"), "link"))
         .when((tag == "meta") & F.col("meta").isin(*[m.lower() for m in policy.VERIFICATION_METAS]), rule(9, remove, "verification"))
         .when((tag == "meta") & (F.col("equiv") == "refresh"), rule(10, hold, "refresh"))

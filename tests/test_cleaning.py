@@ -35,6 +35,15 @@ def test_policy_goes_behind_head(spark):
     assert html.cleaned(df, "<meta x$1>").first().html == "<head><meta x$1><title>a</title></head>"
 
 
+def test_noscript_goes_by_its_addresses(spark):
+    inside = [
+        '<iframe src="https://www.googletagmanager.com/ns.html?id=GTM-X" height="0"></iframe>', "<IMG alt='a>b' SRC='//unlisted.test/p'>", "<script src=https://unlisted.test/a.js></script>",
+        '<img src="/own.png">', '<img src="data:image/gif;base64,AA" data-src="https://unlisted.test">', "please turn on scripts https://unlisted.test", '<img src="/own.png"><img src="https://unlisted.test/p">',
+    ]
+    df = spark.createDataFrame([(i, f"<p>a<noscript>{x}</noscript>b</p>") for i, x in enumerate(inside)], "page_id long, html string")
+    assert {r.page_id for r in html.cleaned(df).collect() if "noscript" not in r.html} == {0, 1, 2, 6}
+
+
 def test_threats(spark):
     code = ["fetch('https://evil' + '.test/a')", "fetch('/own')", "new Image().src = 'https://own.test/x'", "eval(atob('eA=='))", "location.href='//evil.test'", "document.addEventListener('keydown', e => fetch('/k'))", None]
     df = spark.createDataFrame([(i, c, "own.test") for i, c in enumerate(code)], "page_id int, body string, main_host string")
