@@ -135,9 +135,20 @@ def attribute_edits(found: DataFrame) -> DataFrame:
     return with_rule(rows, chosen).select("page_id", "start", "stop", "rule.*")
 
 
+def style_edits(found: DataFrame) -> DataFrame:
+    """Edits of <style> bodies and style attributes: external imports and addresses go."""
+    bodies = found.where("tag = 'style' AND body IS NOT NULL").select("page_id", F.col("inner").alias("start"), (F.col("inner") + F.length("body")).alias("stop"), extract.clean_css(F.col("body")).alias("css"), F.col("body").alias("was"))
+    bodies = bodies.select("page_id", "start", "stop", F.col("css").alias("new"), F.col("css") == F.col("was"))
+    owned = found.select("page_id", F.explode("attrs").alias("a")).select("page_id", "a.*").where("name = 'style'").withColumn("css", extract.clean_css(F.col("value")))
+    quoted = F.concat(F.lit(' style="'), F.replace(F.replace("css", F.lit("&"), F.lit("&amp;")), F.lit('"'), F.lit("&quot;")), F.lit('"'))
+    owned = owned.select("page_id", "start", "stop", quoted.alias("new"), F.col("css") == F.col("value"))
+    edits = bodies.toDF("page_id", "start", "stop", "new", "same").unionByName(owned.toDF("page_id", "start", "stop", "new", "same")).where("NOT same")
+    return edits.select("page_id", "start", "stop", "new", F.lit(7).alias("pass_no"), F.lit("rewrite").alias("action"), F.lit("style").alias("reason"))
+
+
 def planned(found: DataFrame) -> DataFrame:
     """All edits that stand: none lies in an element that goes."""
-    both = element_edits(found).unionByName(attribute_edits(found))
+    both = element_edits(found).unionByName(attribute_edits(found)).unionByName(style_edits(found))
     order = both.select("page_id", F.col("page_id").alias("file"), F.col("start").alias("start_pos"), F.col("stop").alias("end_pos"), F.col("pass_no").alias("hits"), "new", "action", "reason")
     return spans.outermost(order).select("page_id", F.col("start_pos").alias("start"), F.col("end_pos").alias("stop"), "new", F.col("hits").alias("pass_no"), "action", "reason")
 

@@ -44,6 +44,14 @@ def test_noscript_goes_by_its_addresses(spark):
     assert {r.page_id for r in html.cleaned(df).collect() if "noscript" not in r.html} == {0, 1, 2, 6}
 
 
+def test_styles_lose_external_addresses(spark):
+    page = """<style>@import url(//evil.test/a.css);p{color:red}</style><p style='background:url(https://evil.test/x.png);font:"A&amp;B"' id=x>é</p><p style="color:red">"""
+    df = spark.createDataFrame([(1, page)], "page_id long, html string")
+    r = html.cleaned(df).first()
+    assert "evil.test" not in r.html and r.n_edits == 2 and "p{color:red}</style>" in r.html
+    assert "font:&quot;A&amp;B&quot;" in r.html and r.html.endswith(' id=x>é</p><p style="color:red">')
+
+
 def test_threats(spark):
     code = ["fetch('https://evil' + '.test/a')", "fetch('/own')", "new Image().src = 'https://own.test/x'", "eval(atob('eA=='))", "location.href='//evil.test'", "document.addEventListener('keydown', e => fetch('/k'))", None]
     df = spark.createDataFrame([(i, c, "own.test") for i, c in enumerate(code)], "page_id int, body string, main_host string")
