@@ -44,20 +44,43 @@ def saved(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def join_facts(rows: DataFrame, facts: DataFrame, key: str) -> DataFrame:
-    """Inner join of `rows` with `facts`, which has one row for each key of `rows`, none null.
+#: Most rows of a few longs each that are broadcast; in a hash table about 100 bytes each, 50 MB in all.
+SMALL = 500_000
+
+
+def join_facts(rows: DataFrame, facts: DataFrame, key: str, count: str) -> DataFrame:
+    """Inner join of `rows` with `facts`, which has one row for each key and, in the column `count`, about how many of `rows` have it. Keys aren't null.
 
     Keys with a thousandth of the rows and 10,000 rows at least are hot: there are at most 1,000 of them, so their facts
-    are broadcast and their rows stay where they are. The other rows meet their facts by a shuffled join.
+    are broadcast and their rows stay where they are. The other rows meet their facts by a shuffled join. `facts` is read
+    three times: save it first.
     """
-    least = max(10_000, rows.count() // 1000)
-    hot = [r[0] for r in rows.groupBy(key).count().where(F.col("count") >= least).select(key).collect()]
+    total = facts.agg(F.sum(count)).first()[0] or 0
+    hot = [r[0] for r in facts.where(F.col(count) >= max(10_000, total // 1000)).select(key).collect()]
     if not hot:
         return rows.join(facts.hint("merge"), key)
     is_hot = F.col(key).isin(hot)
     return rows.where(~is_hot).join(facts.where(~is_hot).hint("merge"), key).unionByName(rows.where(is_hot).join(F.broadcast(facts.where(is_hot)), key))
 
 
+def _by_keys(rows: DataFrame, keys: DataFrame, on: list, how: str) -> DataFrame:
+    names = [f"_key_{uuid.uuid4().hex}" for _ in keys.columns]
+    condition = F.lit(True)
+    for own, name in zip(on, names):
+        condition &= (F.col(own) if isinstance(own, str) else own).eqNullSafe(F.col(name))
+    return rows.join(keys.toDF(*names).hint("broadcast" if keys.count() <= SMALL else "merge"), condition, how)
+
+
+def in_keys(rows: DataFrame, keys: DataFrame, on: list) -> DataFrame:
+    """The `rows` whose values `on` (names or Columns) are a row of `keys` (longs; nulls equal nulls). `keys` is counted: up to SMALL are broadcast, more are shuffled."""
+    return _by_keys(rows, keys, on, "left_semi")
+
+
+def without_keys(rows: DataFrame, keys: DataFrame, on: list) -> DataFrame:
+    """The other `rows`, see in_keys()."""
+    return _by_keys(rows, keys, on, "left_anti")
+
+
 def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
     """File system and path of a URI; works in the driver and in tasks, for any store that pyarrow reads."""
     return pafs.FileSystem.from_uri(uri)

@@ -46,9 +46,11 @@ def dedup(docs: DataFrame, index: DigestIndex) -> DataFrame:
     share a verdict. A null doc_id never wins over another; where all are null, keep_id is null and the rows are kept.
     """
     slim = common.saved(docs.select(F.col("doc_id").cast("long").alias("doc_id"), digest(F.col("text")).alias("digest")), "digests")
-    index.add(slim.groupBy("digest").agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("n")))
-    known = index.table().withColumnRenamed("n", "group_size")
-    return common.join_facts(slim, known, "digest").select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.col("digest").alias("text_sha256"))
+    groups = common.saved(slim.groupBy("digest").agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("n")), "digest-groups")
+    index.add(groups)
+    known = index.table().withColumnRenamed("n", "group_size").join(groups.select("digest", F.col("n").alias("rows")).hint("merge"), "digest")
+    found = common.join_facts(slim, common.saved(known, "known"), "digest", "rows")
+    return found.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.col("digest").alias("text_sha256"))
 
 
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,10 +59,10 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """The rows of `docs` that dedup() keeps, with all their columns."""
+    """The rows of `docs` that dedup() keeps, with all their columns, whatever their names. Texts without any doc_id stay; an empty table stays empty."""
     index = DigestIndex(docs.sparkSession, common.new_dir(docs.sparkSession, "digest-index"))
-    dropped = dedup(docs, index).where("NOT kept").select(F.col("doc_id").alias("_dropped"), "text_sha256").distinct()
-    return docs.join(dropped, docs["doc_id"].eqNullSafe(F.col("_dropped")) & (digest(docs["text"]) == F.col("text_sha256")), "left_anti")
+    dropped = dedup(docs, index).where("NOT kept").select("doc_id", "text_sha256").distinct()
+    return common.without_keys(docs, common.saved(dropped, "dropped"), [F.col("doc_id").cast("long"), digest(F.col("text"))])
 
 
 QUERIES = {"op4_exact_dedup": op4_exact_dedup}

@@ -269,7 +269,7 @@ def measured_by_join(docs: DataFrame, words: DataFrame, tables: list[DataFrame])
     facts = used[0].select("lang", "gram", "p")
     for t in used[1:]:
         facts = facts.unionByName(t.select("lang", "gram", "p"))
-    facts = facts.groupBy(key("lang", "gram").alias("key")).agg(F.max(F.log("p").cast("float")).cast("double").alias("log_p"))
+    facts = facts.groupBy(key("lang", "gram").alias("key")).agg(F.max(F.log("p").cast("float")).cast("double").alias("log_p"), F.max("c").alias("c"))
     grams = words.select(key("lang", "word").alias("word_key"), F.col("lang"), F.explode(grams_of("word", order)).alias("gram"))
     by_gram = common.join_facts(common.saved(grams.select("word_key", key("lang", "gram").alias("key")), "word-grams"), common.saved(facts, "log-p"), "key")
     scores = common.saved(by_gram.groupBy("word_key").agg(F.sum("log_p").alias("log_p")), "word-scores")

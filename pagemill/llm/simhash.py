@@ -155,11 +155,12 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         # large star: neighbours above a node go to the least of its neighbours and itself
         both = now.select(F.col("lo").alias("u"), F.col("hi").alias("v")).unionByName(now.select(F.col("hi").alias("u"), F.col("lo").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("m").alias("lo"), F.col("v").alias("hi")).where("lo < hi").distinct()
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count(F.lit(1)).alias("n"))
+        large = common.join_facts(both.where("v > u"), common.saved(least, "least"), "u", "n").select(F.col("m").alias("lo"), F.col("v").alias("hi")).where("lo < hi").distinct()
         # small star: neighbours below a node, and the node, go to the least of them
-        low = large.groupBy("hi").agg(F.min("lo").alias("m"))
-        small = large.join(low, "hi").select(F.col("m").alias("lo"), F.explode(F.array("lo", "hi")).alias("hi")).where("lo < hi").distinct()
+        large = common.saved(large, "links")
+        low = common.saved(large.groupBy("hi").agg(F.min("lo").alias("m"), F.count(F.lit(1)).alias("n")), "least")
+        small = common.join_facts(large, low, "hi", "n").select(F.col("m").alias("lo"), F.explode(F.array("lo", "hi")).alias("hi")).where("lo < hi").distinct()
         nxt = common.saved(small, "links")
         new_state = nxt.agg(F.count(F.lit(1)), F.sum(F.xxhash64("lo", "hi").cast("decimal(38,0)"))).first()
         now = nxt
@@ -181,18 +182,21 @@ def near_duplicates(docs: DataFrame, width: int = 3, radius: int = 2) -> DataFra
 
 def named(rows: DataFrame, roots: DataFrame) -> DataFrame:
     """`rows` (doc_id, fp, and others) with component_id, from the links' `roots` (node, root) among the fps."""
-    nodes = common.saved(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
-    classes = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    ids = classes.groupBy("root").agg(F.min("least").alias("component_id"))
-    return common.join_facts(rows, common.saved(classes.join(ids, "root").select("fp", "component_id"), "classes"), "fp")
+    nodes = rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n"))
+    classes = common.saved(nodes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "n", "least", F.coalesce("root", "fp").alias("root")), "classes")
+    ids = common.saved(classes.groupBy("root").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("members")), "roots")
+    ids = common.join_facts(classes, ids, "root", "members").select("fp", "n", "component_id")
+    return common.join_facts(rows, common.saved(ids, "classes"), "fp", "n").drop("n")
 
 
 # ------------------------------------------------- wide fingerprints, by similarity
 
 #: A text is in BANDS shards, each named by ROWS minima: a pair of Jaccard similarity s meets with 1 - (1 - s**ROWS)**BANDS, 0.998 at 0.8.
 BANDS, ROWS = 16, 5
-#: Members of a shard that a task compares with one of the shard's other members.
-BLOCK = 1000
+#: Rows and shingles of a shard's block, which is one tree. A shard of several blocks is never in one task.
+BLOCK, BLOCK_SHINGLES = 1000, 1_000_000
+#: Rows that search a tree at once.
+SEEKERS = 500
 _STEPS = np.random.default_rng(9).integers(1 << 62, (1 << 63) - 1, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _ORDERS = np.random.default_rng(10).integers(1 << 62, (1 << 63) - 1, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -204,13 +208,30 @@ def bit_counts(hashes: np.ndarray) -> np.ndarray:
     return sums.view(np.uint8).reshape(-1, 64).sum(axis=0, dtype=np.int64)
 
 
+class WordHashes(dict):
+    """XXH64 of words, the last half million kept."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) > 500_000:
+            self.clear()
+        h = self[word] = xxhash.xxh64_intdigest(word, 42)
+        return h
+
+
+_word_hashes = WordHashes()
+
+
 def shingle_set(text: str | None, width: int) -> np.ndarray:
-    """XXH64 of the text's distinct word shingles, ascending; empty without words."""
+    """64-bit hashes of the text's distinct word shingles (A-Z in lower case), ascending; fewer words than `width` are one shingle; empty without words."""
     words = (text or "").encode().lower().split()
-    if not words:
-        return np.zeros(0, np.uint64)
-    shingles = [b" ".join(words)] if len(words) < width else map(b" ".join, zip(*(words[i:] for i in range(width))))
-    return np.unique(np.fromiter((xxhash.xxh64_intdigest(s, 42) for s in shingles), dtype="<u8"))
+    n = len(words) - width + 1
+    if not words or n < 1:
+        return np.array([xxhash.xxh64_intdigest(b" ".join(words), 42)][: len(words)], np.uint64)
+    hashes = np.fromiter(map(_word_hashes.__getitem__, words), np.uint64, len(words))
+    found = hashes[:n].copy()
+    for i in range(1, width):
+        found = (found ^ (found >> np.uint64(29))) * _STEPS[0] + hashes[i : n + i]
+    return np.unique((found ^ (found >> np.uint64(31))) * _STEPS[1])
 
 
 def wide_fingerprint(hashes: np.ndarray, n: int) -> np.ndarray:
@@ -239,63 +260,125 @@ def radius_of(similarity: float, bits: int) -> int:
     return round(bits * share + 4 * np.sqrt(bits * share * (1 - share)))
 
 
-def tree_links(fps: np.ndarray, radius: int) -> list[tuple[int, int]]:
-    """Links (numbers of rows of `fps`, n x words of uint64) that connect what lies within the radius, by a BK-tree that all rows search at once.
+class Block:
+    """A shard's tree and what is known of its rows' classes. Links are checked by the sets of shingles, once for a class where that is enough."""
+
+    def __init__(self, radius: int, similarity: float):
+        self.radius, self.similarity = radius, similarity
+        self.ids, self.sets = np.zeros(0, np.int64), []
+        self.fps = np.zeros((0, 0), np.uint64)
+        self.label = np.zeros(0, np.int64)
+
+    def similar_to(self, one: int, others: np.ndarray) -> np.ndarray:
+        """Which of the rows `others` have the Jaccard similarity to the row `one`."""
+        own = self.sets[one]
+        sizes = np.array([len(self.sets[i]) for i in others])
+        out = np.minimum(sizes, len(own)) >= self.similarity * np.maximum(sizes, len(own))
+        if out.any():
+            sizes = sizes[out]
+            flat = np.concatenate([self.sets[i] for i in others[out]])
+            shared = np.add.reduceat(own[np.minimum(np.searchsorted(own, flat), len(own) - 1)] == flat, np.cumsum(sizes) - sizes, dtype=np.int64)
+            out[out] = shared >= self.similarity * (sizes + len(own) - shared)
+        return out
+
+    def search(self, ids: np.ndarray, fps: np.ndarray, sets: list[np.ndarray], among: bool) -> list[tuple[int, int]]:
+        """Links of the given rows. With `among` they become the tree, which all of them search; else they search the tree.
+
+        A node is the first row of its subtree; the others go to its children by their distance to it. Searches go down
+        together: at a node each row that still searches meets it, and goes on to the children within the radius of its
+        distance. Rows that are already in the node's class aren't compared; so links are never all pairs, yet make the
+        same classes.
+        """
+        n = len(self.ids)
+        if not among and not n:  # a tree without rows
+            return []
+        tree = np.arange(n if not among else len(ids))
+        if not among:
+            kept = self.ids, self.fps, self.sets
+            ids, fps, sets = np.concatenate((self.ids, ids)), np.concatenate((self.fps, fps)), self.sets + sets
+        self.ids, self.fps, self.sets = ids, fps, sets
+        self.label = np.concatenate((self.label[:n], np.arange(n, len(ids))))
+        found, todo = [], [(tree, np.arange(n, len(ids)))]
+        while todo:
+            own, seekers = todo.pop()
+            node = own[0]
+            far = np.bitwise_count(fps[seekers] ^ fps[node]).sum(axis=1, dtype=np.int64)
+            near = seekers[(far <= self.radius) & (self.label[seekers] != self.label[node])]
+            if len(near):
+                near = near[self.similar_to(node, near)]
+                found += [(int(ids[node]), int(ids[i])) for i in near]
+                joined = np.unique(np.append(self.label[near], self.label[node]))
+                if len(joined) > 1:
+                    self.label[np.isin(self.label, joined)] = joined[0]
+            rest = own[1:]
+            if len(rest):
+                edge = np.bitwise_count(fps[rest] ^ fps[node]).sum(axis=1, dtype=np.int64)
+                for k in np.unique(edge):
+                    on = seekers[np.abs(far - k) <= self.radius]
+                    if len(on):
+                        todo.append((rest[edge == k], on))
+        if not among:
+            self.ids, self.fps, self.sets = kept
+            self.label = self.label[:n]
+        return found
+
+
+def searched(rows: DataFrame, radius: int, similarity: float) -> DataFrame:
+    """a, b: links of `rows` (shard, block, seeks, fp, wide, shingles): in each block the rows that don't seek are the tree, the others search it."""
+    dealt = rows.select("shard", "block", "seeks", "fp", "wide", "shingles").repartition("shard", "block").sortWithinPartitions("shard", "block", "seeks", "fp")
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, block = None, Block(radius, similarity)
+        waiting: list[tuple] = []
+        seeks = False
+        found: list[tuple[int, int]] = []
+
+        def done() -> None:
+            if waiting:
+                ids = np.array([w[0] for w in waiting], np.int64)
+                fps = np.frombuffer(b"".join(w[1] for w in waiting), "<u8").reshape(len(waiting), -1)
+                found.extend(block.search(ids, fps, [np.frombuffer(w[2], "<u8") for w in waiting], among=not seeks))
+                waiting.clear()
 
-    A node is the first row of its subtree; the others go to its children by their distance to it. Searches go down
-    together: at a node, each still searching row meets the node, and goes on to the children within the radius of its
-    distance. Each row is linked to the first row of its class, so there are never all pairs.
-    """
-    label = np.arange(len(fps))  # of each row's class, its first row
-    todo = [(np.arange(len(fps)), np.arange(len(fps)))]  # a subtree's rows, the rows that search it
-    while todo:
-        own, seekers = todo.pop()
-        node = own[0]
-        far = np.bitwise_count(fps[seekers] ^ fps[node]).sum(axis=1, dtype=np.int64)
-        near = label[seekers[far <= radius]]
-        if (near != label[node]).any():
-            joined = np.unique(np.append(near, label[node]))
-            label[np.isin(label, joined)] = joined[0]
-        rest = own[1:]
-        if len(rest):
-            edge = np.bitwise_count(fps[rest] ^ fps[node]).sum(axis=1, dtype=np.int64)
-            for k in np.unique(edge):
-                on = seekers[np.abs(far - k) <= radius]
-                if len(on):
-                    todo.append((rest[edge == k], on))
-    return [(int(a), i) for i, a in enumerate(label) if a != i]
-
-
-def verified(pairs: DataFrame, rows: DataFrame, width: int, similarity: float) -> DataFrame:
-    """Those of `pairs` (a, b) whose texts, from `rows` (fp, text), have that Jaccard similarity of word shingles or more."""
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
-    texts = common.saved(rows.select("fp", "text").join(ends, "fp", "left_semi").groupBy("fp").agg(F.first("text").alias("text")), "texts")
-    both = common.join_facts(pairs, texts.toDF("a", "text_a"), "a").join(texts.toDF("b", "text_b").hint("merge"), "b").select("a", "b", "text_a", "text_b")
-
-    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[int, np.ndarray] = {}
         for batch in batches:
-            kept = []
-            for a, b, text_a, text_b in zip(*(c.to_pylist() for c in batch.columns)):
-                if a not in known:
-                    if sum(map(len, known.values())) > 500_000 or len(known) > 500:
-                        known.clear()
-                    known[a] = shingle_set(text_a, width)
-                one, other = known[a], shingle_set(text_b, width)
-                common_n = len(np.intersect1d(one, other, assume_unique=True))
-                kept.append(common_n / (len(one) + len(other) - common_n) >= similarity)
-            yield batch.select(["a", "b"]).filter(pa.array(kept, pa.bool_()))
+            for shard, number, role, *row in zip(*(c.to_pylist() for c in batch.columns)):
+                if (shard, number) != at or role != seeks or seeks and len(waiting) == SEEKERS:
+                    done()
+                    if (shard, number) != at:
+                        at, block = (shard, number), Block(radius, similarity)
+                    seeks = role
+                waiting.append(row)
+            if len(found) > 10_000:
+                yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)], names=["a", "b"])
+                found.clear()
+        done()
+        yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)], names=["a", "b"])
+
+    return common.saved(dealt.mapInArrow(search, "a long, b long").distinct(), "links")
+
+
+def with_sets(docs: DataFrame, needed: DataFrame, width: int, n: int) -> DataFrame:
+    """fp, wide (SimHash of 64 * n bits), shingles for the texts of `docs` whose text_hash is in `needed` (fp, text_hash)."""
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = [shingle_set(t, width) for t in b.column("text").to_pylist()]
+            wide = [wide_fingerprint(x, n).tobytes() for x in sets]
+            yield pa.RecordBatch.from_arrays([b.column("text_hash"), pa.array(wide, pa.binary()), pa.array([x.tobytes() for x in sets], pa.binary())], names=["text_hash", "wide", "shingles"])
 
-    return common.saved(both.mapInArrow(check, "a long, b long"), "links")
+    texts = docs.select(F.xxhash64("text").alias("text_hash"), "text")
+    texts = common.in_keys(texts, needed.select("text_hash"), ["text_hash"]).groupBy("text_hash").agg(F.first("text").alias("text"))
+    return common.saved(texts.mapInArrow(add, "text_hash long, wide binary, shingles binary").join(needed.hint("merge"), "text_hash").select("fp", "wide", "shingles"), "sets")
 
 
-def similar(docs: DataFrame, width: int = 5, similarity: float = 0.8, n: int = 8) -> DataFrame:
+def similar(docs: DataFrame, width: int = 5, similarity: float = 0.8, n: int = 8, block_rows: int = BLOCK) -> DataFrame:
     """doc_id, fp, text_hash and component_id for every row of `docs` (doc_id, text): components of texts whose sets of word shingles have that Jaccard similarity or more.
 
-    Texts meet in the shards of shards_of(). In each, all are compared with the least, its pivot; then the texts that
-    aren't in their pivot's component with all texts of the shard in other components, in blocks, where their
-    SimHashes of 64 * n bits lie within radius_of(). Every link is checked by the texts themselves. Nulls, empty texts
-    and ties are as in near_duplicates(); fp is the XXH64 of the set of shingles.
+    Texts meet in the shards of shards_of(); shards with the same texts are searched once. A shard's SimHashes of 64 * n
+    bits form BK-trees, searched within radius_of(); every link is checked by the sets of shingles in the same task. A
+    shard of several blocks has its first block's tree searched by all its rows, and then the other trees by the rows
+    outside the shard's largest component. Nulls, empty texts and ties are as in near_duplicates(); fp is the XXH64 of
+    the set of shingles.
     """
     radius = radius_of(similarity, 64 * n)
 
@@ -303,38 +386,40 @@ def similar(docs: DataFrame, width: int = 5, similarity: float = 0.8, n: int = 8
         for b in batches:
             sets = [shingle_set(t, width) for t in b.column("text").to_pylist()]
             ids = np.array([xxhash.xxh64_intdigest(x.tobytes(), 1) for x in sets], np.uint64).view(np.int64)
-            wide, shards = [wide_fingerprint(x, n).tolist() for x in sets], [shards_of(x) for x in sets]
-            longs = pa.list_(pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text_hash"), b.column("text"), pa.array(ids, pa.int64()), pa.array(wide, longs), pa.array(shards, longs)], names=["doc_id", "text_hash", "text", "fp", "wide", "shards"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text_hash"), pa.array(ids, pa.int64()), pa.array([len(x) for x in sets], pa.int64()), pa.array([shards_of(x) for x in sets], pa.list_(pa.int64()))], names=["doc_id", "text_hash", "fp", "n", "shards"])
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
-    rows = common.saved(texts.mapInArrow(add, "doc_id long, text_hash long, text string, fp long, wide array<long>, shards array<long>"), "fingerprints")
-    distinct = common.saved(rows.where(F.size("shards") > 0).groupBy("fp").agg(F.first("wide").alias("wide"), F.first("shards").alias("shards")), "wide")
-
-    members = distinct.select("fp", F.explode("shards").alias("shard"))
-    groups = common.saved(members.groupBy("shard").agg(F.count(F.lit(1)).alias("size"), F.min("fp").alias("pivot")).where("size > 1"), "shards")
-    placed = common.saved(common.join_facts(members, groups, "shard"), "members")
-    links = verified(common.saved(placed.where("fp <> pivot").select(F.col("pivot").alias("a"), F.col("fp").alias("b")).distinct(), "pairs"), rows, width, similarity)
-
-    roots = common.saved(components(links), "roots")
-    heads = groups.join(roots, groups["pivot"] == roots["node"], "left").select("shard", F.coalesce("root", "pivot").alias("head"))
-    rooted = placed.join(roots, placed["fp"] == roots["node"], "left").select("shard", "fp", "size", F.coalesce("root", "fp").alias("root"))
-    classed = common.saved(common.join_facts(rooted, heads, "shard"), "classed")
-    apart = classed.where("root <> head").select("shard").distinct()
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    left_over = common.saved(classed.join(apart, "shard", "left_semi").join(distinct.select("fp", "wide"), "fp"), "left-over")
-    one = left_over.where("root <> head").select("shard", F.col("fp").alias("one"), F.col("root").alias("root_1"), F.col("wide").alias("wide_1"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"))
-    other = left_over.select("shard", F.col("fp").alias("other"), F.col("root").alias("root_2"), F.col("wide").alias("wide_2"), F.pmod(F.xxhash64("fp"), blocks).cast("int").alias("block"))
-    far = sum((F.bit_count(F.col("wide_1")[i].bitwiseXOR(F.col("wide_2")[i])) for i in range(n)), F.lit(0))
-    near = one.join(other, ["shard", "block"]).where((F.col("root_1") != F.col("root_2")) & (far <= radius))
-    more = verified(common.saved(near.select(F.least("one", "other").alias("a"), F.greatest("one", "other").alias("b")).distinct(), "pairs"), rows, width, similarity)
-    return named(rows.select("doc_id", "text_hash", "fp"), components(links.unionByName(more)))
+    rows = common.saved(texts.mapInArrow(add, "doc_id long, text_hash long, fp long, n long, shards array<long>"), "fingerprints")
+    distinct = rows.where("n > 0").groupBy("fp").agg(F.min("text_hash").alias("text_hash"), F.first("n").alias("n"), F.first("shards").alias("shards"))
+    distinct = common.saved(distinct, "distinct")
+
+    members = distinct.select("fp", "n", F.explode("shards").alias("shard"))
+    sums = members.groupBy("shard").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("shingles"), F.bit_xor("fp").alias("x"), F.bit_xor(F.xxhash64("fp")).alias("y")).where("size > 1")
+    blocks = F.ceil(F.greatest(F.col("size") / block_rows, F.col("shingles") / BLOCK_SHINGLES)).cast("int")
+    groups = common.saved(sums.groupBy("size", "x", "y").agg(F.min("shard").alias("shard"), F.first("shingles").alias("shingles")).select("shard", "size", blocks.alias("blocks")), "shards")
+    placed = common.saved(common.join_facts(members.select("shard", "fp"), groups, "shard", "size").select("shard", "fp", "size", "blocks"), "members")
+
+    needed = common.saved(placed.select("fp").distinct().join(distinct.select("fp", "text_hash"), "fp"), "needed")
+    sets = with_sets(docs, needed, width, n)
+    own = placed.withColumn("block", F.pmod(F.xxhash64("fp"), "blocks").cast("int"))
+    first = own.select("shard", "fp", F.explode(F.when(F.col("block") == 0, F.sequence(F.lit(0), F.col("blocks") - 1))).alias("block"), F.lit(False).alias("seeks"))
+    others = own.where("block > 0").select("shard", "fp", "block", F.lit(True).alias("seeks"))
+    links = searched(first.unionByName(others).join(sets.hint("merge"), "fp"), radius, similarity)
+
+    if groups.where("blocks > 1").limit(1).count():
+        roots = common.saved(components(links), "roots")
+        rooted = common.saved(own.where("blocks > 1").join(roots, F.col("fp") == F.col("node"), "left").select("shard", "fp", "size", "blocks", "block", F.coalesce("root", "fp").alias("root")), "rooted")
+        heads = rooted.groupBy("shard", "size", "root").agg(F.count(F.lit(1)).alias("c")).groupBy("shard", "size").agg(F.max_by("root", F.struct("c", "root")).alias("head"))
+        apart = common.join_facts(rooted.drop("size"), heads, "shard", "size").where("root <> head").select("shard", "fp", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(True).alias("seeks"))
+        trees = rooted.select("shard", "fp", "block", F.lit(False).alias("seeks"))
+        links = links.unionByName(searched(trees.unionByName(apart).join(sets.hint("merge"), "fp"), radius, similarity))
+    return named(rows.select("doc_id", "text_hash", "fp"), components(links))
 
 
 def keep_one(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
-    """The rows of `docs` whose doc_id is the least of their component, with all their columns. Components without any doc_id stay whole."""
-    dropped = similar(docs, width, similarity).where("NOT doc_id <=> component_id").select(F.col("doc_id").alias("_dropped"), F.col("text_hash").alias("_hash")).distinct()
-    return docs.join(dropped, docs["doc_id"].eqNullSafe(F.col("_dropped")) & (F.xxhash64(docs["text"]) == F.col("_hash")), "left_anti")
+    """The rows of `docs` whose doc_id is the least of their component, with all their columns. Components without any doc_id stay whole; an empty table stays empty."""
+    dropped = similar(docs, width, similarity).where("NOT doc_id <=> component_id").select("doc_id", "text_hash").distinct()
+    return common.without_keys(docs, common.saved(dropped, "dropped"), [F.col("doc_id").cast("long"), F.xxhash64("text")])
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -36,8 +36,8 @@ def roles(pages: DataFrame) -> DataFrame:
     html = F.coalesce("html", F.lit(""))
     page_id, digest = F.col("page_id").cast("long").alias("page_id"), F.sha2(html.cast("binary"), 256).alias("digest")
     slim = common.saved(pages.where(F.octet_length(html) >= LEAST_REVISIT).select(page_id, digest), "digests")
-    first = slim.groupBy("digest").agg(F.min("page_id").alias("refers_to"))
-    repeats = common.join_facts(slim, first, "digest").where("NOT page_id <=> refers_to").distinct()
+    first = common.saved(slim.groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.count(F.lit(1)).alias("n")).where("n > 1"), "repeated")
+    repeats = common.join_facts(slim, first, "digest", "n").where("NOT page_id <=> refers_to").distinct()
     rows = pages.select(page_id, "url", html.alias("html"), digest, F.lit(None).cast("long").alias("refers_to"), F.lit(True).alias("is_page"))
     return rows.unionByName(repeats.select("page_id", F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("html"), "digest", "refers_to", F.lit(False).alias("is_page")))
 

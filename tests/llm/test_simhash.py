@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import xxhash
 
 from pagemill.llm import simhash
@@ -109,28 +110,40 @@ def test_similar_texts_meet(spark):
     assert simhash.keep_one(df.limit(0)).count() == 0
 
 
-def test_tree_links_make_the_classes_of_all_pairs():
-    import numpy as np
-
+def test_block_links_make_the_classes_of_all_pairs():
     rng = np.random.default_rng(4)
-    base = rng.integers(0, 1 << 63, (12, 2), dtype=np.uint64)
-    rows = []
-    for b in base:
+    sets = []
+    for _ in range(12):
+        base = rng.integers(0, 1 << 63, 60, dtype=np.uint64)
         for _ in range(8):
-            x = b.copy()
-            for bit in rng.integers(0, 128, rng.integers(0, 14)):
-                x[bit // 64] ^= np.uint64(1 << int(bit % 64))
-            rows.append(x)
-    fps = np.array(rows)
-    whole = [int(a) | int(b) << 64 for a, b in fps]
-    root = classes(whole, 9)
-    parent = {i: i for i in range(len(fps))}
-    for a, b in simhash.tree_links(fps, 9):
-        parent[b] = a
-    assert len(simhash.tree_links(fps, 9)) < len(fps)
-    for i in parent:
-        for j in parent:
-            assert (parent[i] == parent[j]) == (root[whole[i]] == root[whole[j]])
+            x = base.copy()
+            x[: rng.integers(0, 14)] = rng.integers(0, 1 << 63, 1, dtype=np.uint64)
+            sets.append(np.unique(x))
+    fps = np.array([simhash.wide_fingerprint(x, 8).view(np.uint64) for x in sets])
+    ids = np.arange(len(sets))
+    like = lambda a, b: len(np.intersect1d(a, b)) / len(np.union1d(a, b)) >= 0.8
+
+    def tops(links):
+        parent = {i: i for i in ids.tolist()}
+
+        def top(x):
+            while parent[x] != x:
+                x = parent[x]
+            return x
+
+        for a, b in links:
+            parent[max(top(a), top(b))] = min(top(a), top(b))
+        return [top(i) for i in parent]
+
+    want = tops([(i, j) for i in ids.tolist() for j in range(i) if like(sets[i], sets[j])])
+    whole = simhash.Block(simhash.radius_of(0.8, 512), 0.8).search(ids, fps, sets, True)
+    assert tops(whole) == want and len(whole) < len(ids) and all(like(sets[a], sets[b]) for a, b in whole)
+    block = simhash.Block(simhash.radius_of(0.8, 512), 0.8)  # half are the tree, the others search it in two parts
+    found = block.search(ids[:48], fps[:48], sets[:48], True)
+    for k in (48, 72):
+        found += block.search(ids[k : k + 24], fps[k : k + 24], sets[k : k + 24], False)
+    across = [(i, j) for i in range(96) for j in range(min(i, 48)) if like(sets[i], sets[j])]
+    assert tops(found) == tops(across)
 
 
 def test_similarity_is_the_exact_jaccard_of_planted_pairs(spark):
@@ -151,5 +164,22 @@ def test_similarity_is_the_exact_jaccard_of_planted_pairs(spark):
 def test_chains_around_a_shards_pivot(spark):
     words = [f"w{i}" for i in range(400)]
     rows = [(i, " ".join(words[20 * i : 20 * i + 204])) for i in range(9)]  # neighbours have 180 of 220 shingles
-    got = simhash.similar(spark.createDataFrame(rows, "doc_id long, text string")).collect()
-    assert {r.component_id for r in got} == {0}
+    for block_rows in (1000, 2):  # and in shards of several blocks
+        got = simhash.similar(spark.createDataFrame(rows, "doc_id long, text string"), block_rows=block_rows).collect()
+        assert {r.component_id for r in got} == {0}
+
+
+def test_split_shards_give_the_same_components(spark):
+    rng = random.Random(8)
+    rows = []
+    for g in range(6):
+        base = [f"w{rng.randrange(3000)}" for _ in range(150)]
+        for _ in range(15):
+            text = list(base)
+            for _ in range(rng.randrange(8)):
+                text[rng.randrange(150)] = f"n{rng.randrange(3000)}"
+            rows.append((len(rows), " ".join(text)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    whole = {(r.doc_id, r.component_id) for r in simhash.similar(df).collect()}
+    assert whole == {(r.doc_id, r.component_id) for r in simhash.similar(df, block_rows=4).collect()}
+    assert 6 < len({c for _, c in whole}) < len(rows)

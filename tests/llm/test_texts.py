@@ -14,15 +14,15 @@ from hypothesis import strategies as st
 from pagemill.llm import balance, bpe, common, exactdedup, licenses, mixing, perplexity, tokenfiles, toxicity, warc, wordcache
 
 # with names that the operators use themselves
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, digest string, keep_id string, shard string, size string, _arc int, k int, h int, codes int, norm string, position int, arc int"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, digest string, text_sha256 string, keep_id string, shard string, size string, _arc int, k int, h int, codes int, norm string, position int, arc int"
 TEXTS = [None, "", " ", "a", "Hello  world\n x", "Hello world x", "hello \x1c world  x", "İstanbul J̌ STRASSE ß", "a<|endoftext|> b <|startoftext|>c <|ENDOFTEXT|>", "日本語 テスト 12345 !!", "word " * 3000, "x" * 5000, "tab\tand\r\nlines \n  spaces   end ", "it's they'll 'x' 3.14 @user_name #tag"]
 
 
 def docs(spark, texts=None):
     texts = TEXTS if texts is None else texts
-    rows = [(i, t, ["en", "de", None][i % 3], ["b", "a", None][i % 3], 0, "d", "k", "s", "z", 1, 1, 1, 1, "n", 1, 1) for i, t in enumerate(texts)]
+    rows = [(i, t, ["en", "de", None][i % 3], ["b", "a", None][i % 3], 0, "d", "t", "k", "s", "z", 1, 1, 1, 1, "n", 1, 1) for i, t in enumerate(texts)]
     if texts:
-        rows += [(None, "null id", None, None, None, *[None] * 11), rows[5], (3, *rows[4][1:])]  # a null id, a repeated row, an id with another text
+        rows += [(None, "null id", None, None, None, *[None] * 12), rows[5], (3, *rows[4][1:])]  # a null id, a repeated row, an id with another text
     return spark.createDataFrame(rows, SCHEMA).repartition(3)
 
 
@@ -124,8 +124,8 @@ def test_exact_dedup(spark, some, none, tmp_path):
 def test_hot_keys_meet_their_facts(spark):
     rows = spark.range(30_000).selectExpr("id", "if(id % 3 = 0, 'hot', cast(id as string)) AS key")
     facts = rows.groupBy("key").count()
-    assert common.join_facts(rows, facts, "key").where("key = 'hot' AND count = 10000").count() == 10_000
-    assert common.join_facts(rows, facts, "key").count() == 30_000
+    assert common.join_facts(rows, facts, "key", "count").where("key = 'hot' AND count = 10000").count() == 10_000
+    assert common.join_facts(rows, facts, "key", "count").count() == 30_000
 
 
 def test_range_bounds_divide_far_apart_keys(spark):
