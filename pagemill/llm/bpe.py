@@ -3,12 +3,14 @@
 Texts divide at white space, which no token of the tokenizer crosses. Each distinct word is encoded once and its ids are
 joined back by position:
 
-1. The most frequent words, at most HEAD of at most HEAD_CHARS characters each, are encoded and broadcast: a fixed bound.
-2. Every other occurrence is a row (document, position, word). Their distinct words are encoded, joined back by word, and
-   collected by document.
+1. The most frequent words, at most HEAD, are encoded and broadcast. They have at most HEAD_CHARS characters, or LONG_CHARS
+   where one word in COMMON is the same: 40 million characters at most.
+2. Every other occurrence is a row (document, place among the document's rare words, word). These meet by word, so that each
+   word is encoded once, and go on by document.
 3. The documents go to that join as one variable-length code a word, 0 for the words of step 2, and are put together there.
 
-Decoding joins ids to pieces; the id-to-piece table has the vocabulary's size.
+Decoding looks pieces up by id in the id-to-piece table, which has the vocabulary's size: decode() is that join; digests()
+looks up the ids of words before they go to the documents.
 """
 
 from __future__ import annotations
@@ -24,6 +26,7 @@ from itertools import repeat
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,7 +34,7 @@ from pyspark.sql import functions as F
 from pagemill.llm import common
 from pagemill.llm.wordcache import load
 
-HEAD, HEAD_CHARS = 3 << 18, 32
+HEAD, HEAD_CHARS, LONG_CHARS, COMMON = 1 << 19, 32, 2048, 10_000
 TOKENIZER = "word_bpe_49k.json"
 
 #: White space of the tokenizer's pattern; str.split() also divides at 0x1C to 0x1F.
@@ -50,14 +53,11 @@ def words_of(text: str | None) -> list[str]:
 
 
 class Vocabulary:
-    """What the driver knows of the frequent words, for the tasks: words, and their ids end to end."""
+    """The frequent words for the tasks, and their ids by code. Code 0 is for all other words."""
 
-    def __init__(self, words: list[str], ids: list[bytes], kind: type):
+    def __init__(self, words: list[str], ids: list[bytes]):
         self.words, self.name = words, uuid.uuid4().hex
-        self.kind, size = kind, np.dtype(kind).itemsize
-        self.flat = np.frombuffer(b"".join(ids), kind)
-        self.lens = np.array([0] + [len(x) // size for x in ids], np.int64)  # code 0: none
-        self.starts = np.concatenate(([0], np.cumsum(self.lens)[:-1]))
+        self.ids = np.array([b"", *ids, None], dtype=object)[:-1]
 
 
 _codes: tuple[str, dict[str, int]] = ("", {})
@@ -71,24 +71,31 @@ def codes_of(head: Broadcast) -> dict[str, int]:
     return _codes[1]
 
 
+def piece_table(tokenizer: str) -> np.ndarray:
+    """Pieces by id, for tokenizers whose decoding puts a space between pieces."""
+    tok = load(tokenizer)
+    if json.loads(tok.to_str())["decoder"]:
+        raise ValueError(f"{tokenizer} has a decoder of its own")
+    return np.array([tok.id_to_token(i) or "" for i in range(tok.get_vocab_size(with_added_tokens=True))], dtype=object)
+
+
 def id_kind(tokenizer: str) -> type:
     return np.uint16 if load(tokenizer).get_vocab_size(with_added_tokens=True) <= 1 << 16 else np.uint32
 
 
-def encoder(tokenizer: str, kind: type) -> Callable:
-    """A column function: word to its ids as bytes."""
+def encoder(tokenizer: str, kind: type) -> Callable[[list[str]], list[bytes]]:
+    """Words to their ids as bytes; the tokenizer is loaded by the first call in each worker."""
     state: list = []
 
-    @F.pandas_udf("binary")
-    def encode_words(words: pd.Series) -> pd.Series:
+    def encode_words(words: list[str]) -> list[bytes]:
         tok = state[0] if state else (state.append(load(tokenizer)) or state[0])
-        return pd.Series([np.array(e.ids, kind).tobytes() for e in tok.encode_batch_fast(list(words), add_special_tokens=False)], dtype=object)
+        return [np.array(e.ids, kind).tobytes() for e in tok.encode_batch_fast(words, add_special_tokens=False)]
 
     return encode_words
 
 
 def frequent_words(docs: DataFrame, tokenizer: str, most: int, kind: type) -> Vocabulary:
-    """The head of the word table. A task reports words that are one in four million of its words, two at least; which words these are has no bearing on any result."""
+    """The head of the word table, of all texts of `docs` (text). A task reports words that are one in two million of its words, two at least; which words these are has no bearing on any result."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter = Counter()
@@ -97,14 +104,22 @@ def frequent_words(docs: DataFrame, tokenizer: str, most: int, kind: type) -> Vo
                 seen.update(words_of(text))
             if len(seen) > 1_000_000:
                 seen = Counter({w: n for w, n in seen.items() if n > 1})
-        least = max(2, seen.total() // 4_000_000)
-        kept = [(w, n) for w, n in seen.items() if n >= least and len(w) <= HEAD_CHARS]
+        total = seen.total()
+        few, many = max(2, total // 2_000_000), max(2, total // COMMON)
+        kept = [(w, n) for w, n in seen.items() if n >= few and len(w) <= HEAD_CHARS or n >= many and len(w) <= LONG_CHARS]
         yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in kept], pa.string()), pa.array([n for _, n in kept], pa.int64())], names=["word", "n"])
 
-    counted = docs.select("text").mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    top = counted.orderBy(F.desc("n"), "word").limit(most)
-    rows = top.repartition(max(1, most // 16_384)).select("word", "n", encoder(tokenizer, kind)("word").alias("ids")).toArrow().sort_by([("n", "descending"), ("word", "ascending")])
-    return Vocabulary(rows.column("word").to_pylist(), rows.column("ids").to_pylist(), kind)
+    counted = common.saved(docs.select("text").mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")), "word-counts")
+    total = counted.agg(F.sum("n")).first()[0] or 0
+    top = counted.where((F.length("word") <= HEAD_CHARS) | (F.col("n") >= total / COMMON)).orderBy(F.desc("n"), "word").limit(most)
+    of = encoder(tokenizer, kind)
+
+    @F.pandas_udf("binary")
+    def encode_words(words: pd.Series) -> pd.Series:
+        return pd.Series(of(list(words)), dtype=object)
+
+    rows = top.repartition(max(1, most // 16_384)).select("word", "n", encode_words("word").alias("ids")).toArrow().sort_by([("n", "descending"), ("word", "ascending")])
+    return Vocabulary(rows["word"].to_pylist(), rows["ids"].to_pylist())
 
 
 def varints(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -129,14 +144,8 @@ def from_varints(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return codes, ends
 
 
-def gather(flat: np.ndarray, starts: np.ndarray, lens: np.ndarray) -> np.ndarray:
-    """The runs of `flat` that begin at `starts` and have `lens` items, end to end."""
-    total = int(lens.sum())
-    return flat[np.repeat(starts - (np.cumsum(lens) - lens), lens) + np.arange(total)]
-
-
 def encoded(docs: DataFrame, finish: Callable, schema: str, tokenizer: str = TOKENIZER, head_words: int = HEAD) -> DataFrame:
-    """For each row of `docs` (doc_id, text; null: empty): doc_id and what `finish` makes of the ids of a few hundred documents (a list of arrays), as columns of `schema`.
+    """For each row of `docs` (doc_id, text; null: empty): doc_id and what `finish` makes of the ids of the words of a few hundred documents (for each a list of bytes), as columns of `schema`.
 
     Rows that share doc_id and text are each encoded. A null doc_id stays null.
     """
@@ -144,6 +153,8 @@ def encoded(docs: DataFrame, finish: Callable, schema: str, tokenizer: str = TOK
     # k and h tell documents apart; neither is null
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     docs = docs.withColumns({"k": F.coalesce("doc_id", F.lit(-1)), "h": F.xxhash64(F.col("doc_id").isNull(), "doc_id", "text")})
+    if not docs.groupBy("k").agg(F.min("h").alias("a"), F.max("h").alias("b")).where("a <> b").limit(1).count():
+        docs = docs.withColumn("h", F.lit(0).cast("long"))  # k does alone, and shuffled rows are shorter
     kind = id_kind(tokenizer)
     head = spark.sparkContext.broadcast(frequent_words(docs, tokenizer, head_words, kind))
 
@@ -152,91 +163,108 @@ def encoded(docs: DataFrame, finish: Callable, schema: str, tokenizer: str = TOK
         for b in batches:
             rows, at, words = [], [], []
             for i, text in enumerate(b.column("text").to_pylist()):
-                for pos, w in enumerate(words_of(text)):
-                    if w not in known:
-                        rows.append(i)
-                        at.append(pos)
-                        words.append(w)
-            yield pa.RecordBatch.from_arrays([b.column("k").take(pa.array(rows, pa.int64())), b.column("h").take(pa.array(rows, pa.int64())), pa.array(at, pa.int32()), pa.array(words, pa.string())], names=["k", "h", "pos", "word"])
+                own = [w for w in words_of(text) if w not in known]
+                rows += repeat(i, len(own))
+                at += range(len(own))
+                words += own
+            index = pa.array(rows, pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column("k").take(index), b.column("h").take(index), pa.array(at, pa.int32()), pa.array(words, pa.string())], names=["k", "h", "at", "word"])
 
     def codes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = codes_of(head)
         for b in batches:
             out = []
-            for text in b.column("text").to_pylist():
-                words = words_of(text)
-                out.append(varints(np.fromiter(map(known.get, words, repeat(0)), np.int64, len(words)))[0].tobytes())
+            for i in range(0, b.num_rows, 256):
+                texts = [words_of(t) for t in b.column("text").slice(i, 256).to_pylist()]
+                cuts = np.cumsum([0, *map(len, texts)])
+                data, lens = varints(np.fromiter((known.get(w, 0) for ws in texts for w in ws), np.int64, cuts[-1]))
+                data, cuts = data.tobytes(), np.concatenate(([0], np.cumsum(lens)))[cuts]
+                out += [data[i:j] for i, j in zip(cuts, cuts[1:])]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("k"), b.column("h"), pa.array(out, pa.binary())], names=["doc_id", "k", "h", "codes"])
 
-    tail = docs.select("k", "h", "text").mapInArrow(rare, "k long, h long, pos int, word string")
-    word_table = tail.select("word").distinct().withColumn("ids", encoder(tokenizer, kind)("word"))
-    placed = tail.join(word_table.hint("merge"), "word").select("k", "h", "pos", "ids").repartition("k", "h")
-    by_doc = placed.groupBy("k", "h").agg(F.collect_list(F.struct("pos", "ids")).alias("rare"))
-    coded = docs.mapInArrow(codes, "doc_id long, k long, h long, codes binary").repartition("k", "h")
-    joined = coded.join(by_doc.hint("merge"), ["k", "h"], "left").select("doc_id", "codes", F.col("rare.pos").alias("pos"), F.col("rare.ids").alias("ids"))
+    of = encoder(tokenizer, kind)
+
+    def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Ids for occurrences that are sorted by word: the ids of a word serve all of its rows."""
+        last: tuple[str | None, bytes] = (None, b"")
+        for b in batches:
+            runs = pc.run_end_encode(b.column("word"))
+            words, ends = runs.values.to_pylist(), runs.run_ends.to_numpy()
+            ids = ([last[1]] if words[0] == last[0] else of(words[:1])) + of(words[1:]) if words else []
+            last = (words[-1], ids[-1]) if words else last
+            index = np.repeat(np.arange(len(words)), np.diff(ends, prepend=0))
+            yield pa.RecordBatch.from_arrays([b.column("k"), b.column("h"), b.column("at"), pa.array(ids, pa.binary()).take(pa.array(index))], names=["k", "h", "at", "ids"])
+
+    tail = docs.select("k", "h", "text").mapInArrow(rare, "k long, h long, at int, word string")
+    salt = F.when(F.length("word") > LONG_CHARS, F.pmod("h", F.lit(16))).otherwise(F.lit(0))  # longer words may be common and outside the head
+    placed = tail.repartition("word", salt).sortWithinPartitions("word").mapInArrow(once, "k long, h long, at int, ids binary")
+    by_doc = placed.groupBy("k", "h").agg(F.collect_list(F.struct("at", "ids")).alias("rare"))
+    joined = docs.mapInArrow(codes, "doc_id long, k long, h long, codes binary").join(by_doc.hint("merge"), ["k", "h"], "left").select("doc_id", "codes", F.col("rare.at").alias("at"), F.col("rare.ids").alias("ids"))
 
     def together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v = head.value
+        known = head.value.ids
         for batch in batches:
             for i in range(0, batch.num_rows, 256):
-                b = batch.slice(i, 256)
-                raw = b.column("codes").to_pylist()
-                code, ends = from_varints(np.frombuffer(b"".join(raw), np.uint8))
-                last = np.searchsorted(ends, np.cumsum([len(x) for x in raw]), side="left")  # words up to each document's end
-                first = np.concatenate(([0], last[:-1]))
-                pos, ids = b.column("pos").to_pylist(), [x for own in b.column("ids").to_pylist() for x in own or ()]
-                at = np.array([first[j] + p for j, own in enumerate(pos) for p in own or ()], np.int64)
-                rare_lens = np.array([len(x) // v.flat.itemsize for x in ids], np.int64)
-                starts, lens = v.starts[code], v.lens[code]
-                lens[at] = rare_lens
-                starts[at] = len(v.flat) + np.cumsum(rare_lens) - rare_lens
-                flat = np.concatenate((v.flat, np.frombuffer(b"".join(ids), v.kind))) if ids else v.flat
-                whole = gather(flat, starts, lens)
-                cuts = np.concatenate(([0], np.cumsum(lens)))[last]
-                yield pa.RecordBatch.from_arrays([b.column("doc_id"), *finish(np.split(whole, cuts[:-1]))], names=["doc_id", *(x.split()[0] for x in schema.split(", "))])
+                b, texts = batch.slice(i, 256), []
+                raw, rare_at, rare_ids = (b.column(c).to_pylist() for c in ("codes", "at", "ids"))
+                codes, ends = from_varints(np.frombuffer(b"".join(raw), np.uint8))
+                cuts = np.searchsorted(ends, np.cumsum([len(x) for x in raw]), side="left")[:-1]
+                for own_codes, at, ids in zip(np.split(codes, cuts), rare_at, rare_ids):
+                    words = known[own_codes]
+                    if at:
+                        places = np.flatnonzero(own_codes == 0)
+                        own = np.empty(len(places), dtype=object)
+                        own[np.array(at)] = np.array([*ids, None], dtype=object)[:-1]
+                        words[places] = own
+                    texts.append(words.tolist())
+                yield pa.RecordBatch.from_arrays([b.column("doc_id"), *finish(texts)], names=["doc_id", *(x.split()[0] for x in schema.split(", "))])
 
     return joined.mapInArrow(together, f"doc_id long, {schema}")
 
 
 def encode(docs: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
     """doc_id and ids (array of int) of each row of `docs`."""
-    return encoded(docs, lambda ids: [pa.array([x.astype(np.int32) for x in ids], pa.list_(pa.int32()))], "ids array<int>", tokenizer)
+    kind = id_kind(tokenizer)
+    return encoded(docs, lambda texts: [pa.array([np.frombuffer(b"".join(x), kind).astype(np.int32) for x in texts], pa.list_(pa.int32()))], "ids array<int>", tokenizer)
 
 
-def piece_table(tokenizer: str) -> np.ndarray:
-    """Pieces by id, for tokenizers whose decoding puts a space between pieces."""
-    tok = load(tokenizer)
-    if json.loads(tok.to_str())["decoder"]:
-        raise ValueError(f"{tokenizer} has a decoder of its own")
-    return np.array([tok.id_to_token(i) or "" for i in range(tok.get_vocab_size(with_added_tokens=True))], dtype=object)
+def pieces(spark: SparkSession, tokenizer: str = TOKENIZER) -> DataFrame:
+    """id, piece: the tokenizer's vocabulary."""
+    return spark.createDataFrame([(i, p) for i, p in enumerate(piece_table(tokenizer).tolist())], "id int, piece string")
 
 
 def decode(rows: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
-    """doc_id and text (the decoded ids; null ids: empty) of `rows` (doc_id, ids)."""
-
-    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = None
-        for b in batches:
-            pieces = piece_table(tokenizer) if pieces is None else pieces
-            texts = [" ".join(pieces[x]) if x else "" for x in b.column("ids").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(texts, pa.string())], names=["doc_id", "text"])
+    """doc_id and text of `rows` (doc_id, ids): the ids joined with their pieces and put together by position. Null ids, and an empty list, give an empty text; ids outside the vocabulary give nothing. Rows may repeat."""
+    rows = common.saved(rows.select("doc_id", "ids"), "ids").withColumn("row", F.monotonically_increasing_id())  # numbered as they lie on disk
+    placed = rows.select("row", F.posexplode("ids").alias("at", "id")).join(F.broadcast(pieces(rows.sparkSession, tokenizer)), "id")
+    texts = placed.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("at", "piece"))).alias("found")).select("row", F.array_join("found.piece", " ").alias("text"))
+    return rows.join(texts.hint("merge"), "row", "left").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
 
-    return rows.select("doc_id", "ids").mapInArrow(join, "doc_id long, text string")
 
+def digests(docs: DataFrame, tokenizer: str = TOKENIZER, head_words: int = HEAD) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256 and decoded_sha256 for each row of `docs`: encode and decode without moving the ids again."""
+    kind = id_kind(tokenizer)
+    tables: list = []
 
-def digests(docs: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256 and decoded_sha256: encode and decode without moving the ids again."""
-    tables: list[np.ndarray] = []
-
-    def finish(ids: list[np.ndarray]) -> list[pa.Array]:
+    def finish(texts: list[list[bytes]]) -> list[pa.Array]:
         if not tables:
-            pieces = piece_table(tokenizer)
-            tables.extend([pieces, np.array([str(i) for i in range(len(pieces))], dtype=object)])
-        pieces, numbers = tables
-        sha = lambda table, x: hashlib.sha256(" ".join(table[x]).encode()).hexdigest()
-        return [pa.array([len(x) for x in ids], pa.int64()), pa.array([sha(numbers, x) for x in ids], pa.string()), pa.array([sha(pieces, x) for x in ids], pa.string())]
-
-    return encoded(docs, finish, "n_tokens long, ids_sha256 string, decoded_sha256 string", tokenizer)
+            by_id = piece_table(tokenizer)
+            tables.extend([by_id, np.array([str(i) for i in range(len(by_id))], dtype=object), {}])
+        by_id, numbers, known = tables
+        if len(known) > 400_000:
+            known.clear()
+        out = []
+        for words in texts:
+            new = [w for w in set(words) if w not in known]
+            for w in new:
+                ids = np.frombuffer(w, kind)
+                known[w] = (len(ids), " ".join(numbers[ids]), " ".join(by_id[ids]))
+            found = [known[w] for w in words if w]
+            n, ids_text, text = zip(*found) if found else ((), (), ())
+            out.append((sum(n), *(hashlib.sha256(" ".join(x).encode()).hexdigest() for x in (ids_text, text))))
+        return [pa.array(x, t) for x, t in zip(zip(*out), (pa.int64(), pa.string(), pa.string()))]
+
+    return encoded(docs, finish, "n_tokens long, ids_sha256 string, decoded_sha256 string", tokenizer, head_words)
 
 
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
