@@ -21,7 +21,7 @@ import re
 import uuid
 from collections import Counter
 from collections.abc import Callable, Iterator
-from itertools import repeat
+from itertools import chain, repeat
 
 import numpy as np
 import pandas as pd
@@ -47,7 +47,7 @@ def words_of(text: str | None) -> list[str]:
     """The text's words, as keys of the table. Lower case where that can't change the ids: below U+0300 normalisation composes nothing, and no special token may be near."""
     if not text:
         return []
-    if "<|" not in text and not _HIGH.search(text):
+    if "<|" not in text and (text.isascii() or not _HIGH.search(text)):
         text = text.lower()
     return [w for w in _SPACE.split(text) if w] if _SEPARATORS.search(text) else text.split()
 
@@ -57,7 +57,7 @@ class Vocabulary:
 
     def __init__(self, words: list[str], ids: list[bytes]):
         self.words, self.name = words, uuid.uuid4().hex
-        self.ids = np.array([b"", *ids, None], dtype=object)[:-1]
+        self.ids = objects([b"", *ids])
 
 
 _codes: tuple[str, dict[str, int]] = ("", {})
@@ -145,7 +145,8 @@ def from_varints(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def encoded(docs: DataFrame, finish: Callable, schema: str, tokenizer: str = TOKENIZER, head_words: int = HEAD) -> DataFrame:
-    """For each row of `docs` (doc_id, text; null: empty): doc_id and what `finish` makes of the ids of the words of a few hundred documents (for each a list of bytes), as columns of `schema`.
+    """For each row of `docs` (doc_id, text; null: empty): doc_id and what `finish` makes of a few hundred documents, as columns of `schema`. It gets the head, the codes of
+    all their words, where each document starts (and the last ends) in them, and where the rare words are with their ids.
 
     Rows that share doc_id and text are each encoded. A null doc_id stays null.
     """
@@ -177,7 +178,7 @@ def encoded(docs: DataFrame, finish: Callable, schema: str, tokenizer: str = TOK
             for i in range(0, b.num_rows, 256):
                 texts = [words_of(t) for t in b.column("text").slice(i, 256).to_pylist()]
                 cuts = np.cumsum([0, *map(len, texts)])
-                data, lens = varints(np.fromiter((known.get(w, 0) for ws in texts for w in ws), np.int64, cuts[-1]))
+                data, lens = varints(np.fromiter(map(known.get, chain.from_iterable(texts), repeat(0)), np.int64, cuts[-1]))
                 data, cuts = data.tobytes(), np.concatenate(([0], np.cumsum(lens)))[cuts]
                 out += [data[i:j] for i, j in zip(cuts, cuts[1:])]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("k"), b.column("h"), pa.array(out, pa.binary())], names=["doc_id", "k", "h", "codes"])
@@ -202,30 +203,37 @@ def encoded(docs: DataFrame, finish: Callable, schema: str, tokenizer: str = TOK
     joined = docs.mapInArrow(codes, "doc_id long, k long, h long, codes binary").join(by_doc.hint("merge"), ["k", "h"], "left").select("doc_id", "codes", F.col("rare.at").alias("at"), F.col("rare.ids").alias("ids"))
 
     def together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = head.value.ids
         for batch in batches:
             for i in range(0, batch.num_rows, 256):
-                b, texts = batch.slice(i, 256), []
+                b = batch.slice(i, 256)
                 raw, rare_at, rare_ids = (b.column(c).to_pylist() for c in ("codes", "at", "ids"))
                 codes, ends = from_varints(np.frombuffer(b"".join(raw), np.uint8))
-                cuts = np.searchsorted(ends, np.cumsum([len(x) for x in raw]), side="left")[:-1]
-                for own_codes, at, ids in zip(np.split(codes, cuts), rare_at, rare_ids):
-                    words = known[own_codes]
-                    if at:
-                        places = np.flatnonzero(own_codes == 0)
-                        own = np.empty(len(places), dtype=object)
-                        own[np.array(at)] = np.array([*ids, None], dtype=object)[:-1]
-                        words[places] = own
-                    texts.append(words.tolist())
-                yield pa.RecordBatch.from_arrays([b.column("doc_id"), *finish(texts)], names=["doc_id", *(x.split()[0] for x in schema.split(", "))])
+                cuts = np.concatenate(([0], np.searchsorted(ends, np.cumsum([len(x) for x in raw]), side="left")))
+                places = np.flatnonzero(codes == 0)
+                first = np.searchsorted(places, cuts)
+                own: list[bytes] = [b""] * len(places)
+                for f, at, ids in zip(first, rare_at, rare_ids):
+                    for k, x in zip(at or (), ids or ()):
+                        own[f + k] = x
+                yield pa.RecordBatch.from_arrays([b.column("doc_id"), *finish(head.value, codes, cuts, places, own)], names=["doc_id", *(x.split()[0] for x in schema.split(", "))])
 
     return joined.mapInArrow(together, f"doc_id long, {schema}")
 
 
+def objects(items: list) -> np.ndarray:
+    return np.array([*items, None], dtype=object)[:-1]
+
+
 def encode(docs: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
     """doc_id and ids (array of int) of each row of `docs`."""
     kind = id_kind(tokenizer)
-    return encoded(docs, lambda texts: [pa.array([np.frombuffer(b"".join(x), kind).astype(np.int32) for x in texts], pa.list_(pa.int32()))], "ids array<int>", tokenizer)
+
+    def finish(head: Vocabulary, codes: np.ndarray, cuts: np.ndarray, places: np.ndarray, rare: list[bytes]) -> list[pa.Array]:
+        words = head.ids[codes]
+        words[places] = objects(rare)
+        return [pa.array([np.frombuffer(b"".join(words[i:j]), kind).astype(np.int32) for i, j in zip(cuts, cuts[1:])], pa.list_(pa.int32()))]
+
+    return encoded(docs, finish, "ids array<int>", tokenizer)
 
 
 def pieces(spark: SparkSession, tokenizer: str = TOKENIZER) -> DataFrame:
@@ -241,28 +249,40 @@ def decode(rows: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
     return rows.join(texts.hint("merge"), "row", "left").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
 
 
+def joined_texts(table: pa.Array, index: np.ndarray, cuts: np.ndarray) -> pa.Array:
+    """Entries of a table of texts, put together by spaces from each cut to the next."""
+    return pc.binary_join(pa.LargeListArray.from_arrays(pa.array(cuts, pa.int64()), table.take(pa.array(index))), pa.scalar(" ", pa.large_string()))
+
+
 def digests(docs: DataFrame, tokenizer: str = TOKENIZER, head_words: int = HEAD) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 and decoded_sha256 for each row of `docs`: encode and decode without moving the ids again."""
     kind = id_kind(tokenizer)
     tables: list = []
 
-    def finish(texts: list[list[bytes]]) -> list[pa.Array]:
+    def joined(words: list[bytes], table: pa.Array) -> pa.Array:
+        """For each word the texts of its ids, with spaces between."""
+        lens = np.array([len(w) for w in words], np.int64) // np.dtype(kind).itemsize
+        return joined_texts(table, np.frombuffer(b"".join(words), kind), np.concatenate(([0], np.cumsum(lens))))
+
+    def finish(head: Vocabulary, codes: np.ndarray, cuts: np.ndarray, places: np.ndarray, rare: list[bytes]) -> list[pa.Array]:
+        size = np.dtype(kind).itemsize
         if not tables:
             by_id = piece_table(tokenizer)
-            tables.extend([by_id, np.array([str(i) for i in range(len(by_id))], dtype=object), {}])
-        by_id, numbers, known = tables
-        if len(known) > 400_000:
-            known.clear()
-        out = []
-        for words in texts:
-            new = [w for w in set(words) if w not in known]
-            for w in new:
-                ids = np.frombuffer(w, kind)
-                known[w] = (len(ids), " ".join(numbers[ids]), " ".join(by_id[ids]))
-            found = [known[w] for w in words if w]
-            n, ids_text, text = zip(*found) if found else ((), (), ())
-            out.append((sum(n), *(hashlib.sha256(" ".join(x).encode()).hexdigest() for x in (ids_text, text))))
-        return [pa.array(x, t) for x, t in zip(zip(*out), (pa.int64(), pa.string(), pa.string()))]
+            names = [pa.array(x, pa.large_string()) for x in ([str(i) for i in range(len(by_id))], by_id.tolist())]
+            words = head.ids.tolist()
+            tables.extend([names, np.array([len(w) // size for w in words]), [joined(words, x) for x in names]])
+        names, counts, known = tables
+        index = codes.copy()
+        index[places] = len(counts) + np.arange(len(places))
+        n = np.concatenate((counts, [len(x) // size for x in rare])).astype(np.int64)[index]
+        sums = np.concatenate(([0], np.cumsum(n)))[cuts]
+        if not n.all():  # words without ids leave no space either
+            cuts, index = np.concatenate(([0], np.cumsum(n > 0)))[cuts], index[n > 0]
+        sha = []
+        for name, texts in zip(names, known):
+            whole = joined_texts(pa.concat_arrays([texts, joined(rare, name)]), index, cuts)
+            sha.append(pa.array([hashlib.sha256(x.as_buffer()).hexdigest() for x in whole], pa.string()))
+        return [pa.array(np.diff(sums), pa.int64()), *sha]
 
     return encoded(docs, finish, "n_tokens long, ids_sha256 string, decoded_sha256 string", tokenizer, head_words)
 
