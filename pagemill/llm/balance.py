@@ -10,9 +10,6 @@ from pyspark.sql import functions as F
 
 from pagemill.llm import common
 
-ARC = "arc int, first long, last long, shard int, slot long"
-
-
 def ring(shards: int, nodes: int) -> list[tuple[int, int]]:
     """(place, shard) of each virtual node, ascending by place (0 to 2^63 - 1). More shards leave these nodes where they are."""
     return sorted((int.from_bytes(hashlib.md5(f"{s}:{v}".encode()).digest()[:8], "big") >> 1, s) for s in range(shards) for v in range(nodes))
@@ -26,7 +23,7 @@ def capacities(rows: int, shards: int, slack: float) -> list[int]:
 
 
 def assign(counts: dict[int, int], nodes: list[tuple[int, int]], limits: list[int]) -> list[tuple[int, int, int, int, int]]:
-    """Rows of ARC: which ranks (first to last, in the order of the ring) of each arc go to which shard, and the slot of the first.
+    """Rows (arc, first, last, shard, slot): which ranks (first to last, in the order of the ring) of each arc go to which shard, and the slot of the first.
 
     First every shard takes the rows of its own arcs, in the ring's order, as far as there is room. What is left of an arc
     continues clockwise, arc by arc around the ring, to the next node whose shard has room.
@@ -66,13 +63,17 @@ def shard(rows: DataFrame, shards: int = 16, nodes: int = 64, slack: float = 0.0
     A row's place on the ring is a hash of its doc_id, or of all its columns where that is null. The rows of an arc (between
     two virtual nodes) rank by place, then by their columns; an arc has a small share of the rows whatever the keys are.
     Only the counts of the shards * nodes arcs reach the driver, and as many ranges come back. Rows alike in every column
-    are interchangeable.
+    are interchangeable. Columns of `rows` named shard or slot give way to the new ones; other names don't matter. Nulls
+    are values like any other; an empty table stays empty.
     """
     spark = rows.sparkSession
     on_ring = ring(shards, nodes)
     places = [p for p, _ in on_ring]
-    own = F.when(F.col("doc_id").isNull(), F.xxhash64(*rows.columns)).otherwise(F.xxhash64("doc_id"))
-    spread = rows.withColumn("_place", own.bitwiseAND(F.lit((1 << 63) - 1)))
+    own_columns = [f"c{i}" for i in range(len(rows.columns))]
+    spread = rows.toDF(*own_columns)
+    doc_id = F.col(own_columns[rows.columns.index("doc_id")])
+    own = F.when(doc_id.isNull(), F.xxhash64(*own_columns)).otherwise(F.xxhash64(doc_id))
+    spread = spread.withColumn("_place", own.bitwiseAND(F.lit((1 << 63) - 1)))
 
     @F.pandas_udf("int")
     def arc_of(place):
@@ -83,10 +84,11 @@ def shard(rows: DataFrame, shards: int = 16, nodes: int = 64, slack: float = 0.0
     spread = common.saved(spread.withColumn("_arc", arc_of("_place")), "ring")
     counts = {r["_arc"]: r["count"] for r in spread.groupBy("_arc").count().collect()}
     ranges = assign(counts, on_ring, capacities(sum(counts.values()), shards, slack))
-    table = spark.createDataFrame(ranges, ARC)
-    ranked = spread.withColumn("_rank", F.row_number().over(Window.partitionBy("_arc").orderBy("_place", *rows.columns)).cast("long") - 1)
-    placed = ranked.join(F.broadcast(table), (F.col("_arc") == F.col("arc")) & F.col("_rank").between(F.col("first"), F.col("last")))
-    return placed.select(*rows.columns, "shard", (F.col("slot") + F.col("_rank") - F.col("first")).alias("slot"))
+    table = spark.createDataFrame([(a, f, (last, s, slot)) for a, f, last, s, slot in ranges], "_of long, _first long, _to struct<last:long,shard:int,slot:long>")
+    ranked = spread.withColumn("_rank", F.row_number().over(Window.partitionBy("_arc").orderBy("_place", *own_columns)).cast("long") - 1)
+    placed = ranked.join(F.broadcast(table), (F.col("_arc") == F.col("_of")) & F.col("_rank").between(F.col("_first"), F.col("_to.last")))
+    shown = [F.col(new).alias(old) for new, old in zip(own_columns, rows.columns) if old not in ("shard", "slot")]
+    return placed.select(*shown, F.col("_to.shard").alias("shard"), (F.col("_to.slot") + F.col("_rank") - F.col("_first")).alias("slot"))
 
 
 def arc_of_place(places: list[int], place: int) -> int:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 import re
 import tempfile
 import uuid
@@ -95,30 +94,42 @@ def remove_dir(uri: str) -> None:
 # ---------------------------------------------------------------- range shards
 
 
-def range_bounds(df: DataFrame, key: str, weight: Column, target: int, cells: int = 4096) -> list[int]:
-    """First keys of shards of about `target` weight each, ascending; the same for the same rows, whatever their partitions.
+#: Most shards of a range-sorted output. With more rows, shards grow.
+MAX_SHARDS = 16_384
 
-    A histogram over at most `cells` equal cells of the key range reaches the driver. A cell that outweighs the target is
-    divided again into its own cells, so far-off keys cannot press the others into one shard. Null keys have no part in it.
+
+def range_bounds(df: DataFrame, key: str, weight: Column, target: int, max_shards: int = MAX_SHARDS) -> list[int]:
+    """First keys of shards of about `target` weight each (of more, if there were more than `max_shards`), ascending; the same for the same rows, whatever their partitions.
+
+    The keys' range is divided into cells of equal width, about four for each shard, whose weights reach the driver. A cell
+    that outweighs the target is divided again, between its least and its greatest key, into as many cells as its weight
+    asks for, so far-off keys cannot press the others into one shard: each time at most 6 * max_shards cells come. Null
+    keys have no part in it.
     """
-    slim = df.select(F.col(key).cast("long").alias("k"), weight.cast("long").alias("w")).where("k IS NOT NULL")
-    lo, hi = slim.agg(F.min("k"), F.max("k")).first()
+    slim = saved(df.select(F.col(key).cast("long").alias("k"), weight.cast("long").alias("w")).where("k IS NOT NULL"), "weights")
+    lo, hi, total = slim.agg(F.min("k"), F.max("k"), F.sum("w")).first()
     if lo is None:
         return [0]
-    width = 0
-    while (hi >> width) - (lo >> width) >= cells:
-        width += 1
-    count = lambda rows, s: rows.groupBy(F.shiftright("k", s).alias("c")).agg(F.sum("w").alias("w")).collect()
-    found = [(r.c << width, width, r.w) for r in count(slim, width)]
-    step = cells.bit_length() - 1
-    while heavy := [x for x in found if x[2] > 2 * target and x[1] > 0]:
-        width = heavy[0][1]
-        same = [x for x in heavy if x[1] == width]
-        narrow = max(0, width - step)
-        inside = slim.where(F.shiftright("k", width).isin([x[0] >> width for x in same]))
-        found = [x for x in found if x not in same] + [(r.c << narrow, narrow, r.w) for r in count(inside, narrow)]
+    target = max(target, -(-total // max_shards))
+    found, todo = [], [(lo, hi, total)]
+    while todo:
+        firsts = np.array([x[0] for x in todo], np.int64)
+        lasts = np.array([x[1] for x in todo], np.int64)
+        widths = np.array([max(1, -(-(last - first + 1) // max(2, 4 * w // target))) for first, last, w in todo], np.uint64)
+
+        @F.pandas_udf("string")
+        def cell_of(keys: pd.Series) -> pd.Series:
+            k = keys.to_numpy(np.int64)
+            i = np.maximum(np.searchsorted(firsts, k, side="right") - 1, 0)
+            inside = (k >= firsts[i]) & (k <= lasts[i])
+            cell = (k.view(np.uint64) - firsts[i].view(np.uint64)) // widths[i]
+            return pd.Series([f"{a}:{b}" if ok else None for a, b, ok in zip(i.tolist(), cell.tolist(), inside.tolist())], dtype=object)
+
+        cells = slim.groupBy(cell_of("k").alias("c")).agg(F.min("k").alias("lo"), F.max("k").alias("hi"), F.sum("w").alias("w")).where("c IS NOT NULL").collect()
+        todo = sorted((r.lo, r.hi, r.w) for r in cells if r.w > 2 * target and r.lo < r.hi)
+        found += [(r.lo, r.w) for r in cells if not (r.w > 2 * target and r.lo < r.hi)]
     bounds, filled = [], 0
-    for first, _, w in sorted(found):
+    for first, w in sorted(found):
         if not bounds or filled + w > target and filled:
             bounds.append(first)
             filled = 0
@@ -145,15 +156,17 @@ def in_shards(df: DataFrame, key: str, bounds: list[int], order: list[str], spre
 WRITTEN = "shard int, seq int, temp string, name string, size long, n long, note string"
 
 
-def commit(written: DataFrame, folder: str) -> list[dict]:
+def commit(written: DataFrame, folder: str) -> None:
     """Publish the files that the tasks of `written` (rows of WRITTEN) left under temporary names.
 
     Every attempt of a task writes names of its own and only the attempt that Spark accepts reports them. They move to
-    their final names in a Spark job that may be repeated, then the manifest is written, itself by a rename. Readers open
-    only what the manifest lists; what lost attempts left is removed with the temporary folder.
+    their final names in a Spark job that may be repeated, then the manifest, a Parquet table written by Spark, gets its
+    name by a rename. Readers open only what the manifest lists; what lost attempts left is removed with the temporary
+    folder. Nothing about single files reaches the driver.
     """
     spark = written.sparkSession
-    rows = sorted((r.asDict() for r in written.collect()), key=lambda r: (r["shard"], r["seq"]))
+    written.write.parquet(f"{folder}/_temp/written")
+    files = spark.read.schema(WRITTEN).parquet(f"{folder}/_temp/written")
 
     def publish(batches):
         for pdf in batches:
@@ -163,23 +176,16 @@ def commit(written: DataFrame, folder: str) -> list[dict]:
                     fs.move(filesystem(temp)[1], final)
             yield pdf[["name"]]
 
-    if rows:
-        spark.createDataFrame(rows, WRITTEN).repartition(min(len(rows), 64)).mapInPandas(publish, "name string").count()
-    for r in rows:
-        r.pop("temp")
-    fs, path = filesystem(f"{folder}/manifest.json")
-    fs.create_dir(path.rsplit("/", 1)[0], recursive=True)
-    with fs.open_output_stream(f"{path}.temp") as f:
-        f.write(json.dumps(rows).encode())
-    fs.move(f"{path}.temp", path)
+    files.mapInPandas(publish, "name string").count()
+    files.drop("temp").orderBy("shard", "seq").write.parquet(f"{folder}/_temp/manifest")
+    fs, path = filesystem(folder)
+    fs.move(f"{path}/_temp/manifest", f"{path}/manifest")
     remove_dir(f"{folder}/_temp")
-    return rows
 
 
-def manifest(folder: str) -> list[dict]:
-    fs, path = filesystem(f"{folder}/manifest.json")
-    with fs.open_input_stream(path) as f:
-        return json.loads(f.read())
+def manifest(spark: SparkSession, folder: str) -> DataFrame:
+    """shard, seq, name, size, n (entries), note for each file of `folder`, in the order of shard and seq."""
+    return spark.read.parquet(f"{folder}/manifest")
 
 
 def temp_name(folder: str, name: str) -> str:

@@ -23,8 +23,6 @@ ORDER = 5
 START, STOP = "\x02", "\x03"
 #: Most entries (probabilities and back-off weights) of a model that is broadcast; a larger one of the same order is joined instead.
 MAX_ENTRIES = 12_000_000
-#: Most languages whose discounts are broadcast. A join by language would leave all n-grams of a language in one task for the windows behind it.
-MAX_LANGS = 10_000
 #: Robust standard deviations from a language's median that documents may have, below and above.
 LOWER, UPPER = 3.5, 3.5
 #: Log perplexities, and their deviations times the root of the number of words, count in bins of these widths for the limits.
@@ -75,31 +73,30 @@ def gram_counts(words: DataFrame, order: int) -> list[DataFrame]:
 
 
 def discounts(counts: DataFrame) -> DataFrame:
-    """lang, d1, d2, d3 of one order, by Chen and Goodman's formulas; where a count of counts is missing, 0.5, 1 and 1.5."""
-    n = counts.groupBy("lang").agg(*[F.count_if(F.col("c") == i).cast("double").alias(f"n{i}") for i in (1, 2, 3, 4)])
+    """lang, rows (its n-grams), d1, d2, d3 of one order, by Chen and Goodman's formulas; where a count of counts is missing, 0.5, 1 and 1.5."""
+    n = counts.groupBy("lang").agg(F.count(F.lit(1)).alias("rows"), *[F.count_if(F.col("c") == i).cast("double").alias(f"n{i}") for i in (1, 2, 3, 4)])
     y = F.col("n1") / (F.col("n1") + 2 * F.col("n2"))
     d = [F.when((F.col("n1") > 0) & (F.col(f"n{i}") > 0) & (F.col(f"n{i + 1}") > 0), F.greatest(F.lit(0.05), F.least(F.lit(i - 0.05), i - (i + 1) * y * F.col(f"n{i + 1}") / F.col(f"n{i}")))).otherwise(0.5 * i).alias(f"d{i}") for i in (1, 2, 3)]
-    return n.select("lang", *d)
+    return n.select("lang", "rows", *d)
 
 
 def smoothed(counts: list[DataFrame]) -> list[DataFrame]:
     """For each order: lang, gram, p (interpolated probability of the last character after the others), context, gamma (the context's weight of the lower order)."""
     found: list[DataFrame] = []
     for n, rows in enumerate(counts, 1):
-        d = common.saved(discounts(rows), "discounts")  # a row for each language
-        rows = rows.join(d.hint("broadcast" if d.count() <= MAX_LANGS else "merge"), "lang")
+        rows = common.join_facts(rows, common.saved(discounts(rows), "discounts"), "lang", "rows")
         c = F.col("c")
         discount = F.when(c == 1, F.col("d1")).when(c == 2, F.col("d2")).otherwise(F.col("d3"))
-        rows = rows.select("lang", "gram", c.cast("double").alias("c"), discount.alias("d"), F.expr(f"substring(gram, 1, {n - 1})").alias("context"))
+        rows = rows.select("lang", "gram", c.cast("double").alias("c"), discount.alias("d"), F.expr(f"substring(gram, 1, {n - 1})").alias("context"), c.alias("n"))
         near = Window.partitionBy("lang", "context")
         total = F.sum("c").over(near)
-        rows = rows.select("lang", "gram", "context", ((F.col("c") - F.col("d")) / total).alias("own"), (F.sum("d").over(near) / total).alias("gamma"), F.count(F.lit(1)).over(near).alias("kinds"))
+        rows = rows.select("lang", "gram", "context", "n", ((F.col("c") - F.col("d")) / total).alias("own"), (F.sum("d").over(near) / total).alias("gamma"), F.count(F.lit(1)).over(near).alias("kinds"))
         if n == 1:
             rows = rows.withColumn("p", F.col("own") + F.col("gamma") / (F.col("kinds") + 1))
         else:
             lower = found[-1].select("lang", F.col("gram").alias("shorter"), F.col("p").alias("q"))
             rows = rows.withColumn("shorter", F.expr(f"substring(gram, 2, {n - 1})")).join(lower, ["lang", "shorter"]).withColumn("p", F.col("own") + F.col("gamma") * F.col("q"))
-        found.append(common.saved(rows.select("lang", "gram", "p", "context", "gamma", "kinds"), "smoothed"))
+        found.append(common.saved(rows.select("lang", "gram", "p", "context", "gamma", "kinds", F.col("n").alias("c")), "smoothed"))
     return found
 
 
@@ -266,13 +263,14 @@ def measured_by_join(docs: DataFrame, words: DataFrame, tables: list[DataFrame])
     order = len(tables)
     key = lambda *names: F.xxhash64(*names)
     used = [t.where(F.length("gram") == order) if n == order else t.where(F.col("gram").startswith(START)) for n, t in enumerate(tables, 1)]
-    facts = used[0].select("lang", "gram", "p")
+    facts = used[0].select("lang", "gram", "p", "c")
     for t in used[1:]:
-        facts = facts.unionByName(t.select("lang", "gram", "p"))
+        facts = facts.unionByName(t.select("lang", "gram", "p", "c"))
     facts = facts.groupBy(key("lang", "gram").alias("key")).agg(F.max(F.log("p").cast("float")).cast("double").alias("log_p"), F.max("c").alias("c"))
     grams = words.select(key("lang", "word").alias("word_key"), F.col("lang"), F.explode(grams_of("word", order)).alias("gram"))
-    by_gram = common.join_facts(common.saved(grams.select("word_key", key("lang", "gram").alias("key")), "word-grams"), common.saved(facts, "log-p"), "key")
-    scores = common.saved(by_gram.groupBy("word_key").agg(F.sum("log_p").alias("log_p")), "word-scores")
+    by_gram = common.join_facts(grams.select("word_key", key("lang", "gram").alias("key")), common.saved(facts, "log-p"), "key", "c")
+    docs_of = words.groupBy(key("lang", "word").alias("word_key")).agg(F.sum("n").alias("c"))
+    scores = common.saved(by_gram.groupBy("word_key").agg(F.sum("log_p").alias("log_p")).join(docs_of, "word_key"), "word-scores")
 
     rows = common.saved(docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("lang", F.lit("")).alias("lang"), F.coalesce("text", F.lit("")).alias("text")), "rows")
     rules = measured(rows.select(F.col("row").alias("doc_id"), "lang", "text"), None).withColumnRenamed("doc_id", "row").drop("log_ppl")
@@ -286,25 +284,25 @@ def measured_by_join(docs: DataFrame, words: DataFrame, tables: list[DataFrame])
 
     counted = rows.select("row", "lang", "text").mapInArrow(count, "row long, lang string, word string, n long")
     counted = common.saved(counted.select("row", "n", key("lang", "word").alias("word_key")), "row-words")
-    logs = common.join_facts(counted, scores, "word_key").groupBy("row").agg(F.sum(F.col("n") * F.col("log_p")).alias("log_p"))
+    logs = common.join_facts(counted, scores, "word_key", "c").groupBy("row").agg(F.sum(F.col("n") * F.col("log_p")).alias("log_p"))
     whole = rules.join(logs, "row", "left").join(rows.select("row", "doc_id"), "row")
     ratio = -F.col("log_p") / (F.col("word_chars") + F.col("n_words"))
     return whole.withColumn("log_ppl", F.when(F.col("n_words") > 0, ratio)).select("doc_id", "lang", *(x.split()[0] for x in RULES.split(", ")))
 
 
 def quantiles(rows: DataFrame, value: Column, width: float, **levels: float) -> DataFrame:
-    """lang and a column for each of `levels`, from counts of bins: all rows count, and their order and partitions don't matter."""
+    """lang, rows and a column for each of `levels`, from counts of bins: all rows count, and their order and partitions don't matter."""
     bins = rows.where("log_ppl IS NOT NULL").groupBy("lang", F.floor(value / width).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
     every = Window.partitionBy("lang")
     placed = bins.withColumns({"up_to": F.sum("n").over(every.orderBy("bin")), "all": F.sum("n").over(every)})
-    return placed.groupBy("lang").agg(*[(F.min(F.when(F.col("up_to") >= q * F.col("all"), F.col("bin"))) * width).alias(name) for name, q in levels.items()])
+    return placed.groupBy("lang").agg(F.max("all").alias("rows"), *[(F.min(F.when(F.col("up_to") >= q * F.col("all"), F.col("bin"))) * width).alias(name) for name, q in levels.items()])
 
 
 def bands(rows: DataFrame, lower: float = LOWER, upper: float = UPPER) -> DataFrame:
-    """lang, middle, below, above: a document of n words may have a log_ppl from middle - below / sqrt(n) to middle + above / sqrt(n). The spread is the quartiles' distance over 0.6745, at least 0.1."""
+    """lang, rows, middle, below, above: a document of n words may have a log_ppl from middle - below / sqrt(n) to middle + above / sqrt(n). The spread is the quartiles' distance over 0.6745, at least 0.1."""
     middle = common.saved(quantiles(rows, F.col("log_ppl"), BIN, middle=0.5), "middle")
     deviation = (F.col("log_ppl") - F.col("middle")) * F.sqrt("n_words")
-    q = quantiles(rows.join(middle, "lang"), deviation, DEVIATION_BIN, q1=0.25, q3=0.75)
+    q = quantiles(common.join_facts(rows.where("log_ppl IS NOT NULL"), middle, "lang", "rows"), deviation, DEVIATION_BIN, q1=0.25, q3=0.75)
     spread = lambda x: F.greatest(x / 0.6745, F.lit(0.1))
     return middle.join(q.select("lang", (lower * spread(-F.col("q1"))).alias("below"), (upper * spread(F.col("q3"))).alias("above")), "lang")
 
@@ -319,7 +317,8 @@ def judged(docs: DataFrame, max_entries: int = MAX_ENTRIES) -> DataFrame:
     tables = smoothed(gram_counts(words, ORDER))
     small = sum(t.count() for t in tables) <= max_entries // 2
     rows = common.saved(measured(docs, gathered(tables)) if small else measured_by_join(docs, words, tables), "measured")
-    limited = rows.join(bands(rows), "lang", "left")
+    unscored = [F.lit(None).cast("double").alias(c) for c in ("middle", "below", "above")]
+    limited = common.join_facts(rows.where("log_ppl IS NOT NULL"), common.saved(bands(rows), "bands"), "lang", "rows").drop("rows").unionByName(rows.where("log_ppl IS NULL").select("*", *unscored))
     deviation = (F.col("log_ppl") - F.col("middle")) * F.sqrt("n_words")
     inside = F.coalesce(deviation.between(-F.col("below"), F.col("above")), F.lit(False))
     return limited.select("doc_id", *(x.split()[0] for x in RULES.split(", ")), base_failed().alias("base_failed"), (~base_failed() & inside).alias("kept"))

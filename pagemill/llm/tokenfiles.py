@@ -18,7 +18,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pagemill.llm import common
@@ -149,8 +149,8 @@ def read_file(uri: str) -> Iterator[tuple[int | None, np.ndarray]]:
             have = whole[counts[i] :]
 
 
-def write(docs: DataFrame, folder: str, tokenizer: str = "byte_bpe_50k.json", end_id: int | None = 0, shard_bytes: int = 24 << 20) -> list[dict]:
-    """Encode the texts of `docs` (doc_id, text; null: empty), append `end_id` to each and write shard files to `folder`, a shared folder. Returns the manifest.
+def write(docs: DataFrame, folder: str, tokenizer: str = "byte_bpe_50k.json", end_id: int | None = 0, shard_bytes: int = 24 << 20) -> None:
+    """Encode the texts of `docs` (doc_id, text; null: empty), append `end_id` to each and write shard files to `folder`, a shared folder.
 
     Shards hold about `shard_bytes` of UTF-8 text and cover ascending ranges of doc_id; rows that share a doc_id stand by
     their texts, rows without one come last. The files are the same for the same rows.
@@ -181,16 +181,13 @@ def write(docs: DataFrame, folder: str, tokenizer: str = "byte_bpe_50k.json", en
         if found:
             yield pa.RecordBatch.from_pylist(found, pa.schema([("shard", pa.int32()), ("seq", pa.int32()), ("temp", pa.string()), ("name", pa.string()), ("size", pa.int64()), ("n", pa.int64()), ("note", pa.string())]))
 
-    return common.commit(rows.mapInArrow(put, common.WRITTEN), folder)
+    common.commit(rows.mapInArrow(put, common.WRITTEN), folder)
 
 
 def read(spark: SparkSession, folder: str) -> DataFrame:
     """The files of `folder`, a task each: doc_id, start (ids of all documents before it), n_tokens and ids_crc32 (of the ids as little-endian unsigned 32-bit integers)."""
-    files, before = [], 0
-    for r in common.manifest(folder):
-        files.append((f"{folder}/{r['name']}", before))
-        before += r["n"]
-    listed = spark.createDataFrame(files, "path string, before long")
+    order = Window.orderBy("shard", "seq").rowsBetween(Window.unboundedPreceding, -1)  # a file for each shard: 2 * MAX_SHARDS rows at most
+    listed = common.manifest(spark, folder).select(F.concat(F.lit(f"{folder}/"), "name").alias("path"), F.coalesce(F.sum("n").over(order), F.lit(0)).alias("before"))
 
     def get(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -205,7 +202,7 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
                 yield _frame(rows)
 
     schema = "doc_id long, start long, n_tokens long, ids_crc32 long"
-    return listed.repartition(max(1, len(files)), "path").mapInPandas(get, schema) if files else spark.createDataFrame([], schema)
+    return listed.repartition(max(1, listed.count()), "path").mapInPandas(get, schema)
 
 
 def _frame(rows: list[tuple]) -> pd.DataFrame:

@@ -48,11 +48,11 @@ def sample(labels: DataFrame, max_rows: int) -> DataFrame:
     return one_each.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
 
 
-def train(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, max_features: int = 3_000, min_docs: int = 3, smoothing: float = 1.0) -> Model:
+def train(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, min_docs: int = 3, least_z: float = 4.0, smoothing: float = 1.0) -> Model:
     """A model from the texts of a sample of at most `max_rows` labelled documents, which bounds what is broadcast and what the driver gets.
 
-    n-grams in fewer than `min_docs` of them don't count; of the others the `max_features` with the surest log-count ratios
-    stay. Without labelled rows, or with one class only, the score is the smoothed share of toxic rows.
+    n-grams in fewer than `min_docs` of them don't count, nor those whose log-count ratio is less than `least_z` times its
+    standard error away from 0: these say nothing about the label. There is no cap on the others. Without labelled rows, or with one class only, the score is the smoothed share of toxic rows.
     """
     rows = docs.select("doc_id", "text").join(F.broadcast(sample(labels, max_rows)), "doc_id").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "toxic")
     rows = common.saved(rows, "labelled")
@@ -88,7 +88,7 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, max_featur
     ratio = F.log((F.col("p") + a) / (pos + 2 * a)) - F.log((F.col("n") + a) / (neg + 2 * a))
     scaled = counted.where(F.col("p") + F.col("n") >= min_docs).withColumn("ratio", ratio)
     sure = F.abs(F.col("ratio")) / F.sqrt(1 / (F.col("p") + a) + 1 / (F.col("n") + a))
-    best = scaled.orderBy(sure.desc(), "gram").limit(max_features).select("gram", "ratio").collect()
+    best = scaled.where(sure >= least_z).orderBy("gram").select("gram", "ratio").collect()
     index = {r.gram: i for i, r in enumerate(best)}
     ratios = np.array([r.ratio for r in best])
 
@@ -176,7 +176,7 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of `docs` that the classifier doesn't call toxic."""
+    """The rows of `docs` that the classifier doesn't call toxic, with all their columns. Each row is judged by its own text, repeated doc_ids and null ones too; an empty table stays empty."""
     return docs.where(scorer(docs.sparkSession, train(docs, labels))(docs["text"]) < THRESHOLD)
 
 

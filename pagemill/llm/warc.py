@@ -79,8 +79,8 @@ def _info(name: str) -> bytes:
     return f"WARC/1.1\r\nWARC-Type: warcinfo\r\nWARC-Record-ID: <urn:uuid:{rid}>\r\nWARC-Date: {DATE}\r\nWARC-Filename: {name}\r\nContent-Type: application/warc-fields\r\nContent-Length: {len(body)}\r\n\r\n".encode() + body + b"\r\n\r\n"
 
 
-def write(pages: DataFrame, folder: str, shard_bytes: int = 16 << 20, roll_bytes: int = 4 << 20, level: int = 4) -> list[dict]:
-    """Write `pages` (page_id, url, html) to WARC files in `folder`, a shared folder, and return the manifest.
+def write(pages: DataFrame, folder: str, shard_bytes: int = 16 << 20, roll_bytes: int = 4 << 20, level: int = 4) -> None:
+    """Write `pages` (page_id, url, html) to WARC files in `folder`, a shared folder.
 
     A shard covers a range of page_ids with about `shard_bytes` of payload; its file closes once it has `roll_bytes`
     compressed. Rows without a page_id come last. Rows with one page_id stand by their digests.
@@ -123,7 +123,7 @@ def write(pages: DataFrame, folder: str, shard_bytes: int = 16 << 20, roll_bytes
         yield pd.DataFrame(found, columns=["shard", "seq", "temp", "name", "size", "n", "note"])
 
     ids = rows.withColumns({c: F.col(c).cast("string") for c in ("page_id", "refers_to")})  # long ids and nulls, exactly
-    return common.commit(ids.mapInPandas(put, common.WRITTEN), folder)
+    common.commit(ids.mapInPandas(put, common.WRITTEN), folder)
 
 
 def _int(x: object) -> int | None:
@@ -161,16 +161,13 @@ def parse(raw: bytes) -> tuple[dict[str, str], bytes]:
 
 
 def read(spark: SparkSession, folder: str, payload: bool = False) -> DataFrame:
-    """Rows of READ (and `payload`, binary, null for revisits, if asked for) from the files in the folder's manifest, a task each.
+    """Rows of READ (and `payload`, binary, null for revisits, if asked for) from the files in the folder's manifest.
 
     A response's size and digest come from its payload as read; a revisit's from its headers.
     """
-    files = [(f"{folder}/{r['name']}", r["size"]) for r in common.manifest(folder)]
+    files = common.manifest(spark, folder).select(F.concat(F.lit(f"{folder}/"), "name").alias("path"))
     schema = READ + (", payload binary" if payload else "")
     names = [x.split()[0] for x in schema.split(", ")]
-    if not files:
-        return spark.createDataFrame([], schema)
-
     def get(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for path in pdf["path"]:
@@ -191,7 +188,7 @@ def read(spark: SparkSession, folder: str, payload: bool = False) -> DataFrame:
                         rows, held = [], 0
                 yield _frame(rows, names)
 
-    return spark.createDataFrame(files, "path string, size long").repartition(len(files), "path").mapInPandas(get, schema)
+    return files.repartition(min(max(1, files.count()), common.MAX_SHARDS), "path").mapInPandas(get, schema)
 
 
 def _frame(rows: list[tuple], names: list[str]) -> pd.DataFrame:

@@ -36,6 +36,10 @@ def none(spark):
     return docs(spark, [])
 
 
+def listed(spark, folder):
+    return [r.asDict() for r in common.manifest(spark, folder).orderBy("shard", "seq").collect()]
+
+
 def pairs(df):
     return [(r.doc_id, r.text or "") for r in df.collect()]
 
@@ -86,9 +90,9 @@ def test_token_files(spark, some, none, tmp_path):
     folders = [f"file://{tmp_path}/{x}" for x in "ab"]
     for f in folders:
         tokenfiles.write(some, f, shard_bytes=4000)
-    assert [(r["name"], r["size"]) for r in common.manifest(folders[0])] == [(r["name"], r["size"]) for r in common.manifest(folders[1])]
-    assert len(common.manifest(folders[0])) > 3
-    assert all((tmp_path / "a" / r["name"]).read_bytes() == (tmp_path / "b" / r["name"]).read_bytes() for r in common.manifest(folders[0]))
+    assert [(r["name"], r["size"]) for r in listed(spark, folders[0])] == [(r["name"], r["size"]) for r in listed(spark, folders[1])]
+    assert len(listed(spark, folders[0])) > 3
+    assert all((tmp_path / "a" / r["name"]).read_bytes() == (tmp_path / "b" / r["name"]).read_bytes() for r in listed(spark, folders[0]))
     assert not (tmp_path / "a" / "_temp").exists()
     rows = sorted(tokenfiles.read(spark, folders[0]).collect(), key=lambda r: r.start)
     ids = {t: np.array(tok.encode(t, add_special_tokens=False).ids + [0], "<u4") for _, t in pairs(some)}
@@ -130,7 +134,7 @@ def test_hot_keys_meet_their_facts(spark):
 def test_range_bounds_divide_far_apart_keys(spark):
     keys = [*range(1000), 1 << 62, -(1 << 62)]
     df = spark.createDataFrame([(k,) for k in keys], "k long")
-    bounds = common.range_bounds(df, "k", __import__("pyspark.sql.functions", fromlist=["lit"]).lit(1), 100, cells=16)
+    bounds = common.range_bounds(df, "k", __import__("pyspark.sql.functions", fromlist=["lit"]).lit(1), 100)
     per = Counter(np.searchsorted(bounds, keys, side="right").tolist())
     assert max(per.values()) <= 200 and len(bounds) >= 8
 
@@ -207,6 +211,35 @@ def test_ring_equals_brute_force(spark, n, shards):
     assert found == want
 
 
+def test_ring_on_odd_rows(spark, some, none):
+    rows = balance.shard(some, 4).collect()
+    assert Counter((r.doc_id, r.text) for r in rows) == Counter((r.doc_id, r.text) for r in some.collect())
+    counts = Counter(r["shard"] for r in rows)
+    assert max(counts.values()) - min(counts.values()) <= 1
+    assert all(sorted(r.slot for r in rows if r["shard"] == s) == list(range(n)) for s, n in counts.items())
+    assert balance.shard(none, 4).count() == 0
+
+
+def test_ratios_equal_their_definition(spark):
+    texts = ["the vile scum", "a vile day", "the good day", "good vile scum", "the end", "a good end"]
+    toxic = [1, 1, 0, 1, 0, 0]
+    df = spark.createDataFrame([(4 * i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    labels = spark.createDataFrame([(4 * i, y) for i, y in enumerate(toxic)], "doc_id long, toxic int")
+    used = [i for i in range(6) if zlib.crc32(str(4 * i).encode()) % 4 != 2]
+    model = toxicity.train(df, labels, min_docs=1, least_z=0.0)
+    held = [set().union(*map(toxicity.grams, texts[i].split())) for i in used]
+    y = np.array([toxic[i] for i in used], float)
+    names = sorted(set().union(*held))
+    pos, neg = int(y.sum()), int((1 - y).sum())
+    ratio = np.array([np.log((sum(g in h and t for h, t in zip(held, y)) + 1) / (pos + 2)) - np.log((sum(g in h and not t for h, t in zip(held, y)) + 1) / (neg + 2)) for g in names])
+    x = np.array([[g in h for g in names] for h in held]) * ratio
+    ours = np.array([model.weights.get(g, 0.0) for g in names])
+    w = np.divide(ours, ratio, out=np.zeros(len(names)), where=ratio != 0)
+    e = 1 / (1 + np.exp(-(x @ w + model.bias))) - y  # the gradient of the loss is 0 there
+    assert np.abs(x.T @ e / len(y) + 1e-4 * w).max() < 2e-4 and abs(e.mean()) < 2e-4
+    assert np.abs(ours).max() > 0.1
+
+
 def test_few_rows_move_with_slack(spark):
     rows = spark.range(4000).withColumnRenamed("id", "doc_id")
     a = {r.doc_id: r["shard"] for r in balance.shard(rows, 8, slack=0.25).collect()}
@@ -338,6 +371,26 @@ def test_quality_rules(spark, some, none):
     assert perplexity.judged(none).count() == 0
 
 
+def test_bands_equal_their_definition(spark):
+    rng = np.random.default_rng(6)
+    rows = [(i, str(lang), int(n), float(v)) for i, (lang, n, v) in enumerate(zip(rng.choice(["en", "de", "x"], 300, p=[0.6, 0.395, 0.005]), rng.integers(10, 400, 300), rng.normal(2, 0.3, 300)))]
+    rows += [(900, "one", 50, 2.5), (901, "tie", 20, 1.0), (902, "tie", 20, 1.0), (903, "none", 0, None)]  # one document; ties; nothing to measure
+    df = spark.createDataFrame(rows, "doc_id long, lang string, n_words long, log_ppl double")
+    got = {r.lang: r for r in perplexity.bands(df).collect()}
+    assert set(got) == {r[1] for r in rows} - {"none"}
+
+    def quantile(values, q, width):
+        bins = sorted(int(np.floor(v / width)) for v in values)
+        return bins[int(np.ceil(q * len(bins) - 1e-9)) - 1] * width
+
+    for lang, r in got.items():
+        own = [(n, v) for _, x, n, v in rows if x == lang]
+        middle = quantile([v for _, v in own], 0.5, perplexity.BIN)
+        deviations = [(v - middle) * np.sqrt(n) for n, v in own]
+        q1, q3 = (quantile(deviations, q, perplexity.DEVIATION_BIN) for q in (0.25, 0.75))
+        assert (r.middle, r.below, r.above) == pytest.approx((middle, 3.5 * max(-q1 / 0.6745, 0.1), 3.5 * max(q3 / 0.6745, 0.1)), abs=1e-6)
+
+
 def test_a_large_model_keeps_its_order(spark):
     rng = np.random.default_rng(2)
     texts = [" ".join("".join(rng.choice(list("abcdé"), int(rng.integers(1, 9)))) for _ in range(30)) for _ in range(12)] + ["", None]
@@ -356,8 +409,8 @@ def test_warc(spark, tmp_path):
     folders = [f"file://{tmp_path}/{x}" for x in "ab"]
     for f in folders:
         warc.write(df, f, shard_bytes=2000, roll_bytes=500)
-    names = [r["name"] for r in common.manifest(folders[0])]
-    assert names == [r["name"] for r in common.manifest(folders[1])] and len(names) > 2
+    names = [r["name"] for r in listed(spark, folders[0])]
+    assert names == [r["name"] for r in listed(spark, folders[1])] and len(names) > 2
     assert all((tmp_path / "a" / n).read_bytes() == (tmp_path / "b" / n).read_bytes() for n in names)
     got = Counter((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in warc.read(spark, folders[0]).collect())
 
