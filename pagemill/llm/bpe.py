@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from pagemill.llm import common
 from pagemill.llm.wordcache import load
 
-HEAD, HEAD_CHARS, LONG_CHARS, COMMON = 1 << 19, 32, 2048, 10_000
+HEAD, HEAD_CHARS, LONG_CHARS, COMMON = 3 << 17, 32, 2048, 10_000
 TOKENIZER = "word_bpe_49k.json"
 
 #: White space of the tokenizer's pattern; str.split() also divides at 0x1C to 0x1F.
@@ -102,7 +102,7 @@ def frequent_words(docs: DataFrame, tokenizer: str, most: int, kind: type) -> Vo
         for b in batches:
             for text in b.column(0).to_pylist():
                 seen.update(words_of(text))
-            if len(seen) > 1_000_000:
+            if len(seen) > 700_000:
                 seen = Counter({w: n for w, n in seen.items() if n > 1})
         total = seen.total()
         few, many = max(2, total // 2_000_000), max(2, total // COMMON)
@@ -144,15 +144,16 @@ def from_varints(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return codes, ends
 
 
-def encoded(docs: DataFrame, finish: Callable, schema: str, tokenizer: str = TOKENIZER, head_words: int = HEAD) -> DataFrame:
+def encoded(docs: DataFrame, finish: Callable, schema: str, tokenizer: str = TOKENIZER, head_words: int = HEAD, carry: tuple[str, ...] = ()) -> DataFrame:
     """For each row of `docs` (doc_id, text; null: empty): doc_id and what `finish` makes of a few hundred documents, as columns of `schema`. It gets the head, the codes of
     all their words, where each document starts (and the last ends) in them, and where the rare words are with their ids.
 
-    Rows that share doc_id and text are each encoded. A null doc_id stays null.
+    Rows that share doc_id and text are each encoded. A null doc_id stays null. The columns `carry` stay beside doc_id.
     """
     spark = docs.sparkSession
     # k and h tell documents apart; neither is null
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), (F.struct(*carry) if carry else F.lit(0)).alias("carried"))
+    carried = docs.schema["carried"].dataType.simpleString()
     docs = docs.withColumns({"k": F.coalesce("doc_id", F.lit(-1)), "h": F.xxhash64(F.col("doc_id").isNull(), "doc_id", "text")})
     if not docs.groupBy("k").agg(F.min("h").alias("a"), F.max("h").alias("b")).where("a <> b").limit(1).count():
         docs = docs.withColumn("h", F.lit(0).cast("long"))  # k does alone, and shuffled rows are shorter
@@ -181,7 +182,7 @@ def encoded(docs: DataFrame, finish: Callable, schema: str, tokenizer: str = TOK
                 data, lens = varints(np.fromiter(map(known.get, chain.from_iterable(texts), repeat(0)), np.int64, cuts[-1]))
                 data, cuts = data.tobytes(), np.concatenate(([0], np.cumsum(lens)))[cuts]
                 out += [data[i:j] for i, j in zip(cuts, cuts[1:])]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("k"), b.column("h"), pa.array(out, pa.binary())], names=["doc_id", "k", "h", "codes"])
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("doc_id", "carried", "k", "h")), pa.array(out, pa.binary())], names=["doc_id", "carried", "k", "h", "codes"])
 
     of = encoder(tokenizer, kind)
 
@@ -200,7 +201,7 @@ def encoded(docs: DataFrame, finish: Callable, schema: str, tokenizer: str = TOK
     salt = F.when(F.length("word") > LONG_CHARS, F.pmod("h", F.lit(16))).otherwise(F.lit(0))  # longer words may be common and outside the head
     placed = tail.repartition("word", salt).sortWithinPartitions("word").mapInArrow(once, "k long, h long, at int, ids binary")
     by_doc = placed.groupBy("k", "h").agg(F.collect_list(F.struct("at", "ids")).alias("rare"))
-    joined = docs.mapInArrow(codes, "doc_id long, k long, h long, codes binary").join(by_doc.hint("merge"), ["k", "h"], "left").select("doc_id", "codes", F.col("rare.at").alias("at"), F.col("rare.ids").alias("ids"))
+    joined = docs.mapInArrow(codes, f"doc_id long, carried {carried}, k long, h long, codes binary").join(by_doc.hint("merge"), ["k", "h"], "left").select("doc_id", "carried", "codes", F.col("rare.at").alias("at"), F.col("rare.ids").alias("ids"))
 
     def together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -215,9 +216,11 @@ def encoded(docs: DataFrame, finish: Callable, schema: str, tokenizer: str = TOK
                 for f, at, ids in zip(first, rare_at, rare_ids):
                     for k, x in zip(at or (), ids or ()):
                         own[f + k] = x
-                yield pa.RecordBatch.from_arrays([b.column("doc_id"), *finish(head.value, codes, cuts, places, own)], names=["doc_id", *(x.split()[0] for x in schema.split(", "))])
+                yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("carried"), *finish(head.value, codes, cuts, places, own)], names=["doc_id", "carried", *names])
 
-    return joined.mapInArrow(together, f"doc_id long, {schema}")
+    names = [x.split()[0] for x in schema.split(", ")]
+    done = joined.mapInArrow(together, f"doc_id long, carried {carried}, {schema}")
+    return done.select("doc_id", *(["carried.*"] if carry else []), *names)
 
 
 def objects(items: list) -> np.ndarray:
@@ -254,8 +257,8 @@ def joined_texts(table: pa.Array, index: np.ndarray, cuts: np.ndarray) -> pa.Arr
     return pc.binary_join(pa.LargeListArray.from_arrays(pa.array(cuts, pa.int64()), table.take(pa.array(index))), pa.scalar(" ", pa.large_string()))
 
 
-def digests(docs: DataFrame, tokenizer: str = TOKENIZER, head_words: int = HEAD) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256 and decoded_sha256 for each row of `docs`: encode and decode without moving the ids again."""
+def digests(docs: DataFrame, tokenizer: str = TOKENIZER, head_words: int = HEAD, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, the columns `carry`, n_tokens, ids_sha256 and decoded_sha256 for each row of `docs`: encode and decode without moving the ids again."""
     kind = id_kind(tokenizer)
     tables: list = []
 
@@ -284,7 +287,7 @@ def digests(docs: DataFrame, tokenizer: str = TOKENIZER, head_words: int = HEAD)
             sha.append(pa.array([hashlib.sha256(x.as_buffer()).hexdigest() for x in whole], pa.string()))
         return [pa.array(np.diff(sums), pa.int64()), *sha]
 
-    return encoded(docs, finish, "n_tokens long, ids_sha256 string, decoded_sha256 string", tokenizer, head_words)
+    return encoded(docs, finish, "n_tokens long, ids_sha256 string, decoded_sha256 string", tokenizer, head_words, carry)
 
 
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

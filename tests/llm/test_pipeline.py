@@ -6,7 +6,7 @@ from collections import Counter
 import pytest
 
 import corpus_pipeline
-from pagemill.llm import catalog, common
+from pagemill.llm import catalog, common, mixing
 
 NUMBERS = {1, 2, 3, 4, 5, 6, 7, 8, 9, 10}
 
@@ -38,10 +38,13 @@ def test_stages(spark, corpus):
     docs = common.table(spark, corpus, "documents")
     columns, left = docs.columns, []
     for name, stage in corpus_pipeline.STAGES:
+        if name == "mixing sources to target weights":
+            due = sorted((t, r.doc_id) for r in mixing.mix(docs).collect() for t in r.positions)
         docs = common.saved(stage(spark, docs, corpus), "stage")
         left.append(Counter(r.doc_id for r in docs.select("doc_id").collect()))
         if name != corpus_pipeline.STAGES[-1][0]:
             assert docs.columns == columns
+    assert [r.doc_id for r in docs.orderBy("part", "row").collect()] == [i for _, i in due]
     clean, copies, near, mixed, encoded = left
     assert set(clean) == {i for i in range(300) if i % 6}
     assert set(clean) - set(copies) == {11} and set(copies) - set(near) == {14}
