@@ -209,10 +209,10 @@ def bit_counts(hashes: np.ndarray) -> np.ndarray:
 
 
 class WordHashes(dict):
-    """XXH64 of words, the last half million kept."""
+    """XXH64 of words, some 200,000 kept."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
+        if len(self) > 200_000:
             self.clear()
         h = self[word] = xxhash.xxh64_intdigest(word, 42)
         return h
