@@ -110,6 +110,28 @@ LIBRARIES = [
 ]
 # Directories by kind of file.
 DIRECTORIES = {
-    "css": ["css"], "js": ["js", "mjs"], "images": ["png", "jpg", "jpeg", "gif", "webp", "svg", "ico", "avif", "bmp"],
-    "fonts": ["woff", "woff2", "ttf", "otf", "eot"], "media": ["mp4", "webm", "mp3", "ogg", "wav", "mov"],
+    "css": ["css", "scss", "sass", "less", "styl"], "js": ["js", "cjs", "mjs", "jsx"],
+    "images": ["jpg", "jpeg", "jfif", "png", "gif", "svg", "webp", "avif", "apng", "ico", "bmp", "tiff", "tif", "heic", "heif"],
+    "fonts": ["woff", "woff2", "ttf", "eot", "otf"], "video": ["mp4", "webm", "ogv", "mov"],
+    "audio": ["mp3", "ogg", "oga", "wav", "aac", "m4a", "flac", "opus"], "assets": ["pdf", "zip", "json", "xml", "txt", "wasm"],
 }
+# Where product names are shown besides texts, and elements whose texts don't show any.
+NAME_ATTRIBUTES = ["alt", "title", "aria-label", "placeholder"]
+NAME_METAS = ["description", "keywords", "og:title", "og:description", "twitter:title", "twitter:description"]
+NAME_SKIPPED = ["script", "style", "template", "textarea", "pre", "code", "noscript"]
+# Libraries by their code (name, signature, version in group 1 or 2, version where none is found, where the official copy is).
+LIBRARY_CODE = [
+    ("jquery", r"(?i)jQuery\.fn\.jquery\s*=|jQuery JavaScript Library", r"""jQuery(?:\.fn\.jquery)?\s*=\s*["']([\d.]+)["']|jQuery\s+(?:JavaScript\s+Library\s+)?v([\d.]+)""", "3.7.1", "https://code.jquery.com/jquery-{v}.min.js"),
+    ("bootstrap-js", r"Bootstrap v[\d.]+ \(https://getbootstrap\.com/?\)", r"Bootstrap v([\d.]+)()", "5.3.3", "https://cdn.jsdelivr.net/npm/bootstrap@{v}/dist/js/bootstrap.bundle.min.js"),
+    ("popper", r"\* Popper\.js v[\d.]+|@popperjs/core", r"Popper\.js v([\d.]+)|@popperjs/core@([\d.]+)", "2.11.8", "https://cdn.jsdelivr.net/npm/@popperjs/core@{v}/dist/umd/popper.min.js"),
+    ("swiper", r"(?i)Swiper\s+[\d.]+|Swiper JavaScript Library", r"Swiper\s+([\d.]+)()", "11.1.4", "https://cdn.jsdelivr.net/npm/swiper@{v}/swiper-bundle.min.js"),
+    ("lodash", r"Lodash [\d.]+ \(Custom Build\)|lodash\.com/docs", r"Lodash ([\d.]+)()", "4.17.21", "https://cdn.jsdelivr.net/npm/lodash@{v}/lodash.min.js"),
+]
+#: The policy that clean pages carry; the hosts for images and media are those of OWN_ASSET_HOSTS.
+_OWN = " ".join(f"https://{h}" for h in OWN_ASSET_HOSTS)
+POLICY_TAG = (
+    "<meta http-equiv=\"Content-Security-Policy\" content=\"default-src 'self'; object-src 'none'; frame-src 'self'; form-action 'self'; "
+    "script-src 'self' 'unsafe-inline' https://cdn.tailwindcss.com https://cdn.jsdelivr.net https://code.jquery.com https://vjs.zencdn.net; worker-src 'self' blob:; "
+    "style-src 'self' 'unsafe-inline' https://fonts.googleapis.com https://vjs.zencdn.net; font-src 'self' data: https://fonts.googleapis.com https://fonts.gstatic.com https://vjs.zencdn.net; "
+    f"media-src 'self' blob: {_OWN}; img-src 'self' data: {_OWN}; connect-src 'self' blob: {_OWN};\" />"
+)

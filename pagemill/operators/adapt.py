@@ -7,6 +7,9 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pagemill.functions import policy
+from pagemill.operators import markup, spans
+
 #: Image bases by vertical; placeholders, to be set by whoever runs the engine.
 IMAGE_BASES = {"Adult": "https://assets.example.com/Adult/{_offer_value:offerimage}", "WeightLoss": "https://assets.example.com/WeightLoss/{_offer_value:offerimage}"}
 NAME_MACRO = "{_offer_value:offername}"
@@ -32,4 +35,30 @@ def names_pattern(names: list[str]) -> str:
 
 
 def renamed(text: Column, names: list[str], macro: str = NAME_MACRO) -> Column:
-    return F.regexp_replace(text, names_pattern(names), macro.replace("$", "\\$"))
+    return F.regexp_replace(text, names_pattern(names), macro.replace("\\", "\\\\").replace("$", "\\$"))
+
+
+def names_replaced(pages: DataFrame, names: list[str], macro: str = NAME_MACRO) -> DataFrame:
+    """page_id, html, n_replaced for each row of `pages`: product names become the macro where they are shown, in texts (but for code), four attributes and the descriptions of metas. Markup, addresses and scripts stay. Null html is empty."""
+    rows = markup.with_elements(pages.select("page_id", F.coalesce("html", F.lit("")).alias("html")))
+    pattern = F.lit(names_pattern(names))
+    struct = lambda start, stop, new, n: F.struct(start.alias("start"), stop.alias("stop"), new.alias("new"), n.alias("n"))
+
+    def in_text(e: Column) -> Column:
+        n = F.regexp_count(e["body"], pattern)
+        return F.when((e["tag"] == "#text") & ~e["within"].isin(*policy.NAME_SKIPPED) & (n > 0), struct(e["start"], e["stop"], renamed(e["body"], names, macro), n))
+
+    def in_attributes(e: Column) -> Column:
+        shown = (e["tag"] == "meta") & F.coalesce(F.lower(F.coalesce(markup.value_of(e["attrs"], "name"), markup.value_of(e["attrs"], "property"))).isin(*policy.NAME_METAS), F.lit(False))
+
+        def edit(a: Column) -> Column:
+            n = F.regexp_count(a["value"], pattern)
+            new = F.replace(F.replace(renamed(a["value"], names, macro), F.lit("&"), F.lit("&amp;")), F.lit('"'), F.lit("&quot;"))
+            return F.when((a["name"].isin(*policy.NAME_ATTRIBUTES) | shown & (a["name"] == "content")) & (n > 0), struct(a["start"], a["stop"], F.concat(F.lit(" "), a["name"], F.lit('="'), new, F.lit('"')), n))
+
+        return F.transform(e["attrs"], edit)
+
+    edits = F.array_compact(F.concat(F.transform("elements", in_text), F.flatten(F.transform("elements", in_attributes))))
+    planned = rows.select("page_id", "html", edits.alias("edits"))
+    total = F.aggregate("edits", F.lit(0), lambda acc, e: acc + e["n"]).cast("long")
+    return planned.select("page_id", spans.spliced(F.col("html"), F.transform("edits", lambda e: F.struct(e["start"], e["stop"], e["new"]))).alias("html"), total.alias("n_replaced"))

@@ -1,30 +1,26 @@
-"""Rows out of markup, style sheets and scripts: built-in regular expressions only."""
+"""Rows out of markup, style sheets and scripts: elements from markup.elements(), the rest by built-in regular expressions."""
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagemill.functions import policy, urls
-
-#: Kind of resource, tag, attribute.
-RESOURCES = [("script", "script", "src"), ("iframe", "iframe", "src"), ("img", "img", "src"), ("media", "(?:video|audio|source)", "src"), ("stylesheet", "link", "href"), ("anchor", "(?:a|area)", "href")]
-
-
-def attribute(tag: str, name: str) -> str:
-    """Pattern of the value of an attribute in double quotes."""
-    return rf'(?i)<{tag}\s(?:[^>]*?\s)?{name}\s*=\s*"([^"]*)"'
-
+from pagemill.operators import markup
 
 def all_of(text: Column, pattern: str, group: int = 1) -> Column:
     return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(pattern), group)
 
 
 def resources(pages: DataFrame) -> DataFrame:
-    """page_id, kind, url: a row for every resource of a page, repeats included."""
-    of = lambda kind: lambda u: F.struct(F.lit(kind).alias("kind"), u.alias("url"))
-    found = [F.transform(all_of(F.col("html"), attribute(tag, name)), of(kind)) for kind, tag, name in RESOURCES]
-    return pages.select("page_id", F.explode(F.concat(*found)).alias("r")).select("page_id", "r.kind", "r.url")
+    """page_id, kind, url: a row for every resource of a page, repeats included, whatever its quotes; none from comments, scripts or noscripts."""
+    found = markup.elements(pages).where("tag <> '#text' AND within <> 'noscript'")
+    tag = F.col("tag")
+    kind = F.when(tag.isin("script", "iframe", "img"), tag).when(tag.isin("video", "audio", "source"), "media").when(tag == "link", "stylesheet").when(tag.isin("a", "area"), "anchor")
+    url = F.when(tag.isin("link", "a", "area"), markup.attribute("href")).otherwise(markup.attribute("src"))
+    return found.select("page_id", kind.alias("kind"), url.alias("url")).where("kind IS NOT NULL AND url IS NOT NULL")
 
 
 def classified(pages: DataFrame) -> DataFrame:
@@ -33,7 +29,7 @@ def classified(pages: DataFrame) -> DataFrame:
 
 
 def anchors(pages: DataFrame) -> DataFrame:
-    return pages.select("page_id", F.explode(all_of(F.col("html"), attribute("(?:a|area)", "href"))).alias("href"))
+    return resources(pages).where("kind = 'anchor'").select("page_id", F.col("url").alias("href"))
 
 
 def becomes_offer(href: Column) -> Column:
@@ -42,11 +38,22 @@ def becomes_offer(href: Column) -> Column:
     return (h != "") & ~h.rlike(r"(?i)^(#|mailto:|tel:)") & ~h.rlike(rf"^{policy.MACRO}\z")
 
 
+#: A macro that isn't one of the own ones.
+FOREIGN_MACRO = "(?!" + "|".join(re.escape(m) for m in policy.OWN_MACROS) + ")" + policy.MACRO
+
+
+SCRIPT = r"(?is)<script(?:\s[^>]*)?>.*?</script>"
+
+
+def inline_bodies(rows: DataFrame) -> DataFrame:
+    """`rows` (element, a script element, and others) with the element's body in its place, those with src left out."""
+    inline = rows.where(~F.col("element").rlike(r"(?i)^<script\s[^>]*src\s*="))
+    return inline.select(*[c for c in rows.columns if c != "element"], F.regexp_extract("element", r"(?is)^<script[^>]*>(.*)</script>\z", 1).alias("body"))
+
+
 def inline_scripts(pages: DataFrame) -> DataFrame:
     """page_id, body of every script element without src."""
-    found = pages.select("page_id", F.explode(all_of(F.col("html"), r"(?is)<script(?:\s[^>]*)?>.*?</script>", 0)).alias("element"))
-    inline = found.where(~F.col("element").rlike(r"(?i)^<script\s[^>]*src\s*="))
-    return inline.select("page_id", F.regexp_extract("element", r"(?is)^<script[^>]*>(.*)</script>\z", 1).alias("body"))
+    return inline_bodies(pages.select("page_id", F.explode(all_of(F.col("html"), SCRIPT, 0)).alias("element")))
 
 
 def keywords_in(body: Column) -> Column:
@@ -71,11 +78,21 @@ def css_urls(css: Column) -> Column:
     return F.filter(named, lambda u: ~u.rlike("(?i)^data:"))
 
 
+_IMPORT = r"""(?i)@import\s+(?:url\(\s*(?:"([^"]*)"|'([^']*)'|([^)'"\s]*))\s*\)|"([^"]*)"|'([^']*)')[^;]*;?"""
+_CSS_URL = r"(?i)url\(\s*['\"]?([^'\")]+)['\"]?\s*\)"
+
+
 def clean_css(css: Column) -> Column:
-    """A style sheet whose external imports are gone and whose url() targets that aren't kept are empty; protocol-relative ones count as external."""
-    no_imports = F.regexp_replace(css, r"(?i)@import\s+(?:url\(\s*)?['\"]?(?:https?:)?//[^;]*;?", "")
-    bad = F.array_distinct(F.filter(all_of(no_imports, r"(?i)url\(\s*['\"]?([^'\")]+)['\"]?\s*\)"), lambda u: urls.verdict(u, F.lit("img"))["action"] != "keep"))
-    return F.aggregate(bad, no_imports, lambda text, u: F.regexp_replace(text, F.concat(F.lit(r"(?i)url\(\s*['\"]?\Q"), u, F.lit(r"\E['\"]?\s*\)")), F.lit("url('')")))
+    """A style sheet whose imports from hosts that libraries don't come from are gone, and whose url() targets that aren't kept are empty; protocol-relative addresses count as external. A semicolon in an address doesn't end its import."""
+
+    def external(m: Column) -> Column:
+        u = urls.normalized(F.concat(*[F.regexp_extract(m, _IMPORT, i) for i in range(1, 6)]))
+        return urls.is_absolute(u) & ~urls.in_domains(urls.host(u), policy.TRUSTED_LIB_HOSTS)
+
+    imports = F.array_distinct(F.filter(all_of(css, _IMPORT, 0), external))
+    rest = F.aggregate(imports, css, lambda text, m: F.replace(text, m, F.lit("")))
+    bad = lambda text: F.array_distinct(F.filter(all_of(text, _CSS_URL, 0), lambda m: urls.verdict(F.regexp_extract(m, _CSS_URL, 1), F.lit("img"))["action"] != "keep"))
+    return F.when(~F.contains(F.lower(css), F.lit("url")) & ~F.contains(css, F.lit("@")), css).otherwise(F.aggregate(F.flatten(F.transform(F.array(rest), bad)), rest, lambda text, m: F.replace(text, m, F.lit("url('')"))))
 
 
 def has_server_code(text: Column) -> Column:
@@ -104,10 +121,18 @@ def obfuscation(code: Column) -> Column:
 
 
 def svg_cleaned(svg: Column) -> Column:
-    """An SVG without scripts, foreign objects, handlers and external references."""
-    for pattern in (r"(?is)<script\b.*?(?:</script>|/>)", r"(?is)<foreignObject\b.*?</foreignObject>", r"(?i)\son[a-z]+\s*=\s*\"[^\"]*\"", r"(?i)\s(?:xlink:)?href\s*=\s*\"(?:https?:|//|javascript:|data:)[^\"]*\""):
+    """An SVG without scripts, foreign objects, handlers (quoted or not), external or dangerous references, and external addresses in its styles."""
+    for pattern in (r"(?is)<script\b.*?</script>", r"(?is)<script\b[^>]*/>", r"(?is)<foreignObject\b.*?</foreignObject>", r"""(?i)\s+on\w+\s*=\s*(?:'[^']*'|"[^"]*"|[^\s>]+)"""):
         svg = F.regexp_replace(svg, pattern, "")
-    return svg
+    reference = r"""(?i)\s(?:xlink:)?href\s*=\s*(?:"([^"]+)"|'([^']+)')"""
+
+    def bad(m: Column) -> Column:
+        u = urls.normalized(F.concat(F.regexp_extract(m, reference, 1), F.regexp_extract(m, reference, 2)))
+        return F.coalesce(urls.scheme(u).isin(*policy.DANGEROUS_SCHEMES), F.lit(False)) | urls.is_absolute(u) & ~urls.in_domains(urls.host(u), policy.TRUSTED_LIB_HOSTS)
+
+    svg = F.aggregate(F.array_distinct(F.filter(all_of(svg, reference, 0), bad)), svg, lambda text, m: F.replace(text, m, F.lit("")))
+    styles = F.array_distinct(all_of(svg, r"(?is)<style\b[^>]*>.*?</style>", 0))
+    return F.aggregate(styles, svg, lambda text, m: F.replace(text, m, clean_css(m)))
 
 
 def link_kind(rel: Column, as_attr: Column) -> Column:
@@ -128,6 +153,44 @@ def library(url: Column) -> Column:
     return out
 
 
+def library_by_code(code: Column) -> Column:
+    """STRUCT<lib, version, cdn_url>: the first library whose signature the code has; null without one."""
+    out = F.lit(None).cast("struct<lib:string,version:string,cdn_url:string>")
+    for name, signature, version, default, target in reversed(policy.LIBRARY_CODE):
+        found = F.concat(F.regexp_extract(code, version, 1), F.regexp_extract(code, version, 2))
+        v = F.when(found == "", F.lit(default)).otherwise(found)
+        out = F.when(code.rlike(signature), F.struct(F.lit(name).alias("lib"), v.alias("version"), F.replace(F.lit(target), F.lit("{v}"), v).alias("cdn_url"))).otherwise(out)
+    return out
+
+
+def without_source_maps(code: Column) -> Column:
+    """Script or style code without the comments that name its source map."""
+    return F.regexp_replace(F.regexp_replace(code, r"//[#@][ \t]*sourceMappingURL\s*=\s*\S+", ""), r"/\*#[ \t]*sourceMappingURL\s*=\s*[^*]*\*/", "")
+
+
+def external_folder(host: Column) -> Column:
+    """What becomes of the saved folder _external/<host>: keep, remove or quarantine, as a script from that host's root would."""
+    return urls.verdict(F.concat(F.lit("https://"), F.lower(host), F.lit("/")), F.lit("script"))["action"]
+
+
+def code_warnings(rows: DataFrame) -> DataFrame:
+    """label, line, snippet beside the other columns of `rows` (code, and others): a row for each suspicious place of the code, with 150 characters around it in one line."""
+
+    def places(label: str, pattern: str) -> Column:
+        parts = F.split(F.col("code"), pattern)
+        hits = F.regexp_extract_all("code", F.lit(pattern), F.lit(0))
+
+        def place(hit: Column, i: Column) -> Column:
+            before = F.concat(F.array_join(F.flatten(F.zip_with(F.slice(parts, 1, i), F.slice(hits, 1, i), lambda a, b: F.array(a, b))), ""), F.element_at(parts, i + 1))
+            around = F.concat(F.right(before, F.lit(150)), hit, F.substring(F.col("code"), F.length(before) + F.length(hit) + 1, F.lit(150)))
+            return F.struct(F.lit(label).alias("label"), (F.length(before) - F.length(F.replace(before, F.lit("\n"), F.lit(""))) + 1).alias("line"), F.trim(F.regexp_replace(around, r"\s+", " ")).alias("snippet"))
+
+        return F.transform(hits, place)
+
+    found = F.concat(*[F.when(F.col("code").rlike(p), places(label, p)).otherwise(F.array().cast("array<struct<label:string,line:int,snippet:string>>")) for label, p in policy.JS_WARNINGS])
+    return rows.select(*[c for c in rows.columns if c != "code"], F.inline(found))
+
+
 def is_offer(url: Column, main_host: Column) -> Column:
     """Whether a URL leads to an offer: another host that isn't trusted, or a telling path or query on the own host."""
     u = F.regexp_replace(url, "(?i)&amp;", "&")

@@ -1,163 +1,189 @@
 """Cleaning of markup as edit planning: elements with offsets, edits by rules, the outermost edits applied.
 
-Python only finds where elements and attributes stand; which of them go is decided by Column expressions, and the edits of
-a page meet in one grouping by page.
+Python only finds where elements, attributes and texts stand. Which of them go is decided by Column expressions over the
+array of a page's elements, in the page's row: nothing is shuffled, and rows that share a page_id, or have none, don't meet.
 """
 
 from __future__ import annotations
 
-import html as entities
-import re
-from collections.abc import Iterator
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagemill.functions import policy, urls
 from pagemill.operators import extract, spans
+from pagemill.operators.markup import attribute, elements, value_of, with_elements
+
+
+def _edit(start: Column, stop: Column, new: Column, pass_no: int, action: Column | str, reason: str) -> Column:
+    action = F.lit(action) if isinstance(action, str) else action
+    return F.struct(start.alias("start"), stop.alias("stop"), new.alias("new"), F.lit(pass_no).alias("pass_no"), action.alias("action"), F.lit(reason).alias("reason"))
+
+
+def judged(found: Column) -> Column:
+    """The elements with what the rules ask for: src, kind of resource, action of its verdict (null where nothing is loaded)."""
+
+    def read(e: Column) -> Column:
+        tag, src, href = e["tag"], value_of(e["attrs"], "src"), value_of(e["attrs"], "href")
+        kind = F.when(tag == "script", "script").when(tag.isin("iframe", "embed"), "iframe").when(tag == "img", "img").when(tag.isin("video", "audio", "source"), "media").when(tag == "link", extract.link_kind(value_of(e["attrs"], "rel"), value_of(e["attrs"], "as")))
+        return F.struct(e.alias("e"), src.alias("src"), kind.alias("kind"), F.when(tag == "link", href).otherwise(src).alias("target"))
+
+    def judge(x: Column) -> Column:
+        loads = x["kind"].isNotNull() & x["target"].isNotNull()
+        return F.struct(x["e"].alias("e"), x["src"].alias("src"), x["kind"].alias("kind"), F.when(loads, urls.verdict(x["target"], x["kind"])["action"]).alias("action"))
+
+    return F.transform(F.transform(found, read), judge)
+
 
-_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^'">])*)>""", re.S)
-_ATTRIBUTE = re.compile(r"""\s+([^\s=/>"']+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+)))?""")
-#: Elements whose content isn't markup, and elements without content.
-RAW = {"script", "style", "textarea", "title", "noscript", "noframes", "iframe", "xmp"}
-VOID = {"area", "base", "br", "col", "embed", "frame", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
-ATTRIBUTE = "struct<name:string,value:string,start:int,stop:int>"
-ELEMENT = f"page_id long, tag string, start int, inner int, stop int, body string, attrs array<{ATTRIBUTE}>"
-
-
-def elements_of(text: str) -> list[dict]:
-    """Every element of a document: tag, where it starts, where its content starts, where it stops (offsets in characters), the content of raw elements, attributes. An element that isn't closed stops with its tag."""
-    found: list[dict] = []
-    opened: list[dict] = []
-    at = 0
-    while m := _TAG.search(text, at):
-        at = m.end()
-        if m[2] is None:
-            continue
-        tag = m[2].lower()
-        if m[1]:
-            for i in range(len(opened) - 1, -1, -1):
-                if opened[i]["tag"] == tag:
-                    opened[i]["stop"] = m.end()
-                    del opened[i:]
-                    break
-            continue
-        attrs = [{"name": a[1].lower(), "value": entities.unescape(next((v for v in (a[2], a[3], a[4]) if v is not None), "")), "start": m.start(3) + a.start(), "stop": m.start(3) + a.end()} for a in _ATTRIBUTE.finditer(m[3])]
-        e = {"tag": tag, "start": m.start(), "inner": m.end(), "stop": m.end(), "body": None, "attrs": attrs}
-        found.append(e)
-        if tag in RAW:
-            end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(text, at)
-            e["body"] = text[at : end.start() if end else len(text)]
-            e["stop"] = at = end.end() if end else len(text)
-        elif tag not in VOID:
-            opened.append(e)
-    return found
-
-
-def elements(pages: DataFrame) -> DataFrame:
-    """A row of ELEMENT for every element of `pages` (page_id, html); null html has none."""
-
-    def tokenize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = pa.schema([("page_id", pa.int64()), ("tag", pa.string()), ("start", pa.int32()), ("inner", pa.int32()), ("stop", pa.int32()), ("body", pa.string()), ("attrs", pa.list_(pa.struct([("name", pa.string()), ("value", pa.string()), ("start", pa.int32()), ("stop", pa.int32())])))])
-        for b in batches:
-            for i in range(0, b.num_rows, 256):
-                part = b.slice(i, 256)
-                rows = [{"page_id": p, **e} for p, text in zip(part.column("page_id").to_pylist(), part.column("html").to_pylist()) for e in elements_of(text or "")]
-                yield pa.RecordBatch.from_pylist(rows, schema=kind)
-
-    return pages.select("page_id", "html").mapInArrow(tokenize, ELEMENT)
-
-
-def attribute(name: str) -> Column:
-    """Value of the first attribute of that name, null without one."""
-    return F.try_element_at(F.filter("attrs", lambda a: a["name"] == name), F.lit(1))["value"]
-
-
-def foreign_inside(body: Column) -> Column:
-    """Whether a script, iframe or img in the markup has an address that isn't kept, or a tracker's."""
-
-    def found(kind: str) -> Column:
-        tags = F.regexp_extract_all(body, F.lit(rf"""(?i)<{kind}\b(?:"[^"]*"|'[^']*'|[^'">])*>"""), F.lit(0))
-        value = r"""(?i)[\s/"']src\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
-        sources = F.transform(tags, lambda t: F.concat(*[F.regexp_extract(t, value, i) for i in (1, 2, 3)]))
-        return F.exists(sources, lambda u: (urls.verdict(u, F.lit(kind))["action"] != "keep") | urls.is_tracker(u))
-
-    return found("script") | found("iframe") | found("img")
-
-
-def with_rule(rows: DataFrame, chosen: Column) -> DataFrame:
-    """`rows` for which a rule holds, with the column `rule`. Exploding keeps the filter above the columns that the rules use: pushed below them, it would hold a copy of their expressions for each use."""
-    return rows.select("*", F.explode(F.array(chosen)).alias("rule")).where("rule IS NOT NULL")
-
-
-def element_edits(found: DataFrame) -> DataFrame:
-    """page_id, start, stop, new, pass_no, action, reason: elements that go, the first rule that holds for each."""
-    tag, body = F.col("tag"), F.coalesce("body", F.lit(""))
-    rows = found.withColumns({"src": attribute("src"), "href": attribute("href"), "rel": attribute("rel"), "as_attr": attribute("as"), "meta": F.lower(attribute("name")), "equiv": F.lower(attribute("http-equiv")), "type": F.lower(attribute("type"))})
-    kind = F.when(tag == "script", "script").when(tag.isin("iframe", "embed"), "iframe").when(tag == "img", "img").when(tag.isin("video", "audio", "source"), "media").when(tag == "link", extract.link_kind(F.col("rel"), F.col("as_attr")))
-    rows = urls.with_verdict(rows.withColumns({"kind": kind, "target": F.when(tag == "link", F.col("href")).otherwise(F.col("src"))}), "target", "kind")
-    foreign = F.col("kind").isNotNull() & F.col("target").isNotNull() & (F.col("action") != "keep")
-    inline = (tag == "script") & F.col("src").isNull()
-    ld_json = F.coalesce(F.col("type") == "application/ld+json", F.lit(False))
-    rule = lambda n, action, reason: F.struct(F.lit(n).alias("pass_no"), action.alias("action"), F.lit(reason).alias("reason"))
+def element_edits(found: Column) -> Column:
+    """Elements that go, the first rule that holds for each; `found` is an array of judged elements. A noscript goes if nothing but what goes is in it."""
     remove, hold = F.lit("remove"), F.lit("quarantine")
-    chosen = (
-        F.when(tag == "base", rule(1, remove, "base"))
-        .when((tag == "script") & foreign, rule(3, F.col("action"), "script"))
-        .when(inline & ld_json & body.rlike("(?i)googletagmanager|google-analytics|(?s)WebSite.*SearchAction"), rule(4, remove, "tracker data"))
-        .when(inline & ~ld_json & (F.size(extract.keywords_in(body)) > 0), rule(5, remove, "inline tracker"))
-        .when((tag == "noscript") & foreign_inside(body), rule(6, hold, "noscript"))
-        .when((tag == "link") & foreign, rule(8, F.col("action"), "link"))
-        .when((tag == "meta") & F.col("meta").isin(*[m.lower() for m in policy.VERIFICATION_METAS]), rule(9, remove, "verification"))
-        .when((tag == "meta") & (F.col("equiv") == "refresh"), rule(10, hold, "refresh"))
-        .when((tag == "iframe") & foreign, rule(11, F.col("action"), "iframe"))
-        .when((tag == "img") & foreign, rule(12, F.col("action"), "img"))
-        .when((tag == "object") | (tag == "embed") & foreign, rule(13, hold, "object"))
-        .when(tag.isin("frame", "frameset", "noframes"), rule(14, remove, "frame"))
-        .when((tag == "meta") & (F.col("equiv") == "content-security-policy"), rule(19, remove, "old policy"))
-    )
-    return with_rule(rows, chosen).select("page_id", "start", "stop", F.lit("").alias("new"), "rule.*")
-
-
-def attribute_edits(found: DataFrame) -> DataFrame:
-    """Edits of single attributes: dangerous links lose theirs, other links become the offer, event handlers with addresses or trackers go."""
-    rows = found.select("page_id", "tag", F.explode("attrs").alias("a")).select("page_id", "tag", "a.*")
-    link = F.col("tag").isin("a", "area") & (F.col("name") == "href")
-    scheme = urls.scheme(urls.normalized(F.col("value")))
-    handler = F.col("name").rlike("^on[a-z]+$") & (F.col("value").rlike("(?i)https?://") | (F.size(extract.keywords_in(F.col("value"))) > 0))
-    rule = lambda n, new, action, reason: F.struct(F.lit(new).alias("new"), F.lit(n).alias("pass_no"), F.lit(action).alias("action"), F.lit(reason).alias("reason"))
-    chosen = (
-        F.when(link & scheme.isin(*policy.DANGEROUS_SCHEMES), rule(15, "", "quarantine", "dangerous link"))
-        .when(link & extract.becomes_offer(F.col("value")), rule(16, ' href="{offer}"', "rewrite", "offer link"))
-        .when(handler, rule(18, "", "remove", "event handler"))
+
+    def edit(x: Column) -> Column:
+        e = x["e"]
+        tag, body, outside = e["tag"], F.coalesce(e["body"], F.lit("")), e["within"] != "noscript"
+        meta, equiv = F.lower(value_of(e["attrs"], "name")), F.lower(value_of(e["attrs"], "http-equiv"))
+        foreign = F.coalesce(x["action"] != "keep", F.lit(False))
+        inline = (tag == "script") & x["src"].isNull()
+        ld_json = F.coalesce(F.lower(value_of(e["attrs"], "type")) == "application/ld+json", F.lit(False))
+        rule = lambda n, action, reason: _edit(e["start"], e["stop"], F.lit(""), n, action, reason)
+        return (
+            F.when(~outside, F.when(foreign, rule(6, hold, "noscript")))
+            .when(tag == "base", rule(1, remove, "base"))
+            .when((tag == "script") & foreign, rule(3, x["action"], "script"))
+            .when(inline & ld_json & body.rlike("(?i)googletagmanager|google-analytics|(?s)WebSite.*SearchAction"), rule(4, remove, "tracker data"))
+            .when(inline & ~ld_json & (F.size(extract.keywords_in(body)) > 0), rule(5, remove, "inline tracker"))
+            .when((tag == "noscript") & emptied(e, found), rule(6, hold, "noscript"))
+            .when((tag == "link") & foreign, rule(8, x["action"], "link"))
+            .when((tag == "meta") & meta.isin(*[m.lower() for m in policy.VERIFICATION_METAS]), rule(9, remove, "verification"))
+            .when((tag == "meta") & (equiv == "refresh"), rule(10, hold, "refresh"))
+            .when((tag == "iframe") & foreign, rule(11, x["action"], "iframe"))
+            .when((tag == "img") & foreign, rule(12, x["action"], "img"))
+            .when((tag == "object") | (tag == "embed") & foreign, rule(13, hold, "object"))
+            .when(tag.isin("frame", "frameset", "noframes"), rule(14, remove, "frame"))
+            .when((tag == "meta") & (equiv == "content-security-policy"), rule(19, remove, "old policy"))
+        )
+
+    return F.array_compact(F.transform(found, edit))
+
+
+def emptied(e: Column, found: Column) -> Column:
+    """Whether a noscript has elements that go and nothing else."""
+    bad = F.filter(found, lambda x: (x["e"]["within"] == "noscript") & (x["e"]["start"] >= e["inner"]) & (x["e"]["stop"] <= e["stop"]) & F.coalesce(x["action"] != "keep", F.lit(False)))
+    cuts = F.transform(bad, lambda x: F.struct((x["e"]["start"] - e["inner"]).alias("start"), (x["e"]["stop"] - e["inner"]).alias("stop"), F.lit("").alias("new")))
+    return (F.size(cuts) > 0) & (F.trim(F.regexp_replace(spans.spliced(e["body"], outermost(cuts)), r"\s+", " ")) == "")
+
+
+def attribute_edits(found: Column) -> Column:
+    """Edits of single attributes: dangerous links lose theirs, other links and foreign macros become the offer, event handlers with addresses or trackers go, styles lose external addresses."""
+
+    def edits(e: Column) -> Column:
+        link = e["tag"].isin("a", "area")
+
+        def edit(a: Column) -> Column:
+            value, href = a["value"], link & (a["name"] == "href")
+            handler = a["name"].rlike("^on[a-z]") & (value.rlike("(?i)https?://") | (F.size(extract.keywords_in(value)) > 0))
+            css = extract.clean_css(value)
+            quoted = F.concat(F.lit(' style="'), F.replace(F.replace(css, F.lit("&"), F.lit("&amp;")), F.lit('"'), F.lit("&quot;")), F.lit('"'))
+            rule = lambda n, new, action, reason: _edit(a["start"], a["stop"], new, n, action, reason)
+            offer = F.lit(' href="{offer}"')
+            return (
+                F.when(href & urls.scheme(urls.normalized(value)).isin(*policy.DANGEROUS_SCHEMES), rule(15, F.lit(""), "quarantine", "dangerous link"))
+                .when(href & value.rlike(r"^\s*\{[^}]+\}\s*$") & value.rlike(extract.FOREIGN_MACRO), rule(17, offer, "rewrite", "foreign macro"))
+                .when(href & extract.becomes_offer(value), rule(16, offer, "rewrite", "offer link"))
+                .when(handler, rule(18, F.lit(""), "remove", "event handler"))
+                .when((a["name"] == "style") & F.contains(F.lower(value), F.lit("url")) & (css != value), rule(7, quoted, "rewrite", "style"))
+            )
+
+        return F.transform(e["attrs"], edit)
+
+    return F.array_compact(F.flatten(F.transform(found, edits)))
+
+
+#: Elements whose texts keep foreign macros.
+MACRO_TEXTS = ["script", "style", "template", "textarea", "pre"]
+
+
+def text_edits(found: Column) -> Column:
+    """Edits of texts: styles lose external imports and addresses, texts lose foreign macros."""
+
+    def edit(e: Column) -> Column:
+        css = extract.clean_css(e["body"])
+        bare = F.regexp_replace(F.regexp_replace(e["body"], extract.FOREIGN_MACRO, ""), r"[ \t]{2,}", " ")
+        stop = e["inner"] + F.length(e["body"])
+        return F.when((e["tag"] == "style") & (css != e["body"]), _edit(e["inner"], stop, css, 7, "rewrite", "style")).when(
+            (e["tag"] == "#text") & ~e["within"].isin(*MACRO_TEXTS) & e["body"].rlike(extract.FOREIGN_MACRO), _edit(e["start"], e["stop"], bare, 17, "rewrite", "foreign macro")
+        )
+
+    return F.array_compact(F.transform(found, edit))
+
+
+def outermost(edits: Column) -> Column:
+    """Of an array of edits those that lie in no earlier one: by start, insertions first, then the longest."""
+    order = lambda a, b: F.when(a["start"] != b["start"], a["start"] - b["start"]).when((a["stop"] == a["start"]) != (b["stop"] == b["start"]), F.when(a["stop"] == a["start"], -1).otherwise(1)).otherwise(b["stop"] - a["stop"])
+    kept = F.aggregate(
+        F.array_sort(edits, lambda a, b: order(a, b).cast("int")),
+        F.struct(F.lit(0).alias("reach"), F.filter(edits, lambda e: F.lit(False)).alias("kept")),
+        lambda acc, e: F.when(e["start"] >= acc["reach"], F.struct(e["stop"].alias("reach"), F.array_append(acc["kept"], e).alias("kept"))).otherwise(acc),
     )
-    return with_rule(rows, chosen).select("page_id", "start", "stop", "rule.*")
+    return kept["kept"]
+
+
+def policy_edit(found: Column, policy_tag: str) -> Column:
+    """The policy tag behind the head's first charset, else where the head starts, else in a head of its own."""
+    stop = lambda tag, more: F.array_min(F.transform(F.filter(found, lambda e: (e["tag"] == tag) & more(e)), lambda e: e["inner"]))
+    charset = stop("meta", lambda e: (e["within"] == "head") & F.exists(e["attrs"], lambda a: a["name"] == "charset"))
+    at = F.coalesce(charset, stop("head", lambda e: F.lit(True)))
+    own = F.coalesce(stop("html", lambda e: F.lit(True)), F.lit(0))
+    return _edit(F.coalesce(at, own), F.coalesce(at, own), F.when(at.isNotNull(), F.lit(policy_tag)).otherwise(F.lit(f"<head>{policy_tag}</head>")), 19, "insert", "policy")
 
 
-def style_edits(found: DataFrame) -> DataFrame:
-    """Edits of <style> bodies and style attributes: external imports and addresses go."""
-    bodies = found.where("tag = 'style' AND body IS NOT NULL").select("page_id", F.col("inner").alias("start"), (F.col("inner") + F.length("body")).alias("stop"), extract.clean_css(F.col("body")).alias("css"), F.col("body").alias("was"))
-    bodies = bodies.select("page_id", "start", "stop", F.col("css").alias("new"), F.col("css") == F.col("was"))
-    owned = found.select("page_id", F.explode("attrs").alias("a")).select("page_id", "a.*").where("name = 'style'").withColumn("css", extract.clean_css(F.col("value")))
-    quoted = F.concat(F.lit(' style="'), F.replace(F.replace("css", F.lit("&"), F.lit("&amp;")), F.lit('"'), F.lit("&quot;")), F.lit('"'))
-    owned = owned.select("page_id", "start", "stop", quoted.alias("new"), F.col("css") == F.col("value"))
-    edits = bodies.toDF("page_id", "start", "stop", "new", "same").unionByName(owned.toDF("page_id", "start", "stop", "new", "same")).where("NOT same")
-    return edits.select("page_id", "start", "stop", "new", F.lit(7).alias("pass_no"), F.lit("rewrite").alias("action"), F.lit("style").alias("reason"))
+def with_edits(pages: DataFrame, policy_tag: str = "") -> DataFrame:
+    """`pages` (page_id, html) without server code, and the edits that stand for each: none lies in an element that goes."""
+    stripped = pages.select("page_id", extract.strip_server_code(F.coalesce("html", F.lit(""))).alias("html"))
+    rows = with_elements(stripped).withColumn("judged", judged(F.col("elements")))
+    both = [element_edits(F.col("judged")), attribute_edits(F.col("elements")), text_edits(F.col("elements"))]
+    if policy_tag:
+        both.append(F.when(F.exists("elements", lambda e: e["tag"] != "#text"), F.array(policy_edit(F.col("elements"), policy_tag))).otherwise(F.array().cast(EDITS)))
+    return rows.select("page_id", "html", F.concat(*both).cast(EDITS).alias("all")).select("page_id", "html", outermost(F.col("all")).alias("edits"))
+
 
+EDITS = "array<struct<start:int,stop:int,new:string,pass_no:int,action:string,reason:string>>"
 
-def planned(found: DataFrame) -> DataFrame:
-    """All edits that stand: none lies in an element that goes."""
-    both = element_edits(found).unionByName(attribute_edits(found)).unionByName(style_edits(found))
-    order = both.select("page_id", F.col("page_id").alias("file"), F.col("start").alias("start_pos"), F.col("stop").alias("end_pos"), F.col("pass_no").alias("hits"), "new", "action", "reason")
-    return spans.outermost(order).select("page_id", F.col("start_pos").alias("start"), F.col("end_pos").alias("stop"), "new", F.col("hits").alias("pass_no"), "action", "reason")
+
+def planned(pages: DataFrame, policy_tag: str = "") -> DataFrame:
+    """page_id, start, stop, new, pass_no, action, reason: the edits of `pages`, offsets in the text without server code."""
+    return with_edits(pages, policy_tag).select("page_id", F.inline("edits"))
 
 
 def cleaned(pages: DataFrame, policy_tag: str = "") -> DataFrame:
-    """page_id, html, n_edits: server code out, edits applied, `policy_tag` put behind <head>, blank lines collapsed. Pages without edits stay as they are but for those."""
-    stripped = pages.select("page_id", extract.strip_server_code(F.coalesce("html", F.lit(""))).alias("html"))
-    edits = planned(elements(stripped)).groupBy("page_id").agg(F.collect_list(F.struct("start", "stop", "new")).alias("edits"))
-    whole = stripped.join(edits, "page_id", "left")
-    done = F.when(F.col("edits").isNull(), F.col("html")).otherwise(spans.spliced(F.col("html"), F.col("edits")))
-    headed = F.when(F.lit(policy_tag) == "", done).otherwise(F.regexp_replace(done, r"(?i)(<head(?:\s[^>]*)?>)", "$1" + policy_tag.replace("$", "\\$")))
-    return whole.select("page_id", F.regexp_replace(headed, r"\n{3,}", "\n\n").alias("html"), F.coalesce(F.size("edits"), F.lit(0)).cast("long").alias("n_edits"))
+    """page_id, html, n_edits for each row of `pages`: server code out, edits applied, `policy_tag` put into the head, blank lines collapsed. Null html is empty. Rows are cleaned one by one, whether page_ids repeat or are null."""
+    rows = with_edits(pages, policy_tag)
+    return rows.select("page_id", F.regexp_replace(spans.spliced(F.col("html"), F.transform("edits", lambda e: F.struct(e["start"], e["stop"], e["new"]))), r"\n{3,}", "\n\n").alias("html"), F.size("edits").cast("long").alias("n_edits"))
+
+
+def macro_flags(pages: DataFrame) -> DataFrame:
+    """page_id, kind (own, link, image, text, script, other), token, element, attr: every macro of `pages`, what becomes of it or who has to look at it. Foreign macros of one place are one row."""
+    rows = elements(pages)
+    scanned = ["href", "src", "srcset", "poster", "content", "action", "formaction"]
+    url_tokens = lambda text: F.flatten(F.transform(F.regexp_extract_all(text, F.lit(r"(?i)url\([^)]*\)"), F.lit(0)), tokens))
+
+    def tokens(text: Column) -> Column:
+        return F.regexp_extract_all(text, F.lit(policy.MACRO), F.lit(0))
+
+    attrs = rows.select("page_id", F.col("tag").alias("element"), F.explode("attrs").alias("a")).select("page_id", "element", F.col("a.name").alias("attr"), F.col("a.value").alias("value"))
+    styles = attrs.where("attr = 'style'").select("page_id", "element", "attr", url_tokens(F.col("value")).alias("found"), F.lit("image").alias("kind"))
+    link = F.col("element").isin("a", "area") & (F.col("attr") == "href") & F.col("value").rlike(r"^\s*\{[^}]+\}\s*$")
+    image = F.col("attr").isin("src", "srcset", "poster", "data-src")
+    others = attrs.where(F.col("attr").isin(*scanned) | F.col("attr").startswith("data-")).select("page_id", "element", "attr", tokens(F.col("value")).alias("found"), F.when(link, "link").when(image, "image").otherwise("other").alias("kind"))
+    literal = r"""\x22(?:[^\x22\\\n]|\\.)*\x22|'(?:[^'\\\n]|\\.)*'|`(?:[^`\\]|\\.)*`"""
+    texts = rows.where(~F.col("within").isin(*MACRO_TEXTS) & (F.col("tag") == "#text")).select("page_id", F.concat(F.lit("text<"), "within", F.lit(">")).alias("element"), F.lit("(text)").alias("attr"), tokens(F.col("body")).alias("found"), F.lit("text").alias("kind"))
+    inline = rows.where((F.col("tag") == "script") & attribute("src").isNull() & ~F.coalesce(F.lower(attribute("type")).contains("json"), F.lit(False)))
+    code = inline.select("page_id", F.lit("script").alias("element"), F.lit("(js-string)").alias("attr"), F.array_distinct(F.flatten(F.transform(F.regexp_extract_all("body", F.lit(literal), F.lit(0)), tokens))).alias("found"), F.lit("script").alias("kind"))
+    sheets = rows.where("tag = 'style'").select("page_id", F.lit("style").alias("element"), F.lit("(css-url)").alias("attr"), url_tokens(F.col("body")).alias("found"), F.lit("image").alias("kind"))
+    whole = styles.unionByName(others).unionByName(texts).unionByName(code).unionByName(sheets).where(F.size("found") > 0)
+    is_own = lambda t: t.isin(*policy.OWN_MACROS)
+    own = F.transform(F.filter("found", is_own), lambda t: F.struct(F.lit("own").alias("kind"), t.alias("token")))
+    foreign = F.filter("found", lambda t: ~is_own(t))
+    joined = F.array_join(F.when(F.col("kind") == "image", F.when(F.col("attr").isin("style", "(css-url)"), F.array_distinct(foreign)).otherwise(foreign)).otherwise(foreign), " ")
+    found = F.concat(own, F.when(F.size(foreign) > 0, F.array(F.struct(F.col("kind"), joined.alias("token")))).otherwise(F.array().cast("array<struct<kind:string,token:string>>")))
+    return whole.select("page_id", "element", "attr", F.inline(found)).select("page_id", "kind", "token", "element", "attr")

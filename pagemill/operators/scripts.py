@@ -24,7 +24,7 @@ CALLS = [
 FORMS = [
     ("service worker", r"serviceWorker\s*\.\s*register\s*\("),
     ("obfuscated eval", r"(?:\beval|\bFunction|setTimeout|setInterval)\s*\(\s*(?:atob|unescape|String\.fromCharCode)\s*\("),
-    ("keylogger", r"""(?s)addEventListener\s*\(\s*["'`]key(?:down|up|press)["'`].{0,2000}?(?:fetch|sendBeacon|XMLHttpRequest)"""),
+    ("keylogger", r"""(?s)addEventListener\s*\(\s*["'`]key(?:down|up|press)["'`].*?(?:fetch|sendBeacon|XMLHttpRequest)"""),
     ("written script", r"""document\.write(?:ln)?\s*\(\s*["'`]<script"""),
 ]
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagemill.functions import policy, urls
-from pagemill.operators import adapt, extract, html, layout, report, scripts, spans
+from pagemill.operators import adapt, extract, html, layout, markup, report, scripts, spans
 from pagemill.plans import fixtures as fx
 from pagemill.plans import oracle as o
 
@@ -102,20 +102,19 @@ def tracker_suffix_join(spark, sf_dir):
     return hit.groupBy("host").agg(F.count(F.lit(1)).alias("n"))
 
 
-def _hosts(spark, sf_dir, how):
-    trusted = F.broadcast(spark.createDataFrame([(t,) for t in policy.TRUSTED_LIB_HOSTS], "host string"))
+def _hosts(spark, sf_dir, trusted):
     found = extract.resources(marked_pages(spark, sf_dir)).withColumn("host", urls.host(F.col("url"))).where("host IS NOT NULL")
-    return found.join(trusted, "host", how).groupBy("kind", "host").agg(F.count(F.lit(1)).alias("n"))
+    return found.where(urls.in_domains(F.col("host"), policy.TRUSTED_LIB_HOSTS) == trusted).groupBy("kind", "host").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(f"SELECT kind, host, count(*) AS n FROM (SELECT *, {o.host('url')} AS host FROM ({o.RESOURCES})) WHERE host IN {o.values(policy.TRUSTED_LIB_HOSTS)} GROUP BY kind, host")
+@query(f"SELECT kind, host, count(*) AS n FROM (SELECT *, {o.host('url')} AS host FROM ({o.RESOURCES})) WHERE host IS NOT NULL AND {o.below('host', policy.TRUSTED_LIB_HOSTS)} GROUP BY kind, host")
 def trusted_semi(spark, sf_dir):
-    return _hosts(spark, sf_dir, "left_semi")
+    return _hosts(spark, sf_dir, True)
 
 
-@query(f"SELECT kind, host, count(*) AS n FROM (SELECT *, {o.host('url')} AS host FROM ({o.RESOURCES})) WHERE host NOT IN {o.values(policy.TRUSTED_LIB_HOSTS)} GROUP BY kind, host")
+@query(f"SELECT kind, host, count(*) AS n FROM (SELECT *, {o.host('url')} AS host FROM ({o.RESOURCES})) WHERE host IS NOT NULL AND NOT {o.below('host', policy.TRUSTED_LIB_HOSTS)} GROUP BY kind, host")
 def untrusted_anti(spark, sf_dir):
-    return _hosts(spark, sf_dir, "left_anti")
+    return _hosts(spark, sf_dir, False)
 
 
 @query(f"SELECT case_id, rel, kind, CASE WHEN kind IS NOT NULL THEN action END AS action FROM ({o.VERDICTS.format(rows='(SELECT case_id, rel, ' + o.LINK_KIND + ' AS kind, href AS url FROM ' + fx.LINKS.sql() + ')')})")
@@ -165,10 +164,10 @@ def outermost_spans(spark, sf_dir):
     return spans.outermost(fx.SPANS.df(spark))
 
 
-@query(f"SELECT page_id, name, value FROM (SELECT page_id, lower(regexp_extract(a, '^\\s(on[a-zA-Z]+)', 1)) AS name, regexp_extract(a, '\"([^\"]*)\"', 1) AS value FROM (SELECT page_id, unnest(regexp_extract_all(html, '(?i)\\son[a-z]+\\s*=\\s*\"[^\"]*\"')) AS a FROM {o.MARKED}))")
+@query(" UNION ALL ".join(f"SELECT page_id, '{name}' AS name, value FROM ({o.attribute('[a-z][^\\s/>]*', name)})" for name in ("onclick", "onload", "onerror", "onsubmit", "onchange", "onmouseover", "onfocus", "oninput")))
 def event_attributes(spark, sf_dir):
-    found = marked_pages(spark, sf_dir).select("page_id", F.explode(extract.all_of(F.col("html"), r'(?i)\son[a-z]+\s*=\s*"[^"]*"', 0)).alias("a"))
-    return found.select("page_id", F.lower(F.regexp_extract("a", r"^\s(on[a-zA-Z]+)", 1)).alias("name"), F.regexp_extract("a", r'"([^"]*)"', 1).alias("value"))
+    found = markup.elements(marked_pages(spark, sf_dir)).where("within <> 'noscript'").select("page_id", F.explode("attrs").alias("a"))
+    return found.where(F.col("a.name").rlike("^on[a-z]")).select("page_id", "a.name", "a.value")
 
 
 @query(" UNION ALL ".join(f"SELECT case_id, '{label}' AS label, len(regexp_extract_all(code, {o.text(p)}))::BIGINT AS n FROM {fx.SOURCES.sql()} WHERE regexp_matches(code, {o.text(p)})" for label, p in policy.PHP_BACKDOORS))
@@ -191,9 +190,13 @@ def server_tags(spark, sf_dir):
     return fx.SOURCES.df(spark).select("case_id", extract.strip_server_code(F.col("code")).alias("stripped"))
 
 
-@query()
+CSS_11 = " a{background:url('')} b{background:url(i/y.png)}"
+
+
+@query(f"SELECT case_id, CASE case_id WHEN 11 THEN {o.text(CSS_11)} WHEN 12 THEN code WHEN 13 THEN 'c{{color:red}}' ELSE code END AS cleaned FROM {fx.SOURCES.sql()}")
 def css_clean(spark, sf_dir):
-    return fx.SOURCES.df(spark).where("case_id = 11").select("case_id", extract.clean_css(F.col("code")).alias("cleaned"))
+    """Every source as a style sheet; the oracle has the expected sheets of those that change."""
+    return fx.SOURCES.df(spark).select("case_id", extract.clean_css(F.col("code")).alias("cleaned"))
 
 
 @query(f"SELECT case_id, lib, version, replace(target, '{{v}}', version) AS cdn_url FROM ({o.LIBRARIES.format(rows=fx.LIB_URLS.sql())})")
@@ -203,8 +206,8 @@ def library_by_url(spark, sf_dir):
 
 @query(f"SELECT page_id, url, main_host, {o.IS_OFFER} AS offer FROM (SELECT r.page_id, r.url, {o.host('p.url')} AS main_host FROM ({o.RESOURCES}) r JOIN pages p ON p.page_id = r.page_id WHERE r.kind = 'anchor')")
 def offer_urls(spark, sf_dir):
-    main = marked_pages(spark, sf_dir).select("page_id", urls.host(F.col("url")).alias("main_host"), "html")
-    rows = main.select("page_id", "main_host", F.explode(extract.all_of(F.col("html"), extract.attribute("(?:a|area)", "href"))).alias("url"))
+    rows = markup.with_elements(marked_pages(spark, sf_dir)).select("page_id", urls.host(F.col("url")).alias("main_host"), F.inline("elements"))
+    rows = rows.where("tag IN ('a', 'area') AND within <> 'noscript'").select("page_id", "main_host", markup.attribute("href").alias("url")).where("url IS NOT NULL")
     return rows.select("page_id", "url", "main_host", F.coalesce(extract.is_offer(F.col("url"), F.col("main_host")), F.lit(False)).alias("offer"))
 
 
@@ -229,7 +232,7 @@ def changelog_first_100(spark, sf_dir):
     return report.first_changes(extract.classified(marked_pages(spark, sf_dir)))
 
 
-@query(f"SELECT count(*) AS n_runs, count(*) > 0 AND bool_and(NOT is_error) AS ok, count(DISTINCT page) AS n_pages, CAST(count_if(h IS NOT NULL AND NOT h IN {o.values(policy.TRUSTED_LIB_HOSTS)}) AS BIGINT) AS n_foreign, array_to_string(list_sort(list_distinct(list(h) FILTER (h IS NOT NULL AND NOT h IN {o.values(policy.TRUSTED_LIB_HOSTS)}))), ' ') AS foreign_hosts FROM (SELECT *, {o.host('url')} AS h FROM {fx.REQUESTS.sql()})")
+@query(f"SELECT count(*) AS n_runs, count(*) > 0 AND bool_and(NOT is_error) AS ok, count(DISTINCT page) AS n_pages, CAST(count_if(h IS NOT NULL AND NOT {o.below('h', policy.TRUSTED_LIB_HOSTS)}) AS BIGINT) AS n_foreign, array_to_string(list_sort(list_distinct(list(h) FILTER (h IS NOT NULL AND NOT {o.below('h', policy.TRUSTED_LIB_HOSTS)}))), ' ') AS foreign_hosts FROM (SELECT *, {o.host('url')} AS h FROM {fx.REQUESTS.sql()})")
 def verify_fold(spark, sf_dir):
     return report.verified(fx.REQUESTS.df(spark))
 
@@ -254,9 +257,16 @@ def product_name_hits(spark, sf_dir):
     return pages(spark, sf_dir).select("page_id", F.regexp_count(plain, F.lit(adapt.names_pattern(NAMES))).cast("long").alias("n"))
 
 
-@query()
+@query(fx.RENAMED.sql()[1:-1])
+def product_name_cases(spark, sf_dir):
+    """Names in texts, attributes, metas, markup and scripts, against the expected pages."""
+    return adapt.names_replaced(fx.NAMED.df(spark), ["Vital Boost", "foo"])
+
+
+@query(r"SELECT page_id, CAST(len(regexp_extract_all(regexp_replace(regexp_replace(html, '(?is)<(script|style|pre|code|textarea|noscript)\b.*?</(script|style|pre|code|textarea|noscript)>|<!--.*?-->|<[^>]*>', '|', 'g'), '[^\x00-\x7F]', 'x', 'g'), '(?i)\bthe\s+and\b|\bof\b')) AS BIGINT) AS n_replaced FROM pages")
 def product_name_replace(spark, sf_dir):
-    return pages(spark, sf_dir).select("page_id", adapt.renamed(F.col("html"), NAMES).alias("html"))
+    """How many names the texts of every page lose to the macro."""
+    return adapt.names_replaced(pages(spark, sf_dir), NAMES).select("page_id", "n_replaced")
 
 
 @query("SELECT page_id, sha256(html) AS sha256 FROM pages")
@@ -280,11 +290,10 @@ def extension_directories(spark, sf_dir):
     return rows.groupBy(urls.extension(F.col("basename")).alias("extension"), layout.directory(F.col("basename")).alias("dir")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(f"SELECT name, count(*) AS n FROM (SELECT unnest(regexp_extract_all(html, '(?i)<meta\\s(?:[^>]*?\\s)?name\\s*=\\s*\"([^\"]*)\"', 1)) AS name FROM {o.MARKED}) WHERE lower(name) IN {o.values([m.lower() for m in policy.VERIFICATION_METAS])} GROUP BY name")
+@query(f"SELECT value AS name, count(*) AS n FROM ({o.attribute('meta', 'name')}) WHERE lower(value) IN {o.values([m.lower() for m in policy.VERIFICATION_METAS])} GROUP BY 1")
 def verification_metas(spark, sf_dir):
-    names = F.broadcast(spark.createDataFrame([(m.lower(),) for m in policy.VERIFICATION_METAS], "meta string"))
-    found = marked_pages(spark, sf_dir).select(F.explode(extract.all_of(F.col("html"), extract.attribute("meta", "name"))).alias("name"))
-    return found.join(names, F.lower("name") == F.col("meta"), "left_semi").groupBy("name").agg(F.count(F.lit(1)).alias("n"))
+    found = markup.elements(marked_pages(spark, sf_dir)).where("tag = 'meta'").select(markup.attribute("name").alias("name"))
+    return found.where(F.lower("name").isin(*[m.lower() for m in policy.VERIFICATION_METAS])).groupBy("name").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("SELECT page_id, CAST(length(html) AS BIGINT) AS chars_before, CAST(length(a) AS BIGINT) AS chars_after, round(100.0e0 * (length(html) - length(a)) / length(html), 2) AS percent FROM (SELECT page_id, html, regexp_replace(html, '(?is)<(script|style)\\b[^>]*>.*?</(script|style)>', '', 'g') AS a FROM pages)")
@@ -295,17 +304,61 @@ def size_delta(spark, sf_dir):
 
 @query()
 def clean_pages(spark, sf_dir):
-    """Cleaned markup of every page, by edit planning."""
-    return html.cleaned(marked_pages(spark, sf_dir))
+    """Cleaned markup of every page, by edit planning in the row."""
+    return html.cleaned(marked_pages(spark, sf_dir), policy.POLICY_TAG)
+
+
+@query(fx.CLEANED.sql()[1:-1])
+def clean_cases(spark, sf_dir):
+    """A page for each pass, against the expected pages."""
+    return html.cleaned(fx.DIRTY.df(spark), "<meta policy>")
+
+
+@query(f"SELECT page_id, n_imgs, n_gone, CAST(n_imgs - n_gone AS BIGINT) AS n_left FROM (SELECT page_id, CAST(count(*) AS BIGINT) AS n_imgs, CAST(count_if(action <> 'keep') AS BIGINT) AS n_gone FROM ({o.VERDICTS.format(rows=o.RESOURCES)}) WHERE kind = 'img' GROUP BY page_id)")
+def cleaned_images(spark, sf_dir):
+    """Images of every page before and after cleaning."""
+    dirty = extract.classified(marked_pages(spark, sf_dir)).where("kind = 'img'").groupBy("page_id").agg(F.count(F.lit(1)).alias("n_imgs"), F.count_if(F.col("action") != "keep").alias("n_gone"))
+    left = extract.resources(html.cleaned(marked_pages(spark, sf_dir), policy.POLICY_TAG)).where("kind = 'img'").groupBy("page_id").agg(F.count(F.lit(1)).alias("n_left"))
+    return dirty.join(left, "page_id", "left").select("page_id", "n_imgs", "n_gone", F.coalesce("n_left", F.lit(0)).cast("long").alias("n_left"))
 
 
 @query()
 def edit_plan(spark, sf_dir):
-    return html.planned(html.elements(marked_pages(spark, sf_dir))).groupBy("pass_no", "action", "reason").agg(F.count(F.lit(1)).alias("n"))
+    return html.planned(marked_pages(spark, sf_dir), policy.POLICY_TAG).groupBy("pass_no", "action", "reason").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(fx.FLAGS.sql()[1:-1])
+def macro_flags(spark, sf_dir):
+    """Macros by place and verdict, against the expected flags."""
+    return html.macro_flags(fx.DIRTY.df(spark))
+
+
+@query(fx.WARNED.sql()[1:-1])
+def code_warnings(spark, sf_dir):
+    """A row for each suspicious place of scripts, with its line, against the expected places."""
+    return extract.code_warnings(fx.SCRIPTS.df(spark))
+
+
+@query(fx.STRIPPED.sql()[1:-1])
+def source_maps(spark, sf_dir):
+    return fx.SCRIPTS.df(spark).select("case_id", extract.without_source_maps(F.col("code")).alias("code"))
+
+
+@query(f"SELECT case_id, 'jquery' AS lib, '3.7.1' AS version, 'https://code.jquery.com/jquery-3.7.1.min.js' AS cdn_url FROM {fx.SOURCES.sql()} WHERE case_id = 9 UNION ALL SELECT case_id, 'lodash', '4.17.21', 'https://cdn.jsdelivr.net/npm/lodash@4.17.21/lodash.min.js' FROM {fx.SOURCES.sql()} WHERE case_id = 10")
+def library_by_code(spark, sf_dir):
+    return fx.SOURCES.df(spark).select("case_id", extract.library_by_code(F.col("code")).alias("l")).where("l IS NOT NULL").select("case_id", "l.lib", "l.version", "l.cdn_url")
+
+
+@query(f"SELECT host, action FROM ({o.VERDICTS.format(rows='(SELECT DISTINCT host AS saved, ' + chr(39) + 'script' + chr(39) + ' AS kind, ' + chr(39) + 'https://' + chr(39) + ' || host || ' + chr(39) + '/' + chr(39) + ' AS url FROM (SELECT ' + o.host('url') + ' AS host FROM ' + o.RESOURCES + ') WHERE host IS NOT NULL)')})")
+def external_folders(spark, sf_dir):
+    """What becomes of the saved folder of each host that pages load from."""
+    hosts = extract.resources(marked_pages(spark, sf_dir)).select(urls.host(F.col("url")).alias("host")).where("host IS NOT NULL").distinct()
+    return hosts.select("host", extract.external_folder(F.col("host")).alias("action"))
 
 
 @query()
 def script_threats(spark, sf_dir):
     marked = marked_pages(spark, sf_dir)
-    main = marked.select("page_id", urls.host(F.col("url")).alias("main_host"))
-    return scripts.threats(extract.inline_scripts(marked).join(main, "page_id"))
+    bodies = extract.all_of(F.col("html"), extract.SCRIPT, 0)
+    rows = marked.select("page_id", urls.host(F.col("url")).alias("main_host"), F.explode(bodies).alias("element"))
+    return scripts.threats(extract.inline_bodies(rows))

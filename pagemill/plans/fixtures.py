@@ -38,7 +38,7 @@ SNIPPETS = Fixture(
         (3, '<script src="https://cdn.jsdelivr.net/gh/someone/repo/x.js"></script><video src="blob:https://a/b"></video><script src="js/pixel-tracker.js"></script>'),
         (4, '<script>window.dataLayer = []; gtag("js"); fetch("https://x.test/a"); atob("aGk=")</script><meta name="google-site-verification" content="1"><a href="{sub_id}">m</a>'),
         (5, '<div onclick="fetch(\'https://evil.test\')" onload="init()">{offer} {foreign_macro}</div><style>@import url("https://evil.test/a.css"); b{background:url(https://evil.test/i.png)}</style>'),
-        (6, '<script src="https://unpkg.com/@popperjs/core@2/dist/umd/popper.min.js"></script><link rel="stylesheet" href="https://cdn-like.test/x.css"><img src="https://assets.example.com/a.png">'),
+        (6, "<script src='https://single.test/a.js'></script><img src=https://bare.test/b.gif><!-- <script src='https://comment.test/c.js'></script> -->" + '<script src="https://unpkg.com/@popperjs/core@2/dist/umd/popper.min.js"></script><link rel="stylesheet" href="https://cdn-like.test/x.css"><img src="https://assets.example.com/a.png">'),
     ],
 )
 FILES = Fixture(
@@ -85,7 +85,56 @@ SOURCES = Fixture(
         (1, "<?php eval($_POST['x']); ?><p>a</p>"), (2, "<?xml version='1.0'?><b>k</b><?= 1 ?>"), (3, "<% x %>y<?php echo 1"), (4, "plain {offer} {x.y} {bad macro} {x.y}"),
         (5, "var _0x1a=_0x2b;_0x3c(_0x4d);"), (6, "eval(function(p,a,c,k,e,d){return p}('x',1,1,''))"), (7, "gzinflate(base64_decode('eA==')); move_uploaded_file($a, $b);"), (8, "var total = price * count;"),
         (9, "/*! jQuery JavaScript Library v3.7.1 */"), (10, "/* Lodash 4.17.21 (Custom Build) */"), (11, "@import 'https://evil.test/a.css'; a{background:url(\"https://evil.test/x.png\")} b{background:url(i/y.png)}"),
+        (12, "@import url('https://fonts.googleapis.com/css2?family=A:wght@400;700&display=swap'); a{color:red}"), (13, "@import url('https://evil.test/css?a=1;2');c{color:red}"),
     ],
 )
 CONFIG = Fixture("layer int, default_vertical string, name_macro string", [(0, "general", "{_offer_value:offername}"), (1, None, "{name}"), (2, "health", None)])
 BRIEF = Fixture("case_id int, vertical string, image_mode string, image_file string", [(1, None, "macro", None), (2, "Adult", "macro", None), (3, " WeightLoss ", "file", "img/p.png"), (4, "Adult", "skip", None), (5, "None", "macro", None)])
+# Pages for the passes of cleaning, and what becomes of them with "<meta policy>" as the policy tag.
+DIRTY = Fixture(
+    "page_id long, html string",
+    [
+        (1, '<html><head><meta charset="u"><base href="x"><title>{foo}a</title></head><body><p>a  {sub_id}  b {offer}</p></body></html>'),
+        (1, "<html><p>a</p><noscript><img src='//unlisted.test/p'></noscript><noscript><img src=\"/own.png\"><iframe src=https://www.googletagmanager.com/ns.html></iframe></noscript></html>"),
+        (None, '<p><base href="y"><a href="{click_id}">m</a><a href="tel:1">t</a><img src="{img}" alt="x"></p>'),
+        (2, "no markup {x}"),
+        (3, "<head></head><style>@import 'https://fonts.googleapis.com/css2?family=A:wght@400;700';@import '//evil.test/a;b.css';p{color:red}</style><pre>{keep}</pre><script>var a = \"{js_macro}\" + '{offer}';</script><div style=\"background:url({bg})\" data-x=\"{d}\"></div>"),
+        (4, None),
+    ],
+)
+CLEANED = Fixture(
+    "page_id long, html string, n_edits long",
+    [
+        (1, '<html><head><meta charset="u"><meta policy><title>a</title></head><body><p>a b {offer}</p></body></html>', 4),
+        (1, "<html><head><meta policy></head><p>a</p><noscript><img src=\"/own.png\"></noscript></html>", 3),
+        (None, '<head><meta policy></head><p><a href="{offer}">m</a><a href="tel:1">t</a><img src="{img}" alt="x"></p>', 3),
+        (2, "no markup ", 1),
+        (3, "<head><meta policy></head><style>@import 'https://fonts.googleapis.com/css2?family=A:wght@400;700';p{color:red}</style><pre>{keep}</pre><script>var a = \"{js_macro}\" + '{offer}';</script><div style=\"background:url({bg})\" data-x=\"{d}\"></div>", 2),
+        (4, "", 0),
+    ],
+)
+FLAGS = Fixture(
+    "page_id long, kind string, token string, element string, attr string",
+    [
+        (1, "text", "{foo}", "text<title>", "(text)"), (1, "text", "{sub_id}", "text<p>", "(text)"), (1, "own", "{offer}", "text<p>", "(text)"), (None, "link", "{click_id}", "a", "href"), (None, "image", "{img}", "img", "src"),
+        (2, "text", "{x}", "text<>", "(text)"), (3, "script", "{js_macro}", "script", "(js-string)"), (3, "own", "{offer}", "script", "(js-string)"), (3, "image", "{bg}", "div", "style"), (3, "other", "{d}", "div", "data-x"),
+    ],
+)
+NAMED = Fixture(
+    "page_id long, html string",
+    [(1, '<p class="foo" title="Foo &amp; co">FOO, Vital  Boost<a href="/foo/x.js">food</a></p><script>var foo=1</script>'), (1, '<meta name="Description" content="the foo"><meta name="author" content="foo"><code>foo</code><title>foo</title>'), (None, None)],
+)
+RENAMED = Fixture(
+    "page_id long, html string, n_replaced long",
+    [
+        (1, '<p class="foo" title="{_offer_value:offername} &amp; co">{_offer_value:offername}, {_offer_value:offername}<a href="/foo/x.js">food</a></p><script>var foo=1</script>', 3),
+        (1, '<meta name="Description" content="the {_offer_value:offername}"><meta name="author" content="foo"><code>foo</code><title>{_offer_value:offername}</title>', 2),
+        (None, "", 0),
+    ],
+)
+SCRIPTS = Fixture("case_id int, code string", [(1, "let a = 1;\nfetch('/x');\n\n  fetch ('/y'); atob(a)\n//# sourceMappingURL=a.js.map"), (2, "p{}\n/*# sourceMappingURL=b.css.map */"), (3, None)])
+WARNED = Fixture(
+    "case_id int, label string, line int, snippet string",
+    [(1, label, line, "let a = 1; fetch('/x'); fetch ('/y'); atob(a) //# sourceMappingURL=a.js.map") for label, line in (("fetch()", 2), ("fetch()", 4), ("atob()", 4))],
+)
+STRIPPED = Fixture("case_id int, code string", [(1, "let a = 1;\nfetch('/x');\n\n  fetch ('/y'); atob(a)\n"), (2, "p{}\n"), (3, None)])

@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 from pagemill.functions import policy
-from pagemill.operators.extract import RESOURCES as KINDS
-from pagemill.operators.extract import attribute
 from pagemill.plans import fixtures as fx
 
 
@@ -47,8 +45,24 @@ def directory(name: str) -> str:
 
 
 MARKED = f"(SELECT page_id, url, html || markup AS html FROM pages JOIN {fx.SNIPPETS.sql()} ON page_id % 7 = slot)"
-RESOURCES = "(" + " UNION ALL ".join(f"SELECT page_id, {text(kind)} AS kind, unnest(regexp_extract_all(html, {text(attribute(tag, name))}, 1)) AS url FROM {MARKED}" for kind, tag, name in KINDS) + ")"
-ANCHORS = f"SELECT page_id, unnest(regexp_extract_all(html, {text(attribute('(?:a|area)', 'href'))}, 1)) AS href FROM {MARKED}"
+#: Markup without comments and without the content of elements whose content isn't markup.
+_bare = "regexp_replace(html, '(?s)<!--.*?(?:-->|\\z)', '', 'g')"
+for _tag in ("script", "style", "textarea", "title", "noscript", "noframes", "iframe", "xmp"):
+    _bare = f"regexp_replace({_bare}, '(?is)(<{_tag}(?:\\s[^>]*)?>).*?(?:</{_tag}\\s*>|\\z)', '\\1', 'g')"
+
+
+def attribute(tags: str, name: str, rows: str = MARKED) -> str:
+    """page_id and value of an attribute, in double, single or no quotes, of each element of the tags (a regular expression) that has it."""
+    element = f"(?is)<(?:{tags})(?:\\s(?:\"[^\"]*\"|''[^'']*''|[^''\">])*)?>"
+    value = f"(?i)\\s{name}\\s*=\\s*(?:\"([^\"]*)\"|''([^'']*)''|([^\\s\"''>]+))"
+    raw = " || ".join(f"regexp_extract(element, '{value}', {i})" for i in (1, 2, 3))
+    plain = f"replace(replace(replace(replace(replace({raw}, '&quot;', '\"'), '&#39;', chr(39)), '&lt;', '<'), '&gt;', '>'), '&amp;', '&')"
+    return f"SELECT page_id, {plain} AS value FROM (SELECT page_id, unnest(regexp_extract_all({_bare}, '{element}')) AS element FROM {rows}) WHERE regexp_matches(element, '{value}')"
+
+
+_kinds = [("script", "script", "src"), ("iframe", "iframe", "src"), ("img", "img", "src"), ("media", "video|audio|source", "src"), ("stylesheet", "link", "href"), ("anchor", "a|area", "href")]
+RESOURCES = "(" + " UNION ALL ".join(f"SELECT page_id, '{kind}' AS kind, value AS url FROM ({attribute(tags, name)})" for kind, tags, name in _kinds) + ")"
+ANCHORS = f"SELECT page_id, value AS href FROM ({attribute('a|area', 'href')})"
 INLINE = f"SELECT page_id, regexp_extract(element, '(?is)^<script[^>]*>(.*)</script>$', 1) AS body FROM (SELECT page_id, unnest(regexp_extract_all(html, '(?is)<script(?:\\s[^>]*)?>.*?</script>')) AS element FROM {MARKED}) WHERE NOT regexp_matches(element, '(?i)^<script\\s[^>]*src\\s*=')"
 TRACKERS = [t for t in policy.TRACKER_HOSTS if "/" not in t]
 
