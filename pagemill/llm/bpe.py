@@ -18,16 +18,15 @@ from __future__ import annotations
 import hashlib
 import json
 import re
-import uuid
 from collections import Counter
 from collections.abc import Callable, Iterator
+from functools import cached_property
 from itertools import chain, repeat
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -56,19 +55,12 @@ class Vocabulary:
     """The frequent words for the tasks, and their ids by code. Code 0 is for all other words."""
 
     def __init__(self, words: list[str], ids: list[bytes]):
-        self.words, self.name = words, uuid.uuid4().hex
-        self.ids = objects([b"", *ids])
+        self.words, self.ids = words, objects([b"", *ids])
 
-
-_codes: tuple[str, dict[str, int]] = ("", {})
-
-
-def codes_of(head: Broadcast) -> dict[str, int]:
-    """Word to code, kept by the Python worker."""
-    global _codes
-    if _codes[0] != head.value.name:
-        _codes = (head.value.name, {w: i for i, w in enumerate(head.value.words, 1)})
-    return _codes[1]
+    @cached_property
+    def codes(self) -> dict[str, int]:
+        """Word to code; a Python worker keeps it as long as the broadcast."""
+        return {w: i for i, w in enumerate(self.words, 1)}
 
 
 def piece_table(tokenizer: str) -> np.ndarray:
@@ -100,10 +92,11 @@ def frequent_words(docs: DataFrame, tokenizer: str, most: int, kind: type) -> Vo
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter = Counter()
         for b in batches:
-            for text in b.column(0).to_pylist():
-                seen.update(words_of(text))
-            if len(seen) > 700_000:
-                seen = Counter({w: n for w, n in seen.items() if n > 1})
+            for i in range(0, b.num_rows, 1000):
+                for text in b.column(0).slice(i, 1000).to_pylist():
+                    seen.update(words_of(text))
+                if len(seen) > 500_000:
+                    seen = Counter({w: n for w, n in seen.items() if n > 1})
         total = seen.total()
         few, many = max(2, total // 2_000_000), max(2, total // COMMON)
         kept = [(w, n) for w, n in seen.items() if n >= few and len(w) <= HEAD_CHARS or n >= many and len(w) <= LONG_CHARS]
@@ -161,19 +154,20 @@ def encoded(docs: DataFrame, finish: Callable, schema: str, tokenizer: str = TOK
     head = spark.sparkContext.broadcast(frequent_words(docs, tokenizer, head_words, kind))
 
     def rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = codes_of(head)
+        known = head.value.codes
         for b in batches:
-            rows, at, words = [], [], []
-            for i, text in enumerate(b.column("text").to_pylist()):
-                own = [w for w in words_of(text) if w not in known]
-                rows += repeat(i, len(own))
-                at += range(len(own))
-                words += own
-            index = pa.array(rows, pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column("k").take(index), b.column("h").take(index), pa.array(at, pa.int32()), pa.array(words, pa.string())], names=["k", "h", "at", "word"])
+            for first in range(0, b.num_rows, 1000):
+                part, rows, at, words = b.slice(first, 1000), [], [], []
+                for i, text in enumerate(part.column("text").to_pylist()):
+                    own = [w for w in words_of(text) if w not in known]
+                    rows += repeat(i, len(own))
+                    at += range(len(own))
+                    words += own
+                index = pa.array(rows, pa.int64())
+                yield pa.RecordBatch.from_arrays([part.column("k").take(index), part.column("h").take(index), pa.array(at, pa.int32()), pa.array(words, pa.string())], names=["k", "h", "at", "word"])
 
     def codes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = codes_of(head)
+        known = head.value.codes
         for b in batches:
             out = []
             for i in range(0, b.num_rows, 256):

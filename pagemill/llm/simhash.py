@@ -208,11 +208,16 @@ def bit_counts(hashes: np.ndarray) -> np.ndarray:
     return sums.view(np.uint8).reshape(-1, 64).sum(axis=0, dtype=np.int64)
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of at most `rows` rows, so that a task holds few texts as Python objects."""
+    return (b.slice(i, rows) for b in batches for i in range(0, b.num_rows, rows))
+
+
 class WordHashes(dict):
-    """XXH64 of words, some 200,000 kept."""
+    """XXH64 of words, some 100,000 kept."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 200_000:
+        if len(self) > 100_000:
             self.clear()
         h = self[word] = xxhash.xxh64_intdigest(word, 42)
         return h
@@ -361,7 +366,7 @@ def with_sets(docs: DataFrame, needed: DataFrame, width: int, n: int) -> DataFra
     """fp, wide (SimHash of 64 * n bits), shingles for the texts of `docs` whose text_hash is in `needed` (fp, text_hash)."""
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             sets = [shingle_set(t, width) for t in b.column("text").to_pylist()]
             wide = [wide_fingerprint(x, n).tobytes() for x in sets]
             yield pa.RecordBatch.from_arrays([b.column("text_hash"), pa.array(wide, pa.binary()), pa.array([x.tobytes() for x in sets], pa.binary())], names=["text_hash", "wide", "shingles"])
@@ -383,7 +388,7 @@ def similar(docs: DataFrame, width: int = 5, similarity: float = 0.8, n: int = 8
     radius = radius_of(similarity, 64 * n)
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             sets = [shingle_set(t, width) for t in b.column("text").to_pylist()]
             ids = np.array([xxhash.xxh64_intdigest(x.tobytes(), 1) for x in sets], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text_hash"), pa.array(ids, pa.int64()), pa.array([len(x) for x in sets], pa.int64()), pa.array([shards_of(x) for x in sets], pa.list_(pa.int64()))], names=["doc_id", "text_hash", "fp", "n", "shards"])

@@ -78,7 +78,7 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, min_docs:
                 for w in words.difference(known):
                     known[w] = grams(w)
                 of[toxic].update(set().union(*(known[w] for w in words)))
-            if len(of[0]) + len(of[1]) > 500_000:
+            if len(of[0]) + len(of[1]) > 300_000:
                 yield out()
                 of = {0: Counter(), 1: Counter()}
         yield out()
@@ -155,7 +155,7 @@ def scorer(spark: SparkSession, model: Model):
         weights = m.weights
         for text in texts:
             words = set(text.split()) if text else set()
-            if len(known) > 150_000:
+            if len(known) > 100_000:
                 known.clear()
             for w in words.difference(known):
                 known[w] = tuple(g for g in grams(w) if g in weights)
