@@ -12,7 +12,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -73,12 +72,12 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, min_docs:
         for b in batches:
             for text, toxic in zip(b.column("text").to_pylist(), b.column("toxic").to_pylist()):
                 words = set(text.split())
-                if len(known) > 20_000:  # a word's n-grams take some kilobytes
+                if len(known) > 8_000:  # a word's n-grams take some kilobytes
                     known.clear()
                 for w in words.difference(known):
                     known[w] = grams(w)
                 of[toxic].update(set().union(*(known[w] for w in words)))
-            if len(of[0]) + len(of[1]) > 300_000:
+            if len(of[0]) + len(of[1]) > 150_000:
                 yield out()
                 of = {0: Counter(), 1: Counter()}
         yield out()
@@ -146,25 +145,26 @@ def fit(ids: np.ndarray, lens: np.ndarray, y: np.ndarray, scale: np.ndarray, bia
 
 def scorer(spark: SparkSession, model: Model):
     """A column function: text to the probability that it is toxic; null counts as empty."""
-    shared = spark.sparkContext.broadcast(model)
-    known: dict[str, tuple[str, ...]] = {}
-
-    @F.pandas_udf("double")
-    def score(texts: pd.Series) -> pd.Series:
-        m, out = shared.value, []
-        weights = m.weights
-        for text in texts:
-            words = set(text.split()) if text else set()
-            if len(known) > 100_000:
-                known.clear()
-            for w in words.difference(known):
-                known[w] = tuple(g for g in grams(w) if g in weights)
-            own = set().union(*filter(None, map(known.get, words)))
-            for w in words:
-                if len(w) > 64:
-                    del known[w]
-            out.append(m.bias + sum(map(weights.get, sorted(own))))
-        return pd.Series(1 / (1 + np.exp(-np.clip(np.array(out, float), -30, 30))))
+    names = sorted(model.weights)
+    shared = spark.sparkContext.broadcast((model.bias, {g: i for i, g in enumerate(names)}, [model.weights[g] for g in names]))
+    known: dict[str, tuple[int, ...]] = {}
+
+    @F.arrow_udf("double")
+    def score(texts: pa.Array) -> pa.Array:
+        (bias, number, weights), out = shared.value, []
+        for at in range(0, len(texts), 500):  # few texts at a time are Python objects
+            for text in texts.slice(at, 500).to_pylist():
+                words = set(text.split()) if text else set()
+                if len(known) > 100_000:
+                    known.clear()
+                for w in words.difference(known):
+                    known[w] = tuple({i for g in grams(w) if (i := number.get(g)) is not None})
+                own = set().union(*filter(None, map(known.get, words)))
+                for w in words:
+                    if len(w) > 64:
+                        del known[w]
+                out.append(bias + sum(map(weights.__getitem__, sorted(own))))
+        return pa.array(1 / (1 + np.exp(-np.clip(np.array(out, float), -30, 30))), pa.float64())
 
     return score
 
