@@ -52,15 +52,20 @@ def words_of(text: str | None) -> list[str]:
 
 
 class Vocabulary:
-    """The frequent words for the tasks, and their ids by code. Code 0 is for all other words."""
+    """The frequent words for the tasks, and their ids by code. Code 0 is for all other words. Arrow holds both; Python objects are made where a task needs them."""
 
     def __init__(self, words: list[str], ids: list[bytes]):
-        self.words, self.ids = words, objects([b"", *ids])
+        self.words, self.packed = pa.array(words, pa.string()), pa.array([b"", *ids], pa.binary())
 
     @cached_property
     def codes(self) -> dict[str, int]:
         """Word to code; a Python worker keeps it as long as the broadcast."""
-        return {w: i for i, w in enumerate(self.words, 1)}
+        return {w: i for i, w in enumerate(self.words.to_pylist(), 1)}
+
+    @cached_property
+    def ids(self) -> np.ndarray:
+        """Ids by code, as objects."""
+        return objects(self.packed.to_pylist())
 
 
 def piece_table(tokenizer: str) -> np.ndarray:
@@ -92,10 +97,10 @@ def frequent_words(docs: DataFrame, tokenizer: str, most: int, kind: type) -> Vo
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter = Counter()
         for b in batches:
-            for i in range(0, b.num_rows, 1000):
-                for text in b.column(0).slice(i, 1000).to_pylist():
+            for i in range(0, b.num_rows, 500):
+                for text in b.column(0).slice(i, 500).to_pylist():
                     seen.update(words_of(text))
-                if len(seen) > 500_000:
+                if len(seen) > 250_000:
                     seen = Counter({w: n for w, n in seen.items() if n > 1})
         total = seen.total()
         few, many = max(2, total // 2_000_000), max(2, total // COMMON)
@@ -156,8 +161,8 @@ def encoded(docs: DataFrame, finish: Callable, schema: str, tokenizer: str = TOK
     def rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = head.value.codes
         for b in batches:
-            for first in range(0, b.num_rows, 1000):
-                part, rows, at, words = b.slice(first, 1000), [], [], []
+            for first in range(0, b.num_rows, 500):
+                part, rows, at, words = b.slice(first, 500), [], [], []
                 for i, text in enumerate(part.column("text").to_pylist()):
                     own = [w for w in words_of(text) if w not in known]
                     rows += repeat(i, len(own))
@@ -256,22 +261,26 @@ def digests(docs: DataFrame, tokenizer: str = TOKENIZER, head_words: int = HEAD,
     kind = id_kind(tokenizer)
     tables: list = []
 
-    def joined(words: list[bytes], table: pa.Array) -> pa.Array:
-        """For each word the texts of its ids, with spaces between."""
-        lens = np.array([len(w) for w in words], np.int64) // np.dtype(kind).itemsize
-        return joined_texts(table, np.frombuffer(b"".join(words), kind), np.concatenate(([0], np.cumsum(lens))))
+    def counted(words: pa.Array) -> np.ndarray:
+        """How many ids each word has."""
+        return pc.binary_length(words).to_numpy(zero_copy_only=False).astype(np.int64) // np.dtype(kind).itemsize
+
+    def joined(words: pa.Array, table: pa.Array) -> pa.Array:
+        """For each word (its ids as bytes) the texts of its ids, with spaces between."""
+        ends = np.concatenate(([0], np.cumsum(counted(words))))
+        whole = b"".join(x for i in range(0, len(words), 10_000) for x in words.slice(i, 10_000).to_pylist())
+        return joined_texts(table, np.frombuffer(whole, kind), ends)
 
     def finish(head: Vocabulary, codes: np.ndarray, cuts: np.ndarray, places: np.ndarray, rare: list[bytes]) -> list[pa.Array]:
-        size = np.dtype(kind).itemsize
         if not tables:
             by_id = piece_table(tokenizer)
             names = [pa.array(x, pa.large_string()) for x in ([str(i) for i in range(len(by_id))], by_id.tolist())]
-            words = head.ids.tolist()
-            tables.extend([names, np.array([len(w) // size for w in words]), [joined(words, x) for x in names]])
+            tables.extend([names, counted(head.packed), [joined(head.packed, x) for x in names]])
         names, counts, known = tables
         index = codes.copy()
         index[places] = len(counts) + np.arange(len(places))
-        n = np.concatenate((counts, [len(x) // size for x in rare])).astype(np.int64)[index]
+        rare = pa.array(rare, pa.binary())
+        n = np.concatenate((counts, counted(rare)))[index]
         sums = np.concatenate(([0], np.cumsum(n)))[cuts]
         if not n.all():  # words without ids leave no space either
             cuts, index = np.concatenate(([0], np.cumsum(n > 0)))[cuts], index[n > 0]
