@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pagemill.llm import balance, bpe, exactdedup, licenses, mixing, perplexity, simhash, tokenfiles, toxicity, warc
+from pagemill.llm import balance, bpe, exactdedup, forest, licenses, middle, mixing, negatives, perplexity, simhash, tokenfiles, toxicity, warc
 
-MODULES = (warc, perplexity, bpe, exactdedup, mixing, balance, toxicity, licenses, simhash, tokenfiles)
+MODULES = (warc, perplexity, bpe, exactdedup, mixing, balance, toxicity, licenses, simhash, tokenfiles, negatives, forest, middle)
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
 for module in MODULES:
