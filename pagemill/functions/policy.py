@@ -59,6 +59,8 @@ VERIFICATION_METAS = [
 ]
 # Macros that stay.
 OWN_MACROS = ["{offer}", "{_offer_value:offername}", "{_offer_value:offerimage}"]
+# Fixed value: types of scripts that are JavaScript.
+JAVASCRIPT_TYPE = r"^(text|application)/(x-)?(java|ecma)script\z"
 MACRO = r"\{[a-zA-Z0-9_:.\-]+\}"
 # Script code to look at by hand, label and pattern.
 JS_WARNINGS = [
@@ -119,6 +121,11 @@ DIRECTORIES = {
 NAME_ATTRIBUTES = ["alt", "title", "aria-label", "placeholder"]
 NAME_METAS = ["description", "keywords", "og:title", "og:description", "twitter:title", "twitter:description"]
 NAME_SKIPPED = ["script", "style", "template", "textarea", "pre", "code", "noscript"]
+# Attributes with an image's address, those that would outdo src, and signs of images that show no product.
+IMAGE_ATTRIBUTES = ["src", "srcset", "poster", "data-src", "data-srcset", "data-lazy-src", "data-original"]
+RESPONSIVE_ATTRIBUTES = ["srcset", "sizes", "data-src", "data-srcset", "data-lazy-src", "data-lazy", "data-original"]
+NO_PRODUCT = r"(?i)logo|sprite|favicon|payment|paypal|visa|master(?:card)?|amex|discover|\bicon\b|icon[-_]|[-_]icon|arrow|chevron|badge|spinner|loader"
+TINY_PIXELS = 48
 # Libraries by their code (name, signature, version in group 1 or 2, version where none is found, where the official copy is).
 LIBRARY_CODE = [
     ("jquery", r"(?i)jQuery\.fn\.jquery\s*=|jQuery JavaScript Library", r"""jQuery(?:\.fn\.jquery)?\s*=\s*["']([\d.]+)["']|jQuery\s+(?:JavaScript\s+Library\s+)?v([\d.]+)""", "3.7.1", "https://code.jquery.com/jquery-{v}.min.js"),

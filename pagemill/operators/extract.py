@@ -14,9 +14,19 @@ def all_of(text: Column, pattern: str, group: int = 1) -> Column:
     return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(pattern), group)
 
 
+def mapped(text: Column, pattern: str, new) -> Column:
+    """The text with each match m of the pattern replaced by new(m), all at once: no replacement is looked at again."""
+    gaps, hits = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    return F.array_join(F.zip_with(gaps, F.transform(hits, new), lambda gap, hit: F.concat(gap, F.coalesce(hit, F.lit("")))), "")
+
+
+#: Elements with an address.
+LOADING = ("script", "iframe", "img", "video", "audio", "source", "link", "a", "area")
+
+
 def resources(pages: DataFrame) -> DataFrame:
     """page_id, kind, url: a row for every resource of a page, repeats included, whatever its quotes; none from comments, scripts or noscripts."""
-    found = markup.elements(pages).where("tag <> '#text' AND within <> 'noscript'")
+    found = markup.elements(pages, LOADING, ("src", "href")).where("within <> 'noscript'")
     tag = F.col("tag")
     kind = F.when(tag.isin("script", "iframe", "img"), tag).when(tag.isin("video", "audio", "source"), "media").when(tag == "link", "stylesheet").when(tag.isin("a", "area"), "anchor")
     url = F.when(tag.isin("link", "a", "area"), markup.attribute("href")).otherwise(markup.attribute("src"))
@@ -29,7 +39,9 @@ def classified(pages: DataFrame) -> DataFrame:
 
 
 def anchors(pages: DataFrame) -> DataFrame:
-    return resources(pages).where("kind = 'anchor'").select("page_id", F.col("url").alias("href"))
+    """page_id, href of every link."""
+    found = markup.elements(pages, ("a", "area"), ("href",)).where("within <> 'noscript'")
+    return found.select("page_id", markup.attribute("href").alias("href")).where("href IS NOT NULL")
 
 
 def becomes_offer(href: Column) -> Column:
@@ -42,18 +54,20 @@ def becomes_offer(href: Column) -> Column:
 FOREIGN_MACRO = "(?!" + "|".join(re.escape(m) for m in policy.OWN_MACROS) + ")" + policy.MACRO
 
 
-SCRIPT = r"(?is)<script(?:\s[^>]*)?>.*?</script>"
-
-
-def inline_bodies(rows: DataFrame) -> DataFrame:
-    """`rows` (element, a script element, and others) with the element's body in its place, those with src left out."""
-    inline = rows.where(~F.col("element").rlike(r"(?i)^<script\s[^>]*src\s*="))
-    return inline.select(*[c for c in rows.columns if c != "element"], F.regexp_extract("element", r"(?is)^<script[^>]*>(.*)</script>\z", 1).alias("body"))
+def inline_scripts(pages: DataFrame, executable: bool = False) -> DataFrame:
+    """The columns of `pages` but html, and body, of every script element without src, those in comments or a noscript left out; with `executable` only those whose type browsers run."""
+    found = markup.with_elements(pages, ("script",), ("src", "type"))
+    rows = found.select(*[c for c in pages.columns if c != "html"], F.inline("elements"))
+    rows = rows.where((F.col("within") != "noscript") & markup.attribute("src").isNull())
+    if executable:
+        rows = rows.where(runs(markup.attribute("type")))
+    return rows.select(*[c for c in pages.columns if c != "html"], "body").where("body IS NOT NULL")
 
 
-def inline_scripts(pages: DataFrame) -> DataFrame:
-    """page_id, body of every script element without src."""
-    return inline_bodies(pages.select("page_id", F.explode(all_of(F.col("html"), SCRIPT, 0)).alias("element")))
+def runs(kind: Column) -> Column:
+    """Whether browsers run a script of that type: none, an empty one, a module or a type of JavaScript (parameters don't matter)."""
+    plain = F.lower(F.trim(F.regexp_extract(F.coalesce(kind, F.lit("")), r"^([^;]*)", 1)))
+    return plain.isin("", "module") | plain.rlike(policy.JAVASCRIPT_TYPE)
 
 
 def keywords_in(body: Column) -> Column:

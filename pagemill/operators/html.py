@@ -1,7 +1,8 @@
 """Cleaning of markup as edit planning: elements with offsets, edits by rules, the outermost edits applied.
 
 Python only finds where elements, attributes and texts stand. Which of them go is decided by Column expressions over the
-array of a page's elements, in the page's row: nothing is shuffled, and rows that share a page_id, or have none, don't meet.
+array of a page's elements, in the page's row; Python puts the chosen edits into the text. Nothing is shuffled, and rows that
+share a page_id, or have none, don't meet.
 """
 
 from __future__ import annotations
@@ -10,8 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagemill.functions import policy, urls
-from pagemill.operators import extract, spans
-from pagemill.operators.markup import attribute, elements, value_of, with_elements
+from pagemill.operators import extract
+from pagemill.operators.markup import attribute, elements, value_of, with_elements, with_outermost
 
 
 def _edit(start: Column, stop: Column, new: Column, pass_no: int, action: Column | str, reason: str) -> Column:
@@ -68,9 +69,8 @@ def element_edits(found: Column) -> Column:
 
 def emptied(e: Column, found: Column) -> Column:
     """Whether a noscript has elements that go and nothing else."""
-    bad = F.filter(found, lambda x: (x["e"]["within"] == "noscript") & (x["e"]["start"] >= e["inner"]) & (x["e"]["stop"] <= e["stop"]) & F.coalesce(x["action"] != "keep", F.lit(False)))
-    cuts = F.transform(bad, lambda x: F.struct((x["e"]["start"] - e["inner"]).alias("start"), (x["e"]["stop"] - e["inner"]).alias("stop"), F.lit("").alias("new")))
-    return (F.size(cuts) > 0) & (F.trim(F.regexp_replace(spans.spliced(e["body"], outermost(cuts)), r"\s+", " ")) == "")
+    numbers = lambda keep: F.transform(F.filter(found, lambda x: (x["e"]["within"] == "noscript") & ((x["action"] != "keep") if not keep else ~F.coalesce(x["action"] != "keep", F.lit(False)))), lambda x: x["e"]["up"])
+    return F.array_contains(numbers(False), e["number"]) & ~F.array_contains(numbers(True), e["number"]) & (F.trim(F.regexp_replace(e["body"], r"\s+", " ")) == "")
 
 
 def attribute_edits(found: Column) -> Column:
@@ -117,17 +117,6 @@ def text_edits(found: Column) -> Column:
     return F.array_compact(F.transform(found, edit))
 
 
-def outermost(edits: Column) -> Column:
-    """Of an array of edits those that lie in no earlier one: by start, insertions first, then the longest."""
-    order = lambda a, b: F.when(a["start"] != b["start"], a["start"] - b["start"]).when((a["stop"] == a["start"]) != (b["stop"] == b["start"]), F.when(a["stop"] == a["start"], -1).otherwise(1)).otherwise(b["stop"] - a["stop"])
-    kept = F.aggregate(
-        F.array_sort(edits, lambda a, b: order(a, b).cast("int")),
-        F.struct(F.lit(0).alias("reach"), F.filter(edits, lambda e: F.lit(False)).alias("kept")),
-        lambda acc, e: F.when(e["start"] >= acc["reach"], F.struct(e["stop"].alias("reach"), F.array_append(acc["kept"], e).alias("kept"))).otherwise(acc),
-    )
-    return kept["kept"]
-
-
 def policy_edit(found: Column, policy_tag: str) -> Column:
     """The policy tag behind the head's first charset, else where the head starts, else in a head of its own."""
     stop = lambda tag, more: F.array_min(F.transform(F.filter(found, lambda e: (e["tag"] == tag) & more(e)), lambda e: e["inner"]))
@@ -138,13 +127,13 @@ def policy_edit(found: Column, policy_tag: str) -> Column:
 
 
 def with_edits(pages: DataFrame, policy_tag: str = "") -> DataFrame:
-    """`pages` (page_id, html) without server code, and the edits that stand for each: none lies in an element that goes."""
+    """`pages` (page_id, html) without server code, and the edits that rules ask for; markup.with_outermost() takes those that lie in no other."""
     stripped = pages.select("page_id", extract.strip_server_code(F.coalesce("html", F.lit(""))).alias("html"))
     rows = with_elements(stripped).withColumn("judged", judged(F.col("elements")))
     both = [element_edits(F.col("judged")), attribute_edits(F.col("elements")), text_edits(F.col("elements"))]
     if policy_tag:
         both.append(F.when(F.exists("elements", lambda e: e["tag"] != "#text"), F.array(policy_edit(F.col("elements"), policy_tag))).otherwise(F.array().cast(EDITS)))
-    return rows.select("page_id", "html", F.concat(*both).cast(EDITS).alias("all")).select("page_id", "html", outermost(F.col("all")).alias("edits"))
+    return rows.select("page_id", "html", F.concat(*both).cast(EDITS).alias("edits"))
 
 
 EDITS = "array<struct<start:int,stop:int,new:string,pass_no:int,action:string,reason:string>>"
@@ -152,13 +141,13 @@ EDITS = "array<struct<start:int,stop:int,new:string,pass_no:int,action:string,re
 
 def planned(pages: DataFrame, policy_tag: str = "") -> DataFrame:
     """page_id, start, stop, new, pass_no, action, reason: the edits of `pages`, offsets in the text without server code."""
-    return with_edits(pages, policy_tag).select("page_id", F.inline("edits"))
+    return with_outermost(with_edits(pages, policy_tag), None).select("page_id", F.inline("edits"))
 
 
 def cleaned(pages: DataFrame, policy_tag: str = "") -> DataFrame:
     """page_id, html, n_edits for each row of `pages`: server code out, edits applied, `policy_tag` put into the head, blank lines collapsed. Null html is empty. Rows are cleaned one by one, whether page_ids repeat or are null."""
-    rows = with_edits(pages, policy_tag)
-    return rows.select("page_id", F.regexp_replace(spans.spliced(F.col("html"), F.transform("edits", lambda e: F.struct(e["start"], e["stop"], e["new"]))), r"\n{3,}", "\n\n").alias("html"), F.size("edits").cast("long").alias("n_edits"))
+    rows = with_outermost(with_edits(pages, policy_tag))
+    return rows.select("page_id", F.regexp_replace("html", r"\n{3,}", "\n\n").alias("html"), F.size("edits").cast("long").alias("n_edits"))
 
 
 def macro_flags(pages: DataFrame) -> DataFrame:

@@ -1,8 +1,8 @@
-"""Intervals over source text: merging, outermost ones, and edits."""
+"""Intervals over source text: merged ones and outermost ones."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -26,9 +26,3 @@ def outermost(spans: DataFrame) -> DataFrame:
     order = Window.partitionBy("file").orderBy("start_pos", F.desc("end_pos"), "hits")
     reach = F.max("end_pos").over(order.rowsBetween(Window.unboundedPreceding, -1))
     return spans.withColumn("reach", reach).where("reach IS NULL OR start_pos >= reach").drop("reach")
-
-
-def spliced(text: Column, edits: Column) -> Column:
-    """The text with non-overlapping edits (array of struct<start, stop, new>, offsets from 0) applied, the last one first."""
-    backwards = F.reverse(F.array_sort(edits))
-    return F.aggregate(backwards, text, lambda t, e: F.concat(F.substring(t, F.lit(1), e["start"]), e["new"], F.substring(t, e["stop"] + 1, F.length(t))))

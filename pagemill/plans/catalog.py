@@ -32,9 +32,15 @@ def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def marked_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The pages with one of the fixture's snippets behind each, by page_id. The fixture has seven rows."""
-    snippets = F.broadcast(fx.SNIPPETS.df(spark))
-    return pages(spark, sf_dir).join(snippets, F.col("page_id") % 7 == F.col("slot")).select("page_id", "url", F.concat("html", "markup").alias("html"))
+    """The pages with one of the fixture's snippets behind each, by page_id (pages without one get the first)."""
+    return with_snippets(spark, sf_dir, fx.SNIPPETS)
+
+
+def with_snippets(spark: SparkSession, sf_dir: str, snippets: fx.Fixture) -> DataFrame:
+    """The pages with one of seven snippets behind each; # in a snippet stands for the page's number."""
+    slot = F.coalesce(F.pmod("page_id", F.lit(7)), F.lit(0))
+    rows = pages(spark, sf_dir).join(F.broadcast(snippets.df(spark)), slot == F.col("slot"), "left")
+    return rows.select("page_id", "url", F.concat(F.coalesce("html", F.lit("")), F.replace("markup", F.lit("#"), F.coalesce(F.col("page_id").cast("string"), F.lit("")))).alias("html"))
 
 
 @query(f"SELECT page_id, kind, url, action, reason, host FROM ({o.VERDICTS.format(rows=o.RESOURCES)})")
@@ -269,6 +275,24 @@ def product_name_replace(spark, sf_dir):
     return adapt.names_replaced(pages(spark, sf_dir), NAMES).select("page_id", "n_replaced")
 
 
+TARGET = adapt.IMAGE_BASES["Adult"]
+
+
+@query(o.image_changes(TARGET, list(adapt.IMAGE_BASES.values())))
+def product_images(spark, sf_dir):
+    """What becomes of product images, pictures and styles of every page."""
+    changed = adapt.images_replaced(with_snippets(spark, sf_dir, fx.IMAGES), TARGET)
+    return changed.select("page_id", F.inline("changes"))
+
+
+@query(f"SELECT page_id, CAST(count(*) AS BIGINT) AS n_first, CAST(0 AS BIGINT) AS n_again FROM ({o.image_changes(TARGET, list(adapt.IMAGE_BASES.values()))}) GROUP BY page_id")
+def product_images_again(spark, sf_dir):
+    """Changes of a first and of a second run over its pages."""
+    first = adapt.images_replaced(with_snippets(spark, sf_dir, fx.IMAGES), TARGET)
+    again = adapt.images_replaced(first, TARGET).select("page_id", F.size("changes").cast("long").alias("n_again"))
+    return first.select("page_id", F.size("changes").cast("long").alias("n_first")).where("n_first > 0").join(again, "page_id")
+
+
 @query("SELECT page_id, sha256(html) AS sha256 FROM pages")
 def content_hash(spark, sf_dir):
     return pages(spark, sf_dir).select("page_id", F.sha2("html", 256).alias("sha256"))
@@ -358,7 +382,5 @@ def external_folders(spark, sf_dir):
 
 @query()
 def script_threats(spark, sf_dir):
-    marked = marked_pages(spark, sf_dir)
-    bodies = extract.all_of(F.col("html"), extract.SCRIPT, 0)
-    rows = marked.select("page_id", urls.host(F.col("url")).alias("main_host"), F.explode(bodies).alias("element"))
-    return scripts.threats(extract.inline_bodies(rows))
+    marked = marked_pages(spark, sf_dir).select("page_id", urls.host(F.col("url")).alias("main_host"), "html")
+    return scripts.threats(extract.inline_scripts(marked, executable=True))

@@ -32,15 +32,28 @@ class Fixture:
 SNIPPETS = Fixture(
     "slot int, markup string",
     [
-        (0, '<script src="https://cdn.jsdelivr.net/npm/jquery@3.6.1/dist/jquery.min.js"></script><img src="/img/a.png"><a href="https://shop.test/buy?utm_x=1">x</a>'),
-        (1, '<script src="https://www.googletagmanager.com/gtm.js?id=1"></script><iframe src="//ads.unknown.test/frame"></iframe><img src="https://px.ads.linkedin.com/c.gif">'),
-        (2, '<link rel="stylesheet" href="https://fonts.googleapis.com/css?family=A"><img src="data:image/png;base64,AAAA"><a href="javascript:void(0)">y</a>'),
-        (3, '<script src="https://cdn.jsdelivr.net/gh/someone/repo/x.js"></script><video src="blob:https://a/b"></video><script src="js/pixel-tracker.js"></script>'),
-        (4, '<script>window.dataLayer = []; gtag("js"); fetch("https://x.test/a"); atob("aGk=")</script><meta name="google-site-verification" content="1"><a href="{sub_id}">m</a>'),
+        (0, '<script src="https://cdn.jsdelivr.net/npm/jquery@3.6.1/dist/jquery.min.js"></script><img src="/img/a.png"><a href="https://shop.test/buy?utm_x=1">x</a><img/src="https://evil.test/x.gif">'),
+        (1, '<script src="https://www.googletagmanager.com/gtm.js?id=1"></script><iframe src="//ads.unknown.test/frame"></iframe><img src="https://px.ads.linkedin.com/c.gif"><img src="b.png"onerror="fetch(\'https://evil.test\')">'),
+        (2, '<link rel="stylesheet" href="https://fonts.googleapis.com/css?family=A"><img src="data:image/png;base64,AAAA"><a href="javascript:void(0)">y</a><script src=https://evil.test/a.js?it\'s></script><a href=https://evil.test/"x>q</a>'),
+        (3, '<script src="https://cdn.jsdelivr.net/gh/someone/repo/x.js"></script><video src="blob:https://a/b"></video><script src="js/pixel-tracker.js"></script><script>var a = 1</script foo><b>after</b>'),
+        (4, '<script>window.dataLayer = []; gtag("js"); fetch("https://x.test/a"); atob("aGk=")</script><meta name="google-site-verification" content="1"><a href="{sub_id}">m</a><!-- <script>gtag()</script> --><script data-src="a">fetch(1)</script>'),
         (5, '<div onclick="fetch(\'https://evil.test\')" onload="init()">{offer} {foreign_macro}</div><style>@import url("https://evil.test/a.css"); b{background:url(https://evil.test/i.png)}</style>'),
         (6, "<script src='https://single.test/a.js'></script><img src=https://bare.test/b.gif><!-- <script src='https://comment.test/c.js'></script> -->" + '<script src="https://unpkg.com/@popperjs/core@2/dist/umd/popper.min.js"></script><link rel="stylesheet" href="https://cdn-like.test/x.css"><img src="https://assets.example.com/a.png">'),
     ],
 )
+# Images of products, pictures and styles; # is the page's number.
+IMAGES = Fixture(
+    "slot int, markup string",
+    [
+        (0, '<a href="{offer}"><img class="pack" src="img/pack-#.png" srcset="img/pack-#@2x.png 2x" alt="p"><img src="img/logo.png"><img src="i/tick.svg?v=1"><img src="t.png" width="32px"></a>'),
+        (1, '<picture><source srcset="{img_#}"><source srcset="b.webp" media="(x)"><img src="c-#.png" sizes="9"></picture><img src="plain-#.png">'),
+        (2, '<video><source src="{vid}"></video><source data-src="{late}" srcset="x-#.png">'),
+        (3, '<div style="color:red;background:url(\'{bg_#}\') no-repeat, url(own.png)">x</div><p style="background:url(https://assets.example.com/WeightLoss/{_offer_value:offerimage})">y</p>'),
+        (4, '<img src="https://assets.example.com/WeightLoss/{_offer_value:offerimage}"><img src="https://assets.example.com/Adult/{_offer_value:offerimage}"><a href="{offer}"><img src="https://assets.example.com/Adult/{_offer_value:offerimage}" srcset="z 1x"></a>'),
+        (5, '<a href="{offer}"><picture><source srcset="s.webp"><img data-src="late-#.jpg" class="icon-x"><img data-src="big-#.jpg"></picture></a><noscript><img src="{n}"></noscript>'),
+        (6, '<a href="/x"><img src="{click}.png" poster="{p}"></a><img alt="visa #" src="v.png"><picture><img src="own-#.png"><source srcset="{behind}"></picture>'),
+    ],
+)
 FILES = Fixture(
     "site_id int, rel_path string, content string, size long",
     [

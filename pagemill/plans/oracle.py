@@ -44,26 +44,47 @@ def directory(name: str) -> str:
     return f"coalesce(CASE {known.format(x=last)} END, CASE {known.format(x=before)} END, 'assets')"
 
 
-MARKED = f"(SELECT page_id, url, html || markup AS html FROM pages JOIN {fx.SNIPPETS.sql()} ON page_id % 7 = slot)"
+def marked(snippets: fx.Fixture) -> str:
+    """The pages with one of the seven snippets behind each, see catalog.with_snippets()."""
+    return f"(SELECT page_id, url, coalesce(html, '') || replace(markup, '#', coalesce(CAST(page_id AS VARCHAR), '')) AS html FROM pages JOIN {snippets.sql()} ON coalesce((page_id % 7 + 7) % 7, 0) = slot)"
+
+
+MARKED = marked(fx.SNIPPETS)
+_RAW = ("script", "style", "textarea", "title", "noscript", "noframes", "iframe", "xmp")
+#: An attribute as HTML has them, and a tag's attributes: white space, slashes or nothing between them.
+_one = "[^\\s/>=][^\\s/>=]*(?:\\s*=\\s*(?:\"[^\"]*\"|''[^'']*''|[^\\s\"''>][^\\s>]*))?"
+_attrs = f"(?:[\\s/]+(?:{_one}[\\s/]*)*)?"
 #: Markup without comments and without the content of elements whose content isn't markup.
 _bare = "regexp_replace(html, '(?s)<!--.*?(?:-->|\\z)', '', 'g')"
-for _tag in ("script", "style", "textarea", "title", "noscript", "noframes", "iframe", "xmp"):
-    _bare = f"regexp_replace({_bare}, '(?is)(<{_tag}(?:\\s[^>]*)?>).*?(?:</{_tag}\\s*>|\\z)', '\\1', 'g')"
+for _tag in _RAW:
+    _bare = f"regexp_replace({_bare}, '(?is)(<{_tag}{_attrs}>).*?(?:</{_tag}(?:[\\s/][^>]*)?>|\\z)', '\\1', 'g')"
 
 
-def attribute(tags: str, name: str, rows: str = MARKED) -> str:
-    """page_id and value of an attribute, in double, single or no quotes, of each element of the tags (a regular expression) that has it."""
-    element = f"(?is)<(?:{tags})(?:\\s(?:\"[^\"]*\"|''[^'']*''|[^''\">])*)?>"
-    value = f"(?i)\\s{name}\\s*=\\s*(?:\"([^\"]*)\"|''([^'']*)''|([^\\s\"''>]+))"
-    raw = " || ".join(f"regexp_extract(element, '{value}', {i})" for i in (1, 2, 3))
+def elements(tags: str, rows: str = MARKED, html: str = _bare) -> str:
+    """page_id and the start tag of each element of the tags (a regular expression)."""
+    return f"SELECT page_id, unnest(regexp_extract_all({html}, '(?is)<(?:{tags}){_attrs}>')) AS element FROM {rows}"
+
+
+def value(name: str, element: str = "element") -> str:
+    """Value of an attribute in double, single or no quotes, null without one."""
+    at = f"(?i)[\\s/\"'']{name}\\s*=\\s*(?:\"([^\"]*)\"|''([^'']*)''|([^\\s\"''>][^\\s>]*))"
+    raw = " || ".join(f"regexp_extract({element}, '{at}', {i})" for i in (1, 2, 3))
     plain = f"replace(replace(replace(replace(replace({raw}, '&quot;', '\"'), '&#39;', chr(39)), '&lt;', '<'), '&gt;', '>'), '&amp;', '&')"
-    return f"SELECT page_id, {plain} AS value FROM (SELECT page_id, unnest(regexp_extract_all({_bare}, '{element}')) AS element FROM {rows}) WHERE regexp_matches(element, '{value}')"
+    return f"CASE WHEN regexp_matches({element}, '{at}') THEN {plain} END"
+
+
+def attribute(tags: str, name: str, rows: str = MARKED) -> str:
+    """page_id and value of an attribute of each element of the tags (a regular expression) that has it."""
+    return f"SELECT * FROM (SELECT page_id, {value(name)} AS value FROM ({elements(tags, rows)})) WHERE value IS NOT NULL"
 
 
 _kinds = [("script", "script", "src"), ("iframe", "iframe", "src"), ("img", "img", "src"), ("media", "video|audio|source", "src"), ("stylesheet", "link", "href"), ("anchor", "a|area", "href")]
 RESOURCES = "(" + " UNION ALL ".join(f"SELECT page_id, '{kind}' AS kind, value AS url FROM ({attribute(tags, name)})" for kind, tags, name in _kinds) + ")"
 ANCHORS = f"SELECT page_id, value AS href FROM ({attribute('a|area', 'href')})"
-INLINE = f"SELECT page_id, regexp_extract(element, '(?is)^<script[^>]*>(.*)</script>$', 1) AS body FROM (SELECT page_id, unnest(regexp_extract_all(html, '(?is)<script(?:\\s[^>]*)?>.*?</script>')) AS element FROM {MARKED}) WHERE NOT regexp_matches(element, '(?i)^<script\\s[^>]*src\\s*=')"
+#: What hides scripts, and scripts: the leftmost of each is taken.
+_blocks = "(?is)<!--.*?-->|" + "|".join(f"<{t}{_attrs}>.*?</{t}(?:[\\s/][^>]*)?>" for t in _RAW)
+SCRIPTS = f"SELECT page_id, regexp_extract(block, '(?is)^(<script{_attrs}>)', 1) AS element, regexp_extract(block, '(?is)^<script{_attrs}>(.*)</script(?:[\\s/][^>]*)?>$', 1) AS body FROM (SELECT page_id, unnest(regexp_extract_all(html, '{_blocks}')) AS block FROM {MARKED}) WHERE regexp_matches(block, '(?i)^<script[\\s/>]')"
+INLINE = f"SELECT page_id, body FROM ({SCRIPTS}) WHERE {value('src')} IS NULL"
 TRACKERS = [t for t in policy.TRACKER_HOSTS if "/" not in t]
 
 _u = "regexp_replace(regexp_replace(coalesce(url, ''), '[\\t\\n\\r]', '', 'g'), '^[\\x00-\\x20]+|[\\x00-\\x20]+$', '', 'g')"
@@ -118,3 +139,35 @@ IS_OFFER = f"""coalesce(regexp_matches({_a}, '(?i)^(https?:)?//') AND {host(_a)}
 _parts = f"list_filter(string_split({path('url')}, '/'), lambda s: s <> '' AND s <> '.' AND s <> '..')"
 LOCAL_PATH = f"""{host('url')} || '/' || CASE WHEN len({_parts}) = 0 THEN 'index.html' WHEN ends_with({path('url')}, '/') THEN array_to_string({_parts}, '/') || '/index.html'
     WHEN NOT contains({_parts}[-1], '.') THEN array_to_string({_parts}, '/') || '/index.html' ELSE array_to_string({_parts}, '/') END"""
+
+
+def _split(rows: str, tag: str, flag: str) -> str:
+    """Rows of (page_id, piece and others) cut at the end of each element of the tag: what is in it, with its start tag as `flag`, and what is before it. For markup that is well formed and doesn't nest them."""
+    cut = f"(SELECT * EXCLUDE (piece), unnest(regexp_split_to_array(piece, '</{tag}>')) AS piece, '(?is)^(.*)(<{tag}(?:\\s[^>]*)?>)(.*)$' AS there FROM {rows})"
+    return f"(SELECT * EXCLUDE (piece, there), regexp_extract(piece, there, 2) AS {flag}, regexp_extract(piece, there, 3) AS piece FROM {cut} WHERE regexp_matches(piece, there) UNION ALL SELECT * EXCLUDE (piece, there), '' AS {flag}, CASE WHEN regexp_matches(piece, there) THEN regexp_extract(piece, there, 1) ELSE piece END AS piece FROM {cut})"
+
+
+_MACROS = f"regexp_matches({{0}}, '\\{{{{[a-zA-Z0-9_:.\\-]+\\}}}}') AND NOT {{0}} LIKE '%{{{{_offer_value:offerimage}}}}%' AND {{0}} <> '{{{{offer}}}}'"
+_images = array(policy.IMAGE_ATTRIBUTES)
+
+
+def image_changes(target: str, bases: list[str]) -> str:
+    """page_id, element, attr, before, trigger over the pages with the fixture of images: containment by cutting the markup at the ends of links and pictures."""
+    asks = lambda v: f"coalesce({v} <> '' AND {v} <> {text(target)} AND ({_MACROS.format(v)} OR {v} IN {values(bases)}), false)"
+    why = lambda v, more='': f"CASE WHEN {_MACROS.format(v)} THEN 'foreign-macro{more}' ELSE 're-point{more}' END"
+    page = f"(SELECT page_id, regexp_replace({_bare}, '(?is)<!--.*?-->', '', 'g') AS piece FROM {marked(fx.IMAGES)})"
+    pieces = f"(SELECT *, row_number() OVER () AS part FROM {_split(_split(page, 'a', 'link'), 'picture', 'picture')})"
+    found = f"(SELECT * EXCLUDE (l), unnest(l) AS element, generate_subscripts(l, 1) AS place FROM (SELECT * EXCLUDE (piece), regexp_extract_all(piece, '(?is)<(?:img|source){_attrs}>') AS l FROM {pieces}))"
+    hits = ", ".join(value(n) for n in policy.IMAGE_ATTRIBUTES)
+    read = f"(SELECT *, starts_with(element, '<img') AS img, coalesce({value('src')}, '') AS src, list_filter([{hits}], lambda v: {asks('v')})[1] AS hit FROM {found})"
+    names = f"concat_ws(' ', coalesce({value('src')}, {value('data-src')}, ''), {value('class')}, {value('id')}, {value('alt')})"
+    tiny = " OR ".join(f"coalesce(TRY_CAST(nullif(regexp_extract({value(n)}, '^(\\d+)', 1), '') AS INTEGER) BETWEEN 1 AND 48, false)" for n in ("width", "height"))
+    plain = f"(NOT regexp_matches({names}, {text(policy.NO_PRODUCT)}) AND NOT regexp_matches(coalesce({value('src')}, {value('data-src')}, ''), '(?i)\\.svg([?#]|$)') AND NOT ({tiny}))"
+    # of a picture the first image has what its sources ask for
+    ranked = f"(SELECT *, picture <> '' AND img AND row_number() OVER (PARTITION BY part, img ORDER BY place) = 1 AS first, bool_or(picture <> '' AND img) OVER (PARTITION BY part) AS shown, min_by(hit, place) FILTER (hit IS NOT NULL AND (NOT img)) OVER (PARTITION BY part) AS theirs, min(place) FILTER (hit IS NOT NULL AND NOT img) OVER (PARTITION BY part) AS their_place FROM {read})"
+    chosen = f"(SELECT *, CASE WHEN regexp_matches(link, 'href=\"\\{{offer\\}}\"') AND {plain} THEN 'offer-anchor' WHEN first AND theirs IS NOT NULL AND (hit IS NULL OR their_place < place) THEN {why('theirs')} WHEN hit IS NOT NULL THEN {why('hit')} END AS trigger FROM {ranked})"
+    before = lambda *n: "coalesce(" + ", ".join(f"nullif({value(x)}, '')" for x in n) + ", '')"
+    imgs = f"SELECT page_id, 'img' AS element, 'src' AS attr, {before('src', 'data-src', 'srcset')} AS before, trigger FROM {chosen} WHERE img AND trigger IS NOT NULL AND src <> {text(target)}"
+    sources = f"SELECT page_id, 'source', 'srcset', {before('srcset', 'data-srcset', 'src')}, {why('hit')} FROM {ranked} WHERE NOT img AND hit IS NOT NULL AND NOT shown AND coalesce({value('srcset')}, '') <> {text(target)}"
+    style = f"(SELECT page_id, regexp_extract(element, '^<([a-z]+)', 1) AS tag, unnest(regexp_extract_all(coalesce({value('style')}, ''), '(?i)url\\(\\s*[''\"]?([^)''\"]*)[''\"]?\\s*\\)', 1)) AS u FROM ({elements('[a-z][^\\s/>]*', marked(fx.IMAGES))}))"
+    return f"{imgs} UNION ALL {sources} UNION ALL SELECT page_id, tag, 'style', u, {why('u', '-bg')} FROM {style} WHERE {asks('u')}"
