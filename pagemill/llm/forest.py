@@ -16,7 +16,7 @@ from pagemill.llm import common
 from pagemill.llm.negatives import finite
 
 #: The trees are fitted to at most so many rows and bytes of them, and end in leaves of about LEAF of these rows.
-SAMPLE, SAMPLE_BYTES, LEAF, TREES = 16_384, 32 << 20, 64, 8
+SAMPLE, SAMPLE_BYTES, LEAF, TREES = 16_384, 32 << 20, 32, 4
 #: The search is calibrated on at most so many queries, to find this share of their neighbours.
 TRIED, RECALL = 256, 0.96
 #: Rows of a leaf that a task ranks at a time.
@@ -127,6 +127,19 @@ def best_of(queries: np.ndarray, vectors: np.ndarray, firsts: np.ndarray, most:
     return q[kept], v[kept], scores[kept]
 
 
+def floor(query: np.ndarray, sample: tuple[np.ndarray, np.ndarray], spots: list[tuple[int, int]], most: int) -> float:
+    """The score that `most` rows of the sample in the leaves `spots` reach, less what sums of other orders may differ by; minus infinity if there are fewer."""
+    vectors, leaves = sample
+    there = np.zeros(len(vectors), bool)
+    for t in range(len(leaves)):
+        there |= np.isin(leaves[t], [leaf for tree, leaf in spots if tree == t])
+    near = vectors[there]
+    if len(near) < most:
+        return -np.inf
+    scores = near @ query
+    return float(np.partition(scores, len(scores) - most)[len(scores) - most] - 1e-12 * np.linalg.norm(query) * np.linalg.norm(near, axis=1).max())
+
+
 # ------------------------------------------------------------------------ rows
 
 
@@ -151,9 +164,10 @@ def alike(whole: DataFrame, most: int) -> DataFrame:
 
 @dataclass
 class Index:
-    """A forest and the rows in its leaves: `classes` (key, vector, ids), `leaves` (tree, leaf, part, key, vector, ids), how many each leaf has, the vectors' dimensions and greatest length."""
+    """A forest, the sample it was fitted to (vectors, and the leaf of each in each tree), and the rows in its leaves: `classes` (key, vector, ids), `leaves` (tree, leaf, key, vector, ids), how many each leaf has, the vectors' dimensions and greatest length."""
 
     forest: list[Tree]
+    sample: tuple[np.ndarray, np.ndarray]
     classes: DataFrame
     leaves: DataFrame
     sizes: list[list[int]]
@@ -174,7 +188,8 @@ def build(whole: DataFrame, k: int, trees: int = TREES, leaf: int = LEAF, seed:
     width, longest = width or 1, longest or 0.0
     taken = min(SAMPLE, max(2 * leaf, SAMPLE_BYTES // (8 * width)))
     sample = classes.select("vector", "key").orderBy("key").limit(taken).select("vector").toArrow()["vector"]
-    points = lifted(dense(sample, width), longest)
+    sample = dense(sample, width)
+    points = lifted(sample, longest)
     forest = [grown(points, leaf, np.random.default_rng([seed, t])) for t in range(trees)] if n else []
     shared = spark.sparkContext.broadcast((forest, width, longest))
 
@@ -188,7 +203,7 @@ def build(whole: DataFrame, k: int, trees: int = TREES, leaf: int = LEAF, seed:
     placed = common.saved(classes.mapInArrow(place, "tree int, leaf int, key string, vector array<double>, ids array<long>"), "leaves")
     counts = {(r["tree"], r["leaf"]): r["count"] for r in placed.groupBy("tree", "leaf").count().collect()}
     sizes = [[counts.get((t, x), 0) for x in range(tree.leaves)] for t, tree in enumerate(forest)]
-    return Index(forest, classes, placed, sizes, width, longest)
+    return Index(forest, (sample, np.array([t.leaf_of(points) for t in forest])), classes, placed, sizes, width, longest)
 
 
 def exact(classes: DataFrame, queries: list[np.ndarray], most: int) -> DataFrame:
@@ -245,7 +260,8 @@ def search(index: Index, queries: DataFrame, k: int, budget: int | None = None)
 
     Each different vector is searched for once: a task walks all trees by one queue until it has seen `budget` rows
     (calibrated() where none is given), then queries and rows meet by part of a leaf, and each part sends a query's best
-    k + 1 classes at most. Shuffled are the rows once for each tree, and a query once for each group of leaves that it visits.
+    k + 1 classes at most, and of these none below the k + 1st best score of the sample's rows in the leaves that the query
+    visits: as many others are better there. Shuffled are the rows once for each tree, and a query once for each group of leaves that it visits.
     """
     spark = queries.sparkSession
     if not index.forest:
@@ -263,31 +279,34 @@ def search(index: Index, queries: DataFrame, k: int, budget: int | None = None)
             cut.append(max(1, -(-size // PART)))
         groups.append(of)
         parts.append(cut)
-    shared = spark.sparkContext.broadcast((index.forest, index.sizes, groups, parts, width, index.longest))
+    shared = spark.sparkContext.broadcast((index.forest, index.sizes, groups, parts, width, index.longest, index.sample))
     # counted from the distinct queries, for join_facts()
     asked = queries.groupBy("key").agg(F.any_value("vector").alias("vector"), F.count(F.lit(1)).alias("n"))
     asked = common.saved(asked, "queries")
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        forest, sizes, of, cut, wide, longest = shared.value
+        forest, sizes, of, cut, wide, longest, sample = shared.value
         for b in batches:
-            at, names = lifted(dense(b.column("vector"), wide), longest), b.column("key")
+            own, names = dense(b.column("vector"), wide), b.column("key")
+            at = lifted(own, longest)
             for start in range(0, len(at), 256):
                 rows: list[tuple] = []
                 for x in range(start, min(start + 256, len(at))):
                     found: dict[tuple[int, int, int], list[int]] = defaultdict(list)
-                    for t, leaf in visits(forest, sizes, at[x], budget):
+                    spots = list(visits(forest, sizes, at[x], budget))
+                    least = floor(own[x], sample, spots, k + 1)
+                    for t, leaf in spots:
                         for p in range(cut[t][leaf]):
                             found[t, of[t][leaf], p].append(leaf)
-                    rows += [(*spot, x, sorted(leaves)) for spot, leaves in found.items()]
-                cols = list(zip(*rows)) or [()] * 5
+                    rows += [(*spot, x, least, sorted(leaves)) for spot, leaves in found.items()]
+                cols = list(zip(*rows)) or [()] * 6
                 take = pa.array(cols[3], pa.int32())
-                yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int32()) for c in cols[:3]), names.take(take), b.column("vector").take(take), pa.array(cols[4], pa.list_(pa.int32()))], names=["tree", "group", "part", "key", "vector", "leaves"])
+                yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int32()) for c in cols[:3]), names.take(take), b.column("vector").take(take), pa.array(cols[4], pa.float64()), pa.array(cols[5], pa.list_(pa.int32()))], names=["tree", "group", "part", "key", "vector", "least", "leaves"])
 
-    visited = asked.select("key", "vector").mapInArrow(walk, "tree int, group int, part int, key string, vector array<double>, leaves array<int>")
+    visited = asked.select("key", "vector").mapInArrow(walk, "tree int, group int, part int, key string, vector array<double>, least double, leaves array<int>")
 
     def grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        _, _, of, cut, _, _ = shared.value
+        of, cut = shared.value[2:4]
         of, cut = [np.array(x, np.int32) for x in of], [np.array(x, np.int64) for x in cut]
         for b in batches:
             t, leaf = (b.column(c).to_numpy() for c in ("tree", "leaf"))
@@ -303,7 +322,7 @@ def search(index: Index, queries: DataFrame, k: int, budget: int | None = None)
     def rank(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows or not right.num_rows:
             return out.empty_table()
-        wants, rows = dense(left["vector"], width), dense(right["vector"], width)
+        wants, rows, least = dense(left["vector"], width), dense(right["vector"], width), left["least"].to_numpy()
         leaf, firsts = right["leaf"].to_numpy(), _firsts(right["ids"])
         flat, sizes = left["leaves"].combine_chunks(), np.diff(left["leaves"].combine_chunks().offsets.to_numpy())
         who, which = np.repeat(np.arange(len(wants)), sizes), flat.flatten().to_numpy()
@@ -318,7 +337,7 @@ def search(index: Index, queries: DataFrame, k: int, budget: int | None = None)
         q, v, score = map(np.concatenate, zip(*found))
         order = np.lexsort((firsts[v], -score, q))
         q, v, score = q[order], v[order], score[order]
-        kept = np.arange(len(q)) - np.searchsorted(q, np.arange(len(wants)))[q] <= k
+        kept = (np.arange(len(q)) - np.searchsorted(q, np.arange(len(wants)))[q] <= k) & (score >= least[q])
         q, v = pa.array(q[kept]), pa.array(v[kept])
         return pa.table([left["key"].take(q), right["key"].take(v), right["ids"].take(v), pa.array(score[kept])], schema=out)
 
