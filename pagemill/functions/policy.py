@@ -126,6 +126,14 @@ IMAGE_ATTRIBUTES = ["src", "srcset", "poster", "data-src", "data-srcset", "data-
 RESPONSIVE_ATTRIBUTES = ["srcset", "sizes", "data-src", "data-srcset", "data-lazy-src", "data-lazy", "data-original"]
 NO_PRODUCT = r"(?i)logo|sprite|favicon|payment|paypal|visa|master(?:card)?|amex|discover|\bicon\b|icon[-_]|[-_]icon|arrow|chevron|badge|spinner|loader"
 TINY_PIXELS = 48
+# Elements that load something, their attributes with one address and with several, extensions of what is fetched.
+ASSET_TAGS = ["link", "script", "img", "source", "video", "audio", "iframe", "embed", "object", "track", "input", "use"]
+ADDRESS_ATTRIBUTES = ["href", "src", "data-src", "data-original", "data-lazy", "data-bg", "data-background", "data-image", "poster", "xlink:href"]
+SRCSET_ATTRIBUTES = ["srcset", "data-srcset", "imagesrcset"]
+ASSET_EXTENSIONS = [
+    "css", "js", "mjs", "png", "jpg", "jpeg", "webp", "gif", "svg", "ico", "avif", "bmp", "woff", "woff2", "ttf", "otf", "eot",
+    "mp4", "webm", "ogg", "mp3", "wav", "m4a", "json", "xml", "txt",
+]
 # Libraries by their code (name, signature, version in group 1 or 2, version where none is found, where the official copy is).
 LIBRARY_CODE = [
     ("jquery", r"(?i)jQuery\.fn\.jquery\s*=|jQuery JavaScript Library", r"""jQuery(?:\.fn\.jquery)?\s*=\s*["']([\d.]+)["']|jQuery\s+(?:JavaScript\s+Library\s+)?v([\d.]+)""", "3.7.1", "https://code.jquery.com/jquery-{v}.min.js"),

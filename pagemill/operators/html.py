@@ -150,6 +150,62 @@ def cleaned(pages: DataFrame, policy_tag: str = "") -> DataFrame:
     return rows.select("page_id", F.regexp_replace("html", r"\n{3,}", "\n\n").alias("html"), F.size("edits").cast("long").alias("n_edits"))
 
 
+def by_structure(url: Column) -> Column:
+    """The official address of a file that lies where a public library host has it: /ajax/libs/<name>/<version>/<rest>, or /npm/<name>@<version>/<rest> of a trusted package; null elsewhere. Only the path counts."""
+    own = urls.path(url)
+    at = F.when(F.startswith(own, F.lit("/")), own).otherwise(F.concat(F.lit("/"), own))
+    version = r"(\d+\.\d+(?:\.\d+)?(?:[-+.][0-9A-Za-z.]+)?)"
+    npm = rf"(?i)^/npm/((?:@[^/]+/)?[^/@]+)@{version}/.+\z"
+    trusted = F.lower(F.regexp_extract(at, npm, 1)).isin(*policy.TRUSTED_PACKAGES)
+    return F.when(at.rlike(rf"(?i)^/ajax/libs/[^/]+/{version}/.+\z"), F.concat(F.lit("https://cdnjs.cloudflare.com"), at)).when(at.rlike(npm) & trusted, F.concat(F.lit("https://cdn.jsdelivr.net"), at))
+
+
+def replacements(pages: DataFrame, official: DataFrame) -> DataFrame:
+    """url, cdn_url, integrity: the different addresses of scripts and links of `pages` that are a library's copy, by name or else by structure, whose official file is in `official` (cdn_url, integrity: what a look at the file found; null without a digest). Addresses that are kept anyway have none."""
+    loaded = elements(pages, ("script", "link"), ("src", "href")).where("within <> 'noscript'")
+    url = F.when(F.col("tag") == "script", attribute("src")).otherwise(attribute("href"))
+    rows = loaded.select(url.alias("url")).where("url IS NOT NULL").distinct()
+    rows = rows.where(~(urls.is_absolute(F.col("url")) & (urls.verdict(F.col("url"), F.lit("script"))["action"] == "keep")))
+    rows = rows.withColumn("cdn_url", F.coalesce(extract.library(F.col("url"))["cdn_url"], by_structure(F.col("url"))))
+    return rows.join(official, "cdn_url").select("url", "cdn_url", "integrity")
+
+
+def merged(first: DataFrame, second: DataFrame) -> DataFrame:
+    """Both tables of replacements; where both have an address the second's counts."""
+    both = first.withColumn("place", F.lit(0)).unionByName(second.withColumn("place", F.lit(1)))
+    return both.groupBy("url").agg(F.max_by(F.struct("cdn_url", "integrity"), "place").alias("x")).select("url", "x.*")
+
+
+def pinned(pages: DataFrame, replaced: DataFrame) -> DataFrame:
+    """page_id, html, changes (array of url, cdn_url, integrity) for each row of `pages`: scripts and links that load an address in `replaced` (url, cdn_url, integrity; one row for each url) load the official file, with its digest where there is one.
+
+    Addresses leave their pages as rows, meet `replaced` by url (a join that splits hot urls), and come back as one map for
+    each page. Pages without any stay as they are; null html is empty.
+    """
+    keyed = pages.select("page_id", F.coalesce("html", F.lit("")).alias("html")).withColumn("row", F.xxhash64("page_id", "html"))
+    opened = with_elements(keyed, ("script", "link"), ("src", "href", "integrity", "crossorigin"))
+    url_of = lambda e: F.when(e["tag"] == "script", value_of(e["attrs"], "src")).otherwise(value_of(e["attrs"], "href"))
+    there = F.array_distinct(F.array_compact(F.transform(F.filter("elements", lambda e: e["within"] != "noscript"), url_of)))
+    hits = opened.select("row", F.explode(there).alias("url")).distinct().join(replaced, "url")
+    maps = hits.groupBy("row").agg(F.map_from_entries(F.collect_list(F.struct("url", F.struct("cdn_url", "integrity")))).alias("map"))
+    joined = opened.join(maps, "row", "left")
+    quoted = lambda name, v: F.concat(F.lit(f' {name}="'), F.replace(F.replace(v, F.lit("&"), F.lit("&amp;")), F.lit('"'), F.lit("&quot;")), F.lit('"'))
+
+    def edits(e: Column) -> Column:
+        new = F.try_element_at(F.col("map"), url_of(e))
+        name = F.when(e["tag"] == "script", "src").otherwise("href")
+        digest = F.coalesce(F.concat(quoted("integrity", new["integrity"]), F.lit(' crossorigin="anonymous"')), F.lit(""))
+        address = F.when(e["tag"] == "script", quoted("src", new["cdn_url"])).otherwise(quoted("href", new["cdn_url"]))
+        old = F.filter(e["attrs"], lambda a: new["integrity"].isNotNull() & a["name"].isin("integrity", "crossorigin") | (a["name"] == name))
+        first = F.try_element_at(F.filter(e["attrs"], lambda a: a["name"] == name), F.lit(1))["start"]
+        cut = F.transform(old, lambda a: F.struct(a["start"].alias("start"), a["stop"].alias("stop"), F.when(a["start"] == first, F.concat(address, digest)).otherwise(F.lit("")).alias("new")))
+        return F.when(new.isNotNull() & (e["within"] != "noscript"), cut)
+
+    changes = F.transform(F.array_compact(F.transform(F.array_distinct(F.array_compact(F.transform(F.filter("elements", lambda e: e["within"] != "noscript"), url_of))), lambda u: F.when(F.try_element_at(F.col("map"), u).isNotNull(), u))), lambda u: F.struct(u.alias("url"), F.try_element_at(F.col("map"), u)["cdn_url"].alias("cdn_url"), F.try_element_at(F.col("map"), u)["integrity"].alias("integrity")))
+    planned = joined.select("page_id", "html", F.flatten(F.array_compact(F.transform("elements", edits))).cast("array<struct<start:int,stop:int,new:string>>").alias("edits"), F.coalesce(changes, F.array().cast("array<struct<url:string,cdn_url:string,integrity:string>>")).alias("changes"))
+    return with_outermost(planned).select("page_id", "html", "changes")
+
+
 def macro_flags(pages: DataFrame) -> DataFrame:
     """page_id, kind (own, link, image, text, script, other), token, element, attr: every macro of `pages`, what becomes of it or who has to look at it. Foreign macros of one place are one row."""
     rows = elements(pages)

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pagemill.functions import policy, urls
-from pagemill.operators import adapt, extract, html, layout, markup, report, scripts, spans
+from pagemill.functions import paths, policy, urls
+from pagemill.operators import adapt, extract, html, layout, markup, report, scripts, sites, spans
 from pagemill.plans import fixtures as fx
 from pagemill.plans import oracle as o
+from pagemill.sources.tables import saved
 
 FLAGSHIP = "classify_resources"
 QUERIES: dict = {}
@@ -384,3 +385,101 @@ def external_folders(spark, sf_dir):
 def script_threats(spark, sf_dir):
     marked = marked_pages(spark, sf_dir).select("page_id", urls.host(F.col("url")).alias("main_host"), "html")
     return scripts.threats(extract.inline_scripts(marked, executable=True))
+
+
+# ----------------------------------------------------------------- saved sites
+
+
+def site_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """page_id, site_id (host), rel_path, url, html: the pages as files of saved sites; of pages with one path the first."""
+    rows = with_snippets(spark, sf_dir, fx.LINKED).withColumns({"site_id": urls.host(F.col("url")), "rel_path": F.regexp_replace(layout.local_path(F.col("url")), "^[^/]*/", "")})
+    first = F.row_number().over(Window.partitionBy("site_id", "rel_path").orderBy("page_id"))
+    return rows.withColumn("place", first).where("place = 1").select("page_id", "site_id", "rel_path", "url", "html")
+
+
+def site_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """site_id, rel_path, content: the pages and the fixture's files beside each, saved."""
+    rows = site_pages(spark, sf_dir)
+    number = F.coalesce(F.col("page_id").cast("string"), F.lit(""))
+    beside = rows.join(F.broadcast(fx.ASSETS.df(spark)), F.coalesce(F.pmod("page_id", F.lit(7)), F.lit(0)) == F.col("slot"))
+    where = paths.in_site(F.replace(F.replace("path", F.lit("#"), number), F.lit(" "), F.lit("%20")), F.col("rel_path"))
+    assets = beside.select("site_id", where.alias("rel_path"), F.replace("body", F.lit("#"), number).alias("content")).where("rel_path IS NOT NULL")
+    assets = assets.groupBy("site_id", "rel_path").agg(F.min("content").alias("content"))
+    return saved(rows.select("site_id", "rel_path", F.col("html").alias("content")).unionByName(assets), "site-files")
+
+
+def main_files_of(files: DataFrame) -> DataFrame:
+    return layout.main_files(files.withColumn("size", F.length("content").cast("long"))).select("site_id", "rel_path")
+
+
+@query(f"SELECT page_id, raw, resolved FROM ({o.resolved(o.HREFS)})")
+def resolved_urls(spark, sf_dir):
+    """Every reference of every page as an absolute URL."""
+    marked = with_snippets(spark, sf_dir, fx.LINKED)
+    found = extract.resources(marked).select("page_id", F.col("url").alias("raw"))
+    return paths.with_resolved(found.join(pages(spark, sf_dir).select("page_id", "url"), "page_id"), "raw", "url").select("page_id", "raw", "resolved")
+
+
+@query(f"SELECT site_id, rel_path, {o.relative('rel_path', 'main')} AS way, {o.relative('main', 'rel_path')} AS back FROM (SELECT site_id, rel_path, min(rel_path) OVER (PARTITION BY site_id) AS main FROM {o.SITE_FILES})")
+def relative_paths(spark, sf_dir):
+    """The way from each file of a site to its first file, and back."""
+    files = site_files(spark, sf_dir).select("site_id", "rel_path")
+    firsts = files.groupBy("site_id").agg(F.min("rel_path").alias("main"))
+    return files.join(firsts, "site_id").select("site_id", "rel_path", paths.relative(F.col("rel_path"), F.col("main")).alias("way"), paths.relative(F.col("main"), F.col("rel_path")).alias("back"))
+
+
+@query(f"SELECT site_id, rel_path, raw FROM {o.references()}")
+def site_references(spark, sf_dir):
+    return sites.references(site_files(spark, sf_dir))
+
+
+@query(f"SELECT site_id, rel_path, round, target FROM {o.MOVES}")
+def moved_files(spark, sf_dir):
+    """Which files move with the main files, through style sheets and circles of them."""
+    files = site_files(spark, sf_dir)
+    return sites.moved(files, saved(main_files_of(files), "main-files"), saved)
+
+
+@query(o.RELOCATED)
+def relocated_references(spark, sf_dir):
+    """What the files load after the moves."""
+    files = site_files(spark, sf_dir)
+    main = saved(main_files_of(files), "main-files")
+    return sites.references(sites.relocated(files, main, saved(sites.moved(files, main, saved), "moves")))
+
+
+@query(o.REPAIRED)
+def repaired_references(spark, sf_dir):
+    return sites.repaired(site_files(spark, sf_dir))
+
+
+@query(f"SELECT site_id, rel_path || ' | ' || outcome || ' | ' || raw || ' | ' || CASE outcome WHEN 'local-missing' THEN 'no such file in the site' ELSE 'no local copy: fetch by hand' END AS value FROM ({o.REPAIRED}) WHERE outcome IN ('local-missing', 'external-no-local')")
+def missing_resources(spark, sf_dir):
+    return sites.missing_report(sites.repaired(site_files(spark, sf_dir)))
+
+
+@query(o.DELETED_COUNTS)
+def deleted_references(spark, sf_dir):
+    """How many elements each page loses with the files that cleaning deletes."""
+    files = site_files(spark, sf_dir)
+    return sites.without_deleted(files, files.where(F.contains("rel_path", F.lit("deleted"))).select("site_id", "rel_path")).select("site_id", "rel_path", "n_edits")
+
+
+@query(o.FETCHED)
+def fetched_assets(spark, sf_dir):
+    """Assets that pages load and that aren't saved: what is asked for round by round, of a host that has the fixture's files."""
+    files = site_files(spark, sf_dir)
+    held = site_pages(spark, sf_dir).select("site_id", "rel_path", F.col("html").alias("content"), "url", F.col("site_id").alias("main_host"))
+    had = files.where(~sites.is_html(F.col("rel_path"))).select(F.concat(F.lit("https://"), "site_id", F.lit("/"), F.replace("rel_path", F.lit(" "), F.lit("%20"))).alias("url"), F.col("content").alias("body"))
+    both = had.unionByName(had.withColumn("url", F.replace("url", F.lit("https://"), F.lit("http://"))))
+    return sites.fetched(held, held.select("site_id", "url"), both, saved, most=4)
+
+
+OFFICIAL = fx.Fixture("cdn_url string, integrity string", [("https://code.jquery.com/jquery-3.6.1.min.js", "sha384-jq"), ("https://cdn.jsdelivr.net/npm/swiper@11.1.4/swiper-bundle.min.css", "sha384-sw"), ("https://cdnjs.cloudflare.com/ajax/libs/vue/3.2.1/vue.min.js", None), ("https://cdn.jsdelivr.net/npm/gsap@3.12.2/dist/gsap.min.js", "sha384-gs")])
+
+
+@query(o.pinned(OFFICIAL))
+def pinned_libraries(spark, sf_dir):
+    """Local copies of libraries and what takes their place."""
+    marked = with_snippets(spark, sf_dir, fx.LINKED)
+    return html.pinned(marked, html.replacements(marked, OFFICIAL.df(spark))).select("page_id", F.inline("changes"))

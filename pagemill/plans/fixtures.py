@@ -54,6 +54,31 @@ IMAGES = Fixture(
         (6, '<a href="/x"><img src="{click}.png" poster="{p}"></a><img alt="visa #" src="v.png"><picture><img src="own-#.png"><source srcset="{behind}"></picture>'),
     ],
 )
+# References of a saved page to other files of its site, and these files (paths from the page's folder); # is the page's number.
+LINKED = Fixture(
+    "slot int, markup string",
+    [
+        (0, '<link rel="stylesheet" href="css/main-#.css"><script src="../lib/app-#.js?v=2"></script><img src="img/a-#.png" srcset="img/a-#.png 1x, img/a-#-2.png 2x"><img src="img/a-#.png.webp"><img src="./img//a-#.png">'),
+        (1, '<style>@import "st-#.css"; b{background:url(x/bg-#.png)}</style><div style="background:url(\'x/bg-#.png\')">.</div><video poster="poster-#.jpg"><source src="v-#.mp4"></video><img data-src="lazy-#.png" src="data:image/gif;base64,AA">'),
+        (2, '<img src="https://cdn.other.test/z/pic-#.png"><img src="//x.test/none-#.png"><link href="theme.css"><script src="/lib/app-#.js"></script><a href="doc-#.html">d</a><img src="gone-#.png"><img src="https://x.test/">'),
+        (3, '<base href="/root/"><img src="b-#.png"><script src="deleted-#.js?x=1"></script><link rel="stylesheet" href="./deleted-#.css"><img src="kept-#.png"><img src="sub/../deleted-#.gif">'),
+        (4, '<?php echo 1 ?><script src="deleted-#.js"></script><img src="../../../../../out-#.png">'),
+        (5, '<script src="js/jquery-3.6.1.min.js"></script><script src="/ajax/libs/vue/3.2.1/vue.min.js"></script><link rel="stylesheet" href="npm/swiper@11.1.4/swiper-bundle.min.css"><script src="https://cdn.jsdelivr.net/npm/aos@2.3.4/dist/aos.js"></script><script src="https://old.test/npm/gsap@3.12.2/dist/gsap.min.js"></script><script src="/npm/evil@1.2.3/x.js"></script><script src="js/own-#.js"></script>'),
+        (6, '<iframe src="frame-#.html"></iframe><img src="../../img/up-#.png"><svg><use href="sprite-#.svg#i"></use></svg><img src="a%20b-#.png"><noscript><img src="ns-#.png"></noscript><img src="/./x/../img/root-#.png?a=1#f">'),
+    ],
+)
+ASSETS = Fixture(
+    "slot int, path string, body string",
+    [
+        (0, "css/main-#.css", "p{background:url(\"../img/bg-#.png?x=1#y\")} @font-face{src:url(fonts/f-#.woff2)} i{b:url(sub/theme-#.css)} j{b:url(data:image/png;base64,AA)}"),
+        (0, "css/sub/theme-#.css", "a{b:url(deep-#.css)}"), (0, "css/sub/deep-#.css", "c{d:url('theme-#.css')} e{f:url(../../img/late-#.png)} g{h:url(missing-#.png)}"),
+        (0, "img/bg-#.png", ""), (0, "img/late-#.png", ""), (0, "css/fonts/f-#.woff2", ""), (0, "img/a-#.png", ""), (0, "img/a-#-2.png", ""), (0, "img/a-#.png.webp", ""), (0, "../lib/app-#.js", "1"), (0, "../../images/a-#.png", ""),
+        (1, "st-#.css", "@import 'more-#.css';"), (1, "more-#.css", ""), (1, "x/bg-#.png", ""), (1, "poster-#.jpg", ""), (1, "old/lazy-#.png", ""), (1, "old/older/lazy-#.png", ""), (1, "media/v-#.mp4", ""),
+        (2, "media/pic-#.png", ""), (2, "../../_external/cdn.other.test/pic-#.png", ""), (2, "../../_external/x.test/none-#.png", ""), (2, "js/app-#.js", ""), (2, "../theme.css", ""),
+        (3, "deleted-#.js", ""), (3, "deleted-#.css", ""), (3, "deleted-#.gif", ""), (3, "kept-#.png", ""), (4, "deleted-#.js", ""),
+        (5, "js/own-#.js", ""), (5, "js/jquery-3.6.1.min.js", ""), (6, "frame-#.html", "<img src=inner-#.png>"), (6, "inner-#.png", ""), (6, "sprite-#.svg", ""), (6, "a b-#.png", ""), (6, "../../img/up-#.png", ""),
+    ],
+)
 FILES = Fixture(
     "site_id int, rel_path string, content string, size long",
     [

@@ -171,3 +171,138 @@ def image_changes(target: str, bases: list[str]) -> str:
     sources = f"SELECT page_id, 'source', 'srcset', {before('srcset', 'data-srcset', 'src')}, {why('hit')} FROM {ranked} WHERE NOT img AND hit IS NOT NULL AND NOT shown AND coalesce({value('srcset')}, '') <> {text(target)}"
     style = f"(SELECT page_id, regexp_extract(element, '^<([a-z]+)', 1) AS tag, unnest(regexp_extract_all(coalesce({value('style')}, ''), '(?i)url\\(\\s*[''\"]?([^)''\"]*)[''\"]?\\s*\\)', 1)) AS u FROM ({elements('[a-z][^\\s/>]*', marked(fx.IMAGES))}))"
     return f"{imgs} UNION ALL {sources} UNION ALL SELECT page_id, tag, 'style', u, {why('u', '-bg')} FROM {style} WHERE {asks('u')}"
+
+
+# ----------------------------------------------------------------- saved sites
+
+
+def _stack(parts: str) -> str:
+    """Segments after dots; '!' for each '..' above the root."""
+    return f"list_reduce(list_transform({parts}, lambda s: [s]), lambda a, s: CASE WHEN s[1] = '.' THEN a WHEN s[1] = '..' AND (len(a) = 0 OR a[len(a)] = '!') THEN list_append(a, '!') WHEN s[1] = '..' THEN a[1:len(a) - 1] ELSE list_concat(a, s) END, CAST([] AS VARCHAR[]))"
+
+
+def in_site(raw: str, from_file: str) -> str:
+    named = f"url_decode(regexp_extract(trim({raw}), '^([^?#]*)', 1))"
+    below = f"CASE WHEN starts_with({named}, '/') THEN {named} ELSE regexp_extract({from_file}, '^(.*)/[^/]*$', 1) || '/' || {named} END"
+    kept = _stack(f"list_filter(string_split({below}, '/'), lambda s: s <> '')")
+    return f"CASE WHEN {named} <> '' AND NOT list_contains({kept}, '!') THEN nullif(array_to_string({kept}, '/'), '') END"
+
+
+def relative(from_file: str, to_file: str) -> str:
+    here, there = (f"list_filter(string_split({p}, '/'), lambda s: s <> '')" for p in (f"regexp_extract({from_file}, '^(.*)/[^/]*$', 1)", to_file))
+    n = f"len(list_filter(range(1, least(len({here}), len({there}) - 1) + 1), lambda i: ({here})[1:i] = ({there})[1:i]))"
+    return f"repeat('../', len({here}) - {n}) || array_to_string(({there})[{n} + 1:], '/')"
+
+
+_page_path = f"regexp_replace({LOCAL_PATH}, '^[^/]*/', '')"
+_number = "coalesce(CAST(page_id AS VARCHAR), '')"
+SITE_PAGES = f"(SELECT page_id, {host('url')} AS site_id, {_page_path} AS rel_path, url, html FROM {marked(fx.LINKED)} QUALIFY row_number() OVER (PARTITION BY {host('url')}, {_page_path} ORDER BY page_id) = 1)"
+_asset_path = in_site(f"replace(replace(path, '#', {_number}), ' ', '%20')", "rel_path")
+_assets = f"(SELECT site_id, {_asset_path} AS rel_path, replace(body, '#', {_number}) AS content FROM {SITE_PAGES} JOIN {fx.ASSETS.sql()} ON coalesce((page_id % 7 + 7) % 7, 0) = slot)"
+SITE_FILES = f"(SELECT site_id, rel_path, html AS content FROM {SITE_PAGES} UNION ALL SELECT site_id, rel_path, min(content) FROM {_assets} WHERE rel_path IS NOT NULL GROUP BY ALL)"
+
+_css_ref = "(?i)url\\(\\s*[''\"]?([^''\")]+)[''\"]?\\s*\\)"
+_css_import = "(?i)@import\\s+[''\"]([^''\"]+)[''\"]"
+
+
+def css_refs(css: str) -> str:
+    return f"list_filter(list_transform(list_concat(regexp_extract_all({css}, '{_css_ref}', 1), regexp_extract_all({css}, '{_css_import}', 1)), lambda u: trim(u)), lambda u: u <> '' AND NOT starts_with(u, 'data:'))"
+
+
+def references() -> str:
+    """site_id, rel_path, raw of every file of the sites."""
+    pages = f"(SELECT row_number() OVER () AS page_id, site_id, rel_path, content AS html FROM {SITE_FILES} WHERE regexp_matches(rel_path, '\\.(html?|xhtml|shtml|php[57s]?|phtml)$'))"
+    # what is in a noscript counts as well
+    html = _bare.replace("(<noscript", "(<nothing")
+    asset = "|".join(policy.ASSET_TAGS)
+    every = f"(SELECT site_id, rel_path, unnest(regexp_extract_all({html}, '(?is)<[a-z][^\\s/>]*{_attrs}>')) AS element, html FROM {pages})"
+    is_asset = f"regexp_matches(element, '(?i)^<({asset})[\\s/>]')"
+    plain = " UNION ALL ".join(f"SELECT site_id, rel_path, trim({value(n)}) AS raw FROM {every} WHERE {is_asset} AND {value(n)} IS NOT NULL" for n in ("href", "src", "data-src", "poster"))
+    sets = f"SELECT site_id, rel_path, regexp_extract(trim(unnest(string_split({value('srcset')}, ','))), '^(\\S*)', 1) AS raw FROM {every} WHERE {is_asset} AND {value('srcset')} IS NOT NULL"
+    styles = f"SELECT site_id, rel_path, unnest({css_refs(value('style'))}) AS raw FROM {every} WHERE {value('style')} IS NOT NULL"
+    bodies = f"SELECT site_id, rel_path, unnest({css_refs('body')}) AS raw FROM (SELECT site_id, rel_path, unnest(regexp_extract_all(html, '(?is)<style[^>]*>(.*?)</style>', 1)) AS body FROM {pages})"
+    sheets = f"SELECT site_id, rel_path, unnest({css_refs('content')}) AS raw FROM {SITE_FILES} WHERE ends_with(rel_path, '.css')"
+    return f"(SELECT DISTINCT * FROM ({plain} UNION ALL {sets} UNION ALL {styles} UNION ALL {bodies} UNION ALL {sheets}) WHERE trim(raw) <> '' AND NOT regexp_matches(raw, '^\\s*(data:|javascript:|#|mailto:|tel:|blob:)'))"
+
+
+_relative_ref = "NOT regexp_matches(raw, '^\\s*([a-zA-Z][a-zA-Z0-9+.\\-]*:|/|#)')"
+_LOCAL = f"(SELECT r.*, f.rel_path AS found FROM (SELECT *, {in_site('raw', 'rel_path')} AS means FROM {references()} WHERE {_relative_ref}) r JOIN {SITE_FILES} f ON f.site_id = r.site_id AND f.rel_path = r.means)"
+MAIN_FILES = "(SELECT site_id, rel_path FROM (" + main_score(f"(SELECT site_id, rel_path, content, length(content) AS size FROM {SITE_FILES})") + ") QUALIFY row_number() OVER (PARTITION BY site_id ORDER BY score DESC, rel_path) = 1)"
+_css_loads = f"(SELECT site_id, rel_path, unnest({css_refs('content')}) AS raw FROM {SITE_FILES} WHERE ends_with(rel_path, '.css'))"
+_name = "regexp_extract(rel_path, '([^/]*)$', 1)"
+MOVES = f"""(WITH RECURSIVE main AS MATERIALIZED {MAIN_FILES}, files AS MATERIALIZED {SITE_FILES}, local AS MATERIALIZED {_LOCAL},
+    loads AS MATERIALIZED (SELECT l.site_id, l.rel_path, f.rel_path AS found FROM (SELECT *, {in_site('raw', 'rel_path')} AS means FROM {_css_loads} WHERE {_relative_ref}) l JOIN files f ON f.site_id = l.site_id AND f.rel_path = l.means),
+    m AS (SELECT DISTINCT site_id, found AS rel_path, 1 AS round FROM local SEMI JOIN main USING (site_id, rel_path)
+        UNION SELECT l.site_id, l.found, m.round + 1 FROM m JOIN loads l ON l.site_id = m.site_id AND l.rel_path = m.rel_path WHERE m.round < 7),
+    done AS (SELECT site_id, rel_path, CAST(min(round) AS INTEGER) AS round FROM m ANTI JOIN main USING (site_id, rel_path) GROUP BY ALL),
+    placed AS (SELECT site_id, rel_path, round, {directory('rel_path')} AS dir, {_name} AS name FROM files LEFT JOIN done USING (site_id, rel_path)),
+    ranked AS (SELECT *, row_number() OVER (PARTITION BY site_id, dir, name ORDER BY (rel_path = dir || '/' || name) DESC, round, rel_path) - 1 AS place FROM placed WHERE round IS NOT NULL OR rel_path = dir || '/' || name)
+    SELECT site_id, rel_path, round, dir || '/' || CASE WHEN place > 0 THEN regexp_extract(name, '^(.*?)(\\.[^.]*)?$', 1) || '_' || place || regexp_extract(name, '(\\.[^.]*)$', 1) ELSE name END AS target FROM ranked WHERE round IS NOT NULL)"""
+RELOCATED = f"""WITH t AS MATERIALIZED (SELECT site_id, rel_path, target FROM {MOVES} UNION ALL SELECT site_id, rel_path, 'index.html' FROM {MAIN_FILES}),
+    n AS (SELECT l.site_id, l.rel_path, l.raw, {relative('h.target', 't.target')} || regexp_extract(l.raw, '^[^?#]*(.*)$', 1) AS new FROM {_LOCAL} l JOIN t h USING (site_id, rel_path) JOIN t ON t.site_id = l.site_id AND t.rel_path = l.found)
+    SELECT DISTINCT r.site_id, coalesce(h.target, r.rel_path) AS rel_path, coalesce(n.new, r.raw) AS raw FROM {references()} r LEFT JOIN t h USING (site_id, rel_path) LEFT JOIN n ON n.site_id = r.site_id AND n.rel_path = r.rel_path AND n.raw = r.raw"""
+_absolute = "regexp_matches(trim(raw), '(?i)^(https?:)?//')"
+_last = f"CASE WHEN {_absolute} AND {path('trim(raw)')} IN ('', '/') THEN '' ELSE {basename('trim(raw)')} END"
+REPAIRED = f"""WITH f AS MATERIALIZED (SELECT *, {basename('rel_path')} AS name FROM {SITE_FILES}),
+    r AS MATERIALIZED (SELECT *, {_absolute} AS absolute, {_last} AS name, CASE WHEN NOT {_absolute} THEN {in_site('raw', 'rel_path')} END AS means FROM {references()}),
+    c AS (SELECT r.site_id, r.rel_path, r.raw, {relative('r.rel_path', 'f.rel_path')} AS way, starts_with(f.rel_path, '_external/') AS ext, f.rel_path AS found FROM r JOIN f ON f.site_id = r.site_id AND f.name = r.name AND f.rel_path <> r.rel_path
+        QUALIFY row_number() OVER (PARTITION BY r.site_id, r.rel_path, r.raw ORDER BY ext, length(way), found) = 1)
+    SELECT r.site_id, r.rel_path, r.raw, CASE WHEN h.there IS NOT NULL OR NOT contains(r.name, '.') THEN 'kept' WHEN c.found IS NOT NULL THEN 'by name' WHEN absolute THEN 'external-no-local' ELSE 'local-missing' END AS outcome,
+        CASE WHEN h.there IS NULL AND contains(r.name, '.') AND c.found IS NOT NULL THEN CASE WHEN starts_with(way, '.') THEN way ELSE './' || way END END AS new
+    FROM r LEFT JOIN (SELECT site_id AS s, rel_path AS there FROM f) h ON h.s = r.site_id AND h.there = r.means LEFT JOIN c USING (site_id, rel_path, raw)"""
+
+
+def resolved(rows: str) -> str:
+    """The columns of `rows` (raw, base and others) with `resolved`."""
+    u = f"(SELECT *, regexp_replace(regexp_extract({_u.replace('coalesce(url', 'coalesce(raw')}, '^([^#]*)', 1), '\\\\', '/', 'g') AS u, regexp_extract(base, '(?i)^(https?://[^/?#]+)', 1) AS origin, regexp_extract(base, '(?i)^https?://[^/?#]+([^?#]*)', 1) AS pth FROM {rows})"
+    w = f"(SELECT *, CASE WHEN {scheme('u')} IS NOT NULL THEN u WHEN starts_with(u, '//') THEN {scheme('base')} || ':' || u WHEN starts_with(u, '/') THEN origin || u WHEN u = '' THEN regexp_extract(base, '^([^#]*)', 1) WHEN starts_with(u, '?') THEN origin || CASE pth WHEN '' THEN '/' ELSE pth END || u ELSE origin || CASE pth WHEN '' THEN '/' ELSE regexp_extract(pth, '^(.*/)', 1) END || u END AS whole FROM {u})"
+    p = f"(SELECT *, regexp_extract(whole, '(?i)^https?://[^/?]*([^?]*)', 1) AS p, regexp_extract(whole, '(?i)^(https?)://([^/?]*)', 1) AS s, lower(regexp_extract(whole, '(?i)^(https?)://([^/?]*)', 2)) AS h, regexp_extract(whole, '(?i)^https?://[^?]*(.*)$', 1) AS q FROM {w})"
+    parts = "string_split(p, '/')[2:]"
+    kept = f"list_filter({_stack(parts)}, lambda s: s <> '!')"
+    path_ = f"CASE WHEN p = '' THEN '/' ELSE '/' || array_to_string({kept}, '/') || CASE WHEN regexp_matches(p, '/\\.\\.?$') AND len({kept}) > 0 THEN '/' ELSE '' END END"
+    return f"SELECT * EXCLUDE (u, origin, pth, whole, p, s, h, q), CASE WHEN regexp_matches(whole, '(?i)^https?:') THEN lower(s) || '://' || h || {path_} || q ELSE whole END AS resolved FROM {p}"
+
+
+HREFS = f"(SELECT r.page_id, raw, url AS base FROM (" + " UNION ALL ".join(f"SELECT page_id, value AS raw FROM ({attribute(t, n, marked(fx.LINKED))})" for t, n in (("script|iframe|img|video|audio|source", "src"), ("link|a|area", "href"))) + ") r JOIN pages p ON p.page_id = r.page_id)"
+DELETED_COUNTS = f"""WITH d AS (SELECT site_id, rel_path FROM {SITE_FILES} WHERE contains(rel_path, 'deleted')),
+    e AS (SELECT page_id, {value('src')} AS raw FROM ({elements('script|img', marked(fx.LINKED))}) UNION ALL SELECT page_id, {value('href')} FROM ({elements('link', marked(fx.LINKED))})),
+    h AS (SELECT p.site_id, p.rel_path, {in_site('raw', 'p.rel_path')} AS means FROM e JOIN {SITE_PAGES} p USING (page_id) WHERE raw IS NOT NULL AND NOT {_absolute} AND NOT contains(p.html, '<?php')),
+    n AS (SELECT h.site_id, h.rel_path, count(*) AS n FROM h SEMI JOIN d ON d.site_id = h.site_id AND d.rel_path = h.means GROUP BY ALL)
+    SELECT site_id, rel_path, CAST(coalesce(n, 0) AS BIGINT) AS n_edits FROM (SELECT site_id, rel_path FROM {SITE_FILES} WHERE ends_with(rel_path, '.html')) LEFT JOIN n USING (site_id, rel_path)"""
+
+
+_local = f"regexp_replace({LOCAL_PATH.replace('url', 'u.url')}, '^[^/]*/', '')"
+_wanted = f"regexp_matches(lower(rel_path), '\\.({'|'.join(policy.ASSET_EXTENSIONS)})$')"
+
+
+def _asked(refs: str) -> str:
+    """site_id and url of the own assets that rows (site_id, raw, base) load."""
+    return f"SELECT DISTINCT site_id, resolved AS url FROM ({resolved(refs)}) WHERE regexp_matches(resolved, '^https?://') AND {host('resolved')} = site_id"
+
+
+_first_base = f"(SELECT site_id, rel_path, min(v) AS href FROM (SELECT p.site_id, p.rel_path, {value('href')} AS v FROM ({elements('base', marked(fx.LINKED))}) JOIN {SITE_PAGES} p USING (page_id)) GROUP BY ALL)"
+_page_refs = f"(SELECT r.site_id, r.raw, coalesce(b.resolved, p.url) AS base FROM {references()} r JOIN {SITE_PAGES} p USING (site_id, rel_path) LEFT JOIN (SELECT site_id, rel_path, resolved FROM ({resolved(f'(SELECT site_id, rel_path, href AS raw, url AS base FROM {_first_base} JOIN {SITE_PAGES} USING (site_id, rel_path))')})) b ON b.site_id = r.site_id AND b.rel_path = r.rel_path)"
+_had = f"(SELECT s || '://' || site_id || '/' || replace(rel_path, ' ', '%20') AS url, content FROM {SITE_FILES}, (VALUES ('http'), ('https')) v(s) WHERE NOT regexp_matches(rel_path, '\\.(html?|xhtml|shtml|php[57s]?|phtml)$'))"
+
+
+def _round(n: int, refs: str) -> str:
+    before = "".join(f" ANTI JOIN {t} ON {t}.site_id = u.site_id AND {t}.url = u.url" for t in ("seen", *(f"a{i}" for i in range(1, n))))
+    return f"r{n} AS MATERIALIZED ({_asked(refs)}), u{n} AS MATERIALIZED (SELECT u.* FROM r{n} u{before}), a{n} AS MATERIALIZED (SELECT u.site_id, u.url, {_local} AS rel_path, {n} AS round, h.content FROM u{n} u LEFT JOIN h ON h.url = u.url)"
+
+
+_sheet_refs = "(SELECT site_id, unnest(" + css_refs("content") + ") AS raw, url AS base FROM a{n} WHERE ends_with(rel_path, '.css') AND content IS NOT NULL AND " + _wanted + ")"
+FETCHED = f"WITH seen AS MATERIALIZED (SELECT site_id, url FROM {SITE_PAGES}), h AS MATERIALIZED {_had}, {_round(1, _page_refs)}"
+for _n in (2, 3, 4):
+    FETCHED += ", " + _round(_n, _sheet_refs.replace("{n}", str(_n - 1)))
+FETCHED += " " + " UNION ALL ".join(f"SELECT site_id, url, rel_path, CAST(round AS INTEGER) AS round, content IS NOT NULL AS ok FROM a{i} WHERE {_wanted}" for i in (1, 2, 3, 4))
+
+
+def pinned(official: fx.Fixture) -> str:
+    """page_id, url, cdn_url, integrity of the local libraries of pages."""
+    urls = f"(SELECT DISTINCT page_id, tag, url FROM (" + " UNION ALL ".join(f"SELECT page_id, '{t}' AS tag, {value(n)} AS url FROM ({elements(t, marked(fx.LINKED))})" for t, n in (("script", "src"), ("link", "href"))) + ") WHERE url IS NOT NULL)"
+    at = f"CASE WHEN regexp_matches(url, '(?i)^(https?:)?//') THEN {path('url')} WHEN starts_with({path('url')}, '/') THEN {path('url')} ELSE '/' || {path('url')} END"
+    version = "(\\d+\\.\\d+(?:\\.\\d+)?(?:[-+.][0-9A-Za-z.]+)?)"
+    by_path = f"CASE WHEN regexp_matches({at}, '(?i)^/ajax/libs/[^/]+/{version}/.+$') THEN 'https://cdnjs.cloudflare.com' || {at} WHEN regexp_matches({at}, '(?i)^/npm/(?:@[^/]+/)?[^/@]+@{version}/.+$') AND lower(regexp_extract({at}, '(?i)^/npm/((?:@[^/]+/)?[^/@]+)@', 1)) IN {values(policy.TRUSTED_PACKAGES)} THEN 'https://cdn.jsdelivr.net' || {at} END"
+    known = f"(SELECT url, replace(target, '{{v}}', version) AS cdn_url FROM ({LIBRARIES.format(rows=f'(SELECT DISTINCT 1 AS case_id, url FROM {urls})').replace('SELECT case_id,', 'SELECT case_id, url,', 1)}))"
+    judged = f"(SELECT * FROM ({VERDICTS.format(rows='(SELECT *, ' + chr(39) + 'script' + chr(39) + ' AS kind FROM ' + urls + ')')}) WHERE NOT (regexp_matches(url, '(?i)^(https?:)?//') AND action = 'keep'))"
+    return f"SELECT page_id, j.url, o.cdn_url, o.integrity FROM (SELECT page_id, tag, j.url, coalesce(k.cdn_url, {by_path.replace('url', 'j.url')}) AS cdn_url FROM {judged} j LEFT JOIN {known} k ON k.url = j.url) j JOIN {official.sql()} o ON o.cdn_url = j.cdn_url"
