@@ -44,6 +44,17 @@ def with_snippets(spark: SparkSession, sf_dir: str, snippets: fx.Fixture) -> Dat
     return rows.select("page_id", "url", F.concat(F.coalesce("html", F.lit("")), F.replace("markup", F.lit("#"), F.coalesce(F.col("page_id").cast("string"), F.lit("")))).alias("html"))
 
 
+def coded_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pages with server code, scripts, styles, links and macros behind them."""
+    return with_snippets(spark, sf_dir, fx.CODE)
+
+
+def ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """file, start_pos, end_pos, hits: spans from the line items of each supplier."""
+    start = (F.col("l_partkey") % 500).cast("int")
+    return spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(F.concat(F.lit("f"), "l_suppkey").alias("file"), start.alias("start_pos"), (start + F.col("l_quantity")).cast("int").alias("end_pos"), (F.col("l_linenumber") % 3).cast("int").alias("hits"))
+
+
 @query(f"SELECT page_id, kind, url, action, reason, host FROM ({o.VERDICTS.format(rows=o.RESOURCES)})")
 def classify_resources(spark, sf_dir):
     return extract.classified(marked_pages(spark, sf_dir))
@@ -124,15 +135,19 @@ def untrusted_anti(spark, sf_dir):
     return _hosts(spark, sf_dir, False)
 
 
-@query(f"SELECT case_id, rel, kind, CASE WHEN kind IS NOT NULL THEN action END AS action FROM ({o.VERDICTS.format(rows='(SELECT case_id, rel, ' + o.LINK_KIND + ' AS kind, href AS url FROM ' + fx.LINKS.sql() + ')')})")
+@query(f"SELECT page_id, rel, kind, CASE WHEN kind IS NOT NULL THEN action END AS action FROM ({o.VERDICTS.format(rows='(SELECT page_id, rel, ' + o.LINK_KIND + ' AS kind, href AS url FROM ' + o.CODE_LINKS + ')')})")
 def link_rel_kind(spark, sf_dir):
-    kind = extract.link_kind(F.col("rel"), F.col("as_attr"))
-    return fx.LINKS.df(spark).withColumn("kind", kind).select("case_id", "rel", "kind", F.when(F.col("kind").isNotNull(), urls.verdict(F.col("href"), F.col("kind"))["action"]).alias("action"))
+    """What the links of pages load, and the verdict on it."""
+    links = markup.elements(coded_pages(spark, sf_dir), ("link",), ("rel", "as", "href"))
+    kind = extract.link_kind(markup.attribute("rel"), markup.attribute("as"))
+    rows = links.select("page_id", markup.attribute("rel").alias("rel"), kind.alias("kind"), markup.attribute("href").alias("href"))
+    return rows.select("page_id", "rel", "kind", F.when(F.col("kind").isNotNull(), urls.verdict(F.col("href"), F.col("kind"))["action"]).alias("action"))
 
 
-@query(f"SELECT site_id, rel_path, score FROM (SELECT *, row_number() OVER (PARTITION BY site_id ORDER BY score DESC, rel_path) AS place FROM ({o.main_score(fx.FILES.sql())})) WHERE place = 1")
+@query(f"SELECT site_id, rel_path, score FROM (SELECT *, row_number() OVER (PARTITION BY site_id ORDER BY score DESC, rel_path) AS place FROM ({o.main_score(o.SITE_SIZES)})) WHERE place = 1")
 def main_file_top1(spark, sf_dir):
-    return layout.main_files(fx.FILES.df(spark))
+    """The main file of each saved site."""
+    return layout.main_files(site_files(spark, sf_dir).withColumn("size", F.length("content").cast("long")))
 
 
 @query(f"SELECT host, rel_path, score FROM (SELECT *, row_number() OVER (PARTITION BY host ORDER BY score DESC, rel_path) AS place FROM ({o.main_score(o.PAGE_FILES)})) WHERE place = 1")
@@ -143,9 +158,9 @@ def main_page_top1(spark, sf_dir):
     return layout.main_files(files, "host")
 
 
-@query(f"SELECT site_id, rel_path, CASE WHEN n > 0 THEN dir || '/' || regexp_extract(name, '^(.*?)(\\.[^.]*)?$', 1) || '_' || n || regexp_extract(name, '(\\.[^.]*)$', 1) ELSE dir || '/' || name END AS target FROM (SELECT *, row_number() OVER (PARTITION BY site_id, dir, name ORDER BY rel_path) - 1 AS n FROM (SELECT site_id, rel_path, {o.directory('rel_path')} AS dir, regexp_extract(rel_path, '([^/]*)$', 1) AS name FROM {fx.FILES.sql()}))")
+@query(f"SELECT site_id, rel_path, CASE WHEN n > 0 THEN dir || '/' || regexp_extract(name, '^(.*?)(\\.[^.]*)?$', 1) || '_' || n || regexp_extract(name, '(\\.[^.]*)$', 1) ELSE dir || '/' || name END AS target FROM (SELECT *, row_number() OVER (PARTITION BY site_id, dir, name ORDER BY rel_path) - 1 AS n FROM (SELECT site_id, rel_path, {o.directory('rel_path')} AS dir, regexp_extract(rel_path, '([^/]*)$', 1) AS name FROM {o.SITE_FILES}))")
 def dup_basename_suffix(spark, sf_dir):
-    return layout.placed(fx.FILES.df(spark))
+    return layout.placed(site_files(spark, sf_dir))
 
 
 WANTED = fx.Fixture("site_id int, from_path string, url string", [(1, "index.html", "https://old.test/x/logo.png"), (1, "about/index.html", "missing.png"), (1, "img/logo.png", "LOGO.png"), (2, "page.htm", "a.woff2?v=1")])
@@ -156,19 +171,19 @@ def candidate_pick(spark, sf_dir):
     return layout.candidates(fx.FILES.df(spark), WANTED.df(spark))
 
 
-@query(f"SELECT file, min(start_pos) AS start_pos, max(end_pos) AS end_pos FROM ({o.ISLANDS.format(rows=fx.SPANS.sql())}) GROUP BY file, island")
+@query(f"SELECT file, min(start_pos) AS start_pos, max(end_pos) AS end_pos FROM ({o.ISLANDS.format(rows=o.RANGES)}) GROUP BY file, island")
 def interval_islands(spark, sf_dir):
-    return spans.merged(fx.SPANS.df(spark))
+    return spans.merged(ranges(spark, sf_dir))
 
 
-@query(f"SELECT f.file, CAST(coalesce(sum(e - s), 0) AS BIGINT) AS covered FROM (SELECT DISTINCT file FROM {fx.SPANS.sql()}) f LEFT JOIN (SELECT file, min(start_pos) AS s, max(end_pos) AS e FROM ({o.ISLANDS.format(rows='(SELECT * FROM ' + fx.SPANS.sql() + ' WHERE hits > 0)')}) GROUP BY file, island) m ON f.file = m.file GROUP BY f.file")
+@query(f"SELECT f.file, CAST(coalesce(sum(e - s), 0) AS BIGINT) AS covered FROM (SELECT DISTINCT file FROM {o.RANGES}) f LEFT JOIN (SELECT file, min(start_pos) AS s, max(end_pos) AS e FROM ({o.ISLANDS.format(rows='(SELECT * FROM ' + o.RANGES + ' WHERE hits > 0)')}) GROUP BY file, island) m ON f.file = m.file GROUP BY f.file")
 def covered_characters(spark, sf_dir):
-    return spans.covered(fx.SPANS.df(spark))
+    return spans.covered(ranges(spark, sf_dir))
 
 
-@query(f"SELECT file, start_pos, end_pos, hits FROM (SELECT *, max(end_pos) OVER (PARTITION BY file ORDER BY start_pos, end_pos DESC, hits ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM {fx.SPANS.sql()}) WHERE reach IS NULL OR start_pos >= reach")
+@query(f"SELECT file, start_pos, end_pos, hits FROM (SELECT *, max(end_pos) OVER (PARTITION BY file ORDER BY start_pos, end_pos DESC, hits ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM {o.RANGES}) WHERE reach IS NULL OR start_pos >= reach")
 def outermost_spans(spark, sf_dir):
-    return spans.outermost(fx.SPANS.df(spark))
+    return spans.outermost(ranges(spark, sf_dir))
 
 
 @query(" UNION ALL ".join(f"SELECT page_id, '{name}' AS name, value FROM ({o.attribute('[a-z][^\\s/>]*', name)})" for name in ("onclick", "onload", "onerror", "onsubmit", "onchange", "onmouseover", "onfocus", "oninput")))
@@ -177,9 +192,9 @@ def event_attributes(spark, sf_dir):
     return found.where(F.col("a.name").rlike("^on[a-z]")).select("page_id", "a.name", "a.value")
 
 
-@query(" UNION ALL ".join(f"SELECT case_id, '{label}' AS label, len(regexp_extract_all(code, {o.text(p)}))::BIGINT AS n FROM {fx.SOURCES.sql()} WHERE regexp_matches(code, {o.text(p)})" for label, p in policy.PHP_BACKDOORS))
+@query(" UNION ALL ".join(f"SELECT page_id, '{label}' AS label, len(regexp_extract_all(html, {o.text(p)}))::BIGINT AS n FROM {o.CODED} WHERE regexp_matches(html, {o.text(p)})" for label, p in policy.PHP_BACKDOORS))
 def php_patterns(spark, sf_dir):
-    return fx.SOURCES.df(spark).select("case_id", F.inline(extract.labelled(F.col("code"), policy.PHP_BACKDOORS)))
+    return coded_pages(spark, sf_dir).select("page_id", F.inline(extract.labelled(F.col("html"), policy.PHP_BACKDOORS)))
 
 
 @query(" UNION ALL ".join(f"SELECT page_id, {o.text(label)} AS label, len(regexp_extract_all(body, {o.text(p)}))::BIGINT AS n FROM ({o.INLINE}) WHERE regexp_matches(body, {o.text(p)})" for label, p in policy.JS_WARNINGS))
@@ -187,28 +202,31 @@ def js_warnings(spark, sf_dir):
     return extract.inline_scripts(marked_pages(spark, sf_dir)).select("page_id", F.inline(extract.labelled(F.col("body"), policy.JS_WARNINGS)))
 
 
-@query(f"SELECT case_id, ids, hex_ids, hex_ids * 100 > ids * 15 OR contains(code, 'eval(function(p,a,c,k,e') OR regexp_matches(code, 'String\\[[''\"]fromCharCode[''\"]\\]') AS obfuscated FROM (SELECT *, len(regexp_extract_all(code, '[A-Za-z_$][\\w$]*'))::BIGINT AS ids, len(regexp_extract_all(code, '_0x[0-9a-fA-F]+'))::BIGINT AS hex_ids FROM {fx.SOURCES.sql()})")
+@query(f"SELECT page_id, ids, hex_ids, hex_ids * 100 > ids * 15 OR contains(code, 'eval(function(p,a,c,k,e') OR regexp_matches(code, 'String\\[[''\"]fromCharCode[''\"]\\]') AS obfuscated FROM (SELECT *, len(regexp_extract_all(code, '[A-Za-z_$][\\w$]*'))::BIGINT AS ids, len(regexp_extract_all(code, '_0x[0-9a-fA-F]+'))::BIGINT AS hex_ids FROM {o.CODE_SCRIPTS})")
 def obfuscation_ratio(spark, sf_dir):
-    return fx.SOURCES.df(spark).select("case_id", extract.obfuscation(F.col("code")).alias("o")).select("case_id", "o.ids", "o.hex_ids", "o.obfuscated")
+    scripts_ = extract.inline_scripts(coded_pages(spark, sf_dir).select("page_id", "html"))
+    return scripts_.select("page_id", extract.obfuscation(F.col("body")).alias("o")).select("page_id", "o.ids", "o.hex_ids", "o.obfuscated")
 
 
-@query(f"SELECT case_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(code, '(?is)<\\?(?:php|=).*?\\?>', '', 'g'), '(?is)<\\?(?:[^xp=]|x[^m]|p[^h]).*?\\?>', '', 'g'), '(?is)<%.*?%>', '', 'g'), '(?is)<\\?(?:php|=).*', '', 'g') AS stripped FROM {fx.SOURCES.sql()}")
+@query(f"SELECT page_id, md5(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<\\?(?:php|=).*?\\?>', '', 'g'), '(?is)<\\?(?:[^xp=]|x[^m]|p[^h]).*?\\?>', '', 'g'), '(?is)<%.*?%>', '', 'g'), '(?is)<\\?(?:php|=).*', '', 'g')) AS stripped FROM {o.CODED}")
 def server_tags(spark, sf_dir):
-    return fx.SOURCES.df(spark).select("case_id", extract.strip_server_code(F.col("code")).alias("stripped"))
+    """Digests of the pages without server code."""
+    return coded_pages(spark, sf_dir).select("page_id", F.md5(extract.strip_server_code(F.col("html"))).alias("stripped"))
 
 
-CSS_11 = " a{background:url('')} b{background:url(i/y.png)}"
-
-
-@query(f"SELECT case_id, CASE case_id WHEN 11 THEN {o.text(CSS_11)} WHEN 12 THEN code WHEN 13 THEN 'c{{color:red}}' ELSE code END AS cleaned FROM {fx.SOURCES.sql()}")
+@query("SELECT page_id, replace(replace(replace(code, '@import ''https://evil.test/a.css'';', ''), 'url(\"https://evil.test/x-' || page_id || '.png\")', 'url(' || chr(39) || chr(39) || ')'), '@import url(''https://evil.test/css?a=1;2'');', '') AS cleaned FROM " + o.CODE_STYLES)
 def css_clean(spark, sf_dir):
-    """Every source as a style sheet; the oracle has the expected sheets of those that change."""
-    return fx.SOURCES.df(spark).select("case_id", extract.clean_css(F.col("code")).alias("cleaned"))
+    """The style elements of pages without external imports and addresses; the oracle takes out the fixture's foreign ones."""
+    sheets = markup.elements(coded_pages(spark, sf_dir), ("style",), ())
+    return sheets.select("page_id", extract.clean_css(F.col("body")).alias("cleaned"))
 
 
-@query(f"SELECT case_id, lib, version, replace(target, '{{v}}', version) AS cdn_url FROM ({o.LIBRARIES.format(rows=fx.LIB_URLS.sql())})")
+@query(f"SELECT case_id AS page_id, lib, version, replace(target, '{{v}}', version) AS cdn_url FROM ({o.LIBRARIES.format(rows='(SELECT DISTINCT * FROM ' + o.CODE_URLS + ')')})")
 def library_by_url(spark, sf_dir):
-    return fx.LIB_URLS.df(spark).select("case_id", extract.library(F.col("url")).alias("l")).where("l IS NOT NULL").select("case_id", "l.lib", "l.version", "l.cdn_url")
+    """Libraries that pages load, by file name."""
+    loaded = markup.elements(coded_pages(spark, sf_dir), ("script", "link"), ("src", "href"))
+    rows = loaded.select("page_id", F.when(F.col("tag") == "script", markup.attribute("src")).otherwise(markup.attribute("href")).alias("url")).distinct()
+    return rows.select("page_id", extract.library(F.col("url")).alias("l")).where("l IS NOT NULL").select("page_id", "l.lib", "l.version", "l.cdn_url")
 
 
 @query(f"SELECT page_id, url, main_host, {o.IS_OFFER} AS offer FROM (SELECT r.page_id, r.url, {o.host('p.url')} AS main_host FROM ({o.RESOURCES}) r JOIN pages p ON p.page_id = r.page_id WHERE r.kind = 'anchor')")
@@ -239,9 +257,12 @@ def changelog_first_100(spark, sf_dir):
     return report.first_changes(extract.classified(marked_pages(spark, sf_dir)))
 
 
-@query(f"SELECT count(*) AS n_runs, count(*) > 0 AND bool_and(NOT is_error) AS ok, count(DISTINCT page) AS n_pages, CAST(count_if(h IS NOT NULL AND NOT {o.below('h', policy.TRUSTED_LIB_HOSTS)}) AS BIGINT) AS n_foreign, array_to_string(list_sort(list_distinct(list(h) FILTER (h IS NOT NULL AND NOT {o.below('h', policy.TRUSTED_LIB_HOSTS)}))), ' ') AS foreign_hosts FROM (SELECT *, {o.host('url')} AS h FROM {fx.REQUESTS.sql()})")
+@query(f"SELECT count(*) AS n_runs, count(*) > 0 AND bool_and(NOT is_error) AS ok, count(DISTINCT page) AS n_pages, CAST(count_if(h IS NOT NULL AND NOT {o.below('h', policy.TRUSTED_LIB_HOSTS)}) AS BIGINT) AS n_foreign, array_to_string(list_sort(list_distinct(list(h) FILTER (h IS NOT NULL AND NOT {o.below('h', policy.TRUSTED_LIB_HOSTS)}))), ' ') AS foreign_hosts FROM (SELECT *, {o.host('url')} AS h FROM {o.REQUESTS})")
 def verify_fold(spark, sf_dir):
-    return report.verified(fx.REQUESTS.df(spark))
+    """The verdict on all that pages load, taken as recorded requests."""
+    loaded = extract.resources(marked_pages(spark, sf_dir)).where("kind <> 'anchor'")
+    page = F.concat(F.lit("p"), F.col("page_id").cast("string"))
+    return report.verified(loaded.select(page.alias("page"), F.when(F.col("page_id") % 2 == 0, "desktop").otherwise("mobile").alias("profile"), "url", F.lit(False).alias("is_error")))
 
 
 @query(f"SELECT arg_max(default_vertical, layer) FILTER (default_vertical IS NOT NULL) AS default_vertical, arg_max(name_macro, layer) FILTER (name_macro IS NOT NULL) AS name_macro FROM {fx.CONFIG.sql()}")
@@ -249,9 +270,13 @@ def config_layering(spark, sf_dir):
     return adapt.layered(fx.CONFIG.df(spark))
 
 
-@query(f"SELECT case_id, CASE WHEN image_mode = 'skip' THEN NULL WHEN image_mode = 'file' THEN image_file ELSE CASE trim(coalesce(vertical, 'Adult')) " + " ".join(f"WHEN {o.text(k)} THEN {o.text(v)}" for k, v in adapt.IMAGE_BASES.items()) + f" END END AS target FROM {fx.BRIEF.sql()}")
+@query(f"SELECT case_id, CASE WHEN image_mode = 'skip' THEN NULL WHEN image_mode = 'file' THEN image_file ELSE CASE trim(coalesce(vertical, 'Adult')) " + " ".join(f"WHEN {o.text(k)} THEN {o.text(v)}" for k, v in adapt.IMAGE_BASES.items()) + f" END END AS target FROM {o.BRIEFS}")
 def image_target(spark, sf_dir):
-    return fx.BRIEF.df(spark).select("case_id", adapt.image_target(F.col("vertical"), F.col("image_mode"), F.col("image_file")).alias("target"))
+    kind = F.col("page_id") % 4
+    vertical = F.when(kind == 1, "Adult").when(kind == 2, " WeightLoss ").when(kind == 3, "None")
+    mode = F.when(F.col("page_id") % 5 == 0, "skip").when(F.col("page_id") % 5 == 1, "file").otherwise("macro")
+    briefs = pages(spark, sf_dir).select(F.col("page_id").alias("case_id"), vertical.alias("vertical"), mode.alias("image_mode"), F.concat(F.lit("img/"), "page_id", F.lit(".png")).alias("image_file"))
+    return briefs.select("case_id", adapt.image_target(F.col("vertical"), F.col("image_mode"), F.col("image_file")).alias("target"))
 
 
 NAMES = ["the and", "of"]
@@ -347,8 +372,9 @@ def cleaned_images(spark, sf_dir):
     return dirty.join(left, "page_id", "left").select("page_id", "n_imgs", "n_gone", F.coalesce("n_left", F.lit(0)).cast("long").alias("n_left"))
 
 
-@query()
+@query(o.EDIT_COUNTS)
 def edit_plan(spark, sf_dir):
+    """How often each pass of cleaning edits the pages."""
     return html.planned(marked_pages(spark, sf_dir), policy.POLICY_TAG).groupBy("pass_no", "action", "reason").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -364,14 +390,17 @@ def code_warnings(spark, sf_dir):
     return extract.code_warnings(fx.SCRIPTS.df(spark))
 
 
-@query(fx.STRIPPED.sql()[1:-1])
+@query(r"SELECT page_id, regexp_replace(code, '//[#@][ \t]*sourceMappingURL\s*=\s*\S+', '', 'g') AS code FROM " + o.CODE_SCRIPTS)
 def source_maps(spark, sf_dir):
-    return fx.SCRIPTS.df(spark).select("case_id", extract.without_source_maps(F.col("code")).alias("code"))
+    """Inline scripts without the comments that name their source maps."""
+    return extract.inline_scripts(coded_pages(spark, sf_dir).select("page_id", "html")).select("page_id", extract.without_source_maps(F.col("body")).alias("code"))
 
 
-@query(f"SELECT case_id, 'jquery' AS lib, '3.7.1' AS version, 'https://code.jquery.com/jquery-3.7.1.min.js' AS cdn_url FROM {fx.SOURCES.sql()} WHERE case_id = 9 UNION ALL SELECT case_id, 'lodash', '4.17.21', 'https://cdn.jsdelivr.net/npm/lodash@4.17.21/lodash.min.js' FROM {fx.SOURCES.sql()} WHERE case_id = 10")
+@query(o.LIBRARY_BY_CODE)
 def library_by_code(spark, sf_dir):
-    return fx.SOURCES.df(spark).select("case_id", extract.library_by_code(F.col("code")).alias("l")).where("l IS NOT NULL").select("case_id", "l.lib", "l.version", "l.cdn_url")
+    """Libraries in the inline scripts of pages, by their code."""
+    found = extract.inline_scripts(coded_pages(spark, sf_dir).select("page_id", "html")).select("page_id", extract.library_by_code(F.col("body")).alias("l"))
+    return found.where("l IS NOT NULL").select("page_id", "l.lib", "l.version", "l.cdn_url")
 
 
 @query(f"SELECT host, action FROM ({o.VERDICTS.format(rows='(SELECT DISTINCT host AS saved, ' + chr(39) + 'script' + chr(39) + ' AS kind, ' + chr(39) + 'https://' + chr(39) + ' || host || ' + chr(39) + '/' + chr(39) + ' AS url FROM (SELECT ' + o.host('url') + ' AS host FROM ' + o.RESOURCES + ') WHERE host IS NOT NULL)')})")

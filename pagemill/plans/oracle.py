@@ -306,3 +306,60 @@ def pinned(official: fx.Fixture) -> str:
     known = f"(SELECT url, replace(target, '{{v}}', version) AS cdn_url FROM ({LIBRARIES.format(rows=f'(SELECT DISTINCT 1 AS case_id, url FROM {urls})').replace('SELECT case_id,', 'SELECT case_id, url,', 1)}))"
     judged = f"(SELECT * FROM ({VERDICTS.format(rows='(SELECT *, ' + chr(39) + 'script' + chr(39) + ' AS kind FROM ' + urls + ')')}) WHERE NOT (regexp_matches(url, '(?i)^(https?:)?//') AND action = 'keep'))"
     return f"SELECT page_id, j.url, o.cdn_url, o.integrity FROM (SELECT page_id, tag, j.url, coalesce(k.cdn_url, {by_path.replace('url', 'j.url')}) AS cdn_url FROM {judged} j LEFT JOIN {known} k ON k.url = j.url) j JOIN {official.sql()} o ON o.cdn_url = j.cdn_url"
+
+
+# ------------------------------------------------------------- code of the pages
+
+CODED = marked(fx.CODE)
+
+
+def _raw_bodies(tag: str, rows: str) -> str:
+    """page_id, the start tag and the content of each element of a raw tag."""
+    return f"SELECT page_id, regexp_extract(block, '(?is)^(<{tag}{_attrs}>)', 1) AS element, regexp_extract(block, '(?is)^<{tag}{_attrs}>(.*)</{tag}(?:[\\s/][^>]*)?>$', 1) AS body FROM (SELECT page_id, unnest(regexp_extract_all(html, '{_blocks}')) AS block FROM {rows}) WHERE regexp_matches(block, '(?i)^<{tag}[\\s/>]')"
+
+
+CODE_SCRIPTS = f"(SELECT page_id, body AS code FROM ({_raw_bodies('script', CODED)}) WHERE {value('src')} IS NULL)"
+CODE_STYLES = f"(SELECT page_id, body AS code FROM ({_raw_bodies('style', CODED)}))"
+CODE_LINKS = f"(SELECT page_id, {value('rel')} AS rel, {value('as')} AS as_attr, {value('href')} AS href FROM ({elements('link', CODED)}))"
+LIBRARY_BY_CODE = "SELECT page_id, arg_min(lib, priority) AS lib, arg_min(v, priority) AS version, arg_min(replace(target, '{v}', v), priority) AS cdn_url FROM (" + " UNION ALL ".join(f"SELECT page_id, code, {i} AS priority, {text(n)} AS lib, coalesce(nullif(regexp_extract(code, {text(v)}, 1) || regexp_extract(code, {text(v)}, 2), ''), {text(d)}) AS v, {text(t)} AS target FROM {CODE_SCRIPTS} WHERE regexp_matches(code, {text(p)})" for i, (n, p, v, d, t) in enumerate(policy.LIBRARY_CODE)) + ") GROUP BY page_id, code"
+CODE_URLS = f"(SELECT page_id AS case_id, u AS url FROM (" + " UNION ALL ".join(f"SELECT page_id, {value(n)} AS u FROM ({elements(t, CODED)})" for t, n in (("script", "src"), ("link", "href"))) + ") WHERE u IS NOT NULL)"
+
+_keep_host = f"({below('host', policy.TRUSTED_LIB_HOSTS)})"
+_verdicts = lambda kind, tags, name: f"SELECT action FROM ({VERDICTS.format(rows='(SELECT value AS url, ' + text(kind) + ' AS kind FROM (' + attribute(tags, name) + '))')}) WHERE action <> 'keep'"
+_own = f"x IN {values(policy.OWN_MACROS)}"
+_macro = "'\\{[a-zA-Z0-9_:.\\-]+\\}'"
+_link_rows = f"(SELECT href AS url, kind FROM (SELECT href, {LINK_KIND} AS kind FROM (SELECT {value('rel')} AS rel, {value('as')} AS as_attr, {value('href')} AS href FROM ({elements('link')}))) WHERE kind IS NOT NULL AND href IS NOT NULL)"
+_css_foreign = f"len(list_filter({css_refs('body')}, lambda u: regexp_matches(u, '(?i)^(https?:)?//') AND NOT {below(host('u'), policy.TRUSTED_LIB_HOSTS)})) > 0"
+_hrefs = f"(SELECT value AS v, regexp_matches(value, '(?i)^\\s*(javascript|vbscript|data|blob|filesystem):') AS dangerous, regexp_matches(value, '^\\s*\\{{[^}}]+\\}}\\s*$') AND len(list_filter(regexp_extract_all(value, {_macro}), lambda x: NOT {_own})) > 0 AS macro FROM ({attribute('a|area', 'href')}))"
+_texts = f"(SELECT unnest(regexp_extract_all({_bare}, '>([^<]+)(?:<|$)', 1)) AS t FROM {MARKED})"
+_handlers = " UNION ALL ".join(f"SELECT value FROM ({attribute('[a-z][^\\s/>]*', n)})" for n in ("onclick", "onload", "onerror"))
+_keywords = f"len(list_filter({array(policy.INLINE_KEYWORDS)}, lambda k: contains({{0}}, k))) > 0"
+_noscripts = f"(SELECT unnest(regexp_extract_all(html, '(?is)<noscript>(.*?)</noscript>', 1)) AS body FROM {MARKED})"
+#: How often each pass edits the pages: what is there to edit, counted by expressions over the markup.
+EDIT_COUNTS = " UNION ALL ".join(
+    f"SELECT CAST({n} AS INTEGER) AS pass_no, {action} AS action, {text(reason)} AS reason, count(*) AS n FROM ({rows}) GROUP BY ALL"
+    for n, action, reason, rows in [
+        (1, "'remove'", "base", elements("base")),
+        (3, "action", "script", _verdicts("script", "script", "src")),
+        (4, "'remove'", "tracker data", f"SELECT 1 FROM ({SCRIPTS}) WHERE {value('type')} = 'application/ld+json' AND regexp_matches(body, '(?i)googletagmanager|google-analytics')"),
+        (5, "'remove'", "inline tracker", f"SELECT 1 FROM ({SCRIPTS}) WHERE {value('src')} IS NULL AND coalesce({value('type')}, '') <> 'application/ld+json' AND {_keywords.format('body')}"),
+        (6, "'quarantine'", "noscript", f"SELECT 1 FROM {_noscripts} WHERE regexp_matches(body, '^\\s*(<img src=\"//unlisted.test/[^\"]*\">\\s*)+$') UNION ALL SELECT 1 FROM {_noscripts} WHERE regexp_matches(body, '^[^<\\s]+<img src=\"//unlisted')"),
+        (7, "'rewrite'", "style", f"SELECT 1 FROM ({_raw_bodies('style', MARKED)}) WHERE {_css_foreign}"),
+        (8, "action", "link", f"SELECT action FROM ({VERDICTS.format(rows=_link_rows)}) WHERE action <> 'keep'"),
+        (9, "'remove'", "verification", f"SELECT 1 FROM ({attribute('meta', 'name')}) WHERE lower(value) IN {values([m.lower() for m in policy.VERIFICATION_METAS])}"),
+        (10, "'quarantine'", "refresh", f"SELECT 1 FROM ({attribute('meta', 'http-equiv')}) WHERE lower(value) = 'refresh'"),
+        (11, "action", "iframe", _verdicts("iframe", "iframe", "src")),
+        (12, "action", "img", _verdicts("img", "img", "src")),
+        (13, "'quarantine'", "object", f"SELECT 1 FROM ({elements('object')}) UNION ALL {_verdicts('iframe', 'embed', 'src')}"),
+        (14, "'remove'", "frame", elements("frame|frameset|noframes")),
+        (15, "'quarantine'", "dangerous link", f"SELECT 1 FROM {_hrefs} WHERE dangerous"),
+        (16, "'rewrite'", "offer link", f"SELECT 1 FROM {_hrefs} WHERE NOT dangerous AND NOT macro AND trim(v) <> '' AND NOT regexp_matches(trim(v), '(?i)^(#|mailto:|tel:)') AND NOT regexp_matches(trim(v), '^\\{{[a-zA-Z0-9_:.\\-]+\\}}$')"),
+        (17, "'rewrite'", "foreign macro", f"SELECT 1 FROM {_hrefs} WHERE macro UNION ALL SELECT 1 FROM {_texts} WHERE len(list_filter(regexp_extract_all(t, {_macro}), lambda x: NOT {_own})) > 0"),
+        (18, "'remove'", "event handler", f"SELECT 1 FROM ({_handlers}) WHERE regexp_matches(value, '(?i)https?://') OR {_keywords.format('value')}"),
+        (19, "'insert'", "policy", "SELECT 1 FROM pages"),
+    ]
+)
+REQUESTS = f"(SELECT 'p' || page_id AS page, CASE WHEN page_id % 2 = 0 THEN 'desktop' ELSE 'mobile' END AS profile, url, false AS is_error FROM ({RESOURCES}) WHERE kind <> 'anchor')"
+RANGES = "(SELECT 'f' || l_suppkey AS file, CAST(l_partkey % 500 AS INTEGER) AS start_pos, CAST(l_partkey % 500 + l_quantity AS INTEGER) AS end_pos, CAST(l_linenumber % 3 AS INTEGER) AS hits FROM lineitem)"
+BRIEFS = "(SELECT page_id AS case_id, CASE page_id % 4 WHEN 0 THEN NULL WHEN 1 THEN 'Adult' WHEN 2 THEN ' WeightLoss ' ELSE 'None' END AS vertical, CASE page_id % 5 WHEN 0 THEN 'skip' WHEN 1 THEN 'file' ELSE 'macro' END AS image_mode, 'img/' || page_id || '.png' AS image_file FROM pages)"
+SITE_SIZES = f"(SELECT site_id, rel_path, content, CAST(length(content) AS BIGINT) AS size FROM {SITE_FILES})"
