@@ -55,13 +55,13 @@ FOREIGN_MACRO = "(?!" + "|".join(re.escape(m) for m in policy.OWN_MACROS) + ")"
 
 
 def inline_scripts(pages: DataFrame, executable: bool = False) -> DataFrame:
-    """The columns of `pages` but html, and body, of every script element without src, those in comments or a noscript left out; with `executable` only those whose type browsers run."""
+    """The columns of `pages` but html, number and body, of every script element without src, those in comments or a noscript left out; with `executable` only those whose type browsers run."""
     found = markup.with_elements(pages, ("script",), ("src", "type"))
     rows = found.select(*[c for c in pages.columns if c != "html"], F.inline("elements"))
     rows = rows.where((F.col("within") != "noscript") & markup.attribute("src").isNull())
     if executable:
         rows = rows.where(runs(markup.attribute("type")))
-    return rows.select(*[c for c in pages.columns if c != "html"], "body").where("body IS NOT NULL")
+    return rows.select(*[c for c in pages.columns if c != "html"], "number", "body").where("body IS NOT NULL")
 
 
 def runs(kind: Column) -> Column:

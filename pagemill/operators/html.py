@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from pagemill.functions import policy, urls
 from pagemill.operators import extract
-from pagemill.operators.markup import attribute, elements, value_of, with_elements, with_outermost
+from pagemill.operators.markup import attribute, elements, value_of, with_elements, with_elements_or_error, with_outermost
 
 
 def _edit(start: Column, stop: Column, new: Column, pass_no: int, action: Column | str, reason: str) -> Column:
@@ -126,14 +126,14 @@ def policy_edit(found: Column, policy_tag: str) -> Column:
     return _edit(F.coalesce(at, own), F.coalesce(at, own), F.when(at.isNotNull(), F.lit(policy_tag)).otherwise(F.lit(f"<head>{policy_tag}</head>")), 19, "insert", "policy")
 
 
-def with_edits(pages: DataFrame, policy_tag: str = "") -> DataFrame:
-    """`pages` (page_id, html) without server code, and the edits that rules ask for; markup.with_outermost() takes those that lie in no other."""
+def with_edits(pages: DataFrame, policy_tag: str = "", longest: int = 1 << 26) -> DataFrame:
+    """`pages` (page_id, html) without server code, the edits that rules ask for (markup.with_outermost() takes those that lie in no other), and the error of a page that can't be read, which has no edits."""
     stripped = pages.select("page_id", extract.strip_server_code(F.coalesce("html", F.lit(""))).alias("html"))
-    rows = with_elements(stripped).withColumn("judged", judged(F.col("elements")))
+    rows = with_elements_or_error(stripped, longest=longest).withColumn("judged", judged(F.col("elements")))
     both = [element_edits(F.col("judged")), attribute_edits(F.col("elements")), text_edits(F.col("elements"))]
     if policy_tag:
         both.append(F.when(F.exists("elements", lambda e: e["tag"] != "#text"), F.array(policy_edit(F.col("elements"), policy_tag))).otherwise(F.array().cast(EDITS)))
-    return rows.select("page_id", "html", F.concat(*both).cast(EDITS).alias("edits"))
+    return rows.select("page_id", "html", F.concat(*both).cast(EDITS).alias("edits"), "error")
 
 
 EDITS = "array<struct<start:int,stop:int,new:string,pass_no:int,action:string,reason:string>>"
@@ -146,8 +146,19 @@ def planned(pages: DataFrame, policy_tag: str = "") -> DataFrame:
 
 def cleaned(pages: DataFrame, policy_tag: str = "") -> DataFrame:
     """page_id, html, n_edits for each row of `pages`: server code out, edits applied, `policy_tag` put into the head, blank lines collapsed. Null html is empty. Rows are cleaned one by one, whether page_ids repeat or are null."""
-    rows = with_outermost(with_edits(pages, policy_tag))
-    return rows.select("page_id", F.regexp_replace("html", r"\n{3,}", "\n\n").alias("html"), F.size("edits").cast("long").alias("n_edits"))
+    return cleaned_or_error(pages, policy_tag).drop("error")
+
+
+def cleaned_or_error(pages: DataFrame, policy_tag: str = "", longest: int = 1 << 26) -> DataFrame:
+    """cleaned(), and `error` (markup.ERROR): a page that can't be read only loses its server code and is held by its error; see error_log()."""
+    rows = with_outermost(with_edits(pages, policy_tag, longest))
+    text = F.when(F.col("error").isNull(), F.regexp_replace("html", r"\n{3,}", "\n\n")).otherwise(F.col("html"))
+    return rows.select("page_id", text.alias("html"), F.size("edits").cast("long").alias("n_edits"), "error")
+
+
+def error_log(results: DataFrame) -> DataFrame:
+    """page_id, step, kind, message: a row for each page whose result has an error."""
+    return results.where("error IS NOT NULL").select("page_id", "error.*")
 
 
 def by_structure(url: Column) -> Column:

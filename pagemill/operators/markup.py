@@ -146,6 +146,32 @@ def with_elements(pages: DataFrame, tags: Collection[str] | None = None, names:
     return pages.mapInArrow(tokenize, StructType(pages.schema.fields + StructType.fromDDL(f"elements array<{ELEMENT}>").fields))
 
 
+#: A page that a step failed on: the step, the kind of error, its message.
+ERROR = "struct<step:string,kind:string,message:string>"
+_ARROW_ERROR = pa.struct([("step", pa.string()), ("kind", pa.string()), ("message", pa.string())])
+
+
+def with_elements_or_error(pages: DataFrame, tags: Collection[str] | None = None, names: Collection[str] | None = None, longest: int = 1 << 26) -> DataFrame:
+    """with_elements(), and a column `error` (ERROR, null where all is well): a page that can't be read, or has more than `longest` characters, has no elements and an error instead of ending the task; the other pages aren't touched."""
+
+    def read(text: str) -> tuple[list[dict], dict | None]:
+        try:
+            if len(text) > longest:
+                raise OverflowError(f"more than {longest} characters")
+            return elements_of(text, tags, names), None
+        except Exception as x:  # noqa: BLE001 - whatever a page does is that page's row
+            return [], {"step": "markup", "kind": type(x).__name__, "message": str(x)[:200]}
+
+    def tokenize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(0, b.num_rows, 256):
+                part = b.slice(i, 256)
+                found = [read(text or "") for text in part.column("html").to_pylist()]
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array([x for x, _ in found], _ARROW), pa.array([e for _, e in found], _ARROW_ERROR)], names=[*part.schema.names, "elements", "error"])
+
+    return pages.mapInArrow(tokenize, StructType(pages.schema.fields + StructType.fromDDL(f"elements array<{ELEMENT}>, error {ERROR}").fields))
+
+
 def elements(pages: DataFrame, tags: Collection[str] | None = None, names: Collection[str] | None = None) -> DataFrame:
     """page_id and the fields of ELEMENT for every element and text of `pages` (page_id, html), or those asked for."""
     return with_elements(pages.select("page_id", "html"), tags, names).select("page_id", F.inline("elements"))

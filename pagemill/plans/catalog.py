@@ -9,6 +9,7 @@ from pagemill.functions import paths, policy, urls
 from pagemill.operators import adapt, extract, html, layout, markup, report, scripts, sites, spans
 from pagemill.plans import fixtures as fx
 from pagemill.plans import oracle as o
+from pagemill.sources import config
 from pagemill.sources.tables import saved
 
 FLAGSHIP = "classify_resources"
@@ -512,3 +513,27 @@ def pinned_libraries(spark, sf_dir):
     """Local copies of libraries and what takes their place."""
     marked = with_snippets(spark, sf_dir, fx.LINKED)
     return html.pinned(marked, html.replacements(marked, OFFICIAL.df(spark))).select("page_id", F.inline("changes"))
+
+
+@query(o.ALIASED)
+def aliased_sinks(spark, sf_dir):
+    """Calls of names that stand for what sends, in every script of every page."""
+    rows = extract.inline_scripts(with_snippets(spark, sf_dir, fx.ALIASES).select("page_id", "html"))
+    return scripts.aliased_calls(saved(rows, "scripts"), saved)
+
+
+@query(o.SETTINGS)
+def site_settings(spark, sf_dir):
+    """Settings of a site for each page, from sound and broken files."""
+    rows = pages(spark, sf_dir).join(F.broadcast(fx.CONFIGS.df(spark)), F.coalesce(F.pmod("page_id", F.lit(7)), F.lit(0)) == F.col("slot"))
+    found = config.settings(rows.select("page_id", F.replace("markup", F.lit("#"), F.col("page_id").cast("string")).alias("content")))
+    return found.select("page_id", F.array_join("problems", "; ").alias("problems"), "source", "default_vertical", "name_macro", F.col("verticals")["Adult"].alias("adult"), F.size("verticals").alias("n_verticals"))
+
+
+LONGEST = 8_000
+
+
+@query(f"SELECT page_id, 'markup' AS step, 'OverflowError' AS kind, 'more than {LONGEST} characters' AS message FROM pages WHERE length(html) > {LONGEST}")
+def page_errors(spark, sf_dir):
+    """The log of a cleaning that takes no page of over 8,000 characters."""
+    return html.error_log(html.cleaned_or_error(pages(spark, sf_dir), policy.POLICY_TAG, LONGEST))

