@@ -134,6 +134,8 @@ ASSET_EXTENSIONS = [
     "css", "js", "mjs", "png", "jpg", "jpeg", "webp", "gif", "svg", "ico", "avif", "bmp", "woff", "woff2", "ttf", "otf", "eot",
     "mp4", "webm", "ogg", "mp3", "wav", "m4a", "json", "xml", "txt",
 ]
+# Extensions of files that are pages only where they have server code.
+SERVER_EXTENSIONS = ["phtml", "inc", "php3", "php4", "php5", "php7", "phps"]
 # Libraries by their code (name, signature, version in group 1 or 2, version where none is found, where the official copy is).
 LIBRARY_CODE = [
     ("jquery", r"(?i)jQuery\.fn\.jquery\s*=|jQuery JavaScript Library", r"""jQuery(?:\.fn\.jquery)?\s*=\s*["']([\d.]+)["']|jQuery\s+(?:JavaScript\s+Library\s+)?v([\d.]+)""", "3.7.1", "https://code.jquery.com/jquery-{v}.min.js"),

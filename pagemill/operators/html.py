@@ -217,6 +217,14 @@ def pinned(pages: DataFrame, replaced: DataFrame) -> DataFrame:
     return with_outermost(planned).select("page_id", "html", "changes")
 
 
+def held(pages: DataFrame, policy_tag: str = "", kept: int = 2000, told: int = 300) -> DataFrame:
+    """page_id, number (from 1, by place in the page), reason, snippet (the first `kept` characters of what was taken out), shown (its first `told`): what cleaning holds for review of each row of `pages`, so that it can be put back. Rows with one page_id are told apart by their text alone."""
+    rows = with_outermost(with_edits(pages, policy_tag), None)
+    cut = F.transform(F.filter("edits", lambda e: e["action"] == "quarantine"), lambda e: F.struct(e["reason"].alias("reason"), F.substring("html", e["start"] + 1, F.least(e["stop"] - e["start"], F.lit(kept))).alias("snippet")))
+    found = rows.select("page_id", F.posexplode(cut).alias("at", "x"))
+    return found.select("page_id", (F.col("at") + 1).alias("number"), "x.reason", "x.snippet", F.substring("x.snippet", 1, told).alias("shown"))
+
+
 def macro_flags(pages: DataFrame) -> DataFrame:
     """page_id, kind (own, link, image, text, script, other), token, element, attr: every macro of `pages`, what becomes of it or who has to look at it. Foreign macros of one place are one row."""
     rows = elements(pages)

@@ -41,3 +41,21 @@ def verified(requests: DataFrame) -> DataFrame:
         F.count_if(foreign).alias("n_foreign"),
         F.array_join(F.array_sort(F.collect_set(F.when(foreign, F.col("h")))), " ").alias("foreign_hosts"),
     )
+
+
+def change_sections(classified: DataFrame, most: int = 100) -> DataFrame:
+    """reason, n, n_shown, note: a section of the report for each reason: all changes, those that are listed, and the line that tells of the others."""
+    rows = classified.where("action <> 'keep'").groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
+    more = F.col("n") - most
+    return rows.select("reason", "n", F.least("n", F.lit(most).cast("long")).alias("n_shown"), F.when(more > 0, F.concat(F.lit("... and "), more.cast("string"), F.lit(" more"))).alias("note"))
+
+
+#: Signs of code that waits for events, and so may be alive without having run.
+HANDLERS = r"\.addEventListener\s*\(|(?<![\w$.])(?:jQuery|\$)\s*\(|\.on[a-z]+\s*=(?!=)"
+
+
+def dead_files(coverage: DataFrame, files: DataFrame, threshold: float = 1.0) -> DataFrame:
+    """site_id, rel_path, percent, has_handlers, is_dead: files of `files` (site_id, rel_path, content) of which no more than `threshold` percent ran, by `coverage` (site_id, rel_path, percent; null paths are inline scripts and have no part). Such a file is dead unless it waits for events; null content waits for none."""
+    low = coverage.where(F.col("rel_path").isNotNull() & (F.col("percent") <= threshold))
+    waits = F.coalesce(F.col("content").rlike(HANDLERS), F.lit(False))
+    return low.join(files, ["site_id", "rel_path"]).select("site_id", "rel_path", "percent", waits.alias("has_handlers"), (~waits).alias("is_dead"))

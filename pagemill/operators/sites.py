@@ -31,6 +31,22 @@ def is_css(path: Column) -> Column:
     return path.rlike(CSS)
 
 
+def routed(files: DataFrame) -> DataFrame:
+    """site_id, rel_path, route: what cleaning does with each file: page, server page (code of the server goes first), style, script, vector, map, or none. Templates and includes are pages only where they have server code."""
+    ext = F.lower(F.regexp_extract("rel_path", r"\.([^./]+)\z", 1))
+    served = F.coalesce(extract.has_server_code(F.col("content")), F.lit(False))
+    route = (
+        F.when(ext.isin("html", "htm", "php"), F.when(served, "server page").otherwise("page"))
+        .when(ext.isin(*policy.SERVER_EXTENSIONS), F.when(served, "server page").otherwise("none"))
+        .when(ext == "css", "style")
+        .when(ext.isin("js", "mjs"), "script")
+        .when(ext == "svg", "vector")
+        .when(ext == "map", "map")
+        .otherwise("none")
+    )
+    return files.select(*FILE, route.alias("route"))
+
+
 # ------------------------------------------------------------------- collected
 
 

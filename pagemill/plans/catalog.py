@@ -537,3 +537,37 @@ LONGEST = 8_000
 def page_errors(spark, sf_dir):
     """The log of a cleaning that takes no page of over 8,000 characters."""
     return html.error_log(html.cleaned_or_error(pages(spark, sf_dir), policy.POLICY_TAG, LONGEST))
+
+
+@query(f"SELECT page_id, reason, snippet FROM ({o.HELD})")
+def held_nodes(spark, sf_dir):
+    """What cleaning holds for review."""
+    return html.held(marked_pages(spark, sf_dir), policy.POLICY_TAG).select("page_id", "reason", "snippet")
+
+
+@query(f"SELECT reason, count(*) AS n, least(count(*), 100) AS n_shown, CASE WHEN count(*) > 100 THEN '... and ' || (count(*) - 100) || ' more' END AS note FROM ({o.VERDICTS.format(rows=o.RESOURCES)}) WHERE action <> 'keep' GROUP BY reason")
+def change_sections(spark, sf_dir):
+    return report.change_sections(extract.classified(marked_pages(spark, sf_dir)))
+
+
+_SERVED = "regexp_matches(content, '(?is)<\\?php|<\\?=|<\\?(?:[^x]|x[^m])[^>]*\\?>|<%.*?%>')"
+
+
+@query(f"SELECT site_id, rel_path, CASE WHEN e IN ('html', 'htm', 'php') THEN CASE WHEN {_SERVED} THEN 'server page' ELSE 'page' END WHEN e IN {o.values(policy.SERVER_EXTENSIONS)} THEN CASE WHEN {_SERVED} THEN 'server page' ELSE 'none' END WHEN e = 'css' THEN 'style' WHEN e IN ('js', 'mjs') THEN 'script' WHEN e = 'svg' THEN 'vector' WHEN e = 'map' THEN 'map' ELSE 'none' END AS route FROM (SELECT *, lower(regexp_extract(rel_path, '\\.([^./]+)$', 1)) AS e FROM {o.SITE_FILES})")
+def file_routes(spark, sf_dir):
+    """What cleaning does with each file of the sites."""
+    return sites.routed(site_files(spark, sf_dir))
+
+
+@query(f"SELECT site_id, rel_path, percent, waits AS has_handlers, NOT waits AS is_dead FROM (SELECT site_id, rel_path, CAST(length(rel_path) % 3 AS DOUBLE) AS percent, regexp_matches(content, '\\.addEventListener\\s*\\(|(?:^|[^\\w$.])(?:jQuery|[$])\\s*\\(|\\.on[a-z]+\\s*=(?:[^=]|$)') AS waits FROM {o.SITE_FILES} WHERE ends_with(rel_path, '.js')) WHERE percent <= 1")
+def dead_scripts(spark, sf_dir):
+    """The verdict on scripts of the sites, with a coverage that follows from their paths."""
+    files = site_files(spark, sf_dir).where(F.endswith("rel_path", F.lit(".js")))
+    coverage = files.select("site_id", "rel_path", (F.length("rel_path") % 3).cast("double").alias("percent"))
+    return report.dead_files(coverage, files)
+
+
+@query(f"SELECT site_id, rel_path, replace(replace(replace(regexp_replace(content, ' xlink:href=\"[^\"]*\"', ''), ' onload=\"x()\"', ''), '<script>a</script>', ''), 'url(https://evil.test/s.png)', 'url(' || chr(39) || chr(39) || ')') AS cleaned FROM {o.SITE_FILES} WHERE ends_with(rel_path, '.svg')")
+def cleaned_vectors(spark, sf_dir):
+    files = site_files(spark, sf_dir).where(F.endswith("rel_path", F.lit(".svg")))
+    return files.select("site_id", "rel_path", extract.svg_cleaned(F.col("content")).alias("cleaned"))

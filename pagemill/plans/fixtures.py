@@ -76,7 +76,7 @@ ASSETS = Fixture(
         (1, "st-#.css", "@import 'more-#.css';"), (1, "more-#.css", ""), (1, "x/bg-#.png", ""), (1, "poster-#.jpg", ""), (1, "old/lazy-#.png", ""), (1, "old/older/lazy-#.png", ""), (1, "media/v-#.mp4", ""),
         (2, "media/pic-#.png", ""), (2, "../../_external/cdn.other.test/pic-#.png", ""), (2, "../../_external/x.test/none-#.png", ""), (2, "js/app-#.js", ""), (2, "../theme.css", ""),
         (3, "deleted-#.js", ""), (3, "deleted-#.css", ""), (3, "deleted-#.gif", ""), (3, "kept-#.png", ""), (4, "deleted-#.js", ""),
-        (5, "js/own-#.js", ""), (5, "js/jquery-3.6.1.min.js", ""), (6, "frame-#.html", "<img src=inner-#.png>"), (6, "inner-#.png", ""), (6, "sprite-#.svg", ""), (6, "a b-#.png", ""), (6, "../../img/up-#.png", ""),
+        (5, "js/own-#.js", "document.addEventListener('x', f); a == b"), (5, "js/lib.inc", "<?php x ?>"), (5, "js/part-#.phtml", "plain"), (5, "js/own-#.js.map", "{}"), (5, "js/jquery-3.6.1.min.js", ""), (6, "frame-#.html", "<img src=inner-#.png>"), (6, "inner-#.png", ""), (6, "sprite-#.svg", "<svg onload=\"x()\"><script>a</script><a xlink:href=\"https://evil.test/#\">b</a><use href='#'/><style>c{d:url(https://evil.test/s.png)}</style></svg>"), (6, "a b-#.png", ""), (6, "../../img/up-#.png", ""),
     ],
 )
 # Server code, scripts, styles, links and macros; # is the page's number.

@@ -379,3 +379,23 @@ _told = f"""CASE WHEN NOT json_valid(content) THEN 'not JSON' WHEN json_type(con
     CASE WHEN {_kind('verticals')} <> 'OBJECT' OR len(list_filter(json_keys(content, '$.verticals'), lambda k: coalesce(json_type(content, '$.verticals.' || k || '.imageBase') <> 'VARCHAR' OR content ->> ('$.verticals.' || k || '.imageBase') = '', true))) > 0 THEN 'verticals: no image bases' END) END"""
 SETTINGS = f"""SELECT page_id, told AS problems, CASE WHEN told = '' THEN 'file' ELSE 'builtin' END AS source, coalesce(CASE WHEN told = '' THEN content ->> '$.defaultVertical' END, 'Adult') AS default_vertical, coalesce(CASE WHEN told = '' THEN content ->> '$.nameMacro' END, '{{_offer_value:offername}}') AS name_macro,
     coalesce(CASE WHEN told = '' THEN content ->> '$.verticals.Adult.imageBase' END, 'https://assets.example.com/Adult/{{_offer_value:offerimage}}') AS adult, CAST(2 + CASE WHEN told = '' THEN coalesce(len(list_filter(json_keys(content, '$.verticals'), lambda k: k NOT IN ('Adult', 'WeightLoss'))), 0) ELSE 0 END AS INTEGER) AS n_verticals FROM (SELECT *, {_told} AS told FROM {_config})"""
+
+_whole = lambda tag: f"SELECT page_id, element || body || '</{tag}>' AS snippet, element FROM ({_raw_bodies(tag, MARKED)})"
+
+
+def _held(kind: str, name: str, rows: str, reason: str) -> str:
+    judged = VERDICTS.format(rows=f"(SELECT page_id, snippet, {value(name)} AS url, {text(kind)} AS kind FROM ({rows}))")
+    return f"SELECT page_id, {text(reason)} AS reason, snippet FROM ({judged}) WHERE action = 'quarantine' AND url IS NOT NULL"
+
+
+_plain = lambda tag: f"SELECT page_id, element AS snippet, element FROM ({elements(tag)})"
+_held_links = f"SELECT page_id, 'link' AS reason, snippet FROM ({VERDICTS.format(rows=f'(SELECT page_id, snippet, href AS url, kind FROM (SELECT *, {LINK_KIND} AS kind FROM (SELECT page_id, element AS snippet, {value(chr(114) + chr(101) + chr(108))} AS rel, {value(chr(97) + chr(115))} AS as_attr, {value(chr(104) + chr(114) + chr(101) + chr(102))} AS href FROM ({elements(chr(108) + chr(105) + chr(110) + chr(107))}))) WHERE kind IS NOT NULL AND href IS NOT NULL)')}) WHERE action = 'quarantine'"
+HELD = " UNION ALL ".join(
+    [
+        _held("script", "src", _whole("script"), "script"), _held("iframe", "src", _whole("iframe"), "iframe"), _held("img", "src", _plain("img"), "img"), _held("iframe", "src", _plain("embed"), "object"), _held_links,
+        f"SELECT page_id, 'object', unnest(regexp_extract_all(html, '<object data=\"x\"></object>')) FROM {MARKED}",
+        f"SELECT page_id, 'refresh', element FROM ({elements('meta')}) WHERE lower({value('http-equiv')}) = 'refresh'",
+        f"SELECT page_id, 'noscript', unnest(list_concat(regexp_extract_all(html, '<noscript><img src=\"//unlisted[^>]*></noscript>'), list_transform(regexp_extract_all(html, '<noscript>text(<img src=\"//unlisted[^>]*>)</noscript>', 1), lambda x: x))) FROM {MARKED}",
+        f"SELECT page_id, 'dangerous link', unnest(regexp_extract_all(html, ' href=\"javascript:[^\"]*\"')) FROM {MARKED}",
+    ]
+)
