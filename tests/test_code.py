@@ -3,7 +3,7 @@
 import pytest
 
 from pagemill.functions import policy
-from pagemill.operators import html, markup, scripts
+from pagemill.operators import html, markup, report, scripts, sites
 from pagemill.sources import config
 from pagemill.sources.tables import saved
 
@@ -60,3 +60,22 @@ def test_one_broken_page_leaves_the_others(spark, monkeypatch):
 def test_wanted_elements_keep_errors_apart(spark):
     rows = markup.with_elements_or_error(spark.createDataFrame([(1, "<a href=x>"), (2, "<a>" * 50)], "page_id long, html string"), ("a",), ("href",), longest=20)
     assert {r.page_id: (len(r.elements), r.error and r.error.kind) for r in rows.collect()} == {1: (1, None), 2: (0, "OverflowError")}
+
+
+def test_held_nodes_keep_their_text(spark):
+    long = '<iframe src="https://evil.test/">' + "x" * 3000 + "</iframe>"
+    rows = spark.createDataFrame([(1, f'<p>{long}<a href="javascript:x()">y</a><img src="https://www.googletagmanager.com/a.gif"></p>'), (2, None)], "page_id long, html string")
+    got = sorted((r.page_id, r.number, r.reason, r.snippet, len(r.shown)) for r in html.held(rows).collect())
+    assert got == [(1, 1, "iframe", long[:2000], 300), (1, 2, "dangerous link", ' href="javascript:x()"', 22)]
+
+
+def test_sections_dead_scripts_and_routes(spark):
+    changes = spark.createDataFrame([("remove", "a")] * 103 + [("quarantine", "b"), ("keep", "c")], "action string, reason string")
+    assert {tuple(r) for r in report.change_sections(changes).collect()} == {("a", 103, 100, "... and 3 more"), ("b", 1, 1, None)}
+    code = {"a.js": "$('x').y()", "b.js": "x.onload = f", "c.js": "x.on == y; f()", "d.js": None, "e.js": "el.addEventListener ('x')", "f.js": "f()"}
+    files = spark.createDataFrame([("s", p, c) for p, c in code.items()], "site_id string, rel_path string, content string")
+    ran = spark.createDataFrame([("s", p, 2.0 if p == "f.js" else 0.5) for p in code] + [("s", None, 0.0), ("s", "gone.js", 0.0)], "site_id string, rel_path string, percent double")
+    assert {r.rel_path: r.is_dead for r in report.dead_files(ran, files).collect()} == {"a.js": False, "b.js": False, "c.js": True, "d.js": True, "e.js": False}
+    paths = {"a.HTML": "x", "b.php": "<?php", "c.inc": "<% x %>", "d.inc": "x", "e.css": "", "f.mjs": None, "g.svg": "", "h.js.map": "", "i": "<?="}
+    rows = spark.createDataFrame([("s", p, c) for p, c in paths.items()], "site_id string, rel_path string, content string")
+    assert {r.rel_path: r.route for r in sites.routed(rows).collect()} == {"a.HTML": "page", "b.php": "server page", "c.inc": "server page", "d.inc": "none", "e.css": "style", "f.mjs": "script", "g.svg": "vector", "h.js.map": "map", "i": "none"}
