@@ -39,8 +39,9 @@ def renamed(text: Column, names: list[str], macro: str = NAME_MACRO) -> Column:
 
 
 def names_replaced(pages: DataFrame, names: list[str], macro: str = NAME_MACRO) -> DataFrame:
-    """page_id, html, n_replaced for each row of `pages`: product names become the macro where they are shown, in texts (but for code), four attributes and the descriptions of metas. Markup, addresses and scripts stay. Null html is empty."""
-    rows = markup.with_elements(pages.select("page_id", F.coalesce("html", F.lit("")).alias("html")))
+    """`pages` with html and n_replaced: product names become the macro where they are shown, in texts (but for code), four attributes and the descriptions of metas. Markup, addresses and scripts stay. Null html is empty."""
+    others = [c for c in pages.columns if c != "html"]
+    rows = markup.with_elements(pages.select(*others, F.coalesce("html", F.lit("")).alias("html")))
     pattern = F.lit(names_pattern(names))
     struct = lambda start, stop, new, n: F.struct(start.alias("start"), stop.alias("stop"), new.alias("new"), n.alias("n"))
 
@@ -59,8 +60,8 @@ def names_replaced(pages: DataFrame, names: list[str], macro: str = NAME_MACRO)
         return F.transform(e["attrs"], edit)
 
     edits = F.array_compact(F.concat(F.transform("elements", in_text), F.flatten(F.transform("elements", in_attributes))))
-    done = markup.with_outermost(rows.select("page_id", "html", edits.cast("array<struct<start:int,stop:int,new:string,n:int>>").alias("edits")))
-    return done.select("page_id", "html", F.aggregate("edits", F.lit(0), lambda acc, e: acc + e["n"]).cast("long").alias("n_replaced"))
+    done = markup.with_outermost(rows.select(*others, "html", edits.cast("array<struct<start:int,stop:int,new:string,n:int>>").alias("edits")))
+    return done.select(*others, "html", F.aggregate("edits", F.lit(0), lambda acc, e: acc + e["n"]).cast("long").alias("n_replaced"))
 
 
 # --------------------------------------------------------------------- images
@@ -164,3 +165,18 @@ def images_replaced(pages: DataFrame, target: str, own: list[str] | None = None)
     )
     planned = rows.select("page_id", "html", edits.cast("array<struct<start:int,stop:int,new:string>>").alias("edits"), changes.alias("changes"))
     return markup.with_outermost(planned).select("page_id", "html", "changes")
+
+
+def adapted(pages: DataFrame, target: str | None, names: list[str], macro: str = NAME_MACRO) -> DataFrame:
+    """page_id, changes, html, n_replaced for each row of `pages`: product images become `target` (none are changed without one), then product names the macro; see images_replaced() and names_replaced()."""
+    plain = pages.select("page_id", F.coalesce("html", F.lit("")).alias("html"), F.array().cast(f"array<{CHANGE}>").alias("changes"))
+    first = images_replaced(pages, target) if target else plain
+    return names_replaced(first, names, macro) if any(n.strip() for n in names) else first.withColumn("n_replaced", F.lit(0).cast("long"))
+
+
+def adapt_report(done: DataFrame) -> DataFrame:
+    """part (image or name), element, attr, trigger, n, n_pages: what adapted() changed, in sum."""
+    images = done.select("page_id", F.inline("changes")).groupBy("element", "attr", "trigger").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("page_id").alias("n_pages"))
+    none = F.lit(None).cast("string")
+    names = done.where("n_replaced > 0").agg(F.coalesce(F.sum("n_replaced"), F.lit(0)).alias("n"), F.countDistinct("page_id").alias("n_pages"))
+    return images.select(F.lit("image").alias("part"), "element", "attr", "trigger", "n", "n_pages").unionByName(names.select(F.lit("name").alias("part"), none.alias("element"), none.alias("attr"), none.alias("trigger"), "n", "n_pages"))

@@ -46,10 +46,13 @@ def placed(files: DataFrame) -> DataFrame:
 
 def candidates(files: DataFrame, wanted: DataFrame) -> DataFrame:
     """case columns of `wanted` (site_id, from_path, url) with the file that its name is found as: own files before saved external ones, then the shortest path."""
-    by_name = files.select("site_id", "rel_path", urls.basename(F.col("rel_path")).alias("name"))
+    named = files.select("site_id", "rel_path", urls.basename(F.col("rel_path")).alias("name"))
+    order = [F.col("rel_path").startswith("_external/"), F.length("rel_path"), F.col("rel_path")]
+    # one of the best two of a name isn't the file that refers
+    by_name = named.withColumn("best", F.row_number().over(Window.partitionBy("site_id", "name").orderBy(*order))).where("best <= 2").drop("best")
     pairs = wanted.withColumn("name", urls.basename(F.col("url"))).join(by_name, ["site_id", "name"]).where("rel_path <> from_path")
-    best = Window.partitionBy("site_id", "from_path", "url").orderBy(F.col("rel_path").startswith("_external/"), F.length("rel_path"), "rel_path")
-    return pairs.withColumn("place", F.row_number().over(best)).where("place = 1").select("site_id", "from_path", "url", "rel_path")
+    first = Window.partitionBy("site_id", "from_path", "url").orderBy(*order)
+    return pairs.withColumn("place", F.row_number().over(first)).where("place = 1").select("site_id", "from_path", "url", "rel_path")
 
 
 def local_path(url: Column) -> Column:

@@ -164,14 +164,6 @@ def dup_basename_suffix(spark, sf_dir):
     return layout.placed(site_files(spark, sf_dir))
 
 
-WANTED = fx.Fixture("site_id int, from_path string, url string", [(1, "index.html", "https://old.test/x/logo.png"), (1, "about/index.html", "missing.png"), (1, "img/logo.png", "LOGO.png"), (2, "page.htm", "a.woff2?v=1")])
-
-
-@query(f"SELECT site_id, from_path, url, rel_path FROM (SELECT w.*, f.rel_path, row_number() OVER (PARTITION BY w.site_id, from_path, url ORDER BY starts_with(f.rel_path, '_external/'), length(f.rel_path), f.rel_path) AS place FROM {WANTED.sql()} w JOIN {fx.FILES.sql()} f ON w.site_id = f.site_id AND {o.basename('w.url')} = {o.basename('f.rel_path')} WHERE f.rel_path <> from_path) WHERE place = 1")
-def candidate_pick(spark, sf_dir):
-    return layout.candidates(fx.FILES.df(spark), WANTED.df(spark))
-
-
 @query(f"SELECT file, min(start_pos) AS start_pos, max(end_pos) AS end_pos FROM ({o.ISLANDS.format(rows=o.RANGES)}) GROUP BY file, island")
 def interval_islands(spark, sf_dir):
     return spans.merged(ranges(spark, sf_dir))
@@ -296,7 +288,10 @@ def product_name_cases(spark, sf_dir):
     return adapt.names_replaced(fx.NAMED.df(spark), ["Vital Boost", "foo"])
 
 
-@query(r"SELECT page_id, CAST(len(regexp_extract_all(regexp_replace(regexp_replace(html, '(?is)<(script|style|pre|code|textarea|noscript)\b.*?</(script|style|pre|code|textarea|noscript)>|<!--.*?-->|<[^>]*>', '|', 'g'), '[^\x00-\x7F]', 'x', 'g'), '(?i)\bthe\s+and\b|\bof\b')) AS BIGINT) AS n_replaced FROM pages")
+_NAME_COUNTS = r"SELECT page_id, CAST(len(regexp_extract_all(regexp_replace(regexp_replace(html, '(?is)<(script|style|pre|code|textarea|noscript)\b.*?</(script|style|pre|code|textarea|noscript)>|<!--.*?-->|<[^>]*>', '|', 'g'), '[^\x00-\x7F]', 'x', 'g'), '(?i)\bthe\s+and\b|\bof\b')) AS BIGINT) AS n_replaced FROM pages"
+
+
+@query(_NAME_COUNTS)
 def product_name_replace(spark, sf_dir):
     """How many names the texts of every page lose to the macro."""
     return adapt.names_replaced(pages(spark, sf_dir), NAMES).select("page_id", "n_replaced")
@@ -571,3 +566,17 @@ def dead_scripts(spark, sf_dir):
 def cleaned_vectors(spark, sf_dir):
     files = site_files(spark, sf_dir).where(F.endswith("rel_path", F.lit(".svg")))
     return files.select("site_id", "rel_path", extract.svg_cleaned(F.col("content")).alias("cleaned"))
+
+
+@query(f"SELECT 'image' AS part, element, attr, trigger, count(*) AS n, count(DISTINCT page_id) AS n_pages FROM ({o.image_changes(TARGET, list(adapt.IMAGE_BASES.values()))}) GROUP BY ALL UNION ALL SELECT 'name', NULL, NULL, NULL, CAST(sum(n_replaced) AS BIGINT), count(*) FROM ({_NAME_COUNTS.replace('FROM pages', 'FROM ' + o.marked(fx.IMAGES))}) WHERE n_replaced > 0")
+def adapt_summary(spark, sf_dir):
+    """The report of adapting every page, images and names."""
+    return adapt.adapt_report(adapt.adapted(with_snippets(spark, sf_dir, fx.IMAGES), TARGET, NAMES))
+
+
+@query(f"SELECT w.site_id, from_path, url, f.rel_path FROM (SELECT site_id, rel_path AS from_path, raw AS url FROM ({o.REPAIRED}) WHERE outcome = 'by name') w JOIN {o.SITE_FILES} f ON w.site_id = f.site_id AND {o.basename('w.url')} = {o.basename('f.rel_path')} WHERE f.rel_path <> from_path QUALIFY row_number() OVER (PARTITION BY w.site_id, from_path, url ORDER BY starts_with(f.rel_path, '_external/'), length(f.rel_path), f.rel_path) = 1")
+def candidate_pick(spark, sf_dir):
+    """The file that each reference which leads nowhere is found as by its name alone, the shortest path first."""
+    files = site_files(spark, sf_dir)
+    lost = sites.repaired(files).where("outcome = 'by name'").select("site_id", F.col("rel_path").alias("from_path"), F.col("raw").alias("url"))
+    return layout.candidates(files, lost)
