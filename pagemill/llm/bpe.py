@@ -107,7 +107,7 @@ def frequent_words(docs: DataFrame, tokenizer: str, most: int, kind: type) -> Vo
         kept = [(w, n) for w, n in seen.items() if n >= few and len(w) <= HEAD_CHARS or n >= many and len(w) <= LONG_CHARS]
         yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in kept], pa.string()), pa.array([n for _, n in kept], pa.int64())], names=["word", "n"])
 
-    counted = common.saved(docs.select("text").mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")), "word-counts")
+    counted = common.saved(docs.select("text").mapInArrow(common.frugal(count), "word string, n long").groupBy("word").agg(F.sum("n").alias("n")), "word-counts")
     total = counted.agg(F.sum("n")).first()[0] or 0
     top = counted.where((F.length("word") <= HEAD_CHARS) | (F.col("n") >= total / COMMON)).orderBy(F.desc("n"), "word").limit(most)
     of = encoder(tokenizer, kind)
@@ -149,6 +149,7 @@ def encoded(docs: DataFrame, finish: Callable, schema: str, tokenizer: str = TOK
     Rows that share doc_id and text are each encoded. A null doc_id stays null. The columns `carry` stay beside doc_id.
     """
     spark = docs.sparkSession
+    common.small_batches(spark)
     # k and h tell documents apart; neither is null
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), (F.struct(*carry) if carry else F.lit(0)).alias("carried"))
     carried = docs.schema["carried"].dataType.simpleString()
@@ -196,11 +197,11 @@ def encoded(docs: DataFrame, finish: Callable, schema: str, tokenizer: str = TOK
             index = np.repeat(np.arange(len(words)), np.diff(ends, prepend=0))
             yield pa.RecordBatch.from_arrays([b.column("k"), b.column("h"), b.column("at"), pa.array(ids, pa.binary()).take(pa.array(index))], names=["k", "h", "at", "ids"])
 
-    tail = docs.select("k", "h", "text").mapInArrow(rare, "k long, h long, at int, word string")
+    tail = docs.select("k", "h", "text").mapInArrow(common.frugal(rare), "k long, h long, at int, word string")
     salt = F.when(F.length("word") > LONG_CHARS, F.pmod("h", F.lit(16))).otherwise(F.lit(0))  # longer words may be common and outside the head
-    placed = tail.repartition("word", salt).sortWithinPartitions("word").mapInArrow(once, "k long, h long, at int, ids binary")
+    placed = tail.repartition("word", salt).sortWithinPartitions("word").mapInArrow(common.frugal(once), "k long, h long, at int, ids binary")
     by_doc = placed.groupBy("k", "h").agg(F.collect_list(F.struct("at", "ids")).alias("rare"))
-    joined = docs.mapInArrow(codes, f"doc_id long, carried {carried}, k long, h long, codes binary").join(by_doc.hint("merge"), ["k", "h"], "left").select("doc_id", "carried", "codes", F.col("rare.at").alias("at"), F.col("rare.ids").alias("ids"))
+    joined = docs.mapInArrow(common.frugal(codes), f"doc_id long, carried {carried}, k long, h long, codes binary").join(by_doc.hint("merge"), ["k", "h"], "left").select("doc_id", "carried", "codes", F.col("rare.at").alias("at"), F.col("rare.ids").alias("ids"))
 
     def together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -218,7 +219,7 @@ def encoded(docs: DataFrame, finish: Callable, schema: str, tokenizer: str = TOK
                 yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("carried"), *finish(head.value, codes, cuts, places, own)], names=["doc_id", "carried", *names])
 
     names = [x.split()[0] for x in schema.split(", ")]
-    done = joined.mapInArrow(together, f"doc_id long, carried {carried}, {schema}")
+    done = joined.mapInArrow(common.frugal(together), f"doc_id long, carried {carried}, {schema}")
     return done.select("doc_id", *(["carried.*"] if carry else []), *names)
 
 

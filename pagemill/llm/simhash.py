@@ -42,7 +42,7 @@ def with_fingerprints(docs: DataFrame, width: int) -> DataFrame:
             fps = [fingerprint(t, width) for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fps, pa.int64())], names=["doc_id", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(add, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(common.frugal(add), "doc_id long, fp long")
 
 
 class BkTree:
@@ -144,7 +144,7 @@ def links(fps: DataFrame, radius: int) -> DataFrame:
             pairs = np.array(out, dtype=np.uint64).reshape(-1, 2).astype(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
-    return sorted_rows.mapInArrow(search, "a long, b long").distinct()
+    return sorted_rows.mapInArrow(common.frugal(search), "a long, b long").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -359,7 +359,7 @@ def searched(rows: DataFrame, radius: int, similarity: float) -> DataFrame:
         done()
         yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
-    return common.saved(dealt.mapInArrow(search, "a long, b long").distinct(), "links")
+    return common.saved(dealt.mapInArrow(common.frugal(search), "a long, b long").distinct(), "links")
 
 
 def with_sets(docs: DataFrame, needed: DataFrame, width: int, n: int) -> DataFrame:
@@ -373,7 +373,7 @@ def with_sets(docs: DataFrame, needed: DataFrame, width: int, n: int) -> DataFra
 
     texts = docs.select(F.xxhash64("text").alias("text_hash"), "text")
     texts = common.in_keys(texts, needed.select("text_hash"), ["text_hash"]).groupBy("text_hash").agg(F.first("text").alias("text"))
-    return common.saved(texts.mapInArrow(add, "text_hash long, wide binary, shingles binary").join(needed.hint("merge"), "text_hash").select("fp", "wide", "shingles"), "sets")
+    return common.saved(texts.mapInArrow(common.frugal(add), "text_hash long, wide binary, shingles binary").join(needed.hint("merge"), "text_hash").select("fp", "wide", "shingles"), "sets")
 
 
 def similar(docs: DataFrame, width: int = 5, similarity: float = 0.8, n: int = 8, block_rows: int = BLOCK) -> DataFrame:
@@ -386,6 +386,7 @@ def similar(docs: DataFrame, width: int = 5, similarity: float = 0.8, n: int = 8
     the set of shingles.
     """
     radius = radius_of(similarity, 64 * n)
+    common.small_batches(docs.sparkSession)
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
@@ -394,7 +395,7 @@ def similar(docs: DataFrame, width: int = 5, similarity: float = 0.8, n: int = 8
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text_hash"), pa.array(ids, pa.int64()), pa.array([len(x) for x in sets], pa.int64()), pa.array([shards_of(x) for x in sets], pa.list_(pa.int64()))], names=["doc_id", "text_hash", "fp", "n", "shards"])
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
-    rows = common.saved(texts.mapInArrow(add, "doc_id long, text_hash long, fp long, n long, shards array<long>"), "fingerprints")
+    rows = common.saved(texts.mapInArrow(common.frugal(add), "doc_id long, text_hash long, fp long, n long, shards array<long>"), "fingerprints")
     distinct = rows.where("n > 0").groupBy("fp").agg(F.min("text_hash").alias("text_hash"), F.first("n").alias("n"), F.first("shards").alias("shards"))
     distinct = common.saved(distinct, "distinct")
 

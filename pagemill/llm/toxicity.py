@@ -82,7 +82,7 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, min_docs:
                 of = {0: Counter(), 1: Counter()}
         yield out()
 
-    counted = rows.select("text", "toxic").mapInArrow(count, "gram string, pos long, neg long").groupBy("gram").agg(F.sum("pos").alias("p"), F.sum("neg").alias("n"))
+    counted = rows.select("text", "toxic").mapInArrow(common.frugal(count), "gram string, pos long, neg long").groupBy("gram").agg(F.sum("pos").alias("p"), F.sum("neg").alias("n"))
     a = smoothing
     ratio = F.log((F.col("p") + a) / (pos + 2 * a)) - F.log((F.col("n") + a) / (neg + 2 * a))
     scaled = counted.where(F.col("p") + F.col("n") >= min_docs).withColumn("ratio", ratio)
@@ -96,7 +96,7 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, min_docs:
             own = [sorted({i for w in set(t.split()) for g in grams(w) if (i := index.get(g)) is not None}) for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("toxic"), pa.array(own, pa.list_(pa.int32()))], names=["doc_id", "toxic", "features"])
 
-    table = rows.mapInArrow(features, "doc_id long, toxic int, features array<int>").toArrow().combine_chunks().sort_by("doc_id")
+    table = rows.mapInArrow(common.frugal(features), "doc_id long, toxic int, features array<int>").toArrow().combine_chunks().sort_by("doc_id")
     lists = table.column("features").combine_chunks()
     lens = np.diff(lists.offsets.to_numpy())
     weights, bias = fit(lists.flatten().to_numpy(), lens, table.column("toxic").to_numpy().astype(float), ratios, prior)
@@ -145,6 +145,7 @@ def fit(ids: np.ndarray, lens: np.ndarray, y: np.ndarray, scale: np.ndarray, bia
 
 def scorer(spark: SparkSession, model: Model):
     """A column function: text to the probability that it is toxic; null counts as empty."""
+    common.small_batches(spark)
     names = sorted(model.weights)
     shared = spark.sparkContext.broadcast((model.bias, {g: i for i, g in enumerate(names)}, [model.weights[g] for g in names]))
     known: dict[str, tuple[int, ...]] = {}
