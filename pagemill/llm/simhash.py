@@ -381,8 +381,8 @@ def similar(docs: DataFrame, width: int = 5, similarity: float = 0.8, n: int = 8
 
     Texts meet in the shards of shards_of(); shards with the same texts are searched once. A shard's SimHashes of 64 * n
     bits form BK-trees, searched within radius_of(); every link is checked by the sets of shingles in the same task. A
-    shard of several blocks has its first block's tree searched by all its rows, and then the other trees by the rows
-    outside the shard's largest component. Nulls, empty texts and ties are as in near_duplicates(); fp is the XXH64 of
+    shard of several blocks has its first block's tree searched by all its rows; see linked() for the rows outside its
+    largest component. Nulls, empty texts and ties are as in near_duplicates(); fp is the XXH64 of
     the set of shingles.
     """
     radius = radius_of(similarity, 64 * n)
@@ -407,19 +407,70 @@ def similar(docs: DataFrame, width: int = 5, similarity: float = 0.8, n: int = 8
 
     needed = common.saved(placed.select("fp").distinct().join(distinct.select("fp", "text_hash"), "fp"), "needed")
     sets = with_sets(docs, needed, width, n)
+    links = linked(placed, sets, radius, similarity, block_rows)
+    return named(rows.select("doc_id", "text_hash", "fp"), components(links))
+
+
+def linked(placed: DataFrame, sets: DataFrame, radius: int, similarity: float, block_rows: int, again: bool = True) -> DataFrame:
+    """a, b: links of the shards in `placed` (shard, fp, size, blocks; saved), whose rows have their SimHashes and sets in `sets`.
+
+    All rows of a shard search the tree of its first block. Rows that are outside the shard's largest component then meet
+    the shard's others in finer shards (rare_shards()); in those of several blocks, where it happens `again`, they search
+    every block's tree.
+    """
     own = placed.withColumn("block", F.pmod(F.xxhash64("fp"), "blocks").cast("int"))
     first = own.select("shard", "fp", F.explode(F.when(F.col("block") == 0, F.sequence(F.lit(0), F.col("blocks") - 1))).alias("block"), F.lit(False).alias("seeks"))
     others = own.where("block > 0").select("shard", "fp", "block", F.lit(True).alias("seeks"))
     links = searched(first.unionByName(others).join(sets.hint("merge"), "fp"), radius, similarity)
-
-    if groups.where("blocks > 1").limit(1).count():
-        roots = common.saved(components(links), "roots")
-        rooted = common.saved(own.where("blocks > 1").join(roots, F.col("fp") == F.col("node"), "left").select("shard", "fp", "size", "blocks", "block", F.coalesce("root", "fp").alias("root")), "rooted")
-        heads = rooted.groupBy("shard", "size", "root").agg(F.count(F.lit(1)).alias("c")).groupBy("shard", "size").agg(F.max_by("root", F.struct("c", "root")).alias("head"))
-        apart = common.join_facts(rooted.drop("size"), heads, "shard", "size").where("root <> head").select("shard", "fp", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(True).alias("seeks"))
-        trees = rooted.select("shard", "fp", "block", F.lit(False).alias("seeks"))
-        links = links.unionByName(searched(trees.unionByName(apart).join(sets.hint("merge"), "fp"), radius, similarity))
-    return named(rows.select("doc_id", "text_hash", "fp"), components(links))
+    if not placed.where("blocks > 1").limit(1).count():
+        return links
+    roots = common.saved(components(links), "roots")
+    rooted = common.saved(own.where("blocks > 1").join(roots, F.col("fp") == F.col("node"), "left").select("shard", "fp", "size", "blocks", "block", F.coalesce("root", "fp").alias("root")), "rooted")
+    heads = common.saved(rooted.groupBy("shard", "size", "root").agg(F.count(F.lit(1)).alias("c")).groupBy("shard", "size").agg(F.max_by("root", F.struct("c", "root")).alias("head"), F.sum("c").alias("all"), F.max("c").alias("most")).where("most < all"), "heads")
+    if not heads.limit(1).count():
+        return links
+    split = common.saved(common.join_facts(rooted.drop("size"), heads.select("shard", "size", "head"), "shard", "size"), "split")
+    if again:
+        finer = rare_shards(split, sets, similarity, block_rows)
+        return links.unionByName(linked(finer, sets, radius, similarity, block_rows, False))
+    apart = split.where("root <> head").select("shard", "fp", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(True).alias("seeks"))
+    trees = split.select("shard", "fp", "block", F.lit(False).alias("seeks"))
+    return links.unionByName(searched(trees.unionByName(apart).join(sets.hint("merge"), "fp"), radius, similarity))
+
+
+def rare_shards(split: DataFrame, sets: DataFrame, similarity: float, block_rows: int) -> DataFrame:
+    """shard, fp, size, blocks (saved): finer shards of the rows in `split` (shard, fp, root, head), which every close pair of a shard shares if one of the two isn't in the shard's largest component, `head`.
+
+    Of two sets with the similarity s the smaller has at least 2s / (1 + s) of its shingles in common with the other, the
+    larger at least s of its own. With all shingles in one order, the first common one is therefore among the smaller's
+    first n - 2sn / (1 + s) + 1 and the larger's first n - sn + 1 (prefix filtering: no close pair is lost). The order is by
+    frequency, the rarest first, so what the texts of one template share hardly makes shards. A shard is a coarse shard and
+    a shingle that is among the first of some row by the stricter bound; those whose rows are linked already, or all in the
+    largest component, are left out, and those with the same rows are searched once.
+    """
+    keep = 2 * similarity / (1 + similarity)
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, 200):
+            own = [np.frombuffer(x, "<i8") for x in b.column("shingles").to_pylist()]
+            index = pa.array(np.repeat(np.arange(len(own)), [len(x) for x in own]))
+            yield pa.RecordBatch.from_arrays([b.column("fp").take(index), pa.array(np.concatenate([*own, np.zeros(0, "<i8")]), pa.int64())], names=["fp", "shingle"])
+
+    fps = split.select("fp").distinct()
+    each = common.saved(sets.join(fps.hint("merge"), "fp", "left_semi").select("fp", "shingles").mapInArrow(common.frugal(spread), "fp long, shingle long"), "shingles")
+    counts = common.saved(each.groupBy("shingle").agg(F.count(F.lit(1)).alias("n")), "frequencies")
+    # a shingle of one row alone makes no shard, but has its place in the order
+    ordered = common.join_facts(each, counts, "shingle", "n").groupBy("fp").agg(F.array_sort(F.collect_list(F.struct("n", "shingle"))).alias("all"))
+    size = F.size("all")
+    least = lambda share: (size - F.ceil(size * share - 1e-9) + 1).cast("int")
+    firsts = ordered.select("fp", F.posexplode(F.slice("all", 1, least(similarity))).alias("at", "x"), least(keep).alias("strict")).where("x.n > 1")
+    firsts = common.saved(firsts.select("fp", F.col("x.shingle").alias("shingle"), (F.col("at") < F.col("strict")).alias("strict")), "firsts")
+    members = split.select("shard", "fp", "root", (F.col("root") != F.col("head")).alias("apart")).join(firsts.hint("merge"), "fp")
+    members = common.saved(members.select(F.xxhash64("shard", "shingle").alias("shard"), "fp", "root", "apart", "strict"), "finer")
+    sums = members.groupBy("shard").agg(F.count(F.lit(1)).alias("size"), F.bit_xor("fp").alias("x"), F.bit_xor(F.xxhash64("fp")).alias("y"), F.max("strict").alias("strict"), F.max("apart").alias("apart"), F.min("root").alias("low"), F.max("root").alias("high"))
+    sums = sums.where("strict AND apart AND low <> high").groupBy("size", "x", "y").agg(F.min("shard").alias("shard"))
+    groups = common.saved(sums.select("shard", "size", F.ceil(F.col("size") / block_rows).cast("int").alias("blocks")), "rare-shards")
+    return common.saved(common.join_facts(members.select("shard", "fp"), groups, "shard", "size").select("shard", "fp", "size", "blocks"), "rare-members")
 
 
 def keep_one(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
