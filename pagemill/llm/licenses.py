@@ -2,7 +2,8 @@
 
 A text becomes its words (letters, digits and whatever is beyond ASCII; A-Z in lower case) with single spaces, so rules needn't
 care for punctuation. A rule is a regular expression with a keyword that must be in the text before the expression is tried,
-a priority (1: the surest), a label and a confidence. Of detections that lie within one another, the outer one stays if
+a priority (1: the surest), a label (the licence, with its version where the words have one) and a confidence. Each version is a
+rule of its own, so that of "lgpl 2" and "lgpl 2 1 or later" the one with more words contains the other. Of detections that lie within one another, the outer one stays if
 its priority is the same or better; the same words count for the better priority, then for the earlier rule.
 """
 
@@ -57,6 +58,8 @@ COMMONS = [
     ("cc-by-sa", "by sa", "attribution share ?alike"),
     ("cc-by", "by", "attribution"),
 ]
+#: Families that grant later versions too.
+LATER = ["lgpl", "agpl", "gpl", "gfdl"]
 COMMONS_VERSIONS = ["1 0", "2 0", "2 5", "3 0", "4 0"]
 # Words of notices: label, regular expression, priority, confidence.
 NOTICES = [
@@ -98,6 +101,11 @@ GRANTS = [
 ]
 
 
+def versioned(label: str, version: str) -> str:
+    """A label with a version, whose words are its numbers: gpl and 3 give gpl-3.0."""
+    return f"{label}-{'.'.join([*version.split(), '0'][:2])}"
+
+
 def rules() -> list[dict]:
     """The rules in order: kw (a keyword with spaces around whole words), re, label, priority, conf."""
     found = []
@@ -124,14 +132,19 @@ def rules() -> list[dict]:
     for label, short, long in COMMONS:
         for grant, priority, conf in GRANTS:
             for version in COMMONS_VERSIONS:
-                add("cc ", f"{grant}(?:a )?cc {short} {version}(?: international| unported| deed)?", label, priority, conf)
+                add("cc ", f"{grant}(?:a )?cc {short} {version}(?: international| unported| deed)?", versioned(label, version), priority, conf)
             add("cc ", f"{grant}(?:a )?cc {short}", label, priority + (not grant), conf - 0.1)
-        add("creative commons", f"creative commons {long}(?: {'|'.join(COMMONS_VERSIONS)})?(?: international| unported)?(?: licen[cs]e)?", label, 1, 0.9)
+        for version in COMMONS_VERSIONS:
+            add("creative commons", f"creative commons {long}(?: licen[cs]e)?(?: version)? {version}(?: international| unported)?(?: licen[cs]e)?", versioned(label, version), 1, 0.9)
+        add("creative commons", f"creative commons {long}(?: international| unported)?(?: licen[cs]e)?", label, 1, 0.9)
     for label, names, versions in FAMILIES:
         for name in names:
             for grant, priority, conf in GRANTS:
-                if versions:
-                    add(keyword(name), f"{grant}{name}(?: version| v)? v?(?:{'|'.join(versions)})(?: only| or later| or any later version)?", label, priority, conf)
+                for version in versions:
+                    numbered = f"{grant}{name}(?: version| v)? v?{version}"
+                    add(keyword(name), f"{numbered}(?: only)?", versioned(label, version), priority, conf)
+                    if label in LATER:
+                        add(keyword(name), f"{numbered}(?: of the licen[cs]e)? or (?:at your option )?(?:any )?(?:later|newer)(?: version)?", f"{versioned(label, version)}-or-later", priority, conf)
                 if len(name) > 6 or grant:
                     add(keyword(name), f"{grant}{name}", label, priority + (not grant), conf - 0.15)
     for label, expression, priority, conf in NOTICES:
