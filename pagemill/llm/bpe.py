@@ -198,9 +198,10 @@ def encoded(docs: DataFrame, finish: Callable, schema: str, tokenizer: str = TOK
             yield pa.RecordBatch.from_arrays([b.column("k"), b.column("h"), b.column("at"), pa.array(ids, pa.binary()).take(pa.array(index))], names=["k", "h", "at", "ids"])
 
     tail = docs.select("k", "h", "text").mapInArrow(common.frugal(rare), "k long, h long, at int, word string")
-    salt = F.when(F.length("word") > LONG_CHARS, F.pmod("h", F.lit(16))).otherwise(F.lit(0))  # longer words may be common and outside the head
+    salt = F.when(F.length("word") > LONG_CHARS, F.pmod(F.xxhash64("k", "h", "at"), F.lit(16))).otherwise(F.lit(0))  # longer words may be common and outside the head
     placed = tail.repartition("word", salt).sortWithinPartitions("word").mapInArrow(common.frugal(once), "k long, h long, at int, ids binary")
-    by_doc = placed.groupBy("k", "h").agg(F.collect_list(F.struct("at", "ids")).alias("rare"))
+    # a set: rows that share doc_id and text bring the same places, which are kept once for all of them
+    by_doc = placed.groupBy("k", "h").agg(F.collect_set(F.struct("at", "ids")).alias("rare"))
     joined = docs.mapInArrow(common.frugal(codes), f"doc_id long, carried {carried}, k long, h long, codes binary").join(by_doc.hint("merge"), ["k", "h"], "left").select("doc_id", "carried", "codes", F.col("rare.at").alias("at"), F.col("rare.ids").alias("ids"))
 
     def together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
