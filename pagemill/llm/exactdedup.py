@@ -53,15 +53,20 @@ def dedup(docs: DataFrame, index: DigestIndex) -> DataFrame:
     return found.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.col("digest").alias("text_sha256"))
 
 
+def new_index(docs: DataFrame) -> DigestIndex:
+    """An empty index in a folder of its own, with a bucket for about two million rows of `docs`, 64 at least."""
+    spark = docs.sparkSession
+    return DigestIndex(spark, common.new_dir(spark, "digest-index"), max(64, docs.select("doc_id").count() // 2_000_000))
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    index = DigestIndex(spark, common.new_dir(spark, "digest-index"))
-    return dedup(common.table(spark, sf_dir, "documents"), index)
+    docs = common.table(spark, sf_dir, "documents")
+    return dedup(docs, new_index(docs))
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
     """The rows of `docs` that dedup() keeps, with all their columns, whatever their names. Texts without any doc_id stay; an empty table stays empty."""
-    index = DigestIndex(docs.sparkSession, common.new_dir(docs.sparkSession, "digest-index"))
-    dropped = dedup(docs, index).where("NOT kept").select("doc_id", "text_sha256").distinct()
+    dropped = dedup(docs, new_index(docs)).where("NOT kept").select("doc_id", "text_sha256").distinct()
     return common.without_keys(docs, common.saved(dropped, "dropped"), [F.col("doc_id").cast("long"), digest(F.col("text"))])
 
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -72,18 +75,21 @@ def when_due(share: Column, place: Column, schedules: tuple) -> Column:
     return out
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, schedules: tuple = SCHEDULES, share: float = 1.5, most: float = 2.0, cells: int = 256) -> DataFrame:
+def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, schedules: tuple = SCHEDULES, share: float = 1.5, most: float = 2.0, cells: int | None = None) -> DataFrame:
     """doc_id, source, size, source_size, target, taken, positions per row of `docs` (doc_id, text, source).
 
     A source's documents stand in a fixed random order (by the MD5 of the doc_id, then doc_id and size); the mix goes through them, again
     from the start where the target is above the source's size, until it has taken the target's words. `taken` counts
     them, the last document's part included. `positions` has the training times (0 to 1) at which the document is due, one
     for each time it is taken: the source's weight schedule, integrated and inverted at the words that come before.
-    Running sums come from the sums of `cells` equal ranges of the MD5, so that no source meets in one task. A null doc_id
+    Running sums come from the sums of `cells` equal ranges of the MD5, so that no source meets in one task: a range for about
+    100,000 documents, 256 to 65,536 of them, where it isn't given; results don't depend on it. A null doc_id
     counts as an empty string in the order; rows that repeat one doc_id are mixed one by one; null sources are one source.
     """
     slim = docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")).alias("ring"))
-    slim = common.saved(slim.withColumn("cell", (F.conv(F.substring("ring", 1, 4), 16, 10).cast("int") * cells / 65_536).cast("int")), "sizes")
+    slim = common.saved(slim, "sizes")
+    cells = cells or 1 << min(16, max(8, (slim.count() // 100_000).bit_length()))
+    slim = slim.withColumn("cell", (F.conv(F.substring("ring", 1, 4), 16, 10).cast("int") * cells / 65_536).cast("int"))
     parts = slim.groupBy("source", "cell").agg(F.sum("size").alias("words"))
     source = F.coalesce(F.concat(F.lit("="), "source"), F.lit(""))
     by_cell = Window.partitionBy("source").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
@@ -108,10 +114,18 @@ def op5_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def training_order(docs: DataFrame, **how) -> DataFrame:
-    """`docs`, each document as often as the mix takes it, range-sorted by training position. The document at which a source's target ends is there whole; rows that share a doc_id are taken alike."""
-    due = mix(docs, **how).where("taken > 0").groupBy(F.col("doc_id").alias("_id")).agg(F.min("positions").alias("_positions"))
-    copies = docs.join(due, docs["doc_id"].eqNullSafe(F.col("_id"))).withColumn("_position", F.explode("_positions"))
-    return copies.orderBy("_position", "doc_id").select(*docs.columns)
+    """`docs`, each document as often as the mix takes it, range-sorted by training position; equal positions go by doc_id, then by a hash of all columns that can be hashed, so only rows alike in them are interchangeable.
+
+    The document at which a source's target ends is there whole; rows that share a doc_id are taken alike, null ids too. Columns may
+    have any names. The order of all rows is the same in every run; where Spark cuts it into partitions isn't.
+    """
+    tag = uuid.uuid4().hex
+    doc_id, positions, position = (f"_{name}_{tag}" for name in ("doc_id", "positions", "position"))
+    due = mix(docs, **how).where("taken > 0").groupBy(F.col("doc_id").alias(doc_id)).agg(F.min("positions").alias(positions))
+    copies = docs.join(due, docs["doc_id"].eqNullSafe(F.col(doc_id))).withColumn(position, F.explode(positions))
+    quoted = lambda name: "`" + name.replace("`", "``") + "`"
+    plain = [quoted(f.name) for f in docs.schema.fields if not re.search(r"map<|variant", f.dataType.simpleString())]
+    return copies.orderBy(position, "doc_id", F.xxhash64(*plain)).select(*map(quoted, docs.columns))
 
 
 def _due_sql(share: str, place: str) -> str:
