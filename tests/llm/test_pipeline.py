@@ -50,3 +50,9 @@ def test_stages(spark, corpus):
     assert set(clean) - set(copies) == {11} and set(copies) - set(near) == {14}
     assert set(mixed) <= set(near) and max(mixed.values()) == 2 and encoded == mixed
     assert Counter(r.doc_id for r in corpus_pipeline.run(spark, corpus).select("doc_id").collect()) == encoded
+
+
+def test_encoding_reads_the_order_beside_own_columns(spark):
+    rows = spark.createDataFrame([(i, f"word{i}", "own") for i in range(5)], "doc_id long, text string, _metadata string")
+    done = corpus_pipeline.encode(spark, common.saved(rows.coalesce(1), "own"), "")
+    assert sorted((r.part, r.row, r.doc_id) for r in done.collect()) == [(0, i, i) for i in range(5)]

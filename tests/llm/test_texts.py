@@ -64,6 +64,16 @@ def test_word_table_with_a_tiny_head(spark, some):
     assert small == Counter(map(tuple, bpe.digests(some).collect()))
 
 
+def test_word_table_with_repeated_rows_and_a_long_common_word(spark):
+    long, text = "x" * 3000, "zyzzyva qwrtpl " * 3
+    rows = [(1, text)] * 400 + [(i, f"{long} a{i}") for i in range(2, 60)] + [(None, text)] * 20
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    tok = wordcache.load(bpe.TOKENIZER)
+    want = lambda t: hashlib.sha256(" ".join(map(str, tok.encode(t, add_special_tokens=False).ids)).encode()).hexdigest()
+    got = Counter((r.doc_id, r.ids_sha256) for r in bpe.digests(df, head_words=2).collect())
+    assert got == Counter((i, want(t)) for i, t in rows)
+
+
 @given(st.lists(st.integers(0, (1 << 21) - 1), max_size=300))
 def test_varints(codes):
     data, lens = bpe.varints(np.array(codes, np.int64))
@@ -165,6 +175,22 @@ def test_mix(spark, some, none):
     assert ordered.columns == some.columns and mixing.training_order(none).count() == 0
 
 
+def test_mix_does_not_depend_on_cells(spark, some):
+    assert Counter(map(str, mixing.mix(some, cells=4).collect())) == Counter(map(str, mixing.mix(some).collect()))
+
+
+def test_training_order_with_any_names_and_equal_positions(spark):
+    names = ["doc_id", "text", "source", "_id", "_positions", "_position", "_metadata", "positions", "taken", "cell", "a.b", "m"]
+    rows = [(i % 7, f"a b c {i % 7}", "s", f"id{i}", i, "own", {"k": i}, i, i, i, i, i) for i in range(60)]
+    kinds = ["long", "string", "string", "string", "int", "string", "map<string,int>", *["int"] * 5]
+    df = spark.createDataFrame(rows, ", ".join(f"`{n}` {k}" for n, k in zip(names, kinds)))
+    once = mixing.training_order(df)
+    assert once.columns == names
+    first = once.collect()
+    assert [r["_id"] for r in first] == [r["_id"] for r in mixing.training_order(df.repartition(7)).collect()]
+    assert {r["_id"]: r["_position"] for r in first} == {f"id{i}": "own" for i in range(60)}
+
+
 def test_schedules_are_inverted(spark):
     from pyspark.sql import functions as F
 
@@ -276,6 +302,20 @@ def test_licenses_equal_brute_force(spark, none):
     assert licenses.scan(none).count() == 0
 
 
+def test_the_longest_version_of_a_license_counts(spark):
+    texts = {
+        "GNU LGPL 2.1 or later": "lgpl-2.1-or-later",
+        "licensed under the LGPL v2": "lgpl-2.0",
+        "GPL version 2.0 only": "gpl-2.0",
+        "GNU General Public License, version 3, or (at your option) any later version": "gpl,gpl-3.0-or-later",
+        "Creative Commons Attribution-ShareAlike 4.0 International": "cc-by-sa-4.0",
+        "CC BY-NC-ND 3.0": "cc-by,cc-by-nc-nd-3.0",
+        "Apache License 2.0; MPL 1.1": "apache-2.0,mpl-1.1",
+    }
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.doc_id: r.labels for r in licenses.scan(df).collect()} == dict(enumerate(texts.values()))
+
+
 def test_license_keywords_are_in_what_they_gate():
     for r in licenses.rules():
         assert r["kw"].strip() in r["re"]
