@@ -30,8 +30,9 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, part and row (where the document stands in the training order: by part, then by row), n_tokens and the digests of ids and decoded text, a row for each document of the mix. `docs` is read from the files that the mix was written to, whose order is the training order."""
-    part = F.regexp_extract("_metadata.file_name", r"part-(\d+)", 1).cast("int").alias("part")
-    return bpe.digests(docs.select("doc_id", "text", part, F.col("_metadata.row_index").alias("row")), carry=("part", "row"))
+    file = docs.metadataColumn("_metadata")  # not a column of that name
+    part = F.regexp_extract(file["file_name"], r"part-(\d+)", 1).cast("int").alias("part")
+    return bpe.digests(docs.select("doc_id", "text", part, file["row_index"].alias("row")), carry=("part", "row"))
 
 
 STAGES = [
