@@ -152,3 +152,18 @@ POLICY_TAG = (
     "style-src 'self' 'unsafe-inline' https://fonts.googleapis.com https://vjs.zencdn.net; font-src 'self' data: https://fonts.googleapis.com https://fonts.gstatic.com https://vjs.zencdn.net; "
     f"media-src 'self' blob: {_OWN}; img-src 'self' data: {_OWN}; connect-src 'self' blob: {_OWN};\" />"
 )
+
+#: Fixed value: signs in a script that can't be read closely that it may send, load or lead away.
+SUSPICIOUS = r"(?i)\bfetch\s*\(|\bXMLHttpRequest\b|\bsendBeacon\b|\bWebSocket\b|\beval\s*\(|\bnew\s+Function\b|\batob\s*\(|\bunescape\s*\(|\bfromCharCode\b|\bimportScripts\b|\bdocument\s*\.\s*write\b|\bnew\s+Image\b|\.\s*src\s*=|location\s*\.\s*(?:href|replace|assign)\b|\blocation\s*="
+#: Categories of files by extension, and of responses by the kind of request; other kinds are categories of their own.
+FILE_CATEGORIES = {
+    "html": ["html", "htm"],
+    "css": ["css"],
+    "js": ["js", "mjs"],
+    "image": ["png", "jpg", "jpeg", "webp", "gif", "svg", "ico", "avif"],
+    "font": ["woff", "woff2", "ttf", "otf", "eot"],
+    "media": ["mp4", "webm", "ogg", "mp3", "wav"],
+}
+REQUEST_CATEGORIES = {"document": "html", "stylesheet": "css", "script": "js", "image": "image", "font": "font", "media": "media", "fetch": "data", "xhr": "data"}
+#: Percent of visual difference above which a person has to look.
+VISUAL_LIMIT = 25

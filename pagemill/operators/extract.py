@@ -213,3 +213,61 @@ def is_offer(url: Column, main_host: Column) -> Column:
     info = urls.path(u).rlike(r"(?i)^/(" + "|".join(policy.INFO_PATHS) + r")(/|\z)") | urls.path(u).rlike(r"(?i)^/wp-(content|admin|includes|json)/")
     telling = u.rlike("(?i)[?&](" + "|".join(policy.OFFER_PARAMETERS) + ")") | u.rlike("(?i)/(" + "|".join(policy.OFFER_PATHS) + ")/")
     return urls.is_absolute(u) & h.isNotNull() & F.when(own, ~info & telling).otherwise(~urls.in_domains(h, policy.TRUSTED_LIB_HOSTS + policy.OWN_ASSET_HOSTS))
+
+
+def suspicious(code: Column) -> Column:
+    """Whether a script has a sign of sending, loading or leading away; null has none."""
+    return F.coalesce(code.rlike(policy.SUSPICIOUS), F.lit(False))
+
+
+def _by_map(known: dict[str, str], key: Column) -> Column:
+    return F.try_element_at(F.create_map(*[F.lit(x) for pair in known.items() for x in pair]), key)
+
+
+def file_category(rel_path: Column) -> Column:
+    """Category of a file by its extension: html, css, js, image, font, media or other."""
+    known = {e: c for c, exts in policy.FILE_CATEGORIES.items() for e in exts}
+    return F.coalesce(_by_map(known, urls.extension(rel_path)), F.lit("other"))
+
+
+def request_category(kind: Column) -> Column:
+    """Category of a response by the kind of its request; an unknown kind is its own category, none is other."""
+    return F.coalesce(_by_map(policy.REQUEST_CATEGORIES, kind), F.nullif(kind, F.lit("")), F.lit("other"))
+
+
+#: A string or template of a script.
+LITERAL = r"""\x22(?:[^\x22\\\n]|\\.)*\x22|'(?:[^'\\\n]|\\.)*'|`(?:[^`\\]|\\.)*`"""
+
+
+def literals(code: Column) -> Column:
+    """The strings and templates of a script, what templates put in left out."""
+    found = F.regexp_extract_all(F.coalesce(code, F.lit("")), F.lit(LITERAL), F.lit(0))
+    return F.transform(found, lambda x: F.when(x.startswith("`"), F.regexp_replace(x, r"\$\{[^}]*\}", " ")).otherwise(x))
+
+
+def file_macros(files: DataFrame) -> DataFrame:
+    """The columns of `files` (rel_path, content and others) but content, and kind, token, element, attr: macros of script files, in strings alone, and of style sheets, in url() alone.
+
+    Each own macro is a row: once in a script, as often as it is there in a style sheet. A file's foreign macros are one row, each
+    once, in the order in which they come: script (somebody has to look) or image (adaptation fills it in). Other files, and null content, have none.
+    """
+    tokens = lambda text: F.regexp_extract_all(text, F.lit(policy.MACRO), F.lit(0))
+    script, style = F.col("rel_path").rlike(r"(?i)\.m?js\z"), F.col("rel_path").rlike(r"(?i)\.css\z")
+    others = [c for c in files.columns if c != "content"]
+    found = files.where((script | style) & F.contains("content", F.lit("{")))
+    found = found.select(*others, script.alias("_script"), F.when(script, F.array_distinct(F.flatten(F.transform(literals(F.col("content")), tokens)))).otherwise(F.flatten(F.transform(all_of(F.col("content"), r"(?i)url\([^)]*\)", 0), tokens))).alias("_found"))
+    is_own = lambda t: t.isin(*policy.OWN_MACROS)
+    own = F.transform(F.filter("_found", is_own), lambda t: F.struct(F.lit("own").alias("kind"), t.alias("token")))
+    foreign = F.array_distinct(F.filter("_found", lambda t: ~is_own(t)))
+    joined = F.when(F.size(foreign) > 0, F.array(F.struct(F.when(F.col("_script"), "script").otherwise("image").alias("kind"), F.array_join(foreign, " ").alias("token"))))
+    rows = found.select(*others, "_script", F.inline(F.concat(own, F.coalesce(joined, F.array().cast("array<struct<kind:string,token:string>>")))))
+    return rows.select(*others, "kind", "token", F.when(F.col("_script"), "script(external)").otherwise("style(external)").alias("element"), F.when(F.col("_script"), "(js-string)").otherwise("(css-url)").alias("attr"))
+
+
+def unmapped(files: DataFrame) -> DataFrame:
+    """`files` (rel_path, content and others) with the column outcome: source maps are deleted (their content is null), script and style files stripped of the comments that name one, all others kept. Null content is kept."""
+    code = F.col("rel_path").rlike(r"(?i)\.(m?js|css)\z")
+    plain = F.when(code, without_source_maps(F.col("content"))).otherwise(F.col("content"))
+    is_map = F.coalesce(F.col("rel_path").rlike(r"(?i)\.map\z"), F.lit(False))
+    outcome = F.when(is_map, "deleted").when(plain != F.col("content"), "stripped").otherwise("kept")
+    return files.withColumns({"outcome": outcome, "content": F.when(~is_map, plain)})

@@ -239,10 +239,9 @@ def macro_flags(pages: DataFrame) -> DataFrame:
     link = F.col("element").isin("a", "area") & (F.col("attr") == "href") & F.col("value").rlike(r"^\s*\{[^}]+\}\s*$")
     image = F.col("attr").isin("src", "srcset", "poster", "data-src")
     others = attrs.where(F.col("attr").isin(*scanned) | F.col("attr").startswith("data-")).select("page_id", "element", "attr", tokens(F.col("value")).alias("found"), F.when(link, "link").when(image, "image").otherwise("other").alias("kind"))
-    literal = r"""\x22(?:[^\x22\\\n]|\\.)*\x22|'(?:[^'\\\n]|\\.)*'|`(?:[^`\\]|\\.)*`"""
     texts = rows.where(~F.col("within").isin(*MACRO_TEXTS) & (F.col("tag") == "#text")).select("page_id", F.concat(F.lit("text<"), "within", F.lit(">")).alias("element"), F.lit("(text)").alias("attr"), tokens(F.col("body")).alias("found"), F.lit("text").alias("kind"))
     inline = rows.where((F.col("tag") == "script") & attribute("src").isNull() & ~F.coalesce(F.lower(attribute("type")).contains("json"), F.lit(False)))
-    code = inline.select("page_id", F.lit("script").alias("element"), F.lit("(js-string)").alias("attr"), F.array_distinct(F.flatten(F.transform(F.regexp_extract_all("body", F.lit(literal), F.lit(0)), tokens))).alias("found"), F.lit("script").alias("kind"))
+    code = inline.select("page_id", F.lit("script").alias("element"), F.lit("(js-string)").alias("attr"), F.array_distinct(F.flatten(F.transform(extract.literals(F.col("body")), tokens))).alias("found"), F.lit("script").alias("kind"))
     sheets = rows.where("tag = 'style'").select("page_id", F.lit("style").alias("element"), F.lit("(css-url)").alias("attr"), url_tokens(F.col("body")).alias("found"), F.lit("image").alias("kind"))
     whole = styles.unionByName(others).unionByName(texts).unionByName(code).unionByName(sheets).where(F.size("found") > 0)
     is_own = lambda t: t.isin(*policy.OWN_MACROS)

@@ -580,3 +580,63 @@ def candidate_pick(spark, sf_dir):
     files = site_files(spark, sf_dir)
     lost = sites.repaired(files).where("outcome = 'by name'").select("site_id", F.col("rel_path").alias("from_path"), F.col("raw").alias("url"))
     return layout.candidates(files, lost)
+
+
+def page_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """page_id, rel_path, content: the fixture's files of code beside each page."""
+    number = F.coalesce(F.col("page_id").cast("string"), F.lit(""))
+    beside = pages(spark, sf_dir).join(F.broadcast(fx.CODE_FILES.df(spark)), F.coalesce(F.pmod("page_id", F.lit(7)), F.lit(0)) == F.col("slot"))
+    return beside.select("page_id", F.replace("path", F.lit("#"), number).alias("rel_path"), F.replace("body", F.lit("#"), number).alias("content"))
+
+
+@query(o.FILE_MACROS)
+def file_macros(spark, sf_dir):
+    """Macros in the strings of script files and in url() of style sheets."""
+    return extract.file_macros(page_files(spark, sf_dir))
+
+
+@query(f"SELECT page_id, rel_path, CASE WHEN is_map THEN 'deleted' WHEN plain <> content THEN 'stripped' ELSE 'kept' END AS outcome, CASE WHEN NOT is_map THEN plain END AS content FROM (SELECT *, regexp_matches(rel_path, '(?i)[.]map$') AS is_map, CASE WHEN regexp_matches(rel_path, '(?i)[.](js|mjs|css)$') THEN regexp_replace(regexp_replace(content, '//[#@][ \\t]*sourceMappingURL\\s*=\\s*\\S+', '', 'g'), '/\\*#[ \\t]*sourceMappingURL\\s*=\\s*[^*]*\\*/', '', 'g') ELSE content END AS plain FROM {o.PAGE_CODE})")
+def source_map_files(spark, sf_dir):
+    """Files without source maps: maps go, scripts and styles no longer name them."""
+    return extract.unmapped(page_files(spark, sf_dir))
+
+
+def pages_of_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return marked_pages(spark, sf_dir).withColumn("site_id", urls.host(F.col("url")))
+
+
+@query(o.site_stats(report.MEASURES))
+def site_stats(spark, sf_dir):
+    """Every counter of each site in one row."""
+    return report.site_stats(pages_of_sites(spark, sf_dir).select("site_id", "html"))
+
+
+@query(o.SITE_VERDICTS)
+def site_verdicts(spark, sf_dir):
+    """The line that a person reads about each site, its pages taken as recorded runs: calls of eval as errors, the share of code as difference."""
+    found = pages_of_sites(spark, sf_dir)
+    html = F.col("html")
+    difference = 100.0 * (F.length(html) - F.length(extract.text_only(html))) / F.length(html)
+    runs = found.select("site_id", F.col("page_id").alias("page"), F.when(F.col("page_id") % 2 == 0, "desktop").otherwise("mobile").alias("profile"), (F.length(html) > 0).alias("loaded"), F.regexp_count(html, F.lit(r"eval\(")).alias("n_errors"), difference.alias("difference"), F.lower(html).contains("quiz").alias("has_quiz"))
+    asked = extract.resources(found.select(F.col("site_id").alias("page_id"), "html")).where("kind <> 'anchor'")
+    return report.site_verdicts(runs, asked.select(F.col("page_id").alias("site_id"), "url"))
+
+
+@query(o.FILE_CATEGORIES)
+def file_categories(spark, sf_dir):
+    """Files of each site by category."""
+    return site_files(spark, sf_dir).groupBy("site_id", extract.file_category(F.col("rel_path")).alias("category")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"SELECT category, count(*) AS n FROM (SELECT CASE kind WHEN 'iframe' THEN 'html' WHEN 'stylesheet' THEN 'css' WHEN 'script' THEN 'js' WHEN 'img' THEN 'image' ELSE kind END AS category FROM ({o.RESOURCES})) GROUP BY category")
+def request_categories(spark, sf_dir):
+    """What pages load by category of the response; links, which load nothing, are of a kind of their own."""
+    kind = F.col("kind")
+    asked = F.when(kind == "iframe", "document").when(kind == "img", "image").otherwise(kind)
+    return extract.resources(marked_pages(spark, sf_dir)).groupBy(extract.request_category(asked).alias("category")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"SELECT site_id, rel_path, row_number() OVER (PARTITION BY site_id ORDER BY CASE WHEN rel_path = 'index.html' THEN 0 ELSE 1 END, rel_path) AS place FROM {o.SITE_FILES} WHERE NOT contains(rel_path, '/') AND (ends_with(lower(rel_path), '.html') OR ends_with(lower(rel_path), '.htm'))")
+def page_order(spark, sf_dir):
+    """The order in which the pages at the top of each site are checked."""
+    return report.page_order(site_files(spark, sf_dir))

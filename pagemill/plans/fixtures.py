@@ -79,6 +79,17 @@ ASSETS = Fixture(
         (5, "js/own-#.js", "document.addEventListener('x', f); a == b"), (5, "js/lib.inc", "<?php x ?>"), (5, "js/part-#.phtml", "plain"), (5, "js/own-#.js.map", "{}"), (5, "js/jquery-3.6.1.min.js", ""), (6, "frame-#.html", "<img src=inner-#.png>"), (6, "inner-#.png", ""), (6, "sprite-#.svg", "<svg onload=\"x()\"><script>a</script><a xlink:href=\"https://evil.test/#\">b</a><use href='#'/><style>c{d:url(https://evil.test/s.png)}</style></svg>"), (6, "a b-#.png", ""), (6, "../../img/up-#.png", ""),
     ],
 )
+# Files of code beside each page; # is the page's number.
+CODE_FILES = Fixture(
+    "slot int, path string, body string",
+    [
+        (0, "js/a-#.js", "var u = \"{sub_#}x{sub_#}\" + '{offer}{offer}'; var o = {a:1}; //# sourceMappingURL=a-#.js.map"), (0, "js/a-#.js.map", "{}"),
+        (1, "css/s-#.css", "a{background:url('{bg_#}?x={bg_#}')} b{background:url({_offer_value:offerimage})} c{d:{e}} /*# sourceMappingURL=s.css.map */"),
+        (2, "js/m-#.mjs", "let t = `a{x_#}b ${c} {y.z}`; t += '{x_#}' //@ sourceMappingURL = m.map"),
+        (3, "css/none.css", "p{color:red}"), (3, "js/none-#.js", "f({a})"), (4, "css/t-#.CSS", "p{a:URL({a_#})} q{b:url(\"{b_#}\")} r{c:url({offer})} s{d:url({offer})}"),
+        (5, "data-#.json", '{"a":"{b}"} //# sourceMappingURL=x.map'), (6, "lib-#.MAP", "{}"), (6, "i/#.png", ""), (6, "f/#.woff2", ""), (6, "v/#.mp4", ""),
+    ],
+)
 # Server code, scripts, styles, links and macros; # is the page's number.
 CODE = Fixture(
     "slot int, markup string",

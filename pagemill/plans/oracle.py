@@ -399,3 +399,38 @@ HELD = " UNION ALL ".join(
         f"SELECT page_id, 'dangerous link', unnest(regexp_extract_all(html, ' href=\"javascript:[^\"]*\"')) FROM {MARKED}",
     ]
 )
+
+PAGE_CODE = f"(SELECT page_id, replace(path, '#', {_number}) AS rel_path, replace(body, '#', {_number}) AS content FROM pages JOIN {fx.CODE_FILES.sql()} ON coalesce((page_id % 7 + 7) % 7, 0) = slot)"
+_strings = "list_transform(regexp_extract_all(content, '\"[^\"\\n]*\"|''[^''\\n]*''|`[^`]*`'), lambda x: CASE WHEN starts_with(x, '`') THEN regexp_replace(x, '\\$\\{[^}]*\\}', ' ', 'g') ELSE x END)"
+_tokens = lambda texts: f"flatten(list_transform({texts}, lambda x: regexp_extract_all(x, {_macro})))"
+_once = "list_filter({0}, lambda x, i: list_position({0}, x) = i)"
+_file_tokens = f"""(SELECT *, list_filter(l, lambda x: x IN {values(policy.OWN_MACROS)}) AS own, list_filter(l, lambda x: x NOT IN {values(policy.OWN_MACROS)}) AS theirs FROM (
+    SELECT page_id, rel_path, true AS script, {_once.format('t')} AS l FROM (SELECT *, {_tokens(_strings)} AS t FROM {PAGE_CODE} WHERE regexp_matches(rel_path, '(?i)\\.m?js$'))
+    UNION ALL SELECT page_id, rel_path, false, {_tokens("regexp_extract_all(content, '(?i)url[(][^)]*[)]')")} FROM {PAGE_CODE} WHERE regexp_matches(rel_path, '(?i)\\.css$')))"""
+FILE_MACROS = f"""SELECT page_id, rel_path, kind, token, CASE WHEN script THEN 'script(external)' ELSE 'style(external)' END AS element, CASE WHEN script THEN '(js-string)' ELSE '(css-url)' END AS attr FROM (
+    SELECT *, 'own' AS kind, unnest(own) AS token FROM {_file_tokens}
+    UNION ALL SELECT *, CASE WHEN script THEN 'script' ELSE 'image' END, array_to_string({_once.format('theirs')}, ' ') FROM {_file_tokens} WHERE len(theirs) > 0)"""
+_bare_text = "regexp_replace(html, '(?is)<(script|style)\\b[^>]*>.*?</(script|style)>', '', 'g')"
+_suspicious = text(policy.SUSPICIOUS)
+_warnings = " + ".join(f"len(regexp_extract_all(body, {text(p)}))" for _, p in policy.JS_WARNINGS)
+_measured = f"""SELECT page_id, 'pages' AS m, 1 AS n FROM {MARKED}
+    UNION ALL SELECT page_id, 'server_pages', 1 FROM {MARKED} WHERE regexp_matches(html, '(?is)<\\?php|<\\?=|<\\?(?:[^x]|x[^m])[^>]*\\?>|<%.*?%>')
+    UNION ALL SELECT page_id, 'inline_scripts', 1 FROM ({INLINE}) UNION ALL SELECT page_id, 'tracker_scripts', 1 FROM ({INLINE}) WHERE {_keywords.format('body')}
+    UNION ALL SELECT page_id, 'suspicious_scripts', 1 FROM ({INLINE}) WHERE regexp_matches(body, {_suspicious}) UNION ALL SELECT page_id, 'script_warnings', {_warnings} FROM ({INLINE})
+    UNION ALL SELECT page_id, CASE WHEN x IN {values(policy.OWN_MACROS)} THEN 'own_macros' ELSE 'foreign_macros' END, 1 FROM (SELECT page_id, unnest(regexp_extract_all({_bare_text}, {_macro})) AS x FROM {MARKED})
+    UNION ALL SELECT page_id, kind || '_' || action, 1 FROM ({VERDICTS.format(rows=RESOURCES)})"""
+
+
+def site_stats(measures: list[str]) -> str:
+    counts = ", ".join(f"CAST(coalesce(sum(n) FILTER (m = {text(m)}), 0) AS BIGINT) AS {m}" for m in measures)
+    return f"SELECT site_id, {counts} FROM ({_measured}) JOIN (SELECT page_id, {host('url')} AS site_id FROM pages) USING (page_id) GROUP BY site_id"
+
+
+SITE_VERDICTS = f"""SELECT site_id, loaded AND n_foreign = 0 AND n_errors = 0 AS ok, concat_ws('; ', CASE WHEN NOT loaded THEN 'pages did NOT load, nothing is proven' END,
+    CASE WHEN n_foreign = 0 THEN 'no requests to foreign hosts' ELSE n_foreign || ' FOREIGN hosts asked' END, 'pages: ' || n_pages || ', profiles: ' || profiles, CASE WHEN n_errors > 0 THEN n_errors || ' errors of scripts' END,
+    'looks different by up to ' || printf('%.1f', round(difference, 1)) || '%' || CASE WHEN difference > {policy.VISUAL_LIMIT} THEN ', look at the layout' ELSE '' END, CASE WHEN quiz THEN 'has a quiz, click through it by hand' END) AS verdict
+    FROM (SELECT {host('url')} AS site_id, bool_and(length(html) > 0) AS loaded, count(DISTINCT page_id) AS n_pages, CASE WHEN count(DISTINCT page_id % 2) = 2 THEN 'desktop+mobile' WHEN max(page_id % 2) = 0 THEN 'desktop' ELSE 'mobile' END AS profiles,
+        CAST(sum(len(regexp_extract_all(html, 'eval\\('))) AS BIGINT) AS n_errors, max(100e0 * (length(html) - length({_bare_text})) / length(html)) AS difference, bool_or(contains(lower(html), 'quiz')) AS quiz FROM {MARKED} GROUP BY 1)
+    JOIN (SELECT {host('p.url')} AS site_id, count(DISTINCT {host('r.url')}) FILTER (r.kind <> 'anchor' AND NOT {below(host('r.url'), policy.TRUSTED_LIB_HOSTS)}) AS n_foreign FROM pages p LEFT JOIN ({RESOURCES}) r USING (page_id) GROUP BY 1) USING (site_id)"""
+_categories = " ".join(f"WHEN e IN {values(exts)} THEN {text(c)}" for c, exts in policy.FILE_CATEGORIES.items())
+FILE_CATEGORIES = f"SELECT site_id, category, count(*) AS n FROM (SELECT site_id, CASE {_categories} ELSE 'other' END AS category FROM (SELECT site_id, lower(regexp_extract(rel_path, '\\.([^./]*)$', 1)) AS e FROM {SITE_FILES})) GROUP BY ALL"
