@@ -268,7 +268,7 @@ DELETED_COUNTS = f"""WITH d AS (SELECT site_id, rel_path FROM {SITE_FILES} WHERE
     e AS (SELECT page_id, {value('src')} AS raw FROM ({elements('script|img', marked(fx.LINKED))}) UNION ALL SELECT page_id, {value('href')} FROM ({elements('link', marked(fx.LINKED))})),
     h AS (SELECT p.site_id, p.rel_path, {in_site('raw', 'p.rel_path')} AS means FROM e JOIN {SITE_PAGES} p USING (page_id) WHERE raw IS NOT NULL AND NOT {_absolute} AND NOT contains(p.html, '<?php')),
     n AS (SELECT h.site_id, h.rel_path, count(*) AS n FROM h SEMI JOIN d ON d.site_id = h.site_id AND d.rel_path = h.means GROUP BY ALL)
-    SELECT site_id, rel_path, CAST(coalesce(n, 0) AS BIGINT) AS n_edits FROM (SELECT site_id, rel_path FROM {SITE_FILES} WHERE regexp_matches(rel_path, '\.(html?|xhtml|shtml|php[57s]?|phtml)$')) LEFT JOIN n USING (site_id, rel_path)"""
+    SELECT site_id, rel_path, CAST(coalesce(n, 0) AS BIGINT) AS n_edits FROM (SELECT site_id, rel_path FROM {SITE_FILES} WHERE regexp_matches(rel_path, '\\.(html?|xhtml|shtml|php[57s]?|phtml)$')) LEFT JOIN n USING (site_id, rel_path)"""
 
 
 _local = f"regexp_replace({LOCAL_PATH.replace('url', 'u.url')}, '^[^/]*/', '')"
