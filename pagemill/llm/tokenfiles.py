@@ -155,6 +155,7 @@ def write(docs: DataFrame, folder: str, tokenizer: str = "byte_bpe_50k.json", en
     Shards hold about `shard_bytes` of UTF-8 text and cover ascending ranges of doc_id; rows that share a doc_id stand by
     their texts, rows without one come last. The files are the same for the same rows.
     """
+    common.small_batches(docs.sparkSession)
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     bounds = common.range_bounds(docs, "doc_id", F.octet_length("text") + 1, shard_bytes)
     rows = common.in_shards(docs, "doc_id", bounds, ["doc_id", "text"])
@@ -181,7 +182,7 @@ def write(docs: DataFrame, folder: str, tokenizer: str = "byte_bpe_50k.json", en
         if found:
             yield pa.RecordBatch.from_pylist(found, pa.schema([("shard", pa.int32()), ("seq", pa.int32()), ("temp", pa.string()), ("name", pa.string()), ("size", pa.int64()), ("n", pa.int64()), ("note", pa.string())]))
 
-    common.commit(rows.mapInArrow(put, common.WRITTEN), folder)
+    common.commit(rows.mapInArrow(common.frugal(put), common.WRITTEN), folder)
 
 
 def read(spark: SparkSession, folder: str) -> DataFrame:

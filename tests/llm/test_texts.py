@@ -95,6 +95,17 @@ def test_cached_ids_equal_the_library(text):
     assert np.frombuffer(bpe_.ids(text), np.uint32).tolist() == bpe_.tok.encode(text, add_special_tokens=False).ids
 
 
+def test_cached_parts_are_bounded():
+    """Many different words leave a worker's cache small, and evicted ones get the same ids again."""
+    own = wordcache.ByteBpe("byte_bpe_50k.json")
+    texts = [" ".join(f"{i:x}z.{'é' * (i % 3)}" for i in range(at, at + 20_000)) + "\nx y|\n" for at in range(0, 560_000, 20_000)]
+    for text in texts:
+        own.ids(text)
+    kept = [d for d in vars(own).values() if isinstance(d, dict)]
+    assert max(map(len, kept)) <= 500_000
+    assert np.frombuffer(own.ids(texts[0]), np.uint32).tolist() == own.tok.encode(texts[0], add_special_tokens=False).ids
+
+
 def test_token_files(spark, some, none, tmp_path):
     tok = wordcache.load("byte_bpe_50k.json")
     folders = [f"file://{tmp_path}/{x}" for x in "ab"]
