@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import ctypes
-import gc
 import re
 import tempfile
 import uuid
@@ -16,6 +14,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType
 
+from pagemill.sources.batches import BATCH, frugal, give_back, small_batches  # noqa: F401 - the operators' own
+
 SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -46,39 +46,6 @@ def saved(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-#: Rows and bytes that go to Python at a time.
-BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2000", "spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20)}
-
-
-def small_batches(spark: SparkSession) -> None:
-    """From now on texts of this session go to Python in batches of BATCH, unless smaller ones are set: the JVM, its buffers and the worker each hold one."""
-    for name, most in BATCH.items():
-        own = spark.conf.get(name)
-        if not own.isdigit() or not 0 < int(own) <= int(most):
-            spark.conf.set(name, most)
-
-
-def frugal(function):
-    """A function over batches for mapInArrow, at whose end the task's memory goes back to the system: workers live on and hold it otherwise while later stages run."""
-
-    def run(batches):
-        try:
-            yield from function(batches)
-        finally:
-            give_back()
-
-    return run
-
-
-def give_back() -> None:
-    """What Python, Arrow and the C library have freed and still hold goes back to the system."""
-    gc.collect()
-    pa.default_memory_pool().release_unused()
-    libc = ctypes.CDLL(None)
-    if hasattr(libc, "malloc_trim"):
-        libc.malloc_trim(0)
-
-
 #: Most rows of a few longs each that are broadcast; in a hash table about 100 bytes each, 50 MB in all.
 SMALL = 500_000
 

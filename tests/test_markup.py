@@ -2,9 +2,11 @@
 
 import time
 
+import pyarrow as pa
 import pytest
 
 from pagemill.operators import adapt, html, markup
+from pagemill.sources import batches as small
 
 
 def attrs(text, tag=None):
@@ -94,3 +96,18 @@ def test_images_and_a_second_run(spark):
     again = adapt.images_replaced(first, "T&", ["old", "T&"])
     assert {(r.page_id, r.html, len(r.changes)) for r in again.collect()} == {(i, a if b is None else b, 0) for i, (a, b) in enumerate(PAGES)}
     assert [(c.element, c.before, c.trigger) for c in next(r.changes for r in first.collect() if r.page_id == 3)] == [("img", "old", "re-point"), ("img", "", "offer-anchor")]
+
+
+def test_pages_reach_python_in_small_parts(spark):
+    """Whatever the batch, few pages at a time are Python objects, and a batch that Spark sends is small."""
+    sizes = [10, None, 300_000, 5, 200_000, 100_000, *[3_000] * 1_000]
+    batch = pa.RecordBatch.from_pydict({"html": pa.array([None if n is None else "x" * n for n in sizes], pa.string())})
+    parts = [p.column("html").to_pylist() for p in small.slices(batch, "html")]
+    assert [x for p in parts for x in p] == batch.column("html").to_pylist()
+    assert all(len(p) == 1 or len(p) <= 256 and sum(len(x or "") for x in p) <= 256 << 10 for p in parts)
+    assert [len(p) for p in small.slices(batch, "none")] == [256, 256, 256, 238] and list(small.slices(batch.slice(0, 0), "html")) == []
+    for name in small.BATCH:
+        spark.conf.unset(name)
+    rows = spark.range(3).selectExpr("id AS page_id", "'<p>a' AS html")
+    assert markup.elements(rows, ("p",)).count() == 3
+    assert all(int(spark.conf.get(name)) <= int(most) for name, most in small.BATCH.items())
