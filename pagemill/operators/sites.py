@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from pagemill.functions import paths, policy, urls
 from pagemill.operators import extract, layout, markup
+from pagemill.sources.tables import saved
 
 FILE = ["site_id", "rel_path"]
 HTML = r"(?i)\.(html?|xhtml|shtml|php[57s]?|phtml)\z"
@@ -85,18 +86,21 @@ def _opened(files: DataFrame) -> DataFrame:
     return markup.with_elements(files.where(is_html(F.col("rel_path"))).select(*FILE, F.coalesce("content", F.lit("")).alias("html")), names=_NAMES)
 
 
-def references(files: DataFrame) -> DataFrame:
-    """site_id, rel_path, raw: the different addresses that each file of markup or style loads, those that load nothing left out. Content of a noscript counts where it is a script, frame or image; null content has none."""
-    pages = _opened(files).select(*FILE, F.array_distinct(F.flatten(F.transform("elements", element_refs))).alias("refs"))
-    sheets = files.where(is_css(F.col("rel_path"))).select(*FILE, F.array_distinct(css_refs(F.col("content"))).alias("refs"))
-    return pages.unionByName(sheets).select(*FILE, F.explode("refs").alias("raw")).where(~paths.is_skipped(F.col("raw")))
+def _with_refs(files: DataFrame) -> DataFrame:
+    """FILE, refs, base_href of each file of markup or style: the different addresses that it loads, and its first <base href>, if any; each file is opened once."""
+    base = F.filter(F.transform(F.filter("elements", lambda e: e["tag"] == "base"), lambda e: markup.value_of(e["attrs"], "href")), lambda v: v.isNotNull())
+    pages = _opened(files).select(*FILE, F.array_distinct(F.flatten(F.transform("elements", element_refs))).alias("refs"), F.try_element_at(base, F.lit(1)).alias("base_href"))
+    sheets = files.where(is_css(F.col("rel_path"))).select(*FILE, F.array_distinct(css_refs(F.col("content"))).alias("refs"), F.lit(None).cast("string").alias("base_href"))
+    return pages.unionByName(sheets)
+
 
+def _each_ref(opened: DataFrame) -> DataFrame:
+    return opened.select(*FILE, F.explode("refs").alias("raw")).where(~paths.is_skipped(F.col("raw")))
 
-def base_of(files: DataFrame) -> DataFrame:
-    """site_id, rel_path, base_href: the first <base href> of files of markup that have one."""
-    found = markup.with_elements(files.where(is_html(F.col("rel_path"))).select(*FILE, F.coalesce("content", F.lit("")).alias("html")), ("base",), ("href",))
-    first = F.try_element_at(F.filter(F.transform("elements", lambda e: markup.value_of(e["attrs"], "href")), lambda v: v.isNotNull()), F.lit(1))
-    return found.select(*FILE, first.alias("base_href")).where("base_href IS NOT NULL")
+
+def references(files: DataFrame) -> DataFrame:
+    """site_id, rel_path, raw: the different addresses that each file of markup or style loads, those that load nothing left out. Content of a noscript counts where it is a script, frame or image; null content has none."""
+    return _each_ref(_with_refs(files))
 
 
 # ------------------------------------------------------------------- rewritten
@@ -243,7 +247,7 @@ def repaired(files: DataFrame) -> DataFrame:
     name, `new` leads to the best (candidates()); external-no-local or local-missing: it hasn't.
     """
     names = files.select(*FILE)
-    refs = references(files)
+    refs = saved(references(files), "references")  # read several times; files are opened once
     absolute = F.trim("raw").rlike(r"(?i)^(https?:)?//")
     refs = refs.withColumns({"absolute": absolute, "found": F.when(~absolute, paths.in_site(F.col("raw"), F.col("rel_path"))), "name": urls.basename(F.trim("raw"))})
     refs = refs.withColumn("name", F.when(absolute & (urls.path(F.trim("raw")).isin("", "/")), F.lit("")).otherwise(F.col("name")))
@@ -301,8 +305,9 @@ def fetched(files: DataFrame, seen: DataFrame, responses: DataFrame, saved: Call
     last, asked, out, n = files.select(*FILE, "content", "url"), saved(seen.select("site_id", "url").distinct(), "seen-0"), None, 0
     while n < most:
         n += 1
-        based = paths.with_resolved(base_of(last).join(last.select(*FILE, "url"), FILE), "base_href", "url", "base").select(*FILE, "base")
-        raw = references(last).join(last.select(*FILE, "url"), FILE).join(based, FILE, "left").withColumn("base", F.coalesce("base", "url"))
+        opened = saved(_with_refs(last), f"opened-{n}")
+        based = paths.with_resolved(opened.where("base_href IS NOT NULL").select(*FILE, "base_href").join(last.select(*FILE, "url"), FILE), "base_href", "url", "base").select(*FILE, "base")
+        raw = _each_ref(opened).join(last.select(*FILE, "url"), FILE).join(based, FILE, "left").withColumn("base", F.coalesce("base", "url"))
         raw = paths.with_resolved(raw.select("site_id", "raw", "base"), "raw", "base", "url").select("site_id", "url")
         found = raw.where(F.col("url").rlike("^https?://")).distinct().join(hosts.hint("broadcast" if few else "merge"), "site_id")
         found = found.join(asked, ["site_id", "url"], "left_anti")

@@ -94,6 +94,21 @@ def test_moves_of_nothing(spark):
     assert sites.references(blank).count() == 0 and contents(sites.without_deleted(blank, main)) == {"a.html": ""}
 
 
+def test_repair_and_fetching_open_files_once(spark):
+    rows = files(spark, SITE)
+    plan = sites.repaired(rows)._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" not in plan and sites.repaired(rows).count() > 0
+    opened = []
+    held = rows.selectExpr("*", "concat('https://s/', rel_path) AS url", "'s' AS main_host")
+
+    def counted(df, tag):
+        opened.append(df._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow"))
+        return saved(df, tag)
+
+    sites.fetched(held, held.select("site_id", "url"), held.selectExpr("url", "content AS body"), counted, most=1)
+    assert sum(opened) == 1
+
+
 def test_new_names_are_not_replaced_again(spark):
     rows = files(spark, {"p.html": '<img src="a"><img src="b"><img src="ab">', "p.css": "x{y:url(a) url('b') url(\"ab\")}"})
     moves = spark.createDataFrame([("s", p, a, b) for p in ("p.html", "p.css") for a, b in (("a", "b"), ("b", "a"), ("ab", "$1\\a"))], "site_id string, rel_path string, raw string, new string")
