@@ -5,7 +5,7 @@ import time
 import pyarrow as pa
 import pytest
 
-from pagemill.operators import adapt, html, markup
+from pagemill.operators import adapt, extract, html, markup
 from pagemill.sources import batches as small
 
 
@@ -111,3 +111,17 @@ def test_pages_reach_python_in_small_parts(spark):
     rows = spark.range(3).selectExpr("id AS page_id", "'<p>a' AS html")
     assert markup.elements(rows, ("p",)).count() == 3
     assert all(int(spark.conf.get(name)) <= int(most) for name, most in small.BATCH.items())
+
+
+def test_only_what_can_hold_an_address_leaves_python(spark):
+    """Without `bare`, elements with one of the attributes and styles are those of a full reading; texts, scripts and elements without any stay behind."""
+    text = "a<p>b<img src=i><img alt=x><script>f()</script><script src=s>g()</script><style>c</style><title>t</title><a href>e</a><noscript>n<img src=o><img></noscript></p>"
+    full = markup.elements_of(text, names=("src", "href"))
+    some = markup.elements_of(text, names=("src", "href"), bare=False)
+    plain = lambda found: [(e["tag"], e["start"], e["inner"], e["stop"], e["body"], e["within"], e["attrs"]) for e in found]
+    assert plain(some) == plain([e for e in full if e["attrs"] or e["tag"] == "style"])
+    assert [e["tag"] for e in some] == ["img", "script", "style", "a", "img"]
+    pages = spark.createDataFrame([(1, text), (2, None), (3, "x")], "page_id long, html string")
+    sent = lambda df: {r.page_id: len(r.elements) for r in df.collect()}
+    assert sent(markup.with_elements(pages, names=("src", "href"), bare=False)) == {1: 5, 2: 0, 3: 0}
+    assert [(r.kind, r.url) for r in extract.resources(pages).collect()] == [("img", "i"), ("script", "s"), ("anchor", "")]
