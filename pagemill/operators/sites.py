@@ -82,8 +82,8 @@ _NAMES = [*policy.ADDRESS_ATTRIBUTES, *policy.SRCSET_ATTRIBUTES, "style"]
 
 
 def _opened(files: DataFrame) -> DataFrame:
-    """FILE, content and the elements of files of markup."""
-    return markup.with_elements(files.where(is_html(F.col("rel_path"))).select(*FILE, F.coalesce("content", F.lit("")).alias("html")), names=_NAMES)
+    """FILE, content, and of files of markup the elements that can hold an address."""
+    return markup.with_elements(files.where(is_html(F.col("rel_path"))).select(*FILE, F.coalesce("content", F.lit("")).alias("html")), names=_NAMES, bare=False)
 
 
 def _with_refs(files: DataFrame) -> DataFrame:
@@ -135,7 +135,7 @@ def rewritten(files: DataFrame, moves: DataFrame) -> DataFrame:
     new = lambda u: F.try_element_at(F.col("map"), u)
     rest = joined.where(F.col("map").isNull() | ~is_html(F.col("rel_path")))
     rest = rest.withColumn("content", F.when(F.col("map").isNotNull() & is_css(F.col("rel_path")), _css_mapped(F.col("content"), new)).otherwise(F.col("content"))).drop("map")
-    pages = markup.with_elements(joined.where(F.col("map").isNotNull() & is_html(F.col("rel_path"))).withColumn("html", F.col("content")), names=_NAMES)
+    pages = markup.with_elements(joined.where(F.col("map").isNotNull() & is_html(F.col("rel_path"))).withColumn("html", F.col("content")), names=_NAMES, bare=False)
     quoted = lambda v: F.concat(F.lit('="'), F.replace(F.replace(v, F.lit("&"), F.lit("&amp;")), F.lit('"'), F.lit("&quot;")), F.lit('"'))
 
     def edits(e: Column) -> Column:

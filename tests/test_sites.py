@@ -163,3 +163,15 @@ def test_libraries_get_official_copies(spark):
     assert got == sorted([("1", want, 2), ("1", want, 2), ("None", "<p>", 0), ("2", "", 0)])
     second = spark.createDataFrame([("js/jquery-3.6.1.min.js", "https://x.test/j.js", None), ("new", "n", "i")], "url string, cdn_url string, integrity string")
     assert {tuple(r) for r in html.merged(found, second).collect()} == {("js/jquery-3.6.1.min.js", "https://x.test/j.js", None), ("new", "n", "i"), ("/npm/swiper@11.1.4/x.css", "https://cdn.jsdelivr.net/npm/swiper@11.1.4/x.css", None)}
+
+
+def test_opened_files_hold_only_what_has_addresses(spark):
+    """Of a file's elements those with an address or a style come to be read; texts and bare elements don't, and no reference is lost."""
+    page = '<html><head><base href="b/"><style>a{background:url(s.png)}</style><script>var x = "y.js"</script></head><p class=c>text<b>more</b><img alt=x><img srcset="one.png 1x, two.png 2x"><i style="background:url(t.png)">u</i><noscript>n<img src=in.gif><p></noscript>'
+    rows = files(spark, {"a.html": page, "b.html": None})
+    held = {r.rel_path: [e.tag for e in r.elements] for r in sites._opened(rows).collect()}
+    assert held == {"a.html": ["base", "style", "img", "i", "img"], "b.html": []}
+    assert {r.raw for r in sites.references(rows).collect()} == {"s.png", "one.png", "two.png", "t.png", "in.gif"}
+    moves = spark.createDataFrame([("s", "a.html", n, "new-" + n) for n in ("s.png", "one.png", "t.png", "in.gif")], "site_id string, rel_path string, raw string, new string")
+    want = page.replace("s.png", "new-s.png").replace(' srcset="one.png 1x, two.png 2x"', ' srcset="new-one.png 1x, two.png 2x"').replace("t.png", "new-t.png").replace(" src=in.gif", ' src="new-in.gif"')
+    assert contents(sites.rewritten(rows, moves)) == {"a.html": want, "b.html": None}
