@@ -1,4 +1,4 @@
-"""Intervals over source text: merged ones and outermost ones."""
+"""Intervals over source text: merged ones and outermost ones. Nulls stand last in every order."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 def merged(spans: DataFrame) -> DataFrame:
     """file, start_pos, end_pos: touching and overlapping spans of a file as one."""
-    order = Window.partitionBy("file").orderBy("start_pos", "end_pos")
+    order = Window.partitionBy("file").orderBy(F.asc_nulls_last("start_pos"), F.asc_nulls_last("end_pos"))
     reach = F.max("end_pos").over(order.rowsBetween(Window.unboundedPreceding, -1))
     starts = F.when(reach.isNull() | (F.col("start_pos") > reach), 1).otherwise(0)
     islands = spans.withColumn("new", starts).withColumn("island", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
@@ -23,6 +23,6 @@ def covered(spans: DataFrame) -> DataFrame:
 
 def outermost(spans: DataFrame) -> DataFrame:
     """Spans that lie in no earlier one: by start, the longest first."""
-    order = Window.partitionBy("file").orderBy("start_pos", F.desc("end_pos"), "hits")
+    order = Window.partitionBy("file").orderBy(F.asc_nulls_last("start_pos"), F.desc_nulls_last("end_pos"), F.asc_nulls_last("hits"))
     reach = F.max("end_pos").over(order.rowsBetween(Window.unboundedPreceding, -1))
     return spans.withColumn("reach", reach).where("reach IS NULL OR start_pos >= reach").drop("reach")
