@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from pagemill.llm import forest, negatives
+from pagemill.llm import common, forest, negatives
 
 NAN, INF = float("nan"), float("inf")
 # with names that the operators use themselves
@@ -67,6 +67,25 @@ def test_negatives_without_rows_or_anchors(spark):
         assert negatives.mine(frame(spark, rows), F.col("vec_id") % 100 == 0).count() == 0
 
 
+def test_saved_files_grow_with_the_rows_not_with_the_scores(spark, monkeypatch, tmp_path):
+    sizes = []
+    for n in (400, 1600):
+        monkeypatch.setattr(common, "shared_dir", lambda spark, n=n: f"file://{tmp_path}/{n}")
+        rows = [r for r in some(1, n, 8) if r[0] is not None]
+        assert negatives.mine(frame(spark, rows), F.col("vec_id") >= 0).count() > n
+        sizes.append(sum(f.stat().st_size for f in (tmp_path / str(n)).rglob("*.parquet")))
+    assert sizes[1] < 6 * sizes[0]  # four times the rows, all of them anchors: 16 times the scores
+
+
+def test_large_scores_and_windows_stay_exact(spark):
+    big = [2.0**15, -(2.0**15), 3.0, 2.0**15 - 1]
+    rows = [(i, [big[i % 4], big[(i // 4) % 4], float(i)], i % 2) for i in range(64)]
+    rows = [(i * 10, v, c) for i, v, c in rows]
+    want = brute_negatives(rows, 20)
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    assert want and max(abs(r[4]) for r in want) > 1 << 45 and sorted(map(tuple, negatives.mine(frame(spark, rows), F.col("vec_id") % 20 == 0, label).collect())) == want
+
+
 def test_products_are_exact_or_an_error():
     a, b = np.array([[3, -(2**24) - 1]]), np.array([[5, 2**29 + 1], [2**29, 7]])
     assert negatives.product(a, b).tolist() == [[15 - (2**24 + 1) * (2**29 + 1), 3 * 2**29 - 7 * (2**24 + 1)]]
