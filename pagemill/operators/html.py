@@ -126,14 +126,19 @@ def policy_edit(found: Column, policy_tag: str) -> Column:
     return _edit(F.coalesce(at, own), F.coalesce(at, own), F.when(at.isNotNull(), F.lit(policy_tag)).otherwise(F.lit(f"<head>{policy_tag}</head>")), 19, "insert", "policy")
 
 
-def with_edits(pages: DataFrame, policy_tag: str = "", longest: int = 1 << 26) -> DataFrame:
-    """`pages` (page_id, html) without server code, the edits that rules ask for (markup.with_outermost() takes those that lie in no other), and the error of a page that can't be read, which has no edits."""
+def with_edits(pages: DataFrame, policy_tag: str = "", longest: int | None = None) -> DataFrame:
+    """`pages` (page_id, html) without server code and the edits that rules ask for (markup.with_outermost() takes those that lie in no other).
+
+    A page that can't be read ends the job, whatever its length. Only with `longest` it has no edits but an `error`, see
+    markup.with_elements_or_error(); that column goes on to whoever asked for it.
+    """
     stripped = pages.select("page_id", extract.strip_server_code(F.coalesce("html", F.lit(""))).alias("html"))
-    rows = with_elements_or_error(stripped, longest=longest).withColumn("judged", judged(F.col("elements")))
+    rows = with_elements(stripped) if longest is None else with_elements_or_error(stripped, longest=longest)
+    rows = rows.withColumn("judged", judged(F.col("elements")))
     both = [element_edits(F.col("judged")), attribute_edits(F.col("elements")), text_edits(F.col("elements"))]
     if policy_tag:
         both.append(F.when(F.exists("elements", lambda e: e["tag"] != "#text"), F.array(policy_edit(F.col("elements"), policy_tag))).otherwise(F.array().cast(EDITS)))
-    return rows.select("page_id", "html", F.concat(*both).cast(EDITS).alias("edits"), "error")
+    return rows.select("page_id", "html", F.concat(*both).cast(EDITS).alias("edits"), *[] if longest is None else ["error"])
 
 
 EDITS = "array<struct<start:int,stop:int,new:string,pass_no:int,action:string,reason:string>>"
@@ -144,16 +149,24 @@ def planned(pages: DataFrame, policy_tag: str = "") -> DataFrame:
     return with_outermost(with_edits(pages, policy_tag), None).select("page_id", F.inline("edits"))
 
 
+def _unspaced() -> Column:
+    return F.regexp_replace("html", r"\n{3,}", "\n\n")
+
+
+def _n_edits() -> Column:
+    return F.size("edits").cast("long").alias("n_edits")
+
+
 def cleaned(pages: DataFrame, policy_tag: str = "") -> DataFrame:
-    """page_id, html, n_edits for each row of `pages`: server code out, edits applied, `policy_tag` put into the head, blank lines collapsed. Null html is empty. Rows are cleaned one by one, whether page_ids repeat or are null."""
-    return cleaned_or_error(pages, policy_tag).drop("error")
+    """page_id, html, n_edits for each row of `pages`: server code out, edits applied, `policy_tag` put into the head, blank lines collapsed. Null html is empty. Rows are cleaned one by one, whether page_ids repeat or are null. A page that can't be read ends the job: none comes back as it was."""
+    return with_outermost(with_edits(pages, policy_tag)).select("page_id", _unspaced().alias("html"), _n_edits())
 
 
 def cleaned_or_error(pages: DataFrame, policy_tag: str = "", longest: int = 1 << 26) -> DataFrame:
     """cleaned(), and `error` (markup.ERROR): a page that can't be read only loses its server code and is held by its error; see error_log()."""
     rows = with_outermost(with_edits(pages, policy_tag, longest))
-    text = F.when(F.col("error").isNull(), F.regexp_replace("html", r"\n{3,}", "\n\n")).otherwise(F.col("html"))
-    return rows.select("page_id", text.alias("html"), F.size("edits").cast("long").alias("n_edits"), "error")
+    text = F.when(F.col("error").isNull(), _unspaced()).otherwise(F.col("html"))
+    return rows.select("page_id", text.alias("html"), _n_edits(), "error")
 
 
 def error_log(results: DataFrame) -> DataFrame:

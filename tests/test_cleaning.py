@@ -1,8 +1,11 @@
 """Cleaning, scripts, streams and files on small inputs."""
 
+import duckdb
+import pytest
 from pyspark.sql import functions as F
 
 from pagemill.operators import extract, html, markup, scripts
+from pagemill.plans import catalog
 from pagemill.sources import files
 from pagemill.streaming import pages as streaming
 
@@ -86,3 +89,38 @@ def test_css_and_svg(spark):
     row = spark.createDataFrame([("@import url(//evil.test/a.css); a{background:url('//evil.test/x$1.png')}b{background:url(i.png)}", '<svg onload="x()"><script>1</script><a xlink:href="https://evil.test">t</a><foreignObject>q</foreignObject></svg>')], "css string, svg string")
     r = row.select(extract.clean_css(F.col("css")).alias("c"), extract.svg_cleaned(F.col("svg")).alias("s")).first()
     assert r.c.strip() == "a{background:url('')}b{background:url(i.png)}" and r.s == "<svg><a>t</a></svg>"
+
+
+def test_nested_noscripts_and_long_numbers_are_read(spark):
+    evil = "<img src=https://evil.test/a.png>"
+    pages = ["<noscript>" * 3000 + evil, evil + "<i title='&#" + "9" * 5000 + ";'>x</i>", evil + "<i title=&#" + "0" * 5000 + "65;>x</i>"]
+    df = spark.createDataFrame(list(enumerate(pages)), "page_id int, html string")
+    got = {r.page_id: r.html for r in html.cleaned(df).collect()}
+    assert len(got) == 3 and not any("evil.test" in x for x in got.values())
+    assert html.error_log(html.cleaned_or_error(df)).count() == 0
+    assert [markup.unescaped("&#" + x) for x in ("0" * 5000 + "65;", "9" * 5000 + ";", "0" * 5000, "65;66")] == ["A", "\ufffd", "\ufffd", "A66"]
+
+
+def test_a_page_that_cannot_be_read_ends_the_job(spark, monkeypatch):
+    def fails(text, *more, **named):
+        if "bad" in text:
+            raise ValueError("can't be read")
+        return []
+
+    monkeypatch.setattr(markup, "elements_of", fails)
+    df = spark.createDataFrame([(1, "good"), (2, "bad <img src=https://evil.test/a.png>")], "page_id long, html string")
+    for clean in (html.cleaned, html.planned, html.held):
+        with pytest.raises(Exception, match="can't be read"):
+            clean(df).collect()
+    assert [tuple(r) for r in html.error_log(html.cleaned_or_error(df)).collect()] == [(2, "markup", "ValueError", "can't be read")]
+
+
+def test_cleaned_images_of_odd_pages_equal_sql(spark, tmp_path):
+    evil, own = '<img src="https://evil.test/a.png">', '<img src="/own.png">'
+    pages = [(None, evil + own), (None, own), (7, evil + "<i title='&#" + "9" * 5000 + ";'>x</i>" + own), (8, None), (8, evil)]
+    spark.createDataFrame([(i, "https://own.test/", p) for i, p in pages], "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    c = duckdb.connect()
+    c.sql(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    want = c.sql(catalog.ORACLE_SQL["cleaned_images"])
+    got = catalog.cleaned_images(spark, str(tmp_path)).select(want.columns).collect()
+    assert len(got) == 3 and sorted(map(repr, map(tuple, got))) == sorted(map(repr, want.fetchall()))
